@@ -186,7 +186,7 @@ def nearest_facility_haversine(spark, d):
 SELECT place, round(min(km), 6) AS min_km, count(*) FILTER (WHERE km <= 500) AS within_500 FROM k GROUP BY place"""
 )
 def nearest_facility_by_cells(spark, d):
-    return I.by_cells(*places(spark, d), radii=(500,), first_km=400.0).select("place", r("min_km").alias("min_km"), "within_500")
+    return I.by_cells(*places(spark, d), radii=(500,), first_km=3000.0).select("place", r("min_km").alias("min_km"), "within_500")
 
 
 @query("""WITH g AS (SELECT CAST(n_regionkey AS BIGINT) AS region, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
