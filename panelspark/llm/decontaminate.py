@@ -174,9 +174,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of docs, all columns, that aren't contaminated."""
     blocks = _blocks(benchmark, window, block_bytes)
     if len(blocks) > 1:
-        rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        bad = contamination(rows, benchmark, window, block_bytes, "_row").filter(is_contaminated(share)).select("_row")
-        return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+        rows = cut(docs.withColumn("_kept_row", F.monotonically_increasing_id()), "decontaminate")
+        bad = contamination(rows, benchmark, window, block_bytes, "_kept_row").filter(is_contaminated(share)).select("_kept_row")
+        return rows.join(bad, "_kept_row", "left_anti").select(*docs.columns)
     block = blocks[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,3 +190,24 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT size FROM p),
+v AS (
+  SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS words
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, s WHERE len(w) >= size)),
+m AS (SELECT doc_id, k, size, item_id FROM v JOIN p USING (size, words)),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

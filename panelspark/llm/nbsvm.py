@@ -7,8 +7,8 @@ is fitted in a task of its own, and as all models are linear in the indicators,
 turns margins into probabilities; it is fitted on margins of each group's texts under the mean of the other groups' models.
 
 Defined cases: a null text is an empty one; an empty text has no feature, and its score is the curve's at the bias; with
-one class only, or no labelled text, all texts get the share of that class (0.5 without any); other columns are not
-looked at.
+one class only, all texts get its share of the labels, and 0.99 without any labelled text, as nothing speaks against
+one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     if not fitted:
         share = sampled.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
         sampled.unpersist()
-        share = 0.5 if share is None else min(max(share, 1e-6), 1 - 1e-6)
+        share = 0.99 if share is None else min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(DIMENSIONS + 1, np.float32), np.array([0.0, np.log(share / (1 - share))]))
     total = np.sum(list(fitted.values()), axis=0)
 

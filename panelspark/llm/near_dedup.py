@@ -7,10 +7,11 @@ further hash rounds and at last from a hash of its own; the value that wins in t
 that have it, so that registers of any two sets, however small, agree with the probability of their Jaccard similarity.
 
 Equal sets are one class, and only a class's smallest doc_id goes on. Bands of four registers name candidate pairs: each
-member of a bucket with the bucket's smallest id, so a bucket of n members gives n - 1 pairs. Pairs whose estimated
+member of a bucket with the bucket's hub, so a bucket of n members gives n - 1 pairs. Pairs whose estimated
 similarity (corrected for registers that agree by chance) is five standard errors below the threshold go; the rest are
 confirmed on the full sets. Where a bucket's members then still lie in different components, the pairs between its
-components follow, and are confirmed as well. A pair at the threshold shares no band with a chance under one in ten million.
+components follow; in crowded buckets full sets are compared block by block instead, which gives links only, however many
+pairs there are. A pair at the threshold shares no band with a chance under one in ten million.
 
 Defined cases: a null text, or one without words, has the empty set and no link; with fewer words than `width`, the whole
 sequence is the one shingle; rows with a null doc_id take no part and get a null component; rows that share a doc_id are
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, words
@@ -41,6 +42,14 @@ ROUNDS = 4
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 
+#: Members up to which all pairs of a bucket's components are looked at.
+CROWD = 24
+#: Sets of a block in crowds, and elements of a part of their product: 4 bytes for each set and element.
+BLOCK = 768
+ELEMENTS = 2_048
+#: Ids that are sent to all tasks at most, 8 bytes each.
+BROADCAST_IDS = 200_000
+
 _round_keys = words.mix(np.arange(1, ROUNDS + REGISTERS + 1, dtype=_U) * _U(0xA24BAED4963EE407))
 _bucket_bits = REGISTERS.bit_length() - 1
 _bucket_edges = np.arange(REGISTERS, dtype=_U) << _U(64 - _bucket_bits)
@@ -83,7 +92,7 @@ def registers(found: np.ndarray) -> np.ndarray:
     return ((zeros << _U(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     for _, _, _, _, _, hashes, before in words.chunks(texts):
         for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
             yield shingle_set(hashes[a:b], width)
@@ -95,7 +104,7 @@ def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, signatures, kept = [], [], []
-            for found in _sets(batch["text"], width):
+            for found in shingle_sets(batch["text"], width):
                 sizes.append(len(found))
                 signatures.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 kept.append(registers(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
@@ -148,18 +157,136 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             keep = []
             right = batch["text_b"]
             # Rows of a hub come one after the other: its set is made once.
-            for k, found in enumerate(_sets(batch["text_a"], width)):
+            for k, found in enumerate(shingle_sets(batch["text_a"], width)):
                 if right[k] != last_text:
                     last_text = right[k]
-                    last = next(_sets(right.slice(k, 1), width))
+                    last = next(shingle_sets(right.slice(k, 1), width))
                 common = len(np.intersect1d(found, last, assume_unique=True))
                 keep.append(common > 0 and 100 * common >= percent * (len(found) + len(last) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: docs.select(F.col("doc_id").cast("long").alias(c), F.col("text").alias(f"text_{c}"))
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents with these distinct ids. Few ids are sent to all tasks, so that only their texts are shuffled."""
+    ids = checkpoint(ids)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common, by products of 0/1 matrices over a part of the elements at a time."""
+    sizes = [len(x) for x in left], [len(x) for x in right]
+    elements, columns = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    split = sum(sizes[0])
+    rows = np.repeat(np.arange(len(left)), sizes[0]), np.repeat(np.arange(len(right)), sizes[1])
+    columns = columns[:split], columns[split:]
+    # Only what both sides have can be in common.
+    shared = np.zeros(len(elements), bool)
+    shared[np.intersect1d(columns[0], columns[1])] = True
+    place = np.cumsum(shared) - 1
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), ELEMENTS):
+        parts = []
+        for r, c, n in zip(rows, columns, (len(left), len(right)), strict=True):
+            own = shared[c] & (place[c] >= start) & (place[c] < start + ELEMENTS)
+            part = np.zeros((n, ELEMENTS), np.float32)
+            part[r[own], place[c[own]] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _crowd_links(crowd: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of crowds: their full sets are compared block by block.
+
+    crowd: bucket, id and label of the members of crowded buckets. Crowds that share members are one group, which is dealt
+    to blocks of about BLOCK members; each two blocks meet in a task of their own, which returns only as many links as it
+    takes to join the components that it finds linked.
+    """
+    first = crowd.groupBy("bucket").agg(F.min("id").alias("v"))
+    groups = graph.components(crowd.join(first, "bucket").select(F.col("id").alias("u"), "v")).toDF("id", "crowd")
+    members = checkpoint(crowd.select("id", "label").distinct().join(groups, "id"))
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.tobytes() for x in shingle_sets(batch["text"], width)]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], names=["id", "elements"])
+
+    held = _texts_of(docs, members.select("id")).mapInArrow(sets, "id long, elements binary")
+    cells = members.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "elements")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+        own, ids, labels = cell["own"].to_numpy(), cell["id"].to_numpy(), cell["label"].to_numpy()
+        found = [np.frombuffer(x.as_buffer(), _U) for x in cell["elements"]]
+        at = [np.flatnonzero(own == k) for k in (i, j)]
+        links: list[tuple[int, int]] = []
+        if len(at[0]) and len(at[1]):
+            common = _common([found[k] for k in at[0]], [found[k] for k in at[1]])
+            n = np.array([len(x) for x in found], np.float32)
+            linked = 100 * common >= percent * (n[at[0]][:, None] + n[at[1]][None, :] - common)
+            linked &= (labels[at[0]][:, None] != labels[at[1]][None, :]) & (common > 0)
+            root = {x: x for x in np.unique(labels).tolist()}
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for x, y in np.argwhere(linked).tolist():
+                p, q = top(int(labels[at[0][x]])), top(int(labels[at[1][y]]))
+                if p != q:
+                    root[p] = q
+                    links.append((int(ids[at[0][x]]), int(ids[at[1][y]])))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*links, strict=True) if links else [[]] * 2)], names=["a", "b"])
+
+    return cells.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
+    """Two sets of too different sizes can't reach the threshold."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """bucket, id and n: each class once for each band."""
+    return classes.select("id", "n", F.posexplode("registers").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id", "n")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose bucket has others, with the bucket's size."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    return rows.join(sizes, "bucket")
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows in buckets of more than one component, with label, and members: how many rows the bucket has."""
+    rows = rows.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low < high")
+    return checkpoint(rows.join(mixed.select("bucket", "members"), "bucket"))
+
+
+def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of each row with its bucket's hub.
+
+    The hub is the member that meets the most others over all buckets: the text that the others were copied from, if there
+    is one, and so the likeliest to be linked with each.
+    """
+    meets = rows.groupBy("id").agg(F.sum("size").alias("meets"))
+    hubs = rows.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", "id", "n")).alias("hub")).select("bucket", F.col("hub.id").alias("id_b"), F.col("hub.n").alias("n_b"))
+    pairs = rows.join(hubs, "bucket").filter("id <> id_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
+    return pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept of every row of docs."""
     docs = docs.select("doc_id", "text")
@@ -167,23 +294,19 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     linked = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(linked.groupBy("signature").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
 
-    # Two sets of so different sizes can't reach the threshold.
-    sizes_fit = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    bands = classes.select("id", "n", F.posexplode("registers").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1").select("bucket", "hub.*").toDF("bucket", "b", "n_b")
-    first = bands.join(hubs, "bucket").filter(F.col("id") > F.col("b")).filter(sizes_fit(F.col("n"), F.col("n_b"))).select(F.col("id").alias("a"), "b").distinct()
-    tried = checkpoint(_promising(first, classes, percent / 100))
+    shared = cut(_shared(_buckets(classes)), "buckets")  # what shares no bucket is linked with nothing
+    tried = checkpoint(_promising(_with_hub(shared, percent), classes, percent / 100))
     links = checkpoint(confirm(tried, docs, width, percent))
-
-    # What is left are pairs of different components that meet in a bucket.
-    labels = graph.components(links.toDF("u", "v"))
-    labelled = bands.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    members = checkpoint(labelled.join(mixed, "bucket"))
-    other = members.toDF("bucket", "id_b", "n_b", "label_b")
-    second = members.join(other, "bucket").filter("label > label_b").filter(sizes_fit(F.col("n"), F.col("n_b")))
-    second = second.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = checkpoint(confirm(checkpoint(_promising(second, classes, percent / 100)), docs, width, percent))
+    # What is left are pairs of different components that meet in a bucket: all pairs of a small bucket; in crowded ones,
+    # where these would be too many rows, sets are compared block by block.
+    left = _mixed(shared, graph.components(links.toDF("u", "v")))
+    few = left.filter(F.col("members") <= CROWD).select("bucket", "id", "n", "label")
+    other = few.toDF("bucket", "id_b", "n_b", "label_b")
+    rest = few.join(other, "bucket").filter("label > label_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
+    rest = rest.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = confirm(checkpoint(_promising(rest, classes, percent / 100)), docs, width, percent)
+    crowd = left.filter(F.col("members") > CROWD).select("bucket", "id", "label")
+    more = checkpoint(more.union(_crowd_links(crowd, docs, width, percent)))
 
     copies = linked.join(classes.select("signature", "id"), "signature").filter("doc_id <> id").select("doc_id", "id")
     found = graph.components(links.union(more).union(copies).toDF("u", "v")).toDF("doc_id", "label")
@@ -195,3 +318,20 @@ def drop_near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) ->
     """The rows of docs, all columns, of which near_duplicates says kept."""
     gone = near_duplicates(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+#: Brute force over all pairs that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""

@@ -92,4 +92,10 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_perspectives": perspectives.ORACLE_SQL, "op10_ball_tree": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_rendezvous": sharding.oracle_sql(16),
+    "op6_hyperminhash": near_dedup.ORACLE_SQL,
+    "op7_perspectives": perspectives.ORACLE_SQL,
+    "op8_wu_manber": decontaminate.ORACLE_SQL,
+    "op10_ball_tree": topk.ORACLE_SQL,
+}

@@ -2,13 +2,14 @@
 
 Folding lower-cases, maps look-alike letters and digits that stand for letters to plain letters, drops invisible
 characters, and makes punctuation a space. Lexicon entries are whole words or beginnings of words with log-odds weights,
-learnt from labelled documents: of the entries that mostly occur in toxic texts, those are taken one after the other that
-explain the most toxic texts not yet explained. Exception phrases are pairs of neighbouring words in which an entry's
+learnt from labelled documents: those that occur in toxic texts far more often than by chance, where copies of one text
+count once. Exception phrases are pairs of neighbouring words in which an entry's
 word isn't toxic; a match inside one doesn't count. The score of a text is a logistic curve over the summed weights and
 the sum per word.
 
 Defined cases: a null or empty text has no match; without toxic examples the lexicon is empty, and every text gets the
-score of the curve's intercept; other columns are not looked at.
+score of the curve's intercept; without any labelled text that is 0.01, as nothing speaks against a text; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import labelled, near_dedup
 
 #: Labelled documents that the lexicon is learnt from, and entries that are looked at, at most.
 SAMPLE_ROWS = 12_000
 CANDIDATES = 4_000
 #: Lengths of beginnings of words that may be entries.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6, 7, 8, 9, 10)
 #: An entry occurs in so many toxic texts at least, and its share among toxic texts is so many times that among others.
-LEAST_TEXTS = 5
+LEAST_TEXTS = 4
 LEAST_RATIO = 8.0
+#: And it occurs in more toxic texts than by chance, by so many standard deviations.
+LEAST_DEVIATIONS = 6.0
 
 # Characters that look like Latin letters, and digits and signs that stand for them.
 LOOKALIKES = "аaвbеeёeкkмmнhоoрpсcтtуyхxіiїiјjѕsԁdɡgһhӏlαaβbεeιiκkνvοoρpτtυuχxıiøo0o1i3e4a5s7t8b@a$s"
@@ -142,9 +145,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     counted = _count(sampled, lambda folded: {e for w in set(folded.split()) for e in entries_of(w)})
-    pool = counted.filter((F.col("toxic") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).withColumn("weight", F.ln(ratio))
-    pool = pool.orderBy(F.desc(F.col("toxic") * F.col("weight")), F.length("key"), "key").limit(CANDIDATES).collect()
-    weights = choose(sampled.filter("label > 0"), {r["key"]: (r["weight"], r["toxic"]) for r in pool}, n_toxic)
+    expected = (F.col("toxic") + F.col("clean")) * (n_toxic / max(1, n_toxic + n_clean))
+    surely = F.col("toxic") >= expected + LEAST_DEVIATIONS * F.sqrt(expected)
+    pool = counted.filter((F.col("toxic") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & surely)
+    pool = pool.orderBy(F.desc(F.col("toxic") * F.ln(ratio)), F.length("key"), "key").limit(CANDIDATES).collect()
+    weights = choose(sampled.filter("label > 0"), {r["key"]: r["clean"] for r in pool}, n_clean)
     exceptions: list[str] = []
     if weights:
         plain = Lexicon(weights, [], np.zeros(3))
@@ -166,45 +171,54 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     got = sampled.select("text", "label").mapInArrow(run, "weight double, words long, label int").collect()
     sampled.unpersist()
+    if not got:
+        return Lexicon({}, [], np.array([0.0, 0.0, -4.6]))
     y = np.array([float(r["label"] > 0) for r in got])
     return Lexicon(weights, exceptions, labelled.fit_logistic(features([(r["weight"], r["words"]) for r in got]), y))
 
 
-def choose(toxic: DataFrame, pool: dict[str, tuple[float, int]], n_toxic: int) -> dict[str, float]:
-    """The entries of the pool that together explain the toxic texts, and all that a twentieth of them hold.
+def families(registers: np.ndarray) -> np.ndarray:
+    """A number for each sketch, the same for those that agree in half of their registers with the first of their family."""
+    family = np.full(len(registers), -1)
+    for i in range(len(registers)):
+        if family[i] < 0:
+            family[(family < 0) & ((registers == registers[i]).mean(axis=1) >= 0.5)] = i
+    return family
 
-    Only which entries occur in each of the sample's toxic texts reaches the driver.
+
+def choose(toxic: DataFrame, pool: dict[str, int], n_clean: int) -> dict[str, float]:
+    """Weights of the entries of the pool (with their clean texts) that occur in enough families of toxic texts.
+
+    Copies of one text are a family, whose words aren't toxic for being copied. Only sketches of the sample's toxic texts and
+    which entries they hold reach the driver.
     """
     keys = list(pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: i for i, k in enumerate(keys)}
         for batch in batches:
-            found = [sorted({place[e] for w in set(fold(t.as_py()).split()) for e in entries_of(w) if e in place}) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
-
-    if not keys:
+            found, kept = [], []
+            for text, own in zip(batch["text"], near_dedup.shingle_sets(batch["text"], 2), strict=True):
+                found.append(sorted({place[e] for w in set(fold(text.as_py()).split()) for e in entries_of(w) if e in place}))
+                kept.append(near_dedup.registers(own).tobytes() if len(own) else bytes(2 * near_dedup.REGISTERS))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=["found", "registers"])
+
+    rows = toxic.select("text").mapInArrow(run, "found array<int>, registers binary").collect() if keys else []
+    if not rows:
         return {}
-    texts = [r["found"] for r in toxic.select("text").mapInArrow(run, "found array<int>").collect()]
+    family = families(np.stack([np.frombuffer(r["registers"], np.uint16) for r in rows]))
     where: dict[int, set[int]] = defaultdict(set)
-    for i, found in enumerate(texts):
-        for k in found:
-            where[k].add(i)
+    for number, r in zip(family.tolist(), rows, strict=True):
+        for k in r["found"]:
+            where[k].add(number)
+    n_families = len(np.unique(family))
     out: dict[str, float] = {}
-    least = max(2, n_toxic // 400)
-    while where:
-        best = max(where, key=lambda k: (len(where[k]) * pool[keys[k]][0], -len(keys[k]), keys[k]))
-        new = where.pop(best)
-        if len(new) < least:
-            break
-        out[keys[best]] = pool[keys[best]][0]
-        for k in list(where):
-            where[k] -= new
-            if len(where[k]) < least:
-                del where[k]
-    for k, (weight, texts_with) in pool.items():
-        if texts_with * 20 >= n_toxic and not any(k.startswith(x) for x in out):
-            out[k] = weight
+    for k in sorted(where, key=lambda k: (len(keys[k]), keys[k])):
+        toxic_rate, clean_rate = (len(where[k]) + 0.5) / (n_families + 1), (pool[keys[k]] + 0.5) / (n_clean + 1)
+        weight = float(np.log(toxic_rate / clean_rate))
+        enough = len(where[k]) >= LEAST_TEXTS and toxic_rate >= LEAST_RATIO * clean_rate
+        if enough and not any(keys[k].startswith(x) and w >= weight for x, w in ((keys[k][:n], out.get(keys[k][:n], 0.0)) for n in range(2, len(keys[k])))):
+            out[keys[k]] = weight
     return out
 
 
