@@ -299,7 +299,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     links = checkpoint(confirm(tried, docs, width, percent))
     # What is left are pairs of different components that meet in a bucket: all pairs of a small bucket; in crowded ones,
     # where these would be too many rows, sets are compared block by block.
-    left = _mixed(shared, graph.components(links.toDF("u", "v")))
+    joined = graph.components(links.toDF("u", "v"))
+    left = _mixed(shared, joined)
     few = left.filter(F.col("members") <= CROWD).select("bucket", "id", "n", "label")
     other = few.toDF("bucket", "id_b", "n_b", "label_b")
     rest = few.join(other, "bucket").filter("label > label_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
@@ -308,10 +309,14 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     crowd = left.filter(F.col("members") > CROWD).select("bucket", "id", "label")
     more = checkpoint(more.union(_crowd_links(crowd, docs, width, percent)))
 
-    copies = linked.join(classes.select("signature", "id"), "signature").filter("doc_id <> id").select("doc_id", "id")
-    found = graph.components(links.union(more).union(copies).toDF("u", "v")).toDF("doc_id", "label")
+    # Classes stand for their documents; documents that have rows in several classes link these.
+    rows = cut(linked.join(classes.select("signature", "id"), "signature").select("doc_id", "id"), "rows")
+    own = rows.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    across = rows.join(own.filter("least < most"), "doc_id").select("id", "least").filter("id <> least")
+    found = graph.components(more.union(across).toDF("u", "v"), joined)
+    of_document = own.select("doc_id", F.col("least").alias("id")).join(found, "id", "left").select("doc_id", F.coalesce("label", "id").alias("label"))
     component = F.coalesce("label", "doc_id")
-    return sketches.join(found, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return sketches.join(of_document, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:

@@ -80,20 +80,3 @@ SELECT f.doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS tex
   row_number() OVER (PARTITION BY shard ORDER BY f.doc_id, size, text_crc32) - 1 AS slot
 FROM f JOIN w ON f.doc_id IS NOT DISTINCT FROM w.doc_id
 """
-
-
-def oracle_sql(shards: int) -> str:
-    """The assignment to so many shards of weight 1, and one more, in DuckDB SQL, with slots for a single bucket a shard; crc32 is folded byte by byte over a table made by its rule."""
-    draw = "((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(s AS VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
-    step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
-    return f"""
-WITH RECURSIVE t(b, x, k) AS (SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256) UNION ALL SELECT b, {step}, k + 1 FROM t WHERE k < 8),
-c AS (SELECT list(x ORDER BY b) AS tab FROM t WHERE k = 8),
-d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-e AS (SELECT doc_id, length(h) // 2 + 1 AS size, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS BIGINT))) AS bytes FROM d),
-f AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, y: xor(tab[xor(a, y) % 256 + 1], a // 256)), 4294967295) AS text_crc32 FROM e, c),
-w AS (SELECT doc_id, arg_max(s, (-1.0 / ln({draw}), s)) FILTER (WHERE s < {shards}) AS shard, arg_max(s, (-1.0 / ln({draw}), s)) AS grown_shard FROM (SELECT DISTINCT doc_id FROM documents), range({shards + 1}) r(s) GROUP BY doc_id)
-SELECT f.doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(grown_shard AS INTEGER) AS grown_shard,
-  row_number() OVER (PARTITION BY shard ORDER BY f.doc_id, size, text_crc32) - 1 AS slot
-FROM f JOIN w ON f.doc_id IS NOT DISTINCT FROM w.doc_id
-"""
