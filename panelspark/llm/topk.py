@@ -1,8 +1,8 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
 Vectors are dealt to shards of about SHARD_ROWS rows by a hash of their id, queries to blocks of QUERY_ROWS. Each query
-first searches its own vector's shard. Its kth score there goes with it to all other shards, where it bounds the search
-from the start. In a shard, nodes are taken in the order of their upper bound q . centre + |q| * radius, until the next
+first searches its own vector's shard, where a shard's few queries need no blocks. Its kth score there goes with it to all
+other shards, where it bounds the search from the start. In a shard, nodes are taken in the order of their upper bound q . centre + |q| * radius, until the next
 bound lies below the current kth score. A task holds one shard's vectors and one block's queries.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 SHARD_ROWS = 16_384
-QUERY_ROWS = 2_048
+QUERY_ROWS = 8_192
 LEAF_ROWS = 64
 
 
@@ -152,14 +152,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
     asked = cut(asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"), shard.alias("home"), block.alias("block")), "queries")
-    cells = vectors.select("vec_id", "v", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
     floor = F.lit(None).cast("long").alias("floor")
-    home = _best(_search(cells, asked.select("query_id", "v", "dim", F.col("home").alias("shard"), "block", floor), k), k)
+    one = F.lit(0).cast("long").alias("block")
+    at_home = vectors.select("vec_id", "v", "dim", shard.alias("shard"), one)
+    home = _best(_search(at_home, asked.select("query_id", "v", "dim", F.col("home").alias("shard"), one, floor), k), k)
     if shards == 1:
         return home.select("query_id", "rank", "vec_id", "score")
     home = cut(home.select("query_id", "vec_id", "score", "rank"), "home")
     kth = home.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     away = asked.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).filter("shard <> home")
+    cells = vectors.select("vec_id", "v", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
     rest = _search(cells, away.select("query_id", "v", "dim", "shard", "block", "floor"), k)
     return _best(home.select("query_id", "vec_id", "score").union(rest), k).select("query_id", "rank", "vec_id", "score")
 
