@@ -1,17 +1,24 @@
 """Language-model scoring by a Brown class-based bigram model: P(word | before) = P(class | class before) P(word | class).
 
-Statistics cover every training text. Words are 64-bit hashes (see words). Clustering works on units: each of the UNITS
-most frequent words is a unit, and all other words share one by the form of their ending, so that any word, seen or not,
-has a unit without a lookup. Exchange clustering moves units between CLASSES classes: in each round every unit is weighed
-in every class, against counts that leave it out, by the likelihood of the classes before and after it, and goes to the
-best. Rounds run over unit numbers that were written once, add up counts per unit and neighbouring class, and move a part
-of the units at a time, so that two of them don't swap places for ever.
+Statistics cover every training text. Words are 64-bit hashes (see words). Every word that training texts hold twice or more
+has a class of its own, in a table of words that grows with the corpus. It is found in two steps, frequent words first:
+
+1. Exchange clustering of units: each of the UNITS most frequent words is a unit, and all other words share one by the
+form of their ending. In each round every unit is weighed in every class, against counts that leave it out, by the
+likelihood of the classes before and after it, and goes to the best. Rounds add up counts per unit and neighbouring class,
+and move a part of the units at a time, so that two of them don't swap places for ever.
+2. Every other repeated word is taken out of its form's class and goes to its best one in the same way, by its own counts
+per side and neighbouring class, which tasks add up by ranges of word hashes. This is done once; a neighbour that isn't
+a unit counts there with its form's class.
+
+Transitions and emissions are then counted anew, with each word's final class. Words seen once and unknown words have the
+class of their form, so that any word has a class without a lookup.
 
 Emission: known words share a class's mass by their counts plus ADDED; the rest, the share of words seen once in the class
 (Good-Turing), is that of unknown words. Transitions are smoothed towards the classes' own shares.
 
-Counts of the HEAD most frequent words are sent to all tasks (a bounded table); other words of a text are looked up by a
-join on the word, once for each text.
+Counts and classes of the HEAD most frequent words are sent to all tasks (a bounded table); other words of a text are
+looked up by a join on the word, once for each text.
 
 Defined cases: a null or empty text is the end token alone; rows with a null doc_id are scored, and whether they
 train is for the caller's condition to say; repeated rows count each; a corpus without training rows gives every
@@ -31,12 +38,12 @@ from pyspark.sql import functions as F
 from . import words
 from .storage import cut
 
-#: The most frequent words that are units of their own, and units of word forms.
+#: The most frequent words that are clustered first, as units of their own, and units of word forms.
 UNITS = 1 << 14
 FORMS = 512
 CLASSES = 64
 ROUNDS = 10
-#: Words whose counts every task holds.
+#: Words whose counts and classes every task holds.
 HEAD = 1 << 18
 ADDED = 0.1
 #: Weight of the classes' own shares in transitions, in tokens.
@@ -44,6 +51,8 @@ BACKOFF = 2.0
 
 _U = np.uint64
 _END = 0  # the unit of text ends; words' units follow
+#: Words of a range of hashes, on average, whose classes one task finds at once.
+_RANGE_WORDS = 8_192
 
 
 def forms(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -85,19 +94,22 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, histogram: list[tuple[int, int]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the words at least as frequent as the rarest count that keeps them within `most`."""
-    least, total = None, 0
+def _most_frequent(counts: DataFrame, histogram: list[tuple[int, int]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, sorted, counts and forms of the `most` most frequent words; of the last count that fits in part, the smallest hashes."""
+    least, total, part = None, 0, None
     for n, size in histogram:
         if total + size > most:
+            part = n
             break
         least, total = n, total + size
-    if least is None:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    found = counts.filter(F.col("n") >= least).select("word", "n").toArrow()
-    keys, n = found["word"].to_numpy().view(_U), found["n"].to_numpy()
+    counts = counts.select("word", "n", "form")
+    chosen = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
+    if part is not None and total < most:
+        chosen = chosen.union(counts.filter(F.col("n") == part).orderBy("word").limit(most - total))
+    found = chosen.toArrow()
+    keys = found["word"].to_numpy().view(_U)
     order = np.argsort(keys)
-    return keys[order], n[order]
+    return keys[order], found["n"].to_numpy()[order], found["form"].to_numpy()[order]
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,42 +122,38 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _encoded(docs: DataFrame, head) -> DataFrame:
-    """Of each row: doc_id, trains, units (two bytes each, ends included), n_tokens, and of its words in the head the
-    number and the sum of log10(count + ADDED); of the others the hashes and units."""
+    """Of each row: doc_id, trains, units (four bytes each: words of the head, then forms), n_tokens, and of its words in the
+    head the number and the sum of log10(count + ADDED); of the others the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, unit_keys = head.value
+        keys, n = head.value
         logs = np.log10(n + ADDED)
-        at, own = _lookup(unit_keys, keys)
-        head_units = np.where(own, at + 1, -1).astype(np.int32)
         for batch in batches:
             out: list[tuple] = []
             for _, _, data, starts, lengths, hashes, before in words.chunks(batch["text"]):
                 at, known = _lookup(keys, hashes)
-                form = forms(data, starts, lengths).astype(np.int32) + 1 + len(unit_keys)
-                own_unit = head_units[at] if len(keys) else np.full(len(at), -1)
-                units = np.where(known & (own_unit >= 0), own_unit, form).astype("<u2")
+                form = forms(data, starts, lengths).astype(np.int64) + 1 + len(keys)
+                units = np.where(known, at + 1, form).astype("<u4")
                 weight = np.concatenate([[0.0], np.cumsum(np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(at)))])
                 total = np.concatenate([[0], np.cumsum(known)])
                 for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-                    rest = ~known[a:b]
-                    out.append((units[a:b].tobytes(), b - a + 1, int(total[b] - total[a]), weight[b] - weight[a], hashes[a:b][rest].tobytes(), units[a:b][rest].tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+                    out.append((units[a:b].tobytes(), b - a + 1, int(total[b] - total[a]), weight[b] - weight[a], hashes[a:b][~known[a:b]].tobytes()))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
             arrays = [batch["doc_id"], batch["trains"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=_ENCODED)
 
-    return docs.mapInArrow(run, "doc_id long, trains boolean, units binary, n_tokens long, n_head long, log_head double, rare binary, rare_units binary")
+    return docs.mapInArrow(run, "doc_id long, trains boolean, units binary, n_tokens long, n_head long, log_head double, rare binary")
 
 
-_ENCODED = ["doc_id", "trains", "units", "n_tokens", "n_head", "log_head", "rare", "rare_units"]
+_ENCODED = ["doc_id", "trains", "units", "n_tokens", "n_head", "log_head", "rare"]
 
 
 def _joined(column: pa.Array) -> np.ndarray:
     """Units of texts one after the other, with the end's unit before the first and after each."""
-    out = [np.zeros(1, np.uint16)]
+    out = [np.zeros(1, np.uint32)]
     for x in column:
-        out += [np.frombuffer(x.as_buffer(), "<u2"), out[0]]
+        out += [np.frombuffer(x.as_buffer(), "<u4"), out[0]]
     return np.concatenate(out)
 
 
@@ -155,18 +163,18 @@ _BLOCK = 256
 _TEXTS = 2048
 
 
-def _neighbours(units: DataFrame, classes: np.ndarray, n_classes: int) -> DataFrame:
+def _neighbours(units: DataFrame, coarse, classes: np.ndarray, n_classes: int) -> DataFrame:
     """block, side (0: before, 1: after), cells and counts: how often classes stand beside the block's units, by task."""
     shared = units.sparkSession.sparkContext.broadcast(classes)
     n_units = len(classes)
     blocks = -(-n_units // _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, size = shared.value.astype(np.int64), blocks * _BLOCK * n_classes
+        of, unit_of, size = shared.value.astype(np.int64), coarse.value, blocks * _BLOCK * n_classes
         sums = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
         for batch in batches:
             for at in range(0, batch.num_rows, _TEXTS):
-                u = _joined(batch["units"][at : at + _TEXTS]).astype(np.int64)
+                u = unit_of[_joined(batch["units"][at : at + _TEXTS])].astype(np.int64)
                 c = of[u]
                 sums[0] += np.bincount(u[1:] * n_classes + c[:-1], minlength=size)
                 sums[1] += np.bincount(u[:-1] * n_classes + c[1:], minlength=size)
@@ -229,6 +237,106 @@ def best_class(before: np.ndarray, after: np.ndarray, now: int, between: np.ndar
     return int(gain.argmax()) if gain.max() > gain[now] + 1e-9 else now
 
 
+def best_classes(before: np.ndarray, after: np.ndarray, now: np.ndarray, between: np.ndarray, rows: int = 256) -> np.ndarray:
+    """best_class of many words at once: before and after have a row for each.
+
+    Classes without words take none here, as all words that are weighed at once would go to the same.
+    """
+    out, empty = now.copy(), between.sum(axis=0) == 0
+
+    def xlogx(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1.0))
+
+    def joined(side: np.ndarray, other: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        k, c = np.nonzero(side)
+        n = side[k, c]
+        base = counts[c]
+        base[np.arange(len(k)), own[k]] -= n
+        inside = np.flatnonzero(c == own[k])
+        base[inside] -= other[k[inside]]
+        base = np.maximum(base, 0.0)
+        return np.add.reduceat(xlogx(base + n[:, None]) - xlogx(base), np.searchsorted(k, np.arange(len(side))))
+
+    for at in range(0, len(now), rows):
+        b, a, own = before[at : at + rows].astype(float), after[at : at + rows].astype(float), now[at : at + rows].astype(np.int64)
+        line, nb, na = np.arange(len(own)), b.sum(axis=1), a.sum(axis=1)
+        gain = joined(b, a, own, between) + joined(a, b, own, between.T)
+        left, right = between.sum(axis=1) - b, between.sum(axis=0) - a
+        left[line, own] -= na
+        right[line, own] -= nb
+        left, right = np.maximum(left, 0.0), np.maximum(right, 0.0)
+        gain -= xlogx(right + nb[:, None]) - xlogx(right) + xlogx(left + na[:, None]) - xlogx(left)
+        gain[:, _END] = -np.inf
+        gain[:, empty] = -np.inf
+        best = gain.argmax(axis=1)
+        out[at : at + rows] = np.where(gain[line, best] > gain[line, own] + 1e-9, best, own)
+    return out
+
+
+def _placed(training: DataFrame, keys: np.ndarray, own: np.ndarray, classes: np.ndarray, between: np.ndarray, n_types: int) -> DataFrame:
+    """word, class and in_head of every repeated word that isn't a unit.
+
+    training: units and rare; keys: the words of the head; own: which units of texts are units of the clustering;
+    classes: of the units of texts; between: counts of class pairs.
+    """
+    n_classes = len(between)
+    bits = max(4, int(np.ceil(np.log2(max(n_types, 1) / _RANGE_WORDS))))
+    shared = training.sparkSession.sparkContext.broadcast((keys, own, classes.astype(np.uint8), between))
+    names = ["range", "words", "in_head", "now", "sizes", "cells", "counts"]
+
+    def counted(kept: list[tuple]) -> pa.RecordBatch:
+        word, unit, pair = (np.concatenate(c) for c in zip(*kept, strict=True))
+        head, _, of, _ = shared.value
+        found, first, same = np.unique(word, return_index=True, return_inverse=True)
+        cells, n = np.unique(np.concatenate([same * (2 * n_classes) + pair[:, 0], same * (2 * n_classes) + n_classes + pair[:, 1]]), return_counts=True)
+        at = cells // (2 * n_classes)
+        sizes = np.bincount(at, minlength=len(found))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ranges = (found >> _U(64 - bits)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(found))
+        out = []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            unit_of = unit[first[x:y]]
+            cell = slice(ends[x], ends[y])
+            out.append((int(ranges[x]), found[x:y].tobytes(), (unit_of <= len(head)).tobytes(), of[unit_of].tobytes(), sizes[x:y].astype("<u2").tobytes(), (cells[cell] % (2 * n_classes)).astype("<u2").tobytes(), n[cell].astype("<u4").tobytes()))
+        columns = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, unit, of, _ = shared.value
+        kept, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                u = _joined(batch["units"][at : at + _TEXTS])
+                place = np.flatnonzero(~unit[u])
+                if not len(place):
+                    continue
+                mine = u[place]
+                word = np.empty(len(place), _U)
+                late = mine > len(head)
+                word[~late] = head[mine[~late].astype(np.int64) - 1]
+                word[late] = np.frombuffer(b"".join(x.as_py() for x in batch["rare"][at : at + _TEXTS]), _U)
+                kept.append((word, mine, np.stack([of[u[place - 1]], of[u[place + 1]]], axis=1)))
+                size += len(place)
+                if size > 2_000_000:  # bounds memory; the shuffle adds up the rest
+                    yield counted(kept)
+                    kept, size = [], 0
+        if kept:
+            yield counted(kept)
+
+    def place(group: pa.Table) -> pa.Table:
+        pairs = shared.value[3]
+        word, in_head, now, sizes, cells, n = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in zip(names[1:], (_U, bool, np.uint8, "<u2", "<u2", "<u4"), strict=True))
+        found, first, same = np.unique(word, return_index=True, return_inverse=True)
+        total = np.bincount(np.repeat(same, sizes) * (2 * n_classes) + cells, weights=n, minlength=len(found) * 2 * n_classes).reshape(-1, 2, n_classes)
+        again = np.flatnonzero(total[:, 0].sum(axis=1) > 1)
+        new = best_classes(total[again, 0], total[again, 1], now[first[again]].astype(np.int32), pairs)
+        return pa.table({"word": pa.array(found[again].view(np.int64)), "class": pa.array(new, pa.int32()), "in_head": pa.array(in_head[first[again]])})
+
+    parts = training.select("units", "rare").mapInArrow(run, "range int, words binary, in_head binary, now binary, sizes binary, cells binary, counts binary")
+    return parts.groupBy("range").applyInArrow(place, "word long, class int, in_head boolean")
+
+
 def _pairs(units: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """Counts of neighbouring classes, over all training texts."""
     shared = units.sparkSession.sparkContext.broadcast(classes)
@@ -242,19 +350,17 @@ def _pairs(units: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["pair", "n"])
 
-    out = np.zeros(n_classes * n_classes)
-    for r in units.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
-    return out.reshape(n_classes, n_classes)
+    return _matrix(units.mapInArrow(run, "pair int, n long"), n_classes)
 
 
-def cluster(units: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit by exchange clustering over a table of units (two bytes each, a binary per text)."""
+def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """The class of each unit by exchange clustering over a table of units (four bytes each, a binary per text), which coarse maps to units of the clustering."""
     classes = (1 + words.mix(np.arange(n_units, dtype=_U)) % _U(n_classes - 1)).astype(np.int32)
     classes[_END] = _END
+    unit_of = units.sparkSession.sparkContext.broadcast(coarse)
     for turn in range(rounds):
-        between = _pairs(units, classes, n_classes)
-        moved = _moved(_neighbours(units, classes, n_classes), classes, between, turn).toArrow()
+        between = _pairs(units, classes[coarse], n_classes)
+        moved = _moved(_neighbours(units, unit_of, classes, n_classes), classes, between, turn).toArrow()
         new = classes.copy()
         new[moved["unit"].to_numpy()] = moved["class"].to_numpy()
         if (new == classes).all() and turn:
@@ -263,6 +369,70 @@ def cluster(units: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: in
     return classes
 
 
+def _classed(encoded: DataFrame, lexicon: DataFrame, classes: np.ndarray) -> DataFrame:
+    """Of each row of encoded: classes (a byte a word), those of its unknown words, n_tokens, n_known and the sum of log10(count + ADDED)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(classes.astype(np.uint8))
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch["rare"]).to_numpy(zero_copy_only=False) // 8
+            hashes = np.frombuffer(b"".join(x.as_py() for x in batch["rare"]), np.int64)
+            rows = np.repeat(batch["row"].to_numpy(), sizes)
+            order = np.lexsort((hashes, rows))
+            hashes, rows = hashes[order], rows[order]
+            once = np.append(True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[once]), pa.array(hashes[once])], names=["row", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        first_form = len(of) - FORMS
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch["found"]), 0).to_numpy(zero_copy_only=False))
+            found = batch["found"].flatten()
+            word, n, own = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            out, a = [], 0
+            for units, rare, b in zip(batch["units"], batch["rare"], ends.tolist(), strict=True):
+                u = np.frombuffer(units.as_buffer(), "<u4")
+                c = of[u]
+                late = np.flatnonzero(u >= first_form)
+                order = np.argsort(word[a:b])
+                at, known = _lookup(word[a:b][order], np.frombuffer(rare.as_buffer(), np.int64))
+                at = order[at[known]]
+                c[late[known]] = own[a:b][at]
+                out.append((c.tobytes(), c[late[~known]].tobytes(), int(known.sum()), float(np.log10(n[a:b][at] + ADDED).sum() + (~known).sum() * np.log10(ADDED))))
+                a = b
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.float64()), strict=True)]
+            arrays[2:] = [pc.add(batch["n_head"], arrays[2]), pc.add(batch["log_head"], arrays[3])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["trains"], batch["n_tokens"], *arrays], names=["doc_id", "trains", "n_tokens", "classes", "unknown", "n_known", "log_n"])
+
+    rare = encoded.filter(F.length("rare") > 0).select("row", "rare").mapInArrow(rare_words, "row long, word long")
+    rare = rare.join(lexicon, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "class")).alias("found"))
+    return encoded.join(rare, "row", "left").mapInArrow(run, "doc_id long, trains boolean, n_tokens long, classes binary, unknown binary, n_known long, log_n double")
+
+
+def _class_pairs(classed: DataFrame, n_classes: int) -> np.ndarray:
+    """Counts of neighbouring classes in texts of classes, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, end = np.zeros(n_classes * n_classes, np.int64), bytes([_END])
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                c = np.frombuffer(end + b"".join(x.as_py() + end for x in batch["classes"][at : at + _TEXTS]), np.uint8).astype(np.int64)
+                total += np.bincount(c[:-1] * n_classes + c[1:], minlength=n_classes * n_classes)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["pair", "n"])
+
+    return _matrix(classed.select("classes").mapInArrow(run, "pair int, n long"), n_classes)
+
+
+def _matrix(pairs: DataFrame, n_classes: int) -> np.ndarray:
+    out = np.zeros(n_classes * n_classes)
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(n_classes, n_classes)
+
+
 def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
     """Of every row of docs (doc_id, text): trains, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -276,23 +446,31 @@ def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
     n_words, n_types = counts.agg(F.sum("n"), F.count("*")).first()
     histogram = [(r["n"], r["count"]) for r in counts.groupBy("n").count().filter("n > 1").orderBy(F.desc("n")).collect()]
     total, types = (n_words or 0) + n_texts, (n_types or 0) + (n_texts > 0)
-    keys, n = _most_frequent(counts, histogram, HEAD)
-    unit_keys, _ = _most_frequent(counts, histogram, UNITS)
-    head = spark.sparkContext.broadcast((keys, n, unit_keys))
-    encoded = cut(_encoded(docs, head).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    training = encoded.filter("trains").select("units")
-    n_units = 1 + len(unit_keys) + FORMS
-    classes = cluster(training, n_units)
-
-    # The model: transitions, and for each class the logarithms that turn a count into an emission.
-    between = _pairs(training, classes, CLASSES)
+    keys, n, head_forms = _most_frequent(counts, histogram, HEAD)
+    unit_keys, _, _ = _most_frequent(counts, histogram, UNITS)
+    encoded = cut(_encoded(docs, spark.sparkContext.broadcast((keys, n))).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    training = encoded.filter("trains")
+    # Units of texts are words of the head and forms; those of the clustering are the most frequent words and forms.
+    at, own = _lookup(unit_keys, keys)
+    coarse = np.concatenate([[_END], np.where(own, at + 1, 1 + len(unit_keys) + head_forms), 1 + len(unit_keys) + np.arange(FORMS)]).astype(np.int32)
+    of_unit = cluster(training.select("units"), coarse, 1 + len(unit_keys) + FORMS)
+    classes = of_unit[coarse]
+    placed = _placed(training, keys, np.concatenate([[True], own, np.zeros(FORMS, bool)]), classes, _pairs(training.select("units"), classes, CLASSES), n_types or 0)
+    placed = cut(placed, "placed")
+    found = placed.filter("in_head").select("word", "class").toArrow()
+    classes[1 + np.searchsorted(keys, found["word"].to_numpy().view(_U))] = found["class"].to_numpy()
+
+    # The class of every word, then the model: transitions, and for each class the logarithms that turn a count into an emission.
+    units_of = pa.table({"word": pa.array(unit_keys.view(np.int64)), "class": pa.array(of_unit[1 : 1 + len(unit_keys)].astype(np.int32))})
+    own_class = placed.select("word", "class").union(spark.createDataFrame(units_of))
+    of_form = spark.createDataFrame([(f, int(of_unit[1 + len(unit_keys) + f])) for f in range(FORMS)], "form int, form_class int")
+    lexicon = counts.join(own_class, "word", "left").join(F.broadcast(of_form), "form").select("word", "n", F.coalesce("class", "form_class").alias("class"))
+    lexicon = cut(lexicon, "lexicon")
+    classed = cut(_classed(encoded, lexicon, classes), "classed")
+    between = _class_pairs(classed.filter("trains"), CLASSES)
     tokens = between.sum(axis=0)
-    in_class = spark.createDataFrame([(int(u), int(c)) for u, c in enumerate(classes)], "unit int, class int")
-    at_unit = F.col("form") + 1 + len(unit_keys)
-    units_of = spark.createDataFrame([(int(k), int(i) + 1) for i, k in enumerate(unit_keys.view(np.int64))], "word long, own int")
-    worded = counts.join(F.broadcast(units_of), "word", "left").select("word", "n", F.coalesce("own", at_unit).alias("unit")).join(F.broadcast(in_class), "unit")
     once, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in worded.groupBy("class").agg(F.count_if(F.col("n") == 1).alias("once"), F.count("*").alias("kinds")).collect():
+    for r in lexicon.groupBy("class").agg(F.count_if(F.col("n") == 1).alias("once"), F.count("*").alias("kinds")).collect():
         once[r["class"]], kinds[r["class"]] = r["once"], r["kinds"]
     share = (tokens + added) / (tokens + added).sum()
     log_transition = np.log10((between + BACKOFF * share) / (between.sum(axis=1, keepdims=True) + BACKOFF))
@@ -300,48 +478,27 @@ def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
     log_known = np.log10(1 - unknown) - np.log10(np.maximum(tokens + added * kinds, added))
     log_unknown = np.log10(unknown)
     log_known[_END] = log_unknown[_END] = 0.0  # the end is all of its class
-    model = spark.sparkContext.broadcast((classes, log_transition, log_known, log_unknown))
+    model = spark.sparkContext.broadcast((log_transition, log_known, log_unknown))
+    log_end = float(np.log10(n_texts + added))
+    log_all = float(np.log10(total + added * (types + 1)))
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, step, known, _ = model.value
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, known, unknown = model.value
         flat = step.reshape(-1)
-        of = of.astype(np.int64)
         for batch in batches:
             parts = []
-            for units, rare in zip(batch["units"], batch["rare_units"], strict=True):
-                c = np.concatenate([[_END], of[np.frombuffer(units.as_buffer(), "<u2")], [_END]])
-                late = of[np.frombuffer(rare.as_buffer(), "<u2")]
-                parts.append(float(flat[c[:-1] * len(step) + c[1:]].sum() + known[c[1:]].sum() - known[late].sum()))
-            yield pa.RecordBatch.from_arrays([batch[c] for c in ("row", "doc_id", "trains", "n_tokens", "n_head", "log_head")] + [pa.array(parts, pa.float64())], names=["row", "doc_id", "trains", "n_tokens", "n_head", "log_head", "part"])
+            for own, late in zip(batch["classes"], batch["unknown"], strict=True):
+                c = np.concatenate([[_END], np.frombuffer(own.as_buffer(), np.uint8), [_END]]).astype(np.int64)
+                late = np.frombuffer(late.as_buffer(), np.uint8)
+                parts.append(float(flat[c[:-1] * len(step) + c[1:]].sum() + known[c[1:]].sum() + (unknown - known - np.log10(added))[late].sum()))
+            yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "trains", "n_tokens", "n_known", "log_n")] + [pa.array(parts, pa.float64())], names=["doc_id", "trains", "n_tokens", "n_known", "log_n", "part"])
 
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.value[0]
-        for batch in batches:
-            sizes = pc.binary_length(batch["rare"]).to_numpy(zero_copy_only=False) // 8
-            hashes = np.frombuffer(b"".join(x.as_py() for x in batch["rare"]), np.int64)
-            late = of[np.frombuffer(b"".join(x.as_py() for x in batch["rare_units"]), "<u2")]
-            rows = np.repeat(batch["row"].to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(hashes), pa.array(late.astype(np.int32))], names=["row", "word", "class"])
-
-    rare = encoded.filter(F.length("rare") > 0).select("row", "rare", "rare_units").mapInArrow(rare_words, "row long, word long, class int")
-    rare = rare.groupBy("row", "word", "class").agg(F.count("*").alias("times")).join(counts.select("word", "n"), "word", "left")
-    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("class") + 1)
-    log_n = F.log10(F.coalesce("n", F.lit(0)) + F.lit(added))
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * log_n).alias("rare_base"),
-        F.sum(F.col("times") * F.when(F.col("n").isNotNull(), log_n + at(log_known)).otherwise(at(log_unknown))).alias("rare_score"),
-    )
-    out = encoded.select("row", *_ENCODED).mapInArrow(local, "row long, doc_id long, trains boolean, n_tokens long, n_head long, log_head double, part double").join(rare, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    log_end = float(np.log10(n_texts + added))
-    log_all = float(np.log10(total + added * (types + 1)))
-    return out.select(
+    return classed.mapInArrow(scored, "doc_id long, trains boolean, n_tokens long, n_known long, log_n double, part double").select(
         "doc_id",
         "trains",
         "n_tokens",
-        (F.col("n_head") + zero("rare_known") + F.lit(int(n_texts > 0))).cast("long").alias("n_known"),
+        (F.col("n_known") + F.lit(int(n_texts > 0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("log_head") + zero("rare_base") + F.lit(log_end) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        (F.col("log_head") + F.col("part") + zero("rare_score")).alias("score"),
+        (F.col("log_n") + F.lit(log_end) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
+        (F.col("log_n") + F.col("part")).alias("score"),
     )

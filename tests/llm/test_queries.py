@@ -93,6 +93,35 @@ def test_language_model_of_nothing(spark):
     assert [(g["n_tokens"], g["n_known"], g["train_tokens"]) for g in got] == [(3, 0, 0), (1, 0, 0)] and all(math.isfinite(g["score"]) for g in got)
 
 
+def test_words_beyond_the_units_have_classes_of_their_own(spark, monkeypatch):
+    """Two kinds of words with the same endings alternate; only classes of single words can tell them apart."""
+    monkeypatch.setattr(brown, "UNITS", 20)
+    monkeypatch.setattr(brown, "HEAD", 60)
+    rnd = random.Random(4)
+    kinds = [[f"{c}{i}x" for i in range(60)] for c in "ab"]
+    texts = [" ".join(rnd.choice(kinds[k % 2][: 10 if rnd.random() < 0.8 else None]) for k in range(40)) for _ in range(300)]
+    a, b = (k[20:] for k in kinds)
+    docs = documents(spark, texts).union(documents(spark, [f"{x} {y}" for x, y in zip(a + b, b + a, strict=True)], first=10_000))
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs, F.col("doc_id") < 5000).collect()}
+    assert sum(got[10_000 + i] > got[10_040 + i] + 1 for i in range(40)) >= 36
+
+
+def test_best_classes_equal_one_by_one():
+    rng = np.random.default_rng(5)
+    between = rng.integers(50, 500, (6, 6)).astype(float)
+    before, after = rng.integers(0, 4, (40, 6)), rng.integers(0, 4, (40, 6))
+    before[:, 1] += 1
+    after[:, 2] += 1
+    now = rng.integers(1, 6, 40).astype(np.int32)
+    assert brown.best_classes(before, after, now, between, rows=16).tolist() == [brown.best_class(before[k], after[k], int(now[k]), between) for k in range(40)]
+
+
+def test_most_frequent_words_fill_the_table(spark):
+    counts = spark.createDataFrame([(i, i % 3, 5 if i == 7 else 2) for i in range(-10, 10)], "word long, form int, n long")
+    keys, n, form = brown._most_frequent(counts, [(5, 1), (2, 19)], 8)
+    assert len(keys) == len(form) == 8 and sorted(n.tolist()) == [2] * 7 + [5]
+
+
 # --- op2
 
 
