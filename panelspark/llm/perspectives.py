@@ -6,7 +6,9 @@ holds the character spans that are to be learnt: the assistant's texts with thei
 
 A dialogue is rendered in parts of PART_TURNS turn numbers, so that no task gathers a whole dialogue, however long; its
 parts in order are the rendering. Spans count from the start of their part. Where turn numbers repeat so often that a part
-would have more than PART_MESSAGES messages, these are dealt by a hash to several slices, which follow each other.
+would have more than PART_MESSAGES messages, it is cut into slices of PART_MESSAGES messages in their order (the last has
+the rest), which follow each other. Places in such a part come from counts per distinct message, sorted by range and added
+up over RUN_MESSAGES distinct messages at a time, so that no task holds a whole part or a whole group of equal messages.
 
 Defined cases: messages go by turn, then speaker, then text, null turns last, in a part of their own (number -1); a null speaker
 is "unknown"; a null text is empty; a null conversation id is a conversation; a dialogue of narrators only has no
@@ -18,10 +20,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 PART_TURNS = 64
 PART_MESSAGES = 1_024
+#: Distinct messages of crowded parts, on average, whose places one task counts.
+RUN_MESSAGES = 16_384
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -30,7 +37,26 @@ def _heading(role: Column, me: Column, narrators: Sequence[str]) -> Column:
     return F.concat(F.lit(OPEN), named, F.lit("\n"))
 
 
-def rotate(messages: DataFrame, narrators: Sequence[str] = ("system",), part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES) -> DataFrame:
+def _sliced(kinds: DataFrame, part_messages: int, run_messages: int) -> DataFrame:
+    """conv_id, part, slice, turn, role, text and times: kinds (distinct messages with their times) cut into slices in their order."""
+    key, order = ["conv_id", "part"], [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    runs = max(1, -(-kinds.count() // run_messages))
+    kinds = kinds.repartitionByRange(runs, "conv_id", "part", *order).withColumn("run", F.spark_partition_id())
+    kinds = cut(kinds, "runs")
+    # Messages of a part before each run, from a row for each run and part.
+    sums = kinds.groupBy("run", *key).agg(F.sum("times").alias("n"))
+    before = sums.select(F.col("run").alias("r"), F.col("conv_id").alias("c"), F.col("part").alias("p"), (F.sum("n").over(W.partitionBy(*key).orderBy("run")) - F.col("n")).alias("before"))
+    within = F.sum("times").over(W.partitionBy("run", *key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("times")
+    kinds = kinds.withColumn("within", within)
+    placed = kinds.join(before, (kinds["run"] == before["r"]) & kinds["conv_id"].eqNullSafe(before["c"]) & (kinds["part"] == before["p"])).withColumn("first", F.col("before") + F.col("within"))
+    size = F.lit(part_messages).cast("long")
+    last = F.col("first") + F.col("times") - 1
+    placed = placed.withColumn("slice", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(last / size))))
+    own = F.least(last, (F.col("slice") + 1) * size - 1) - F.greatest(F.col("first"), F.col("slice") * size) + 1
+    return placed.select(*key, "slice", "turn", "role", "text", own.cast("long").alias("times"))
+
+
+def rotate(messages: DataFrame, narrators: Sequence[str] = ("system",), part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES, run_messages: int = RUN_MESSAGES) -> DataFrame:
     """conv_id, perspective, part, slice, n_messages, text and mask (array of first, last) of each rendered part."""
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -38,11 +64,13 @@ def rotate(messages: DataFrame, narrators: Sequence[str] = ("system",), part_tur
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
-    crowded = rows.groupBy("conv_id", "part").count().filter(F.col("count") > part_messages)
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("count") / part_messages).alias("slices"))
-    rows = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["c"]) & (rows["part"] == crowded["p"]), "left")
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("turn", "role", "text"), F.coalesce("slices", F.lit(1).cast("long"))))
-    parts = rows.groupBy("conv_id", "part", "slice").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    crowded = rows.groupBy("conv_id", "part").count().filter(F.col("count") > part_messages).select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
+    here = rows["conv_id"].eqNullSafe(crowded["c"]) & (rows["part"] == crowded["p"])
+    fitting = rows.join(crowded, here, "left_anti").select("conv_id", "part", F.lit(0).cast("long").alias("slice"), "turn", "role", "text", F.lit(1).cast("long").alias("times"))
+    kinds = cut(rows.join(crowded, here, "left_semi").groupBy("conv_id", "part", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times")), "kinds")
+    slices = _sliced(kinds, part_messages, run_messages)
+    parts = fitting.union(slices).groupBy("conv_id", "part", "slice").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "times"))).alias("messages"))
+    parts = parts.withColumn("messages", F.flatten(F.transform("messages", lambda m: F.array_repeat(m, m["times"].cast("int")))))
     speakers = rows.filter(~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("s"), F.col("role").alias("perspective")).distinct()
     both = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["s"])).drop("s")
     me = F.col("perspective")

@@ -378,6 +378,26 @@ def test_crowded_turns_are_sliced(spark):
     assert sum(r["n_messages"] for r in got) == 600 and max(r["n_messages"] for r in got) < 120
 
 
+def test_slices_in_order_are_the_dialogue(spark):
+    rnd = random.Random(7)
+    rows = [(c, rnd.choice([0, 1, 2, 70, None]), rnd.choice(["a", "b", "system", None]), rnd.choice(["same", f"t{i}"])) for c in (1, None) for i in range(400)] + [(2, 0, "a", "same")] * 130 + [(3, 0, "a", "one")]
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in perspectives.rotate(df, part_messages=50, run_messages=60).collect():
+        got[r["conv_id"], r["perspective"], r["part"]].append((r["slice"], r["n_messages"], r["text"], [r["text"][s["first"] : s["last"]] for s in r["mask"]]))
+    want = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        want[c, -1 if turn is None else turn // 64].append((turn or 0, role or "unknown", text))
+    assert {k[::2] for k in got} == set(want)
+    for (c, me, part), slices in got.items():
+        own = sorted(want[c, part])
+        slices.sort()
+        assert [(k, n) for k, n, _, _ in slices] == [(k, min(50, len(own) - 50 * k)) for k in range(-(-len(own) // 50))]
+        head = lambda role: "assistant" if role == me else role if role == "system" else f"user name={role}"  # noqa: E731, B023
+        assert "".join(s[2] for s in slices) == "".join(f"<|im_start|>{head(r)}\n{t}<|im_end|>\n" for _, r, t in own)
+        assert [x for s in slices for x in s[3]] == [f"{t}<|im_end|>" for _, r, t in own if r == me]
+
+
 # --- op8
 
 
