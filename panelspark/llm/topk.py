@@ -1,14 +1,15 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards of about SHARD_ROWS rows by a hash of their id, queries to blocks of QUERY_ROWS. Each query
+Vectors are dealt to shards of about SHARD_ROWS rows by a hash of id and vector, queries to blocks of QUERY_ROWS. Each query
 first searches its own vector's shard, where a shard's few queries need no blocks. Its kth score there goes with it to all
 other shards, where it bounds the search from the start. In a shard, nodes are taken in the order of their upper bound q . centre + |q| * radius, until the next
 bound lies below the current kth score. A task holds one shard's vectors and one block's queries.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
 vectors are compared with those of as many components; rows with the query's own id are no candidates for it; of rows that
-share a query's id, the smallest vector asks; ties go to the smaller id; equal vectors of a shard are kept once each
-with their k + 1 smallest ids, which is all that a top k can hold.
+share a query's id, the smallest vector asks; ties go to the smaller id; rows that repeat are hits as often as they occur,
+and go to the shards once, with their number. Of equal vectors of a shard, the k + 1 smallest distinct ids are kept, each
+up to k times: as at most one of them is the query's own, this is all that a top k can hold.
 """
 
 from __future__ import annotations
@@ -109,20 +110,21 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Searches, within each cell (dim, shard, block), the queries (query_id, v, floor) among the vectors."""
+    """Searches, within each cell (dim, shard, block), the queries (query_id, v, floor) among the vectors (vec_id, v, times)."""
 
     def run(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if own.num_rows and asked.num_rows:
             x, q = _matrix(own["v"], own.num_rows), _matrix(asked["v"], asked.num_rows)
             ids = own["vec_id"].to_numpy()
-            # Of equal vectors, those with the k + 1 smallest ids.
+            # Of equal vectors, those with the k + 1 smallest ids, each up to k times; a pair of vector and id is there once.
             _, same = np.unique(x, axis=0, return_inverse=True)
             same = same.reshape(-1)
             order = np.lexsort((ids, same))
             start = np.flatnonzero(np.diff(same[order], prepend=-1))
             rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
             kept = order[rank <= k]
+            kept = np.repeat(kept, np.minimum(own["times"].to_numpy()[kept], k))
             kind = _exact(x, q)
             tree = BallTree(x[kept].astype(kind), ids[kept])
             found = tree.search(q.astype(kind), asked["query_id"].to_numpy(), np.array([-np.inf if f is None else f for f in asked["floor"].to_pylist()]), k)
@@ -145,23 +147,24 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
 
     vectors has vec_id and v (integers), as quantised gives it; is_query is a condition on vec_id.
     """
-    vectors = cut(vectors.select("vec_id", "v", F.size("v").alias("dim")).filter("dim > 0"), "vectors")
+    vectors = vectors.filter(F.size("v") > 0).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
+    vectors = cut(vectors.withColumn("dim", F.size("v")), "vectors")
     asked = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = vectors.count(), vectors.filter(is_query).count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
     asked = cut(asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"), shard.alias("home"), block.alias("block")), "queries")
     floor = F.lit(None).cast("long").alias("floor")
     one = F.lit(0).cast("long").alias("block")
-    at_home = vectors.select("vec_id", "v", "dim", shard.alias("shard"), one)
+    at_home = vectors.select("vec_id", "v", "times", "dim", shard.alias("shard"), one)
     home = _best(_search(at_home, asked.select("query_id", "v", "dim", F.col("home").alias("shard"), one, floor), k), k)
     if shards == 1:
         return home.select("query_id", "rank", "vec_id", "score")
     home = cut(home.select("query_id", "vec_id", "score", "rank"), "home")
     kth = home.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     away = asked.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).filter("shard <> home")
-    cells = vectors.select("vec_id", "v", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+    cells = vectors.select("vec_id", "v", "times", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
     rest = _search(cells, away.select("query_id", "v", "dim", "shard", "block", "floor"), k)
     return _best(home.select("query_id", "vec_id", "score").union(rest), k).select("query_id", "rank", "vec_id", "score")
 

@@ -456,6 +456,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(topk.quantised(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """A query's own row occurs often beside equal vectors of other ids, and an id has many vectors."""
+    rows = [(0, [9, 9])] * 7 + [(i, [9, 9]) for i in range(1, 9)] + [(2, [9, 9])] * 2 + [(50, [i, 1]) for i in range(40)] + [(50, [3, 4]), (51, [3, 4]), (51, [3, 4])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    want = {}
+    for q in (0, 50):
+        a = min(v for i, v in rows if i == q)
+        scored = sorted((-sum(x * y for x, y in zip(a, v, strict=True)), i) for i, v in rows if i != q)[:5]
+        want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    for shard_rows in (1_000, 10):
+        got = collections.defaultdict(list)
+        for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        assert dict(got) == want
+
+
 def test_fit_logistic_recovers_weights():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 1))
