@@ -168,7 +168,7 @@ def places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = F.col("c_custkey")
     where = table(spark, d, "customer").select(key.alias("place"), (key % 120 - 60).cast("double").alias("lat"), ((key * 7) % 360 - 180).cast("double").alias("lon"))
     s = F.col("s_suppkey")
-    facilities = table(spark, d, "supplier").filter(s <= 400).select(s.alias("facility"), (s * 15).alias("f_place"), ((s * 13) % 140 - 70).cast("double").alias("f_lat"), ((s * 31) % 360 - 180).cast("double").alias("f_lon"))
+    facilities = table(spark, d, "supplier").select(s.alias("facility"), (s * 15).alias("f_place"), ((s * 13) % 140 - 70).cast("double").alias("f_lat"), ((s * 31) % 360 - 180).cast("double").alias("f_lon"))
     return where, facilities
 
 

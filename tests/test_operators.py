@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -199,3 +201,23 @@ def test_imputation_fills_only_gaps(spark):
     out = {r["k"]: r for r in M.impute_chained(df, ["b"], ["a"], ["k"], draws=2, sweeps=2).collect()}
     assert all(out[k]["b"] == b for k, _, b in data if b is not None) and all(out[k]["is_imputed"] == int(b is None) for k, _, b in data)
     assert all(abs(out[k]["b"] - 2 * a) < 1.0 for k, a, b in data if b is None)
+
+
+def test_facilities_beyond_400_are_met(spark, tmp_path):
+    from panelspark.plans import catalogue
+
+    spark.range(1, 301).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 701).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    sites = [(s * 15, s * 13 % 140 - 70, s * 31 % 360 - 180) for s in range(1, 701)]
+
+    def km(place, f_place, lat, lon, f_lat, f_lon):
+        h = math.sin((math.radians(f_lat) - math.radians(lat)) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(f_lat)) * math.sin(math.radians(f_lon - lon) / 2) ** 2
+        return 0.0 if place == f_place else 2 * 6371 * math.asin(math.sqrt(min(1, h)))
+
+    for name in ("nearest_facility_haversine", "nearest_facility_by_cells"):
+        for row in catalogue.QUERIES[name](spark, str(tmp_path)).collect():
+            p = row["place"]
+            all_km = [km(p, f, p % 120 - 60, p * 7 % 360 - 180, lat, lon) for f, lat, lon in sites]
+            assert row["min_km"] == pytest.approx(min(all_km), abs=1e-4)
+            for field in set(row.asDict()) & {"within_500", "within_1000"}:
+                assert row[field] == sum(k <= int(field[7:]) for k in all_km)
