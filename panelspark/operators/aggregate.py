@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import t975
 from .normalize import quantile_bins
 
+#: Periods that a pivot may have columns for.
+MOST_PERIODS = 1_000
+
 
 def event_rollup(events: DataFrame, keys: Sequence[str], event: str, deaths: Column, value: str, stay: str) -> DataFrame:
     """Events of each key: how many, deaths, summed value, and mean stay with a missing stay as 0."""
@@ -99,6 +102,14 @@ def with_t_interval(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"se": se, "ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
 
 
+def periods(df: DataFrame, column: str, most: int = MOST_PERIODS) -> list:
+    """All periods present, in order, as pivots need them; an error if they are more than `most`."""
+    found = [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} periods")
+    return found
+
+
 def medians_by(df: DataFrame, row: str, column: str, values: Sequence, variable: str) -> DataFrame:
     """A row for each group with its median in each of the given periods."""
     return df.groupBy(row).pivot(column, list(values)).agg(F.median(variable))

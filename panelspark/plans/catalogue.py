@@ -421,8 +421,10 @@ def missingness_long(spark, d):
     + " UNION ALL ".join(f" SELECT '{c}' AS variable, " + ", ".join(f"round_even(100.0 * CAST(count(*) FILTER (WHERE {c} IS NULL AND period = {y}) AS DOUBLE) / CAST(count(*) FILTER (WHERE period = {y}) AS DOUBLE), 2) AS y{y}" for y in (1993, 1994, 1995)) + f", {_PCT.format(c=c)} AS overall FROM g" for c in ("discount", "tax"))
 )
 def missingness_wide(spark, d):
-    wide = A.missingness_wide(with_gaps(spark, d), ["discount", "tax"], "period", [1993, 1994, 1995])
-    return wide.select("variable", *(F.col(str(y)).alias(f"y{y}") for y in (1993, 1994, 1995)), "overall")
+    rows = with_gaps(spark, d)
+    years = A.periods(rows, "period")
+    wide = A.missingness_wide(rows, ["discount", "tax"], "period", years)
+    return wide.select("variable", *(F.col(str(y)).alias(f"y{y}") for y in years), "overall")
 
 
 @query(_GAPS + " UNION ALL ".join(f" SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing, {_PCT.format(c=c)} AS pct_missing FROM g" for c in ("period", "discount", "tax", "l_quantity")))
@@ -531,8 +533,9 @@ def hourly_event_rollup(spark, d):
 @query("WITH g AS (SELECT r_name, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT r_name, " + ", ".join(f"round(quantile_cont(o_totalprice, 0.5) FILTER (WHERE y = {y}), 4) AS y{y}" for y in (1993, 1994, 1995)) + " FROM g GROUP BY 1")
 def region_year_median_pivot(spark, d):
     regions = regional(spark, d)
-    out = A.medians_by(regions, "r_name", "period", [1993, 1994, 1995], "o_totalprice")
-    return out.select("r_name", *(r(F.col(str(y)), 4).alias(f"y{y}") for y in (1993, 1994, 1995)))
+    years = A.periods(regions, "period")
+    out = A.medians_by(regions, "r_name", "period", years, "o_totalprice")
+    return out.select("r_name", *(r(F.col(str(y)), 4).alias(f"y{y}") for y in years))
 
 
 def regional(spark: SparkSession, d: str) -> DataFrame:

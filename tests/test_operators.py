@@ -221,3 +221,20 @@ def test_facilities_beyond_400_are_met(spark, tmp_path):
             assert row["min_km"] == pytest.approx(min(all_km), abs=1e-4)
             for field in set(row.asDict()) & {"within_500", "within_1000"}:
                 assert row[field] == sum(k <= int(field[7:]) for k in all_km)
+
+
+def test_pivots_have_every_period_present(spark):
+    from panelspark.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    years = [r[0] for r in catalogue.regional(spark, d).select("period").distinct().orderBy("period").collect()]
+    got = catalogue.QUERIES["region_year_median_pivot"](spark, d)
+    assert len(years) > 3 and got.columns == ["r_name", *(f"y{y}" for y in years)]
+    medians = {(r[0], r[1]): r[2] for r in catalogue.regional(spark, d).groupBy("r_name", "period").agg(F.median("o_totalprice")).collect()}
+    assert all(r[f"y{y}"] == pytest.approx(medians[r["r_name"], y], abs=1e-3) for r in got.collect() for y in years if (r["r_name"], y) in medians)
+    gaps = catalogue.with_gaps(spark, d)
+    years = [r[0] for r in gaps.filter("period IS NOT NULL").select("period").distinct().orderBy("period").collect()]
+    wide = catalogue.QUERIES["missingness_wide"](spark, d)
+    assert wide.columns == ["variable", *(f"y{y}" for y in years), "overall"]
+    long = {(r["variable"], r["period"]): r["pct_missing"] for r in catalogue.QUERIES["missingness_long"](spark, d).collect()}
+    assert all(r[f"y{y}"] == long[r["variable"], y] for r in wide.collect() for y in years)
