@@ -458,7 +458,7 @@ def test_top_k_equals_brute_force(spark):
 
 def test_top_k_of_repeated_rows(spark):
     """A query's own row occurs often beside equal vectors of other ids, and an id has many vectors."""
-    rows = [(0, [9, 9])] * 7 + [(i, [9, 9]) for i in range(1, 9)] + [(2, [9, 9])] * 2 + [(50, [i, 1]) for i in range(40)] + [(50, [3, 4]), (51, [3, 4]), (51, [3, 4])]
+    rows = [(0, [9, 9])] * 7 + [(i, [9, 9]) for i in range(1, 9)] + [(2, [9, 9])] * 2 + [(50, [i % 8 + 1, i // 8 + 1]) for i in range(40)] + [(50, [3, 4]), (51, [3, 4]), (51, [3, 4])]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     want = {}
     for q in (0, 50):
