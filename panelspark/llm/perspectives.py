@@ -4,15 +4,15 @@ DataFrame functions only. In a participant's rendering, their own messages are t
 users with their names, and narrators (such as "system") stay what they are and get no rendering of their own. The mask
 holds the character spans that are to be learnt: the assistant's texts with their end marks.
 
-A dialogue is rendered in parts of PART_TURNS turn numbers, so that no task gathers a whole dialogue, however long; its
-parts in order are the rendering. Spans count from the start of their part. Where turn numbers repeat so often that a part
-would have more than PART_MESSAGES messages, it is cut into slices of PART_MESSAGES messages in their order (the last has
-the rest), which follow each other. Places in such a part come from counts per distinct message, sorted by range and added
-up over RUN_MESSAGES distinct messages at a time, so that no task holds a whole part or a whole group of equal messages.
-
-Defined cases: messages go by turn, then speaker, then text, null turns last, in a part of their own (number -1); a null speaker
-is "unknown"; a null text is empty; a null conversation id is a conversation; a dialogue of narrators only has no
-rendering; repeated messages are rendered as often as they occur; other columns are not looked at.
+A rendering comes in parts of PART_MESSAGES consecutive messages of the dialogue (the last has the rest), so that no task
+gathers a whole dialogue, however long. Parts in order, joined, are the whole rendering: first_char says where a part begins
+in it, and mask spans count from its beginning. Places in dialogues of more than one part come from counts per distinct message, sorted by
+range and added up over RUN_MESSAGES distinct messages at a time, so that no task holds a whole dialogue or a whole group of
+equal messages; where a part begins comes from counts per part and speaker, not from texts.
+
+Defined cases: messages go by turn (nulls last), then speaker, then text; a null speaker is "unknown"; a null text is empty;
+a null conversation id is a conversation; a dialogue of narrators only has no rendering; repeated messages are rendered as
+often as they occur; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
-PART_TURNS = 64
 PART_MESSAGES = 1_024
-#: Distinct messages of crowded parts, on average, whose places one task counts.
+#: Distinct messages of long dialogues, on average, whose places one task counts.
 RUN_MESSAGES = 16_384
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -37,46 +36,81 @@ def _heading(role: Column, me: Column, narrators: Sequence[str]) -> Column:
     return F.concat(F.lit(OPEN), named, F.lit("\n"))
 
 
-def _sliced(kinds: DataFrame, part_messages: int, run_messages: int) -> DataFrame:
-    """conv_id, part, slice, turn, role, text and times: kinds (distinct messages with their times) cut into slices in their order."""
-    key, order = ["conv_id", "part"], [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    """Equal keys, nulls included; b has them with an underscore before."""
+    out = F.lit(True)
+    for k in keys:
+        out &= a[k].eqNullSafe(b[f"_{k}"])
+    return out
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_{k}" for k in keys})
+
+
+def _placed(kinds: DataFrame, part_messages: int, run_messages: int) -> DataFrame:
+    """conv_id, part, turn, role, text and times: kinds (distinct messages with their times) cut into parts in their order."""
+    order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     runs = max(1, -(-kinds.count() // run_messages))
-    kinds = kinds.repartitionByRange(runs, "conv_id", "part", *order).withColumn("run", F.spark_partition_id())
-    kinds = cut(kinds, "runs")
-    # Messages of a part before each run, from a row for each run and part.
-    sums = kinds.groupBy("run", *key).agg(F.sum("times").alias("n"))
-    before = sums.select(F.col("run").alias("r"), F.col("conv_id").alias("c"), F.col("part").alias("p"), (F.sum("n").over(W.partitionBy(*key).orderBy("run")) - F.col("n")).alias("before"))
-    within = F.sum("times").over(W.partitionBy("run", *key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("times")
+    kinds = cut(kinds.repartitionByRange(runs, "conv_id", *order).withColumn("run", F.spark_partition_id()), "runs")
+    # Messages of a dialogue before each run, from a row for each run and dialogue.
+    sums = kinds.groupBy("run", "conv_id").agg(F.sum("times").alias("n"))
+    before = _keyed(sums.select("run", "conv_id", (F.sum("n").over(W.partitionBy("conv_id").orderBy("run")) - F.col("n")).alias("before")), ["run", "conv_id"])
+    within = F.sum("times").over(W.partitionBy("run", "conv_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("times")
     kinds = kinds.withColumn("within", within)
-    placed = kinds.join(before, (kinds["run"] == before["r"]) & kinds["conv_id"].eqNullSafe(before["c"]) & (kinds["part"] == before["p"])).withColumn("first", F.col("before") + F.col("within"))
+    placed = kinds.join(before, _same(kinds, before, ["run", "conv_id"])).withColumn("first", F.col("before") + F.col("within"))
     size = F.lit(part_messages).cast("long")
     last = F.col("first") + F.col("times") - 1
-    placed = placed.withColumn("slice", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(last / size))))
-    own = F.least(last, (F.col("slice") + 1) * size - 1) - F.greatest(F.col("first"), F.col("slice") * size) + 1
-    return placed.select(*key, "slice", "turn", "role", "text", own.cast("long").alias("times"))
-
-
-def rotate(messages: DataFrame, narrators: Sequence[str] = ("system",), part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES, run_messages: int = RUN_MESSAGES) -> DataFrame:
-    """conv_id, perspective, part, slice, n_messages, text and mask (array of first, last) of each rendered part."""
+    placed = placed.withColumn("part", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(last / size))))
+    own = F.least(last, (F.col("part") + 1) * size - 1) - F.greatest(F.col("first"), F.col("part") * size) + 1
+    return placed.select("conv_id", "part", "turn", "role", "text", own.cast("long").alias("times"))
+
+
+def _views(placed: DataFrame, speakers: DataFrame, narrators: Sequence[str]) -> DataFrame:
+    """conv_id, part, perspective and first_char of every rendered part of the long dialogues in placed.
+
+    A message is as long in all perspectives but its speaker's, so that lengths come from counts per part and speaker.
+    """
+    role, me = F.col("role"), F.col("perspective")
+    foreign = F.length(_heading(role, F.lit(None).cast("string"), narrators)) + F.length(F.concat("text", F.lit(CLOSE))) + 1
+    by_speaker = cut(placed.groupBy("conv_id", "part", "role").agg(F.sum("times").alias("n"), F.sum(foreign * F.col("times")).alias("chars")), "lengths")
+    parts = by_speaker.groupBy("conv_id", "part").agg(F.sum("chars").alias("chars"))
+    speakers = _keyed(speakers, ["conv_id"])
+    both = parts.join(speakers, _same(parts, speakers, ["conv_id"])).select("conv_id", "part", "chars", "perspective")
+    own = _keyed(by_speaker.select("conv_id", "part", F.col("role").alias("perspective"), F.col("n").alias("n_own")), ["conv_id", "part", "perspective"])
+    both = both.join(own, _same(both, own, ["conv_id", "part", "perspective"]), "left")
+    shorter = F.length(_heading(me, F.lit(None).cast("string"), narrators)) - F.length(_heading(me, me, narrators))
+    chars = F.col("chars") - F.coalesce("n_own", F.lit(0)) * shorter
+    before = F.sum(chars).over(W.partitionBy("conv_id", "perspective").orderBy("part")) - chars
+    return both.select("conv_id", "part", "perspective", before.cast("long").alias("first_char"))
+
+
+def rotate(messages: DataFrame, narrators: Sequence[str] = ("system",), part_messages: int = PART_MESSAGES, run_messages: int = RUN_MESSAGES) -> DataFrame:
+    """conv_id, perspective, part, first_char, n_messages, text and mask (array of first, last) of each part of each rendering."""
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
-    crowded = rows.groupBy("conv_id", "part").count().filter(F.col("count") > part_messages).select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
-    here = rows["conv_id"].eqNullSafe(crowded["c"]) & (rows["part"] == crowded["p"])
-    fitting = rows.join(crowded, here, "left_anti").select("conv_id", "part", F.lit(0).cast("long").alias("slice"), "turn", "role", "text", F.lit(1).cast("long").alias("times"))
-    kinds = cut(rows.join(crowded, here, "left_semi").groupBy("conv_id", "part", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times")), "kinds")
-    slices = _sliced(kinds, part_messages, run_messages)
-    parts = fitting.union(slices).groupBy("conv_id", "part", "slice").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "times"))).alias("messages"))
+    )
+    by_speaker = cut(rows.groupBy("conv_id", "role").count(), "speakers")
+    long = _keyed(by_speaker.groupBy("conv_id").agg(F.sum("count").alias("n")).filter(F.col("n") > part_messages).select("conv_id"), ["conv_id"])
+    here = _same(rows, long, ["conv_id"])
+    speakers = by_speaker.filter(~F.col("role").isin(*narrators)).select("conv_id", F.col("role").alias("perspective"))
+    short = rows.join(long, here, "left_anti").select("conv_id", F.lit(0).cast("long").alias("part"), "turn", "role", "text", F.lit(1).cast("long").alias("times"))
+    kinds = cut(rows.join(long, here, "left_semi").groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times")), "kinds")
+    placed = cut(_placed(kinds, part_messages, run_messages), "placed")
+    in_long = _same(speakers, long, ["conv_id"])
+    views = speakers.join(long, in_long, "left_anti").select("conv_id", F.lit(0).cast("long").alias("part"), "perspective", F.lit(0).cast("long").alias("first_char"))
+    views = _keyed(views.union(_views(placed, speakers.join(long, in_long, "left_semi"), narrators)), ["conv_id", "part"])
+    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text", "times")
+    parts = short.union(placed).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(message)).alias("messages"))
     parts = parts.withColumn("messages", F.flatten(F.transform("messages", lambda m: F.array_repeat(m, m["times"].cast("int")))))
-    speakers = rows.filter(~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("s"), F.col("role").alias("perspective")).distinct()
-    both = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["s"])).drop("s")
+    both = parts.join(views, _same(parts, views, ["conv_id", "part"]))
     me = F.col("perspective")
     shown = F.transform("messages", lambda m: F.struct(_heading(m["role"], me, narrators).alias("head"), F.concat(m["text"], F.lit(CLOSE)).alias("body"), (m["role"] == me).alias("own")))
-    both = both.select("conv_id", "perspective", "part", "slice", F.size("messages").cast("long").alias("n_messages"), shown.alias("shown"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("spans"))
+    both = both.select("conv_id", "perspective", "part", "first_char", F.size("messages").cast("long").alias("n_messages"), shown.alias("shown"))
+    start = F.struct(F.col("first_char").alias("at"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
         first = acc["at"] + F.length(m["head"])
@@ -85,7 +119,7 @@ def rotate(messages: DataFrame, narrators: Sequence[str] = ("system",), part_tur
         return F.struct((last + 1).alias("at"), spans.alias("spans"))
 
     text = F.concat_ws("", F.transform("shown", lambda m: F.concat(m["head"], m["body"], F.lit("\n"))))
-    return both.select("conv_id", "perspective", "part", "slice", "n_messages", text.alias("text"), F.aggregate("shown", start, step)["spans"].alias("mask"))
+    return both.select("conv_id", "perspective", "part", "first_char", "n_messages", text.alias("text"), F.aggregate("shown", start, step)["spans"].alias("mask"))
 
 
 def mask_text() -> Column:
@@ -93,21 +127,21 @@ def mask_text() -> Column:
     return F.array_join(F.transform("mask", lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))), ",")
 
 
-ORACLE_SQL = """
+ORACLE_SQL = f"""
 WITH m AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CASE WHEN turn IS NULL THEN -1 ELSE floor(turn / 64.0) END AS part
-  FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM m),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'),
 r AS (
-  SELECT m.conv_id, perspective, part, turn, role, text, role = perspective AS own,
+  SELECT n.conv_id, perspective, place, place // {PART_MESSAGES} AS part, text, role = perspective AS own,
     '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head,
     text || '<|im_end|>' AS body
-  FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
+  FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  SELECT *, CAST(coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
   FROM r)
-SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, CAST(0 AS BIGINT) AS slice, count(*) AS n_messages,
-  string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
+SELECT conv_id, perspective, part, min(pos) AS first_char, count(*) AS n_messages,
+  string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg(CAST(pos + length(head) AS VARCHAR) || '-' || CAST(pos + length(head) + length(body) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, perspective, part
 """
