@@ -25,6 +25,9 @@ from .storage import cut
 
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
+#: Sets of tokens, of a few hundred bytes each, whose verdicts are sent to all tasks at most.
+BROADCAST_SETS = 20_000
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,5 +121,11 @@ def judge(urls: DataFrame, rules: Sequence[Rule], default: str = "allow", min_su
     hits = sets.select("found", F.explode("found").alias("token")).join(index, "token")
     held = hits.groupBy("found", "id").agg(F.count("*").alias("n"), F.first("needs").alias("needs"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
     best = held.filter("n = needs").groupBy("found").agg(F.max(F.struct("confidence", "support", "needs", "verdict")).alias("best")).select("found", F.col("best.verdict").alias("mined"))
-    judged = rows.join(best, "found", "left")
+    # Sets of tokens are few; should they be many, each verdict is copied to SALTS places, to which a set's URLs are dealt.
+    best = cut(best, "verdicts")
+    if best.count() <= BROADCAST_SETS:
+        judged = rows.join(F.broadcast(best), "found", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+        judged = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS))).join(best.withColumn("salt", salts), ["found", "salt"], "left")
     return judged.select("page_id", "host", "path", F.col("said.rule").alias("rule"), F.coalesce(F.col("said.verdict"), F.col("mined"), F.lit(default)).alias("verdict"))
