@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled, near_dedup
+from . import labelled, near_dedup, words
+from .storage import small_batches
 
-#: Labelled documents that the lexicon is learnt from, and entries that are looked at, at most.
+#: Labelled documents that the lexicon is learnt from, at most.
 SAMPLE_ROWS = 12_000
-CANDIDATES = 4_000
 #: Lengths of beginnings of words that may be entries.
 STEMS = (4, 5, 6, 7, 8, 9, 10)
 #: An entry occurs in so many toxic texts at least, and its share among toxic texts is so many times that among others.
@@ -101,11 +101,17 @@ def measure(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float
     """Summed weights of the matches outside exceptions, and the number of words."""
     hits, free = [], []
     for end, (length, weight) in automaton.iter(folded) if automaton is not None else ():
-        (free if weight is None else hits).append((end - length + 1, end, weight))
-    # A word counts once, by its heaviest entry.
+        (free if weight is None else hits).append((end - length + 1, end, weight or 0.0))
+    # A word counts once, by its heaviest entry. Both in order of their starts: a match lies inside an exception if one of
+    # those that begin no later ends no earlier.
     best: dict[int, float] = {}
-    for a, b, w in hits:
-        if not any(x <= a and b <= y for x, y, _ in free):
+    free.sort()
+    k, reach = 0, -1
+    for a, b, w in sorted(hits):
+        while k < len(free) and free[k][0] <= a:
+            reach = max(reach, free[k][1])
+            k += 1
+        if b > reach:
             best[a] = max(best.get(a, 0.0), w)
     return sum(best.values()), len(folded.split())
 
@@ -140,6 +146,7 @@ def _count(sampled: DataFrame, of) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Lexicon:
     """Learns the lexicon, exceptions and curve from at most `rows` labelled documents."""
+    small_batches(docs.sparkSession)
     sampled = labelled.sample(docs, labels, label, rows).cache()
     sizes = {r["label"] > 0: r["count"] for r in sampled.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -148,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     expected = (F.col("toxic") + F.col("clean")) * (n_toxic / max(1, n_toxic + n_clean))
     surely = F.col("toxic") >= expected + LEAST_DEVIATIONS * F.sqrt(expected)
     pool = counted.filter((F.col("toxic") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & surely)
-    pool = pool.orderBy(F.desc(F.col("toxic") * F.ln(ratio)), F.length("key"), "key").limit(CANDIDATES).collect()
+    pool = pool.select("key", "clean").collect()  # of a bounded sample
     weights = choose(sampled.filter("label > 0"), {r["key"]: r["clean"] for r in pool}, n_clean)
     exceptions: list[str] = []
     if weights:
@@ -160,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], marked, marked[1:], strict=False) if x or y}
 
         rare = _count(sampled, phrases).filter((F.col("clean") >= LEAST_TEXTS) & (F.col("toxic") * n_clean * 2 <= F.col("clean") * n_toxic))
-        exceptions = [r["key"] for r in rare.orderBy(F.desc("clean"), "key").limit(CANDIDATES).collect()]
+        exceptions = sorted(r["key"] for r in rare.select("key").collect())
     plain = Lexicon(weights, exceptions, np.zeros(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,21 +231,23 @@ def choose(toxic: DataFrame, pool: dict[str, int], n_clean: int) -> dict[str, fl
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and score (0 to 1, higher: more toxic) of every row of docs."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = lexicon.scorer()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score(batch["text"]), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words.frugal(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = lexicon.scorer()
         for batch in batches:
             yield batch.filter(pa.array(score(batch["text"]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(words.frugal(run), docs.schema)
