@@ -11,12 +11,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     """doc_id, text and label (0 or 1) of at most `rows` labelled documents, those with the smallest hashes of doc_id.
 
     Rows of labels with a null id or label don't count; an id with several labels has the largest. The ids are few by
-    construction and so are broadcast; documents aren't shuffled. Texts that repeat are kept once.
+    construction and so are broadcast; of documents, only those with these ids are shuffled. Of rows that share an id, the
+    text with the smallest hash is taken; texts that repeat are kept once.
     """
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
-    return found.withColumn("_same", F.xxhash64("text")).dropDuplicates(["_same", "label"]).drop("_same")
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    found = found.groupBy("doc_id").agg(text, F.first("label").alias("label"))
+    # By hash and label: so few rows that their order decides nothing but which id stands for a text, the smallest.
+    return found.groupBy("least.hash", "label").agg(F.min(F.struct("doc_id", "least.text")).alias("one")).select("one.doc_id", "one.text", "label")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 A text's features are which n-grams it holds: runs of one to three bytes, words, and pairs of words, hashed into
 DIMENSIONS places. Each feature is scaled by its log-count ratio between the classes, and a linear model is fitted on the
-scaled indicators with the hinge loss by dual coordinate descent. Training texts are dealt into groups of GROUP_ROWS; each
+scaled indicators with the hinge loss by dual coordinate descent. Counts are added up over the whole sample first. Training texts are dealt into groups of GROUP_ROWS; each
 is fitted in a task of its own, and as all models are linear in the indicators, their mean is the model. A logistic curve
 turns margins into probabilities; it is fitted on margins of each group's texts under the mean of the other groups' models.
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, words
+from .storage import small_batches
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -63,12 +64,18 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
             yield found.astype(np.int32)
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of each place, the logarithm of its share of the counts in class 1 over that in the other."""
-    counts = [np.full(DIMENSIONS, PRIOR) for _ in range(2)]
+def class_counts(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """In how many texts of each class (0, 1) each place is."""
+    counts = np.zeros((2, DIMENSIONS), np.int32)
     for row, label in zip(rows, y, strict=True):
         counts[int(label > 0)][row] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    return counts
+
+
+def log_count_ratio(counts: np.ndarray) -> np.ndarray:
+    """Of each place, the logarithm of its share of the counts in class 1 over that in the other."""
+    p = counts + PRIOR
+    return np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
@@ -117,12 +124,22 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     groups = max(1, -(-rows // GROUP_ROWS))
     sampled = sampled.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(groups)).cast("int")).cache()
 
+    small_batches(docs.sparkSession)
+
+    def count(group: pa.Table) -> pa.Table:
+        return pa.table({"counts": pa.array([class_counts(list(indicators(group["text"])), group["label"].to_numpy()).tobytes()], pa.binary())})
+
+    total = np.zeros((2, DIMENSIONS), np.int64)
+    for r in sampled.groupBy("part").applyInArrow(count, "counts binary").toLocalIterator():  # one row a group
+        total += np.frombuffer(r["counts"], np.int32).reshape(2, -1)
+    ratio = docs.sparkSession.sparkContext.broadcast(log_count_ratio(total).astype(np.float32))
+
     def fit(group: pa.Table) -> pa.Table:
         y = group["label"].to_numpy()
         found = list(indicators(group["text"]))
         if y.min() == y.max():
             return pa.table({"part": pa.array([], pa.int32()), "weights": pa.array([], pa.binary())})
-        scale = log_count_ratio(found, y)
+        scale = ratio.value.astype(float)
         weights = dual_coordinate_descent(found, scale, np.where(y > 0, 1.0, -1.0))
         plain = np.append(weights[:-1] * scale, weights[-1]).astype(np.float32)
         return pa.table({"part": group["part"][:1].cast(pa.int32()), "weights": pa.array([plain.tobytes()], pa.binary())})
@@ -154,21 +171,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1, higher: class 1 likelier) of every row of docs. The model is of a fixed size."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(shared.value.scores(batch["text"]), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words.frugal(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, that reach the threshold."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch["text"]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(words.frugal(run), docs.schema)
