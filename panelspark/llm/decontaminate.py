@@ -11,19 +11,21 @@ share an item_id are one item; an empty benchmark marks nothing; other columns a
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .words import frugal
+from .storage import cut, small_batches, unused
 
 WINDOW = 13
-#: Bytes of benchmark text that one matcher holds; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 2_000_000
+#: Bytes of benchmark text that one matcher holds; a larger benchmark is searched in several blocks, one after the other.
+BLOCK_BYTES = 1_000_000
 
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -101,24 +103,40 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """A broadcast of (window, items) for each block of the benchmark; each is of a checked size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, list[int]]:
+    """Distinct items (item_id, text, block), and the blocks' numbers.
+
+    Items are dealt by a hash to blocks of at most block_bytes; what a block has too much of is dealt on, down to single items.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    context = benchmark.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [context.broadcast((window, tuple(tuple(r) for r in items.filter(part == k).collect()))) for k in range(n)]
+    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    if n == 1:
+        return items.withColumn("block", F.lit(0)), [0]
+    items = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), "benchmark")
+    large = items.groupBy("block").agg(F.sum(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") > block_bytes).select("block")
+    place = F.row_number().over(W.partitionBy("block").orderBy("item_id", "text"))  # of some block_bytes; blocks follow the first n
+    alone = items.join(large, "block").withColumn("block", F.col("block") + n * place)
+    items = cut(items.join(large, "block", "left_anti").select("item_id", "text", "block").union(alone.select("item_id", "text", "block")), "benchmark")
+    return items, [r[0] for r in items.select("block").distinct().orderBy("block").collect()]
+
+
+def _held(items: DataFrame, block: int, window: int):
+    """A broadcast of a block's number, window and items, to be destroyed after use."""
+    found = tuple(tuple(r) for r in items.filter(F.col("block") == block).select("item_id", "text").collect())
+    return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, window, found))
 
 
-@functools.lru_cache(1)
-def _built(window: int, items: tuple) -> Matcher:
-    return Matcher(items, window)
+_last: list = [None, None]
 
 
 def _matcher(block) -> Matcher:
     """A Python worker keeps the last block's matcher from task to task."""
-    return _built(*block.value)
+    key, window, items = block.value
+    if _last[0] != key:
+        _last[:] = None, None
+        _last[:] = key, Matcher(items, window)
+    return _last[1]
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -138,22 +156,27 @@ def _searched(docs: DataFrame, key: str, block) -> DataFrame:
                 items.append(which)
             yield pa.RecordBatch.from_arrays([batch[key], pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=[key, "n_words", "spans", "item_ids"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} long, {_FOUND}")
+    return docs.select(key, "text").mapInArrow(frugal(run), f"`{key}` long, {_FOUND}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
     """Of every row of docs: the key, n_words, spans of words that lie in windows, and the item_ids of those windows.
 
-    A benchmark beyond block_bytes is searched block by block, and each text's spans and items are put together after.
+    A benchmark beyond block_bytes is searched block by block: driver and tasks hold one block at a time, and what a block
+    finds is written. Each text's spans and items are put together after.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias(key), "text")
-    blocks = _blocks(benchmark, window, block_bytes)
+    items, blocks = _blocks(benchmark, block_bytes)
     if len(blocks) == 1:
-        return _searched(docs, key, blocks[0])
+        return _searched(docs, key, _held(items, blocks[0], window))
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), key, "text"), "decontaminate")
     parts = None
     for block in blocks:
-        own = _searched(rows, "_row", block)
+        held = _held(items, block, window)
+        own = _searched(rows, "_row", held)
+        own = cut(own if parts is None else own.filter("size(spans) > 0"), "found")  # the first block's rows say how many words there are
+        held.destroy()
         parts = own if parts is None else parts.union(own)
     spans = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     join = "CASE WHEN size(acc) > 0 AND x.first <= acc[size(acc) - 1].last THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', acc[size(acc) - 1].first, 'last', greatest(acc[size(acc) - 1].last, x.last)))) ELSE concat(acc, array(x)) END"
@@ -172,12 +195,14 @@ def is_contaminated(share: int = 20) -> F.Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that aren't contaminated."""
-    blocks = _blocks(benchmark, window, block_bytes)
+    small_batches(docs.sparkSession)
+    items, blocks = _blocks(benchmark, block_bytes)
     if len(blocks) > 1:
-        rows = cut(docs.withColumn("_kept_row", F.monotonically_increasing_id()), "decontaminate")
-        bad = contamination(rows, benchmark, window, block_bytes, "_kept_row").filter(is_contaminated(share)).select("_kept_row")
-        return rows.join(bad, "_kept_row", "left_anti").select(*docs.columns)
-    block = blocks[0]
+        row = unused(docs.columns, "_kept_row")
+        rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        bad = contamination(rows, benchmark, window, block_bytes, row).filter(is_contaminated(share)).select(row)
+        return rows.join(bad, row, "left_anti").select(*docs.columns)
+    block = _held(items, blocks[0], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(block)
@@ -189,7 +214,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 keep.append(not (hit and share * hit >= len(found)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 ORACLE_SQL = r"""
