@@ -33,7 +33,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: sets of two-word shingles with a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: sets of five-word shingles with a similarity of 0.8 or more."""
     return near_dedup.drop_near_duplicates(docs)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, words
-from .storage import checkpoint, cut
+from .storage import checkpoint, cut, small_batches, unused
 
 _U = np.uint64
 REGISTERS = 128
@@ -98,7 +98,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield shingle_set(hashes[a:b], width)
 
 
-def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
+def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, signature (of the set, 16 bytes) and registers (four to a long) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
             arrays = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "signature", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, signature binary, registers array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.frugal(run), "doc_id long, n_shingles long, signature binary, registers array<long>")
 
 
 def chance_agreement(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     of = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(words.frugal(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(words.frugal(run), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -287,8 +287,9 @@ def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept of every row of docs."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketches = cut(sketch(docs, width), "sketches")
     linked = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -319,10 +320,11 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     return sketches.join(of_document, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, of which near_duplicates says kept."""
-    gone = near_duplicates(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs.columns, "_gone")
+    gone = near_duplicates(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 #: Brute force over all pairs that share a shingle.

@@ -26,7 +26,7 @@ def op3_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
