@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .storage import small_batches, unused
 
 CAPACITY = 4096
 END_ID = 2
 #: Documents of a group on average; the expected waste is less than one sequence a group.
 GROUP_DOCUMENTS = 4096
-#: Words of which a Python worker keeps the ids; beyond, it starts anew.
-CACHE_WORDS = 2_000_000
+#: Words of which a Python worker keeps the ids, about 40 bytes each; beyond, it keeps the half that it used most.
+CACHE_WORDS = 1 << 18
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")] = True
@@ -50,7 +51,15 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.firsts, self.counts, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.firsts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.used, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def keep(self, at: np.ndarray) -> None:
+        """Forgets all words but those at these places (in order)."""
+        counts = self.counts[at]
+        begins = np.cumsum(counts) - counts
+        self.pool = self.pool[np.repeat(self.firsts[at] - begins, counts) + np.arange(int(counts.sum()))]
+        self.keys, self.counts, self.used, self.firsts = self.keys[at], counts, self.used[at] // 2, begins.astype(np.int32)
 
     def encode(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without white space, one after the other, and the number of each word's ids."""
@@ -60,13 +69,11 @@ class WordTokenizer:
         return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(given))[: len(given)]
 
     def learn(self, missing: np.ndarray, given: list[str]) -> None:
-        if len(self.keys) + len(missing) > CACHE_WORDS:
-            self.clear()
         ids, counts = self.encode(given)
-        firsts = len(self.pool) + np.cumsum(counts) - counts
-        keys = np.concatenate([self.keys, missing])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.firsts, self.counts = keys[order], np.concatenate([self.firsts, firsts])[order], np.concatenate([self.counts, counts])[order]
+        firsts = (len(self.pool) + np.cumsum(counts) - counts).astype(np.int32)
+        at = np.searchsorted(self.keys, missing)
+        self.keys, self.firsts = np.insert(self.keys, at, missing), np.insert(self.firsts, at, firsts)
+        self.counts, self.used = np.insert(self.counts, at, counts.astype(np.int32)), np.insert(self.used, at, 0)
         self.pool = np.concatenate([self.pool, ids])
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,11 +109,13 @@ class WordTokenizer:
             known[known] = self.keys[at[known]] == distinct[known]
             if not known.all():
                 new = np.flatnonzero(~known)
-                if len(self.keys) + len(new) > CACHE_WORDS:
-                    new = np.arange(len(distinct))
+                if len(self.keys) + len(new) > CACHE_WORDS:  # this piece's own words stay, whatever their number
+                    often = np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2]
+                    self.keep(np.union1d(often, at[known]))
                 self.learn(distinct[new], [raw[a : a + n].lower().decode() for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)])
                 at = np.searchsorted(self.keys, distinct)
-            counts = self.counts[at][inverse]
+            self.used[at] += np.bincount(inverse, minlength=len(distinct))
+            counts = self.counts[at].astype(np.int64)[inverse]
             begins = np.cumsum(counts) - counts
             ids = self.pool[np.repeat(self.firsts[at][inverse] - begins, counts) + np.arange(int(counts.sum()))]
             edge = np.append(begins, len(ids))[np.searchsorted(starts, offsets)]
@@ -145,7 +154,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(words.frugal(cut), schema)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -183,14 +193,14 @@ def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, group_do
     n_documents sets the number of groups. A sequence's id is its group's number times 2**32 plus its place there.
     """
     groups = max(1, -(-n_documents // group_documents))
-    names = [c for c in pieces.columns if c != "_group"]
+    names, own = pieces.columns, unused(pieces.columns, "_group")
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*names).dtypes) + ", sequence_id long, offset long"
 
     def one(group: pa.Table) -> pa.Table:
         group = group.take(pc.sort_indices(group, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
         bins, offsets = first_fit_decreasing(group["length"].to_pylist(), capacity)
-        first = group["_group"][0].as_py() << 32
+        first = group[own][0].as_py() << 32
         out = group.select(names).append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
-    return pieces.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("_group")).groupBy("_group").applyInArrow(one, schema)
+    return pieces.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias(own)).groupBy(own).applyInArrow(one, schema)

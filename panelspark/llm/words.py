@@ -6,7 +6,9 @@ random weight per byte position, then a bijective mix), so that tasks can count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,18 @@ _U = np.uint64
 CHUNK_BYTES = 1 << 20
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python worker gives the memory that it no longer needs back to the machine: workers outlive their tasks."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return released
+
+
 def table(separators: list[range]) -> np.ndarray:
     """Byte map: separators become 0, A-Z become a-z, all else stays."""
     out = np.arange(256, dtype=np.uint8)

@@ -331,17 +331,17 @@ def near_copies(seed=5):
 def test_near_duplicates_equal_brute_force(spark):
     texts = near_copies() + ODD
     docs = documents(spark, texts)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, 2).collect()}
     assert got == brute_components(list(enumerate(texts, 1)))
-    kept = near_dedup.drop_near_duplicates(docs)
+    kept = near_dedup.drop_near_duplicates(docs, 2)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c)
 
 
 def test_near_duplicates_of_odd_keys(spark):
     docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (2, "A b  c"), (2, "A b  c"), (3, "x"), (4, "x"), (5, None)], "doc_id long, text string")
-    got = sorted(((r["doc_id"] or 0), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    got = sorted(((r["doc_id"] or 0), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 2).collect())
     assert got == [(0, None, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True)]
-    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+    assert near_dedup.near_duplicates(docs.limit(0), 2).count() == 0
 
 
 def test_registers_estimate_similarity():
@@ -364,38 +364,51 @@ def test_rotation_by_hand(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "yo"), (2, 0, "system", "x"), (None, 5, None, "n"), (3, None, "cy", "late"), (3, 70, "cy", "far")]
     df = spark.createDataFrame([(*r, 0, "m") for r in rows], "conv_id long, turn long, role string, text string, part int, mask string")
     got = {(r["conv_id"], r["perspective"], r["part"]): r for r in perspectives.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "cy", -1), (3, "cy", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "cy", 0)}
     ann = got[1, "ann", 0]
     assert ann["text"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
     assert [ann["text"][s["first"] : s["last"]] for s in ann["mask"]] == ["hi<|im_end|>", "yo<|im_end|>"]
     assert [got[1, "bob", 0]["text"][s["first"] : s["last"]] for s in got[1, "bob", 0]["mask"]] == ["<|im_end|>"]
+    assert got[3, "cy", 0]["text"].index("far") < got[3, "cy", 0]["text"].index("late")
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
-def test_crowded_turns_are_sliced(spark):
-    df = spark.createDataFrame([(1, 0, "a" if i % 2 else "b", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
-    got = perspectives.rotate(df, part_messages=50).collect()
-    assert sum(r["n_messages"] for r in got) == 600 and max(r["n_messages"] for r in got) < 120
+def rendered(rows):
+    """Text and mask of each (conversation, perspective), by plain Python."""
+    dialogues, out = collections.defaultdict(list), {}
+    for c, turn, role, text in rows:
+        dialogues[c].append((turn is None, turn or 0, role or "unknown", text or ""))
+    for c, own in dialogues.items():
+        own.sort()
+        for me in {r for _, _, r, _ in own} - {"system"}:
+            text, mask = "", []
+            for _, _, role, t in own:
+                text += f"<|im_start|>{'assistant' if role == me else role if role == 'system' else f'user name={role}'}\n"
+                if role == me:
+                    mask.append((len(text), len(text) + len(t) + 10))
+                text += f"{t}<|im_end|>\n"
+            out[c, me] = text, mask
+    return out
 
 
-def test_slices_in_order_are_the_dialogue(spark):
+@pytest.mark.parametrize(("part", "run"), [(50, 60), (perspectives.PART_MESSAGES, perspectives.RUN_MESSAGES)])
+def test_parts_joined_are_the_whole_rendering(spark, part, run):
+    """Dialogues of thousands of messages, any turn numbers, repeated and long messages."""
     rnd = random.Random(7)
-    rows = [(c, rnd.choice([0, 1, 2, 70, None]), rnd.choice(["a", "b", "system", None]), rnd.choice(["same", f"t{i}"])) for c in (1, None) for i in range(400)] + [(2, 0, "a", "same")] * 130 + [(3, 0, "a", "one")]
-    got = collections.defaultdict(list)
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for r in perspectives.rotate(df, part_messages=50, run_messages=60).collect():
-        got[r["conv_id"], r["perspective"], r["part"]].append((r["slice"], r["n_messages"], r["text"], [r["text"][s["first"] : s["last"]] for s in r["mask"]]))
-    want = collections.defaultdict(list)
-    for c, turn, role, text in rows:
-        want[c, -1 if turn is None else turn // 64].append((turn or 0, role or "unknown", text))
-    assert {k[::2] for k in got} == set(want)
-    for (c, me, part), slices in got.items():
-        own = sorted(want[c, part])
-        slices.sort()
-        assert [(k, n) for k, n, _, _ in slices] == [(k, min(50, len(own) - 50 * k)) for k in range(-(-len(own) // 50))]
-        head = lambda role: "assistant" if role == me else role if role == "system" else f"user name={role}"  # noqa: E731, B023
-        assert "".join(s[2] for s in slices) == "".join(f"<|im_start|>{head(r)}\n{t}<|im_end|>\n" for _, r, t in own)
-        assert [x for s in slices for x in s[3]] == [f"{t}<|im_end|>" for _, r, t in own if r == me]
+    turns = [0, 1, 2, 70, None, -5, 10**12]
+    rows = [(c, rnd.choice(turns), rnd.choice(["a", "bé", "system", None]), rnd.choice(["same", f"t{i}", None])) for c in (1, None) for i in range(400)]
+    rows += [(2, 0, "a", "same")] * 130 + [(3, 0, "a", "one"), (4, 1, "a", "x" * 300_000), (4, 2, "b", "")] + [(5, i % 1700, f"s{i % 3}", f"m{i}") for i in range(5_000)] + [(6, 0, "system", "x")]
+    got, want = collections.defaultdict(list), rendered(rows)
+    df = spark.createDataFrame([(*r, 1, "m") for r in rows], "conv_id long, turn long, role string, text string, part int, first_char string")
+    for r in perspectives.rotate(df, part_messages=part, run_messages=run).collect():
+        got[r["conv_id"], r["perspective"]].append((r["part"], r["first_char"], r["n_messages"], r["text"], [tuple(s) for s in r["mask"]]))
+    assert set(got) == set(want)
+    sizes = collections.Counter(r[0] for r in rows)
+    for (c, me), parts in got.items():
+        parts.sort()
+        assert [(k, n) for k, _, n, _, _ in parts] == [(k, min(part, sizes[c] - part * k)) for k in range(-(-sizes[c] // part))]
+        assert [at for _, at, _, _, _ in parts] == [sum(len(p[3]) for p in parts[:k]) for k in range(len(parts))]
+        assert "".join(p[3] for p in parts) == want[c, me][0] and [s for p in parts for s in p[4]] == want[c, me][1]
 
 
 # --- op8
@@ -439,9 +452,9 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = np.round(rng.normal(size=(300, 6)), 1).astype(np.float32)
     vectors[100:160] = vectors[0]  # ties
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(1000, None), (1050, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (None, [1.0] * 6), (1200, [3.0, 1.0]), (1250, [1.0, -2.0]), (1300, [])]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(1000, None), (1050, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (None, [1.0] * 6), (1200, [3.0, 1.0]), (1250, [1.0, -2.0]), (1300, []), (1301, []), (1350, [])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-    good = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    good = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = {}
     for q, a in good.items():
         if q % 50 == 0:
@@ -472,6 +485,35 @@ def test_top_k_of_repeated_rows(spark):
         assert dict(got) == want
 
 
+def test_top_k_of_huge_components_is_exact(spark):
+    """Products beyond 2**52, beyond a long, and near the largest float."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * 10.0 ** float(rng.choice([0, 7, 12, 30]))]) for i in range(120)] + [(150, [3e38, 1.0, 0.0]), (151, [-3e38, 3e38, 1.0]), (152, [3e7, 1.0, 2.0]), (153, [3e38, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = {i: [math.floor(256 * int(x) if abs(x) >= 2**40 else 256 * x) for x in np.array(v, np.float32).astype(float).tolist()] for i, v in rows}
+    for shard_rows in (16_384, 20):
+        got = collections.defaultdict(list)
+        for r in topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        for q in (0, 50, 100, 150):
+            scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+            assert got[q] == [(k + 1, i, min(max(-s, 1 - 2**63), 2**63 - 1)) for k, (s, i) in enumerate(scored)]
+
+
+def test_shards_out_of_reach_are_not_met(spark, monkeypatch):
+    """Vectors in far clusters: queries meet far fewer shards than there are, with the same result as in one shard."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([10 * np.eye(8)[c] + rng.normal(size=(100, 8)) * 0.1 for c in range(8)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met, plain = [], topk._search
+    monkeypatch.setattr(topk, "_search", lambda v, q, k: (met.append(q.count()), plain(v, q, k))[1])
+    one = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0).collect()
+    assert met == [16]
+    met.clear()
+    many = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, shard_rows=50).collect()
+    assert sorted(many) == sorted(one) and sum(met) < 16 * 16 / 2
+
+
 def test_fit_logistic_recovers_weights():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 1))
