@@ -9,10 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import t975
-from .normalize import quantile_bins
+from .normalize import percentiles, quantile_bins, with_stats_of
 
 #: Periods that a pivot may have columns for.
 MOST_PERIODS = 1_000
+#: Ranges that distinct values are sorted in for ranks.
+RANK_PARTS = 64
 
 
 def event_rollup(events: DataFrame, keys: Sequence[str], event: str, deaths: Column, value: str, stay: str) -> DataFrame:
@@ -41,6 +43,32 @@ def period_rollup(df: DataFrame, keys: Sequence[str], sums: Sequence[str], means
     return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums), *(F.avg(c).alias(c) for c in means))
 
 
+def binary_rates(df: DataFrame, keys: Sequence[str], flags: Mapping[str, str], population: str, per: float = 100_000.0) -> DataFrame:
+    """For each flag (a name and its column): how many rows have it, and its rate per so many of the key's largest population."""
+    people = F.max(population)
+    counts = {name: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)) for name, c in flags.items()}
+    rates = [(n.cast("double") / F.nullif(people.cast("double"), F.lit(0.0)) * F.lit(per)).alias(f"{name}_rate") for name, n in counts.items()]
+    return df.groupBy(*keys).agg(*(n.alias(f"n_{name}") for name, n in counts.items()), *rates)
+
+
+def target_gaps(df: DataFrame, rate: str, target: float, entity: str) -> DataFrame:
+    """df with gap (target less rate, null stays null) and meets, the widest gaps first; rows without a rate are left out."""
+    gap = F.lit(float(target)) - F.col(rate)
+    return df.filter(F.col(rate).isNotNull()).withColumns({"gap": gap, "meets": F.coalesce(F.col(rate) >= target, F.lit(False)).cast("int")}).orderBy(F.desc("gap"), entity)
+
+
+def one_hot(df: DataFrame, column: str, values: Sequence, prefix: str | None = None, drop_first: bool = False) -> DataFrame:
+    """A 0/1 column for each of the given values; a null is 0 in all."""
+    kept = list(values)[1:] if drop_first else values
+    return df.withColumns({f"{prefix or column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int") for v in kept})
+
+
+def in_order(df: DataFrame, column: str, order: Sequence[str], *ties: str) -> DataFrame:
+    """Rows in the order in which their category is listed; categories that aren't come last."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return df.orderBy(F.when(place > 0, place).asc_nulls_last(), column, *ties)
+
+
 def weighted_means(df: DataFrame, group: str, weight: str, means: Sequence[str], sums: Sequence[str] = (), entity: str | None = None, parity: bool = False) -> DataFrame:
     """Of each group the weighted means, sums and number of entities.
 
@@ -57,23 +85,31 @@ def weighted_means(df: DataFrame, group: str, weight: str, means: Sequence[str],
     return df.filter(F.col(group).isNotNull()).groupBy(group).agg(*columns)
 
 
-def standardised_rates(events: DataFrame, population: DataFrame, keys: Sequence[str], stratum: str, per: float = 100_000.0, parity: bool = False) -> DataFrame:
-    """Directly standardised and crude rates of each key.
+def standardised_rates(events: DataFrame, population: DataFrame, keys: Sequence[str], stratum: str, per: float = 100_000.0, parity: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """Directly standardised and crude rates of each key, and of each of the columns `within`, whose people are standards of their own.
 
     events: keys, stratum and n; population: keys, stratum and population. A stratum's weight is its share of all people.
     The crude rate's denominator is everybody; with parity only strata that had events.
     """
+    keys = [*keys, *within]
     both = population.groupBy(*keys, stratum).agg(F.sum("population").alias("population")).join(events.groupBy(*keys, stratum).agg(F.sum("n").alias("n")), [*keys, stratum], "left")
-    standard = population.groupBy(stratum).agg(F.sum("population").alias("_people"))
-    standard = standard.withColumn("weight", F.col("_people") / F.sum("_people").over(W.partitionBy(F.lit(1)))).drop("_people")  # a row a stratum
+    standard = population.groupBy(*within, stratum).agg(F.sum("population").alias("_people"))
+    everybody = W.partitionBy(*within) if within else W.partitionBy(F.lit(1))  # a row for each stratum
+    standard = standard.withColumn("weight", F.col("_people") / F.sum("_people").over(everybody)).drop("_people")
     n = F.coalesce("n", F.lit(0))
     people = F.sum(F.when(F.col("n").isNotNull(), F.col("population"))) if parity else F.sum("population")
-    return both.join(standard, stratum).groupBy(*keys).agg(
+    return both.join(standard, [*within, stratum]).groupBy(*keys).agg(
         F.sum(n / F.nullif(F.col("population").cast("double"), F.lit(0.0)) * F.lit(per) * F.col("weight")).alias("standardised_rate"),
         (F.sum(n) / F.nullif(people.cast("double"), F.lit(0.0)) * F.lit(per)).alias("crude_rate"),
     )
 
 
+def with_totals(df: DataFrame, keys: Sequence[str], stratum: str, values: Sequence[str], total: str = "T") -> DataFrame:
+    """Sums by keys and stratum, and over all strata as the stratum `total`, in one pass."""
+    sets = df.groupingSets([[*keys, stratum], list(keys)], *keys, stratum).agg(*(F.sum(v).alias(v) for v in values), F.grouping(stratum).alias("_all"))
+    return sets.withColumn(stratum, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(stratum))).drop("_all")
+
+
 def describe(df: DataFrame, columns: Sequence[str], group: str | None = None, overall: str = "Overall") -> DataFrame:
     """variable, group, n, mean, sd, median, q25, q75, min and max; with a group also a row for all, from one grouping-sets pass."""
     base = [F.lit("all").alias("_group")] if group is None else [F.col(group).cast("string").alias("_group")]
@@ -82,15 +118,20 @@ def describe(df: DataFrame, columns: Sequence[str], group: str | None = None, ov
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
-        F.percentile("value", F.lit(0.5)).alias("median"),
-        F.percentile("value", F.lit(0.25)).alias("q25"),
-        F.percentile("value", F.lit(0.75)).alias("q75"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
+
+    def quartiles(keys: Sequence[str]) -> DataFrame:
+        q = percentiles(long, ["value"], [0.25, 0.5, 0.75], keys)
+        return q.select(*keys, *(F.col("_q_value")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))))
+
     if group is None:
-        return long.groupBy("variable").agg(*stats)
-    sets = long.groupingSets([["_group", "variable"], ["variable"]], "_group", "variable").agg(*stats, F.grouping("_group").alias("_all"))
+        return with_stats_of(long.groupBy("variable").agg(*stats), quartiles(["variable"]), ["variable"])
+    sets = long.groupingSets([["_group", "variable"], ["variable"]], "_group", "variable").agg(*stats, F.grouping("_group").cast("int").alias("_all"))
+    apart = quartiles(["_group", "variable"]).withColumn("_all", F.lit(0))
+    together = quartiles(["variable"]).select(F.lit(None).cast("string").alias("_group"), "variable", "q25", "median", "q75", F.lit(1).alias("_all"))
+    sets = with_stats_of(sets, apart.unionByName(together), ["_group", "variable", "_all"])
     name = F.when(F.col("_all") == 1, F.lit(overall)).otherwise(F.col("_group"))
     return sets.select(name.alias("group"), *(c for c in sets.columns if c[0] != "_"))
 
@@ -143,11 +184,25 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks in which ties share their mean; nulls have none. Ranks come from counts of distinct values, so only these are sorted."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
-    before = F.sum("count").over(W.partitionBy(F.lit(1)).orderBy(column))
-    ranks = counts.select(F.col(column).alias("_v"), (before - F.col("count") + (F.col("count") + 1) / 2.0).alias(out))
+def average_ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS) -> DataFrame:
+    """Ranks in which ties share their mean; nulls have none.
+
+    Distinct values with their counts are dealt to ranges of about equal size and sorted in each; the counts of the ranges
+    before are added.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    edges = counts.agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
+    part = F.lit(0)
+    if edges:
+        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("_v")))
+    counts = counts.withColumn("_part", part)
+    sizes = dict(counts.groupBy("_part").agg(F.sum("_n")).collect())  # a row for each range
+    total, before = 0, {}
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    offset = F.array(*(F.lit(before.get(k, 0)) for k in range(max(before, default=0) + 1)))[F.col("_part")]
+    upto = F.sum("_n").over(W.partitionBy("_part").orderBy("_v"))
+    ranks = counts.select("_v", (offset + upto - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
 
 
@@ -156,6 +211,14 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_ranks(average_ranks(complete, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """x, y, r and n of each pair of columns, by ranks over the rows that have them all."""
+    ranked = df.select(*columns).na.drop()
+    for i, c in enumerate(columns):
+        ranked = average_ranks(ranked, c, f"_r{i}")
+    return correlations(ranked.select(*(F.col(f"_r{i}").alias(c) for i, c in enumerate(columns))), columns)
+
+
 def quantile_group_means(df: DataFrame, by: str, bins: int, columns: Sequence[str]) -> DataFrame:
     binned = quantile_bins(df, by, bins).filter("bin IS NOT NULL")
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
@@ -182,15 +245,16 @@ def top_flows(df: DataFrame, n: int = 50) -> DataFrame:
 def distance_summary(df: DataFrame, key: str, distance: str, own: Column) -> DataFrame:
     """n, how many stayed, and mean, median, 90th percentile and maximum of the others' distances."""
     away = F.when(~F.coalesce(own, F.lit(False)), F.col(distance))
-    return df.groupBy(key).agg(
+    q = percentiles(df.select(key, away.alias("_away")), ["_away"], [0.5, 0.9], [key])
+    out = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(own).alias("n_self"),
         (F.lit(100.0) * F.count_if(own) / F.count(F.lit(1))).alias("pct_self"),
         F.avg(away).alias("mean_km"),
-        F.percentile(away, F.lit(0.5)).alias("median_km"),
-        F.percentile(away, F.lit(0.9)).alias("p90_km"),
         F.max(away).alias("max_km"),
     )
+    out = with_stats_of(out, q, [key])
+    return out.withColumns({"median_km": F.col("_q__away")[0], "p90_km": F.col("_q__away")[1]}).drop("_q__away")
 
 
 def top_entities(df: DataFrame, entity: str, value: str, n: int = 10, descending: bool = True) -> DataFrame:

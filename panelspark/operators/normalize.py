@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_keep_null
 
+#: Rows of a group up to which one task picks its percentiles.
+GROUP_ROWS = 5_000_000
+#: Rows of a group up to which its bracket is the whole group, and the share of ranks that brackets leave on each side of a point.
+BRACKET_ROWS = 20_000
+BRACKET_SHARE = 2e-4
+#: Periods that panels may have.
+MOST_PERIODS = 1_000
+
 
 def _over(keys: Sequence[str]):
     return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
@@ -20,13 +29,7 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column]) -> D
 
     The aggregate has a row for each group; Spark sends it to all tasks where it is small enough, else joins by shuffle.
     """
-    if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*stats)))  # one row
-    groups = df.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(*stats)
-    condition = F.lit(True)
-    for k in keys:
-        condition &= df[k].eqNullSafe(groups[f"_k_{k}"])
-    return df.join(groups, condition, "left").drop(*(f"_k_{k}" for k in keys))
+    return with_stats_of(df, df.groupBy(*keys).agg(*stats), keys)
 
 
 def minmax_within(df: DataFrame, columns: Sequence[str], keys: Sequence[str], inverted: Sequence[str] = ()) -> DataFrame:
@@ -40,15 +43,59 @@ def minmax_within(df: DataFrame, columns: Sequence[str], keys: Sequence[str], in
     return out.drop(*(f"_{n}_{c}" for c in columns for n in ("lo", "hi")))
 
 
+def percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], keys: Sequence[str] = (), group_rows: int = GROUP_ROWS, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+    """keys and, for each column, _q_{column}: its exact (interpolated) percentiles at the points, in their order.
+
+    Where a group is larger than group_rows, no task holds its values: a sketch brackets each point, and ranks are counted
+    exactly within the brackets only. The result is the same.
+    """
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
+    if (largest or 0) <= group_rows:
+        return df.groupBy(*keys).agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(f"_q_{c}") for c in columns))
+    by = [*(f"_k{i}" for i in range(len(keys))), "variable"]
+    long = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x"))
+    long = long.select(*by[:-1], "x.variable", "x.value").filter("value IS NOT NULL")
+    lower, upper = ([min(max(p + s * BRACKET_SHARE, 0.0), 1.0) for p in points] for s in (-1, 1))
+    base = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", [*lower, *upper], 10_000).alias("sketch"))
+    edge = lambda i, side: F.when((F.col("n") <= bracket_rows) | F.lit(points[i] in (0.0, 1.0)), F.col(("least", "most")[side])).otherwise(F.col("sketch")[i + side * len(points)])
+    base = base.select(*by, "n", *(edge(i, s).alias(f"_e{i}_{s}") for i in range(len(points)) for s in (0, 1)))
+    joined = with_stats_of(long, base, by)
+    inside = [F.col("value").between(F.col(f"_e{i}_0"), F.col(f"_e{i}_1")) for i in range(len(points))]
+    below = joined.groupBy(*by).agg(*(F.count_if(F.col("value") < F.col(f"_e{i}_0")).alias(f"b{i}") for i in range(len(points))))
+    kept = joined.withColumn("point", F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(inside))), lambda i: i.isNotNull())).filter(F.size("point") > 0)
+    kept = kept.groupBy(*by, "value", "point", "n").agg(F.count(F.lit(1)).alias("times")).withColumn("point", F.explode("point"))
+    upto = F.sum("times").over(W.partitionBy(*by, "point").orderBy("value"))
+    ranked = with_stats_of(kept.withColumn("upto", upto), below, by)
+    i = F.col("point")
+    before = F.array(*(F.col(f"b{k}") for k in range(len(points))))[i]
+    at = F.array(*map(F.lit, points))[i] * (F.col("n") - 1)
+    ranked = ranked.withColumns({"at": at, "upto": before + F.col("upto")})
+    picked = ranked.groupBy(*by, "point", "at").agg(F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("value"))).alias("high"))
+    picked = picked.withColumn("q", F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low")))
+    arrays = picked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "q"))), lambda x: x["q"]).alias("q"))
+    wide = arrays.groupBy(*by[:-1]).agg(*(F.first(F.when(F.col("variable") == c, F.col("q")), ignorenulls=True).alias(f"_q_{c}") for c in columns))
+    return wide.withColumnsRenamed({f"_k{j}": k for j, k in enumerate(keys)})
+
+
+def with_stats_of(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the columns of groups, a row for each combination of keys, which match null-safely."""
+    if not keys:
+        return df.crossJoin(F.broadcast(groups))  # one row
+    groups = groups.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition &= df[k].eqNullSafe(groups[f"_k_{k}"])
+    return df.join(groups, condition, "left").drop(*(f"_k_{k}" for k in keys))
+
+
 def winsor_minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Columns clipped to their group's exact percentiles and scaled to 0 to 1; unchanged where these don't differ."""
-    stats = [F.percentile(c, F.lit(p)).alias(f"_{n}_{c}") for c in columns for p, n in ((low, "lo"), (high, "hi"))]
-    out = with_stats(df, keys, stats)
+    out = with_stats_of(df, percentiles(df, columns, [low, high], keys), keys)
     for c in columns:
-        a, b = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        a, b = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
         clipped = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), a), b))
         out = out.withColumn(c, F.when(b > a, (clipped - a) / F.nullif(b - a, F.lit(0.0))).otherwise(F.col(c)))
-    return out.drop(*(f"_{n}_{c}" for c in columns for n in ("lo", "hi")))
+    return out.drop(*(f"_q_{c}" for c in columns))
 
 
 def share_within(df: DataFrame, column: str, keys: Sequence[str], out: str = "share") -> DataFrame:
@@ -66,23 +113,43 @@ def zscore(df: DataFrame, column: str, keys: Sequence[str] = (), out: str = "z")
 
 def quantile_bins(df: DataFrame, column: str, bins: int, keys: Sequence[str] = (), out: str = "bin") -> DataFrame:
     """The number (from 0) of x's quantile bin: exact edges, repeated ones dropped, right-closed, the lowest value included."""
-    points = [k / bins for k in range(bins + 1)]
-    stats = [F.percentile(column, F.array(*map(F.lit, points))).alias("_edges")]
-    joined = with_stats(df, keys, stats)
+    edges = percentiles(df, [column], [k / bins for k in range(bins + 1)], keys).withColumnRenamed(f"_q_{column}", "_edges")
+    joined = with_stats_of(df, edges, keys)
     edges = F.array_distinct("_edges")
     below = F.size(F.filter(edges, lambda e: e < F.col(column)))  # edges under x; the first bin takes its lower edge too
     return joined.withColumn(out, F.when(F.col(column).isNotNull() & (F.size(edges) > 1), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
 
-def demean_two_way(df: DataFrame, columns: Sequence[str], entity: str, period: str, rounds: int = 1) -> DataFrame:
-    """Columns less their entity's and period's means; one round is exact on a balanced panel, more converge on others."""
-    for _ in range(rounds):
-        for c in columns:
-            shift = F.avg(c).over(_over([entity]))
-            df = df.withColumn(c, F.col(c) - shift)
-        for c in columns:
-            df = df.withColumn(c, F.col(c) - F.avg(c).over(_over([period])))
-    return df
+def demean_within(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """Columns less their means by key, which are aggregated partially and joined back."""
+    joined = with_stats(df, [key], [F.avg(c).alias(f"_m_{c}") for c in columns])
+    return joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*(f"_m_{c}" for c in columns))
+
+
+def demean_two_way(df: DataFrame, columns: Sequence[str], entity: str, period: str, most: int = MOST_PERIODS) -> DataFrame:
+    """Columns less their entity's and period's effects, exactly, balanced panel or not.
+
+    Period effects solve normal equations as large as the number of periods (an error beyond `most`): of columns and
+    period indicators, each less its entity's mean. Rows with a null key or column take no part in them.
+    """
+    rows = df.na.drop(subset=[*columns, entity, period])
+    sums = demean_within(rows, columns, entity).groupBy(period).agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)), F.count(F.lit(1)).alias("_n")).limit(most + 1).collect()
+    if len(sums) > most:
+        raise ValueError(f"more than {most} periods")
+    # How often an entity's rows lie in each two periods, over its number of rows: a list is no longer than there are periods.
+    cells = rows.groupBy(entity, period).agg(F.count(F.lit(1)).alias("n")).groupBy(entity).agg(F.collect_list(F.struct(F.col(period).alias("p"), "n")).alias("cells"), F.sum("n").alias("total"))
+    pairs = cells.select(F.explode("cells").alias("a"), "cells", "total").select("a", F.explode("cells").alias("b"), "total")
+    shared = pairs.groupBy(F.col("a.p").alias("p"), F.col("b.p").alias("q")).agg(F.sum(F.col("a.n") * F.col("b.n") / F.col("total")).alias("m")).collect()
+    place = {r[period]: i for i, r in enumerate(sums)}
+    left, right = np.diag([float(r["_n"]) for r in sums]), np.array([[r[f"_s{i}"] for i in range(len(columns))] for r in sums]).reshape(-1, len(columns))
+    for r in shared:
+        left[place[r["p"]], place[r["q"]]] -= r["m"]
+    effects = np.linalg.lstsq(left, right, rcond=None)[0] if sums else right
+    schema = f"_period {df.schema[period].dataType.simpleString()}, " + ", ".join(f"_e{i} double" for i in range(len(columns)))
+    of = df.sparkSession.createDataFrame([(p, *map(float, effects[k])) for p, k in place.items()], schema)
+    shifted = df.join(F.broadcast(of), df[period] == of["_period"], "left")  # a row for each period, of which there are few
+    shifted = shifted.withColumns({c: F.col(c) - F.coalesce(f"_e{i}", F.lit(0.0)) for i, c in enumerate(columns)}).drop("_period", *(f"_e{i}" for i in range(len(columns))))
+    return demean_within(shifted, columns, entity)
 
 
 def bivariate_classes(df: DataFrame, x: str, y: str, out: str = "bivariate") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import chi2_cdf, t_quantile, two_sided_t
-from .normalize import demean_two_way
+from .normalize import demean_two_way, demean_within
 
 
 @dataclass
@@ -28,20 +28,23 @@ class Fit:
     df: int
     r2: float
     r2_adjusted: float
+    r2_within: float = float("nan")
+    r2_between: float = float("nan")
+    r2_overall: float = float("nan")
 
     def rows(self) -> list[tuple]:
         half = t_quantile(0.975, self.df) if self.df > 0 else float("nan")
         out = []
         for name, b, s in zip(self.names, self.coef.tolist(), self.se.tolist(), strict=True):
             t = b / s if s else float("nan")
-            out.append((name, b, s, t, two_sided_t(t, self.df) if s and self.df > 0 else float("nan"), b - half * s, b + half * s, self.n, float(self.r2), float(self.r2_adjusted)))
+            out.append((name, b, s, t, two_sided_t(t, self.df) if s and self.df > 0 else float("nan"), b - half * s, b + half * s, self.n, float(self.r2), float(self.r2_adjusted), float(self.r2_within), float(self.r2_between), float(self.r2_overall)))
         return out
 
 
 def result_frame(spark, fits: dict[str, Fit]) -> DataFrame:
     """A row for each model and term."""
     rows = [(model, *r) for model, fit in fits.items() for r in fit.rows()]
-    return spark.createDataFrame(rows, "model string, term string, coef double, se double, t double, p double, ci_low double, ci_high double, n long, r2 double, r2_adjusted double")
+    return spark.createDataFrame(rows, "model string, term string, coef double, se double, t double, p double, ci_low double, ci_high double, n long, r2 double, r2_adjusted double, r2_within double, r2_between double, r2_overall double")
 
 
 def cross_products(df: DataFrame, columns: Sequence[Column], by_row: Column | None = None) -> np.ndarray:
@@ -64,6 +67,11 @@ def _dot(columns: Sequence[Column], values: np.ndarray) -> Column:
     return out
 
 
+def evaluate(fit: Fit, terms: dict[str, Column]) -> Column:
+    """The fitted value where the terms (by name, the constant aside) have these values."""
+    return F.lit(float(fit.coef[fit.names.index("const")])) + _dot([terms[n] for n in fit.names if n != "const"], np.array([b for n, b in zip(fit.names, fit.coef, strict=True) if n != "const"]))
+
+
 def ols_hc3(df: DataFrame, y: str, x: Sequence[str], terms: dict[str, Column] | None = None) -> Fit:
     """Least squares with an intercept and HC3 errors: one pass for the normal equations, one for leverage and residuals.
 
@@ -97,26 +105,24 @@ def polynomial(df: DataFrame, y: str, x: str, degree: int) -> Fit:
     return ols_hc3(df, y, [x], {f"{x}^{d}": F.pow(F.col(x), F.lit(float(d))) for d in range(2, degree + 1)})
 
 
-def fixed_effects(df: DataFrame, y: str, x: Sequence[str], entity: str, period: str, two_way: bool = True, rounds: int = 20, least: int = 10, small_sample: bool = True) -> Fit | None:
+def fixed_effects(df: DataFrame, y: str, x: Sequence[str], entity: str, period: str, two_way: bool = True, least: int = 10, small_sample: bool = True) -> Fit | None:
     """Within regression with errors clustered by entity; None under `least` complete rows.
 
-    Means are removed in turn until they vanish. With small_sample the covariance is scaled by G / (G - 1) * (n - 1) / (n - k).
+    With small_sample the covariance is scaled by G / (G - 1) * (n - 1) / (n - k). r2 is that of the regression itself;
+    r2_within (of deviations from entity means), r2_between (of entity means) and r2_overall (of the rows) are those of its
+    coefficients, about zero, as there is no constant.
     """
     columns = [y, *x]
-    rows = df.select(entity, period, *(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
-    if two_way:
-        within = demean_two_way(rows, columns, entity, period, rounds)
-    else:
-        over = W.partitionBy(entity)
-        within = rows.withColumns({c: F.col(c) - F.avg(c).over(over) for c in columns})
-    within = within.cache()
-    regressors = [F.col(c) for c in x]
-    products = cross_products(within, [*regressors, F.col(y)])
-    counts = within.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(entity).alias("g"), F.countDistinct(period).alias("t")).first()
-    n, g, k = counts["n"], counts["g"], len(x)
+    rows = df.select(entity, period, *(F.col(c).cast("double").alias(c) for c in columns)).na.drop().cache()
+    regressors, k = [F.col(c) for c in x], len(x)
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(entity).alias("g"), F.countDistinct(period).alias("t")).first()
+    n, g = counts["n"], counts["g"]
     if n < least:
-        within.unpersist()
+        rows.unpersist()
         return None
+    by_entity = demean_within(rows, columns, entity)
+    within = (demean_two_way(rows, columns, entity, period) if two_way else by_entity).cache()
+    products = cross_products(within, [*regressors, F.col(y)])
     inverse = np.linalg.inv(products[:k, :k])
     coef = inverse @ products[:k, k]
     e = F.col(y) - _dot(regressors, coef)
@@ -124,11 +130,17 @@ def fixed_effects(df: DataFrame, y: str, x: Sequence[str], entity: str, period:
     meat = cross_products(by_cluster, [F.col(f"u{i}") for i in range(k)])
     factor = g / (g - 1) * (n - 1) / (n - k) if small_sample and g > 1 and n > k else 1.0
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * factor, 0))
+    full = np.append(-coef, 1.0)
+
+    def share(m: np.ndarray) -> float:
+        return 1 - float(full @ m @ full) / m[k, k] if m[k, k] else float("nan")
+
+    means = rows.groupBy(entity).agg(*(F.avg(c).alias(c) for c in columns))
+    others = [share(cross_products(part, [*regressors, F.col(y)])) for part in (by_entity, means, rows)]
     within.unpersist()
-    tss = products[k, k]
-    r2 = 1 - (tss - coef @ products[:k, k]) / tss if tss else float("nan")
+    rows.unpersist()
     df_left = n - k - g - (counts["t"] - 1 if two_way else 0)
-    return Fit(list(x), coef, se, n, max(df_left, 1), r2, float("nan"))
+    return Fit(list(x), coef, se, n, max(df_left, 1), share(products), float("nan"), *others)
 
 
 def hausman(df: DataFrame, y: str, x: Sequence[str], entity: str) -> dict[str, float]:
@@ -177,25 +189,44 @@ def morans_i(values: DataFrame, edges: DataFrame, node: str = "id", value: str =
     return top.crossJoin(bottom).select("n", "s0", (F.col("n") / F.nullif(F.col("s0"), F.lit(0.0)) * F.col("cross") / F.nullif(F.col("square"), F.lit(0.0))).alias("morans_i"))  # two rows of one
 
 
-def morans_test(values: DataFrame, edges: DataFrame, node: str = "id", value: str = "value", permutations: int = 99, seed: int = 7) -> dict[str, float] | None:
-    """Moran's I with a permutation p-value and z; None under four nodes.
+def _hashed_rank(df: DataFrame, keys: Sequence[str], hashed: Column, node: str) -> DataFrame:
+    """df with _k, each row's place (from 1) in its group in the order of a hex digest: places within the digest's first two
+    digits, plus the rows before these."""
+    rows = df.withColumn("_h", hashed).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = rows.groupBy(*keys, "_b").count()
+    before = sizes.select(*keys, "_b", (F.sum("count").over(W.partitionBy(*keys).orderBy("_b")) - F.col("count")).alias("_before"))
+    within = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_h", node))
+    return rows.withColumn("_w", within).join(before, [*keys, "_b"]).withColumn("_k", F.col("_before") + F.col("_w")).drop("_h", "_b", "_w", "_before")
+
+
+def morans_test(values: DataFrame, edges: DataFrame, node: str = "id", value: str = "value", permutations: int = 99, seed: int = 7) -> DataFrame:
+    """morans_i, expected, z and p of a permutation test, in one plan.
 
-    A permutation gives the nodes' values to the nodes in the order of a seeded hash. Each is a job of its own.
+    Permutation k gives the nodes' values, in the order of a digest of the node, to the nodes in the order of a digest of node, seed and
+    k. p is (more extreme permutations + 1) / (permutations + 1); all but morans_i are null without edges.
     """
-    seen = values.select(node, value).na.drop().cache()
-    if seen.limit(4).count() < 4:
-        return None
-    observed = morans_i(seen, edges, node, value).first()["morans_i"]
-    places = seen.select(F.col(value).alias("_value"), F.row_number().over(W.partitionBy(F.lit(1)).orderBy(node)).alias("_k")).cache()
-    drawn = []
-    for k in range(permutations):
-        order = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.col(node), F.lit(seed), F.lit(k)), node))
-        moved = seen.select(node, order.alias("_k")).join(places, "_k").select(node, F.col("_value").alias(value))
-        drawn.append(morans_i(moved, edges, node, value).first()["morans_i"])
-    sims = np.array(drawn)
-    larger = int((sims >= observed).sum())
-    extreme = min(larger, permutations - larger)
-    return {"i": observed, "expected": float(sims.mean()), "z": float((observed - sims.mean()) / sims.std()) if sims.std() else float("nan"), "p": (extreme + 1) / (permutations + 1)}
+    seen = values.select(F.col(node).alias("_id"), F.col(value).cast("double").alias("_v")).na.drop()
+    moments = seen.agg(F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    seen = seen.crossJoin(F.broadcast(moments)).select("_id", (F.col("_v") - F.col("_mean")).alias("_z"), "_n")  # one row
+    name = F.col("_id").cast("string")
+    one = F.lit(0).alias("_one")
+    places = _hashed_rank(seen.select("_id", "_z", one), ["_one"], F.md5(F.concat(name, F.lit(":values"))), "_id").select("_z", "_k")
+    drawn = seen.select("_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_p"))
+    drawn = _hashed_rank(drawn, ["_p"], F.md5(F.concat(name, F.lit(f":{seed}:"), F.col("_p").cast("string"))), "_id").join(places, "_k").select("_p", "_id", "_z")
+    every = drawn.union(seen.select(F.lit(0).alias("_p"), "_id", "_z"))
+    kept = edges.join(seen.select(F.col("_id").alias("src")), "src").join(seen.select(F.col("_id").alias("dst")), "dst")
+    total = kept.groupBy("src").agg(F.sum("w").alias("_w"))
+    weighted = kept.join(total, "src").select("src", "dst", (F.col("w") / F.nullif(F.col("_w"), F.lit(0.0))).alias("w"))
+    crossed = weighted.join(every.toDF("_p", "src", "_a"), "src").join(every.toDF("_p", "dst", "_b"), ["_p", "dst"])
+    of = crossed.groupBy("_p").agg(F.sum("w").alias("_s0"), F.sum(F.col("w") * F.col("_a") * F.col("_b")).alias("_cross"))
+    square = seen.agg(F.sum(F.col("_z") * F.col("_z")).alias("_square"), F.max("_n").alias("_n"))
+    i = F.col("_n") / F.nullif(F.col("_s0"), F.lit(0.0)) * F.col("_cross") / F.nullif(F.col("_square"), F.lit(0.0))
+    found = of.crossJoin(F.broadcast(square)).select("_p", i.alias("_i"))  # a row for each permutation
+    observed = found.filter("_p = 0").select(F.col("_i").alias("morans_i"))
+    sims = found.filter("_p > 0").crossJoin(F.broadcast(observed))
+    out = sims.groupBy("morans_i").agg(F.avg("_i").alias("expected"), F.stddev_pop("_i").alias("_sd"), F.count_if(F.col("_i") >= F.col("morans_i")).alias("_larger"))
+    p = (F.least("_larger", F.lit(permutations) - F.col("_larger")) + 1) / F.lit(permutations + 1.0)
+    return out.select("morans_i", "expected", ((F.col("morans_i") - F.col("expected")) / F.nullif(F.col("_sd"), F.lit(0.0))).alias("z"), p.alias("p"))
 
 
 def r_squared(df: DataFrame, y: str, predicted: str) -> DataFrame:
