@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip_keep_null, geometric_mean, haversine_km, present, rate, safe_div
+from ..functions.exprs import clip_keep_null, flag, geometric_mean, haversine_km, present, rate, row_mean, safe_div
 from .normalize import minmax_within
 
 #: Facilities that are sent to all tasks; more are matched by cells.
-BROADCAST_FACILITIES = 50_000
+BROADCAST_FACILITIES = 1_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,24 @@ def catastrophic(cost: Column, procedures: Column, income: Column, share: float
     return F.when(risk.isNotNull(), F.when(mean_cost(cost, procedures) > F.lit(share) * income, 1.0).otherwise(0.0))
 
 
+def legacy_dimension(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """The mean of those columns that aren't null, scaled to 0 to 1 over the whole table."""
+    return minmax_within(df.withColumn(out, row_mean([F.col(c).cast("double") for c in columns])), [out], [])
+
+
+def target_flags(df: DataFrame, at_least: Mapping[str, float] = MappingProxyType({}), at_most: Mapping[str, float] = MappingProxyType({})) -> DataFrame:
+    """meets_{column}, 1 where the column reaches (or stays within) its target; a null doesn't."""
+    tests = {c: F.col(c) >= v for c, v in at_least.items()} | {c: F.col(c) <= v for c, v in at_most.items()}
+    return df.withColumns({f"meets_{c}": flag(t) for c, t in tests.items()})
+
+
+def region_proxy(df: DataFrame, column: str, region: str, proxies: Mapping[str, float], default: float | None = None) -> DataFrame:
+    """Nulls of a column filled with their region's value, then with the default."""
+    pairs = [F.lit(v) for pair in proxies.items() for v in pair]
+    proxy = F.try_element_at(F.create_map(*pairs), F.col(region)) if pairs else F.lit(None).cast("double")
+    return df.withColumn(column, F.coalesce(F.col(column), proxy, F.lit(default)))
+
+
 def people_density(population: Column, area: Column) -> Column:
     return F.when(area > 0, safe_div(population, area))
 
@@ -106,35 +125,36 @@ def nearest_facility(places: DataFrame, facilities: DataFrame, radii: Sequence[f
     return places.select("place").join(found, "place", "left")
 
 
-def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), first_km: float = 50.0) -> DataFrame:
+def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), first_km: float | None = None) -> DataFrame:
     """The same by equi-joins on cells of the unit sphere's cube.
 
     A place meets the facilities of its own and the 26 cells around it, whose width is the radius looked at. Who finds one
-    within that radius is done; the others look twice as far. Radii to count in are looked at once each.
+    within that radius is done; the others look twice as far. Radii to count in are looked at once each. The first radius,
+    unless given, is what a facility's share of the sphere's surface comes to.
     """
     places = places.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    facilities = facilities.filter("f_lat IS NOT NULL AND f_lon IS NOT NULL")
+    if first_km is None:
+        first_km = max(2 * 6371.0 / max(facilities.count(), 1) ** 0.5, 0.1)
 
-    def around(radius: float) -> DataFrame:
+    def around(some: DataFrame, radius: float) -> DataFrame:
         width = F.lit(max(radius / 6371.0, 1e-9))
         cell = lambda lat, lon: [F.floor(x / width) for x in _on_sphere(lat, lon)]
         steps = F.array(*(F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
         own = F.array(*cell("lat", "lon"))
-        wide = places.withColumn("cell", F.explode(F.transform(steps, lambda s: F.zip_with(own, s, lambda a, b: a + b))))
+        wide = some.withColumn("cell", F.explode(F.transform(steps, lambda s: F.zip_with(own, s, lambda a, b: a + b))))
         near = facilities.withColumn("cell", F.array(*cell("f_lat", "f_lon")))
-        d = F.when(F.col("place").eqNullSafe(F.col("f_place")), F.lit(0.0)).otherwise(haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
-        met = wide.join(near, "cell").select("place", "facility", d.alias("km")).filter(F.col("km") <= radius)
-        return met.union(own_place).distinct()
-
-    # A place's own facility counts as near wherever its coordinates are.
-    own_place = places.join(facilities, F.col("place") == F.col("f_place")).select("place", "facility", F.lit(0.0).alias("km"))
-    home = places.join(facilities.groupBy(F.col("f_place").alias("place")).agg(F.min("facility").alias("nearest")), "place").select("place", F.lit(0.0).alias("min_km"), "nearest")
-    found, left, radius = home, places.join(home.select("place"), "place", "left_anti"), first_km
-    while radius < 41_000 and left.limit(1).count():
-        met = around(radius).join(left.select("place"), "place", "left_semi")
-        met = met.groupBy("place").agg(F.min("km").alias("min_km"), F.min_by("facility", F.struct("km", "facility")).alias("nearest"))
-        met = met.cache()
-        found, left, radius = found.union(met), left.join(met.select("place"), "place", "left_anti"), radius * 2
+        met = wide.join(near, "cell").filter(~F.col("place").eqNullSafe(F.col("f_place")))
+        met = met.select("place", "facility", haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")).alias("km")).filter(F.col("km") <= radius)
+        # A place's own facilities count as near wherever their coordinates are.
+        return met.union(some.join(facilities, F.col("place") == F.col("f_place")).select("place", "facility", F.lit(0.0).alias("km")))
+
+    found, left, radius = None, places, first_km
+    while found is None or (radius < 41_000 and left.limit(1).count()):
+        met = around(left, radius).groupBy("place").agg(F.min("km").alias("min_km"), F.min_by("facility", F.struct("km", "facility")).alias("nearest")).cache()
+        found = met if found is None else found.union(met)
+        left, radius = left.join(met.select("place"), "place", "left_anti"), radius * 2
     for r in radii:
-        counts = around(r).groupBy("place").agg(F.count(F.lit(1)).alias(f"within_{r:g}"))
+        counts = around(places, r).groupBy("place").agg(F.count(F.lit(1)).alias(f"within_{r:g}"))
         found = found.join(counts, "place", "left").na.fill(0, [f"within_{r:g}"])
     return found
