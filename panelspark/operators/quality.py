@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,15 +56,18 @@ def validate(df: DataFrame, valid: DataFrame, entity: str, period: str, first: i
         raise ValidationError(f"{source}: missing columns {missing}")
     rows = checked(df, valid, entity, period, first, last, order)
     reasons = ["invalid_entity", "bad_period", "duplicate_key"]
-    counted = rows.groupBy("_reason").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set(F.when(F.col("_reason").isNotNull(), F.substring(F.col(entity).cast("string"), 1, 40)))), 1, 10).alias("s") if strict else F.array().cast("array<string>").alias("s")).collect()
+    counted = rows.groupBy("_reason").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Of each reason the ten smallest entities: distinct ones are ranked, so that no task gathers them all.
+    bad_names = rows.filter("_reason IS NOT NULL").select("_reason", F.substring(F.col(entity).cast("string"), 1, 40).alias("name")).filter("name IS NOT NULL").distinct()
+    named = bad_names.withColumn("_rank", F.row_number().over(W.partitionBy("_reason").orderBy("name"))).filter("_rank <= 10").orderBy("_reason", "name").collect()
     by = {r["_reason"]: r for r in counted}
     failures = {k: by[k]["n"] if k in by else 0 for k in reasons}
     clean_n = by[None]["n"] if None in by else 0
-    report = Report(source, sum(failures.values()) + clean_n, clean_n, failures, {k: list(by[k]["s"]) for k in reasons if k in by})
+    report = Report(source, sum(failures.values()) + clean_n, clean_n, failures, {k: [r["name"] for r in named if r["_reason"] == k] for k in reasons if k in by})
     if strict and not report.passed:
         first_bad = next(k for k in reasons if failures[k])
         raise ValidationError(f"{source}: {first_bad} in {failures[first_bad]} rows, such as {report.samples.get(first_bad, [])}")
-    bad = rows.filter("_reason IS NOT NULL").withColumnRenamed("_reason", "_quarantine_reason").withColumn("_quarantine_source", F.lit(source))
+    bad = rows.filter("_reason IS NOT NULL").withColumnRenamed("_reason", "_quarantine_reason").withColumn("_quarantine_source", F.lit(source)).withColumn("_quarantine_at", F.current_timestamp())
     return rows.filter("_reason IS NULL").drop("_reason"), bad, report
 
 
@@ -73,6 +76,26 @@ def quarantine_counts(df: DataFrame, valid: DataFrame, entity: str, period: str,
     return rows.groupBy(F.coalesce("_reason", F.lit("clean")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_quarantine(bad: DataFrame, path: str) -> None:
+    """Appends quarantined rows, a folder for each source and reason."""
+    bad.write.mode("append").partitionBy("_quarantine_source", "_quarantine_reason").parquet(path)
+
+
+def write_report(spark: SparkSession, report: Report, path: str) -> None:
+    """A report as one JSON line and as CSV of its failures, in folders under path, on any file system."""
+    spark.createDataFrame([(json.dumps(json.loads(report.to_json()), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/json")
+    rows = [(report.source, k, n, n == 0) for k, n in report.failures.items()]
+    spark.createDataFrame(rows, "source string, check string, n_failed long, passed boolean").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def gated(stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], df: DataFrame, check: Callable[[str, DataFrame], None]) -> DataFrame:
+    """df through the stages in order; check is called with each stage's name and result, and raises to stop."""
+    for name, stage in stages:
+        df = stage(df)
+        check(name, df)
+    return df
+
+
 def require_rows(df: DataFrame, period: str, per_period: int) -> None:
     """Raises unless every period has that many rows."""
     wrong = df.groupBy(period).count().filter(F.col("count") != per_period).limit(20).collect()

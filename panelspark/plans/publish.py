@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterable, Mapping, Sequence
-from pathlib import Path, PurePosixPath
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from pathlib import PurePosixPath
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import upsert
 
-_SAFE = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,62}")
+#: Characters of a table name at most: what catalogues and file systems commonly take.
+NAME_LENGTH = 128
+
+
+def plain_name(name: str) -> bool:
+    """ASCII letters, digits and underscores, no digit first, of a bounded length."""
+    return name.isascii() and name.isidentifier() and len(name) <= NAME_LENGTH
 
 
 def namespace(table: str, rules: Sequence[tuple[str, str]], default: str = "other") -> str:
@@ -43,7 +49,7 @@ def export_tree(tables: Mapping[str, DataFrame], root: str, rules: Sequence[tupl
     """Writes each table to root/namespace/name as zstd Parquet; a name that isn't a plain identifier is refused."""
     out = []
     for name, df in tables.items():
-        if not _SAFE.fullmatch(name):
+        if not plain_name(name):
             raise ValueError(f"unsafe table name {name!r}")
         path = f"{root}/{namespace(name, rules)}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -57,45 +63,65 @@ def export_catalog(spark: SparkSession, root: str, rules: Sequence[tuple[str, st
     return export_tree({n: spark.table(n) for n in names}, root, rules)
 
 
-def sha256(path: Path) -> str:
-    with path.open("rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def _measured(spark: SparkSession, root: str) -> DataFrame:
+    """path (under root), bytes, sha256 and rows of every Parquet file of a tree on any file system; tasks read the files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    # Schemes are written with one slash or three; the path after them is the same.
+    below = F.expr(f"substr(regexp_replace(path, '^[a-z0-9]+:/+', '/'), length(regexp_replace('{full}', '^[a-z0-9]+:/+', '/')) + 2)")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, rows = [], []
+            for content in batch["content"]:
+                data = content.as_buffer()
+                digests.append(hashlib.sha256(data).hexdigest())
+                rows.append(pq.ParquetFile(pa.BufferReader(data)).metadata.num_rows)
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(digests), pa.array(rows, pa.int64())], names=["path", "bytes", "sha256", "rows"])
+
+    return files.select("path", "length", "content").mapInArrow(measure, "path string, bytes long, sha256 string, rows long").select(below.alias("path"), "bytes", "sha256", "rows")
 
 
-def build_manifest(root: str | Path) -> dict:
-    """Files of a local tree with size, digest, rows and schema from their footers, and totals."""
-    root = Path(root)
+def build_manifest(spark: SparkSession, root: str) -> dict:
+    """Files of a tree with size, digest, rows and their table's schema, and totals. The manifest itself is as long as the list of files."""
     files = []
-    for p in sorted(root.rglob("*.parquet")):
-        footer = pq.ParquetFile(p)
-        files.append({"path": p.relative_to(root).as_posix(), "bytes": p.stat().st_size, "sha256": sha256(p), "rows": footer.metadata.num_rows, "schema": {f.name: str(f.type) for f in footer.schema_arrow}})
+    schemas: dict[str, dict] = {}
+    for r in _measured(spark, str(root)).orderBy("path").toLocalIterator():
+        folder = str(PurePosixPath(r["path"]).parent)
+        if folder not in schemas:
+            schemas[folder] = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{root}/{r['path']}").schema}
+        files.append({"path": r["path"], "bytes": r["bytes"], "sha256": r["sha256"], "rows": r["rows"], "schema": schemas[folder]})
     return {"files": files, "total_files": len(files), "total_bytes": sum(f["bytes"] for f in files), "total_rows": sum(f["rows"] for f in files)}
 
 
-def write_manifest(root: str | Path) -> dict:
-    manifest = build_manifest(root)
-    (Path(root) / "manifest.json").write_text(json.dumps(manifest, indent=2, sort_keys=True))
+def write_manifest(spark: SparkSession, root: str) -> dict:
+    manifest = build_manifest(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest.json")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(json.dumps(manifest, indent=2, sort_keys=True), "utf-8"))
+    out.close()
     return manifest
 
 
-def verify_manifest(root: str | Path, manifest: Mapping) -> list[str]:
+def verify_manifest(spark: SparkSession, root: str, manifest: Mapping) -> list[str]:
     """What is wrong: paths that leave the tree, missing files, other digests or rows, and files that aren't listed."""
-    root, wrong, listed = Path(root), [], set()
+    found = {r["path"]: r for r in _measured(spark, str(root)).toLocalIterator()}
+    wrong, listed = [], set()
     for entry in manifest["files"]:
         path = PurePosixPath(entry["path"])
         if path.is_absolute() or ".." in path.parts:
             wrong.append(f"unsafe path {path}")
             continue
         listed.add(str(path))
-        p = root / path
-        if not p.is_file():
+        own = found.get(str(path))
+        if own is None:
             wrong.append(f"missing {path}")
-        elif sha256(p) != entry["sha256"]:
+        elif own["sha256"] != entry["sha256"]:
             wrong.append(f"digest of {path}")
-        elif pq.ParquetFile(p).metadata.num_rows != entry["rows"]:
+        elif own["rows"] != entry["rows"]:
             wrong.append(f"rows of {path}")
-    wrong += [f"unlisted {p.relative_to(root).as_posix()}" for p in sorted(root.rglob("*.parquet")) if p.relative_to(root).as_posix() not in listed]
-    return wrong
+    return wrong + [f"unlisted {p}" for p in sorted(found) if p not in listed]
 
 
 def register_views(spark: SparkSession, root: str, manifest: Mapping, allowed: Iterable[str]) -> list[str]:

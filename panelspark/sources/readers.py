@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,43 @@ from pyspark.sql import types as T
 from ..functions.exprs import number
 
 
+#: What decoders put for bytes that are no character.
+BROKEN = "\ufffd"
+
+
+def first_that_loads(spark: SparkSession, loaders: Sequence[tuple[str, Callable[[SparkSession], DataFrame]]]) -> DataFrame:
+    """The first source that can be read, in order, with its name in the column _source; an error if none can. Nothing is made up."""
+    failed = []
+    for name, load in loaders:
+        try:
+            df = load(spark)
+            df.limit(1).count()
+        except (AnalysisException, SparkRuntimeException, FileNotFoundError, Py4JJavaError) as error:
+            failed.append(f"{name}: {str(error).splitlines()[0]}")
+            continue
+        return df.withColumn("_source", F.lit(name))
+    raise ValueError("; ".join(failed) or "no source")
+
+
+def with_estimated_flag(df: DataFrame, period: str, first: int, out: str = "estimated") -> DataFrame:
+    """Whether a period's value is an estimate: those from `first` on."""
+    return df.withColumn(out, F.coalesce(F.col(period) >= first, F.lit(False)))
+
+
+def facility_list(spark: SparkSession, path: str, item: str, key: str, keep: Column, envelopes: Sequence[str] = ("data", "results", "items", "value")) -> DataFrame:
+    """One row for each key (the smallest of the others' values) of the objects in pages of JSON that are to be kept."""
+    rows = envelope_json(spark, path, item, envelopes).filter(F.coalesce(keep, F.lit(False)))
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_first")).select(key, *(F.col(f"_first.{c}").alias(c) for c in others))
+
+
+def entity_master(localities: DataFrame, coordinates: DataFrame, key: str) -> DataFrame:
+    """Localities with their coordinates, where there are any: one row of each, whatever the coordinates' number."""
+    others = [c for c in coordinates.columns if c != key]
+    one = coordinates.groupBy(key).agg(F.min(F.struct(*others)).alias("_first")).select(key, *(F.col(f"_first.{c}").alias(c) for c in others))
+    return localities.join(one, key, "left")
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     """A source that failed still has its schema."""
     return spark.createDataFrame([], schema)
@@ -33,11 +72,17 @@ def dotted_number(x: Column) -> Column:
 
 
 def sniff_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1", "windows-1252"), separators: Sequence[str] = (";", ",", "\t"), least: int = 3) -> DataFrame:
-    """Reads with the first encoding and separator that give `least` columns and no broken characters in the header."""
+    """Reads with the first encoding and separator that give `least` columns and no broken character, in header or rows.
+
+    Rows are all looked at, as a broken character may stand in any; that ends at the first one.
+    """
     for encoding in encodings:
         for sep in separators:
             df = spark.read.options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE").csv(path)
-            if len(df.columns) >= least and not any("�" in c for c in df.columns):
+            if len(df.columns) < least or any(BROKEN in c for c in df.columns):
+                continue
+            broken = F.exists(F.array(*(F.col(f"`{c}`") for c in df.columns)), lambda x: F.contains(x, F.lit(BROKEN)))
+            if not df.filter(broken).limit(1).count():
                 return df
     raise ValueError(f"{path}: no encoding and separator give {least} columns")
 
