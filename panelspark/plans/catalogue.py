@@ -74,6 +74,19 @@ people AS (SELECT CAST(c_nationkey AS BIGINT) AS entity, count(*) AS population,
 full_panel AS (SELECT p.*, population, income FROM panel p LEFT JOIN people USING (entity))
 """
 
+#: Quantiles t of Student's distribution for the rows of need (df, q): the density's integral by Simpson's rule, halved 60 times.
+T_QUANTILES = """tb(df, q, lo, hi, k) AS (
+  SELECT df, q, CAST(0 AS DOUBLE), CAST(13 AS DOUBLE), 0 FROM need UNION ALL
+  SELECT df, q, CASE WHEN area < q - 0.5 THEN mid ELSE lo END, CASE WHEN area < q - 0.5 THEN hi ELSE mid END, k + 1 FROM (
+    SELECT df, q, lo, hi, k, (lo + hi) / 2 AS mid, (lo + hi) / 2 / 600 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
+      * list_sum(list_transform(range(0, 201), lambda i: CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(1 + power((lo + hi) / 2 * i / 200, 2) / df, -(df + 1) / 2))) AS area
+    FROM tb WHERE k < 60)),
+tq AS (SELECT df, q, hi AS t FROM tb WHERE k = 60)"""
+
+#: Years of orders and shipments in the tables; a pivot has a column for each.
+_ORDER_YEARS = range(1995, 2002)
+_SHIP_YEARS = range(1995, 2002)
+
 _SPECS = [
     I.DimensionSpec("d1", "procedures", "population", 1000.0),
     I.DimensionSpec("d2", "mean_price"),
@@ -143,12 +156,12 @@ def rate_indicators(spark, d):
 
 @query(
     _PANEL
-    + """, pros AS (SELECT CAST(c_nationkey AS BIGINT) AS entity, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 3 = 0 GROUP BY 1)
+    + """, pros AS (SELECT CAST(c_nationkey AS BIGINT) AS entity, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1)
 SELECT CAST(n_nationkey AS BIGINT) AS entity, round(coalesce(n, 0) / CAST(nullif(population, 0) AS DOUBLE) * 100000, 6) AS density FROM nation LEFT JOIN people ON entity = n_nationkey LEFT JOIN pros USING (entity)"""
 )
 def workforce_density(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity"))
-    pros = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' AND c_custkey % 3 = 0").groupBy(F.col("c_nationkey").cast("long").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    pros = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").cast("long").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
     rows = nation.join(people(spark, d), "entity", "left").join(pros, "entity", "left")
     return rows.select("entity", r(I.density(F.col("n"), F.col("population"))).alias("density"))
 
@@ -160,7 +173,7 @@ def coverage_clip(spark, d):
 
 
 _PLACES = "SELECT c_custkey AS place, CAST(c_custkey % 120 - 60 AS DOUBLE) AS lat, CAST((c_custkey * 7) % 360 - 180 AS DOUBLE) AS lon FROM customer"
-_FACILITIES = "SELECT s_suppkey AS facility, CAST(s_suppkey * 15 AS BIGINT) AS f_place, CAST((s_suppkey * 13) % 140 - 70 AS DOUBLE) AS f_lat, CAST((s_suppkey * 31) % 360 - 180 AS DOUBLE) AS f_lon FROM supplier WHERE s_suppkey <= 400"
+_FACILITIES = "SELECT s_suppkey AS facility, CAST(s_suppkey * 15 AS BIGINT) AS f_place, CAST((s_suppkey * 13) % 140 - 70 AS DOUBLE) AS f_lat, CAST((s_suppkey * 31) % 360 - 180 AS DOUBLE) AS f_lon FROM supplier"
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, power(sin((radians(f_lat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(f_lat)) * power(sin(radians(f_lon - lon) / 2), 2))))"
 
 
@@ -186,17 +199,18 @@ def nearest_facility_haversine(spark, d):
 SELECT place, round(min(km), 6) AS min_km, count(*) FILTER (WHERE km <= 500) AS within_500 FROM k GROUP BY place"""
 )
 def nearest_facility_by_cells(spark, d):
-    return I.by_cells(*places(spark, d), radii=(500,), first_km=3000.0).select("place", r("min_km").alias("min_km"), "within_500")
+    return I.by_cells(*places(spark, d), radii=(500,)).select("place", r("min_km").alias("min_km"), "within_500")
 
 
-@query("""WITH g AS (SELECT CAST(n_regionkey AS BIGINT) AS region, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
-s AS (SELECT CASE WHEN grouping(region) = 1 THEN 'Overall' ELSE CAST(region AS VARCHAR) END AS "group", count(c_acctbal) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd, quantile_cont(c_acctbal, 0.5) AS median, quantile_cont(c_acctbal, 0.25) AS q25, quantile_cont(c_acctbal, 0.75) AS q75 FROM g GROUP BY GROUPING SETS ((region), ()))
-SELECT "group", n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS se, round(median, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75 FROM s""")
+@query(f"""WITH RECURSIVE g AS (SELECT CAST(n_regionkey AS BIGINT) AS region, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT CASE WHEN grouping(region) = 1 THEN 'Overall' ELSE CAST(region AS VARCHAR) END AS "group", count(c_acctbal) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd, quantile_cont(c_acctbal, 0.5) AS median, quantile_cont(c_acctbal, 0.25) AS q25, quantile_cont(c_acctbal, 0.75) AS q75 FROM g GROUP BY GROUPING SETS ((region), ())),
+need AS (SELECT DISTINCT CAST(n - 1 AS DOUBLE) AS df, 0.975 AS q FROM s), {T_QUANTILES}
+SELECT "group", n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS se, round(mean - t * sd / sqrt(n), 6) AS ci_low, round(mean + t * sd / sqrt(n), 6) AS ci_high, round(median, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75 FROM s JOIN tq ON df = n - 1""")
 def descriptives_grouping_sets(spark, d):
     nation = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("region"))
     rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     out = A.with_t_interval(A.describe(rows, ["c_acctbal"], "region"))
-    return out.select("group", "n", *(r(c).alias(c) for c in ("mean", "sd", "se", "median", "q25", "q75")))
+    return out.select("group", "n", *(r(c).alias(c) for c in ("mean", "sd", "se", "ci_low", "ci_high", "median", "q25", "q75")))
 
 
 @query("SELECT round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS sd, round(quantile_cont(o_totalprice, 0.5), 6) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max, count(*) AS n FROM orders")
@@ -241,25 +255,6 @@ def ols_simple(spark, d):
     return panel(spark, d).agg(r(F.regr_slope("cost", "procedures"), 4).alias("slope"), r(F.regr_r2("cost", "procedures")).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def fixed_effects_model(spark, d):
-    rows = scores(spark, d).withColumn("outcome", F.col("cost") / F.col("procedures"))
-    fit = S.fixed_effects(rows, "outcome", ["score"], "entity", "period")
-    return S.result_frame(spark, {"two-way": fit} if fit else {})
-
-
-@query()
-def hausman_test(spark, d):
-    found = S.hausman(panel(spark, d).withColumn("x", F.col("procedures").cast("double")).withColumn("y", F.col("cost") / 1000), "y", ["x"], "entity")
-    return spark.createDataFrame([(found["statistic"], found["df"], found["p"])], "statistic double, df int, p double")
-
-
-@query()
-def polynomial_fit(spark, d):
-    rows = panel(spark, d).select((F.col("procedures") / 100.0).alias("x"), (F.col("cost") / 1e7).alias("y"))
-    return S.result_frame(spark, {f"degree {k}": S.polynomial(rows, "y", "x", k) for k in (1, 2, 3)})
-
-
 @query(
     _PANEL
     + """, v AS (SELECT entity AS id, sum(cost) / sum(procedures) AS value FROM panel GROUP BY 1), z AS (SELECT id, value - (SELECT avg(value) FROM v) AS z FROM v), e AS (SELECT a.id AS src, b.id AS dst FROM z a JOIN z b ON abs(a.id - b.id) = 1),
@@ -418,7 +413,7 @@ def missingness_long(spark, d):
 
 @query(
     _GAPS
-    + " UNION ALL ".join(f" SELECT '{c}' AS variable, " + ", ".join(f"round_even(100.0 * CAST(count(*) FILTER (WHERE {c} IS NULL AND period = {y}) AS DOUBLE) / CAST(count(*) FILTER (WHERE period = {y}) AS DOUBLE), 2) AS y{y}" for y in (1993, 1994, 1995)) + f", {_PCT.format(c=c)} AS overall FROM g" for c in ("discount", "tax"))
+    + " UNION ALL ".join(f" SELECT '{c}' AS variable, " + ", ".join(f"round_even(100.0 * CAST(count(*) FILTER (WHERE {c} IS NULL AND period = {y}) AS DOUBLE) / CAST(count(*) FILTER (WHERE period = {y}) AS DOUBLE), 2) AS y{y}" for y in _SHIP_YEARS) + f", {_PCT.format(c=c)} AS overall FROM g" for c in ("discount", "tax"))
 )
 def missingness_wide(spark, d):
     rows = with_gaps(spark, d)
@@ -467,14 +462,6 @@ def wilson_interval(spark, d):
     return rows.select("entity", r(low).alias("low"), r(high).alias("high"))
 
 
-@query()
-def poisson_intervals(spark, d):
-    from ..functions.quantiles import poisson_interval
-
-    rows = full(spark, d).withColumn("b", poisson_interval(F.col("deaths")))
-    return rows.select("entity", "period", "deaths", r(X.rate(F.col("b.low"), F.col("population")), 4).alias("low"), r(X.rate(F.col("b.high"), F.col("population")), 4).alias("high"))
-
-
 _FLOW = "WITH f AS (SELECT c_nationkey AS origin, s_nationkey AS destination, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
@@ -530,7 +517,7 @@ def hourly_event_rollup(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
-@query("WITH g AS (SELECT r_name, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT r_name, " + ", ".join(f"round(quantile_cont(o_totalprice, 0.5) FILTER (WHERE y = {y}), 4) AS y{y}" for y in (1993, 1994, 1995)) + " FROM g GROUP BY 1")
+@query("WITH g AS (SELECT r_name, CAST(year(o_orderdate) AS BIGINT) AS y, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT r_name, " + ", ".join(f"round(quantile_cont(o_totalprice, 0.5) FILTER (WHERE y = {y}), 4) AS y{y}" for y in _ORDER_YEARS) + " FROM g GROUP BY 1")
 def region_year_median_pivot(spark, d):
     regions = regional(spark, d)
     years = A.periods(regions, "period")
@@ -681,14 +668,6 @@ def month_sequence(spark, d):
     return months.select(year("m").alias("y"), F.month("m").cast("long").alias("mo"))
 
 
-@query()
-def forest_cross_validation(spark, d):
-    from ..operators import models
-
-    rows = scores(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity"), "n_regionkey"), "entity").na.fill(0.5, ["d1", "d2", "d3", "d4"])
-    return models.cross_validate(rows, ["d1", "d2", "d3", "d4"], "cost", "n_regionkey", "rf", trees=10)
-
-
 @query("WITH g AS (SELECT DISTINCT n_regionkey FROM nation), f AS (SELECT n_regionkey, CAST((row_number() OVER (ORDER BY n_regionkey) - 1) % 3 AS INTEGER) AS fold FROM g) SELECT n_nationkey, fold FROM nation JOIN f USING (n_regionkey)")
 def group_folds(spark, d):
     from ..operators import models
@@ -696,15 +675,6 @@ def group_folds(spark, d):
     return models.group_folds(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", 3).select("n_nationkey", "fold")
 
 
-@query()
-def double_machine_learning(spark, d):
-    from ..operators import models
-
-    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.month("o_orderdate").cast("double").alias("m"), (F.col("o_custkey") % 100).cast("double").alias("x"), F.col("o_totalprice").alias("y"), (F.col("o_orderkey") % 13).cast("double").alias("treatment"))
-    found = models.double_ml(rows, "y", "treatment", ["m", "x"], ["o_orderkey"])
-    return spark.createDataFrame([(found["effect"], found["se"], found["n"])] if found else [], "effect double, se double, n long")
-
-
 @query("SELECT c_mktsegment, count(*) AS n, round(covar_samp(c_nationkey, c_acctbal) / var_samp(c_nationkey), 6) AS slope FROM customer GROUP BY 1")
 def effects_by_group(spark, d):
     from ..operators import models
@@ -712,9 +682,3 @@ def effects_by_group(spark, d):
     return models.effects_by_group(table(spark, d, "customer").withColumn("x", F.col("c_nationkey").cast("double")), "c_acctbal", "x", "c_mktsegment").select("c_mktsegment", "n", r("slope").alias("slope"))
 
 
-@query()
-def chained_imputation(spark, d):
-    from ..operators import models
-
-    rows = scores(spark, d).select("entity", "period", "d1", "d2", "d3", F.col("procedures").cast("double").alias("procedures"))
-    return models.impute_chained(rows, ["d2"], ["d1", "d3", "procedures"], ["entity", "period"], draws=2, sweeps=2)
