@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panelspark.functions import exprs as X
 from panelspark.operators import aggregate as A
 from panelspark.operators import indicators as I
 from panelspark.operators import models as M
@@ -143,6 +144,11 @@ def test_nearest_both_ways(spark):
     a = rows(I.nearest_facility(places, facilities, radii=(800,)).select("place", F.round("min_km", 6), "within_800"))
     b = rows(I.by_cells(places, facilities, radii=(800,), first_km=2000).select("place", F.round("min_km", 6), "within_800"))
     assert [r for r in a if r[0] != 99] == b and (99, None, None) in a
+    # Repeated facilities, several at a place's own coordinates, and own ones without a near one: both paths say the same.
+    more = facilities.union(facilities).union(spark.createDataFrame([(70, 500, -60.0, -180.0), (71, 0, 10.0, 10.0), (72, 501, None, 1.0)], facilities.schema))
+    shown = ("place", F.round("min_km", 6), "nearest", "within_800", "within_3000")
+    both = [rows(I.nearest_facility(places, more, (800, 3000), broadcast_rows=n).select(*shown)) for n in (1_000, 0)]
+    assert both[0] == both[1] and any(r[3] >= 2 for r in both[0] if r[3])
 
 
 def regression_frame(spark, n=60, seed=3):
@@ -170,10 +176,26 @@ def test_fixed_effects_against_dummies(spark):
     b = np.linalg.lstsq(D, y, rcond=None)[0]
     fit = S.fixed_effects(df, "y", ["x"], "e", "p")
     assert fit.coef[0] == pytest.approx(b[0])
+
+    def clustered(x, y, entity, period, b):
+        """Cluster-robust error and R2s, about zero, from dense demeaning by dummies."""
+        D = np.column_stack([np.eye(entity.max() + 1)[entity], np.eye(6)[period][:, 1:]])
+        out = lambda v, M: v - M @ np.linalg.lstsq(M, v, rcond=None)[0]
+        wx, wy = out(x, D), out(y, D)
+        g, n = len(np.unique(entity)), len(x)
+        u = np.array([(wx * (wy - b * wx))[entity == k].sum() for k in np.unique(entity)])
+        share = lambda p, q: 1 - ((q - b * p) ** 2).sum() / (q**2).sum()
+        E = D[:, : entity.max() + 1]
+        mx, my = (np.array([v[entity == k].mean() for k in np.unique(entity)]) for v in (x, y))
+        return np.sqrt((u**2).sum() * g / (g - 1)) / (wx**2).sum(), share(wx, wy), share(out(x, E), out(y, E)), share(mx, my), share(x, y)
+
+    assert (fit.se[0], fit.r2, fit.r2_within, fit.r2_between, fit.r2_overall) == pytest.approx(clustered(x, y, entity, period, b[0]))
     unbalanced = df.filter("NOT (e = 2 AND p > 2) AND NOT (e = 4 AND p = 0)")
     keep = ~(((entity == 2) & (period > 2)) | ((entity == 4) & (period == 0)))
     b = np.linalg.lstsq(D[keep], y[keep], rcond=None)[0]
-    assert S.fixed_effects(unbalanced, "y", ["x"], "e", "p").coef[0] == pytest.approx(b[0], rel=1e-6)
+    fit = S.fixed_effects(unbalanced, "y", ["x"], "e", "p")
+    assert fit.coef[0] == pytest.approx(b[0], rel=1e-9)
+    assert (fit.se[0], fit.r2, fit.r2_within, fit.r2_between, fit.r2_overall) == pytest.approx(clustered(x[keep], y[keep], entity[keep], period[keep], b[0]))
     assert S.fixed_effects(df.limit(5), "y", ["x"], "e", "p") is None
 
 
@@ -184,8 +206,9 @@ def test_morans_i_of_a_line(spark):
     w = np.array([[1.0 if abs(i - j) == 1 else 0 for j in range(6)] for i in range(6)])
     w /= w.sum(axis=1, keepdims=True)
     assert S.morans_i(values, edges).first()["morans_i"] == pytest.approx((z @ w @ z) / (z @ z))
-    test = S.morans_test(values, edges, permutations=9)
-    assert 0 < test["p"] <= 1 and S.morans_test(values.limit(3), edges) is None
+    test = S.morans_test(values, edges, permutations=9).first()
+    assert test["morans_i"] == pytest.approx((z @ w @ z) / (z @ z)) and 0 < test["p"] <= 1
+    assert S.morans_test(values.limit(0), edges).count() == 0
 
 
 def test_folds_keep_groups_together(spark):
@@ -238,3 +261,106 @@ def test_pivots_have_every_period_present(spark):
     assert wide.columns == ["variable", *(f"y{y}" for y in years), "overall"]
     long = {(r["variable"], r["period"]): r["pct_missing"] for r in catalogue.QUERIES["missingness_long"](spark, d).collect()}
     assert all(r[f"y{y}"] == long[r["variable"], y] for r in wide.collect() for y in years)
+
+
+def test_percentiles_of_large_groups_equal_exact_ones(spark, monkeypatch):
+    """Brackets and counts against numpy, with ties, nulls, a null key and small groups. Brackets are wider, as groups are smaller."""
+    monkeypatch.setattr(N, "BRACKET_SHARE", 0.02)
+    rng = np.random.default_rng(4)
+    data = [(None if i % 7 == 0 else i % 3, float(v), None if i % 11 == 0 else float(round(v, 1))) for i, v in enumerate(rng.normal(size=6_000))] + [(9, 1.0, None), (9, 3.0, 2.0)]
+    df = spark.createDataFrame(data, "k int, a double, b double")
+    points = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for keys, bracket in ((["k"], 500), (["k"], 20_000), ([], 0)):
+        got = {r["k"] if keys else "all": r for r in N.percentiles(df, ["a", "b"], points, keys, group_rows=0, bracket_rows=bracket).collect()}
+        for key in {k for k, _, _ in data} if keys else {"all"}:
+            for j, c in ((1, "a"), (2, "b")):
+                own = [r[j] for r in data if (not keys or r[0] == key) and r[j] is not None]
+                assert got[key][f"_q_{c}"] == pytest.approx(np.quantile(own, points).tolist())
+
+
+def test_ranks_in_ranges_equal_plain_ranks(spark):
+    values = [5, 1, 1, 3, None, 3, 3, 10, -4, 5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int")
+    known = sorted(v for v in values if v is not None)
+    for parts in (1, 3, 64):
+        got = {r["i"]: r["rank"] for r in A.average_ranks(df, "v", "rank", parts).collect()}
+        assert got == {i: None if v is None else known.index(v) + (known.count(v) + 1) / 2 for i, v in enumerate(values)}
+
+
+def test_lasso_meets_its_conditions_and_double_ml_equals_dense(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    x = rng.normal(size=(n, 3)) * [1, 5, 0.2]
+    d = x[:, 0] + rng.normal(size=n)
+    y = 2 * d + x[:, 1] + rng.normal(size=n)
+    X = np.column_stack([np.ones(n), x, y])
+    b = M.lasso(X.T @ X, 0.1)
+    residual = y - b[0] - x @ b[1:]
+    slope = (x - x.mean(0)) / x.std(0)
+    pull = slope.T @ residual / n
+    assert abs(residual.mean()) < 1e-9 and all(abs(p - 0.1 * np.sign(c)) < 1e-8 if c else abs(p) <= 0.1 + 1e-8 for p, c in zip(pull, b[1:], strict=True))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.column_stack([x, d, y]))], "i int, a double, b double, c double, d double, y double")
+    found = M.double_ml(df, "y", "d", ["a", "b", "c"], ["i"], penalty=0.05)
+    fold = np.array([r["fold"] for r in M.hash_folds(df, ["i"]).orderBy("i").collect()])
+    ry, rd = np.zeros(n), np.zeros(n)
+    for k in range(5):
+        for v, out in ((y, ry), (d, rd)):
+            t = fold != k
+            Z = np.column_stack([np.ones(t.sum()), x[t], v[t]])
+            w = M.lasso(Z.T @ Z, 0.05)
+            out[~t] = v[~t] - w[0] - x[~t] @ w[1:]
+    effect = (rd @ ry) / (rd @ rd)
+    assert found["effect"] == pytest.approx(effect) and found["se"] == pytest.approx(np.sqrt((rd**2 * (ry - effect * rd) ** 2).sum()) / (rd @ rd))
+    chosen = M.double_ml(df, "y", "d", ["a", "b", "c"], ["i"])
+    assert abs(chosen["effect"] - 2) < 0.2 and M.double_ml(df.limit(10), "y", "d", ["a"], ["i"]) is None
+
+
+def test_fold_metrics_and_their_summary(spark):
+    rng = np.random.default_rng(1)
+    data = [(i % 4, float(a), float(3 * (a > 0) + rng.normal() * 0.1)) for i, a in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(data, "g int, x double, y double")
+    folds = M.cross_validate(df, ["x"], "y", "g", "rf", trees=5, folds=4)
+    assert [r["fold"] for r in folds.orderBy("fold").collect()] == [0, 1, 2, 3] and all(r["r2"] > 0.9 and r["rmse"] < 0.5 for r in folds.collect())
+    r2 = np.array([r["r2"] for r in folds.collect()])
+    row = {r["metric"]: r for r in M.fold_summary(folds).collect()}["r2"]
+    half = 3.182446305284264 * r2.std(ddof=1) / 2
+    assert (row["n"], row["mean"], row["ci_low"], row["ci_high"]) == pytest.approx((4, r2.mean(), r2.mean() - half, r2.mean() + half))
+    shares = {r["feature"]: r["importance"] for r in M.importances(df.withColumn("noise", F.lit(1.0)), ["x", "noise"], "y", trees=5).collect()}
+    assert shares["x"] == pytest.approx(1.0) and shares["noise"] == 0.0
+    assert M.refit(df, ["x"], "y", trees=3).numFeatures == 1
+
+
+def test_small_panel_operators(spark):
+    df = spark.createDataFrame([(" 12", "north", None, 4.0, "b"), ("0000013", "south", 2.0, None, "a"), ("14", "west", None, 0.0, None)], "Code string, zone string, v double, w double, kind string")
+    keyed = P.canonical_key(df, "entity", ["code"])
+    assert [r["entity"] for r in keyed.collect()] == ["0000012", "0000013", "0000014"]
+    with pytest.raises(ValueError, match="no column"):
+        P.canonical_key(df, "entity", ["absent"])
+    assert P.prefixed(df, "s_", ["Code"]).columns == ["Code", "s_zone", "s_v", "s_w", "s_kind"]
+    assert X.usd(F.col("v"), 0) is None and df.select(X.usd(F.col("v"), 4.0).alias("u")).collect()[1]["u"] == 0.5
+    assert [r["v"] for r in I.region_proxy(df, "v", "zone", {"north": 7.0}, 1.0).collect()] == [7.0, 2.0, 1.0]
+    hot = A.one_hot(df, "kind", ["a", "b"])
+    assert [(r["kind_a"], r["kind_b"]) for r in hot.collect()] == [(0, 1), (1, 0), (0, 0)]
+    assert [r["kind"] for r in A.in_order(df, "kind", ["b", "a"]).collect()] == ["b", "a", None]
+    flags = I.target_flags(df, {"v": 2.0}, {"w": 1.0}).collect()
+    assert [(r["meets_v"], r["meets_w"]) for r in flags] == [(0, 0), (1, 0), (0, 1)]
+    gaps = A.target_gaps(df, "w", 3.0, "Code").collect()
+    assert [(r["gap"], r["meets"]) for r in gaps] == [(3.0, 0), (-1.0, 1)]
+    assert [r["d"] for r in df.select(I.people_density(F.col("w"), F.col("v")).alias("d")).collect()] == [None, None, None]
+    p = spark.createDataFrame([(0.0005,), (0.005,), (0.03,), (0.5,)], "p double")
+    assert [r[0] for r in p.select(X.stars(F.col("p"))).collect()] == ["***", "**", "*", ""]
+
+
+def test_quarantine_names_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([(str(k), 2020) for k in range(30)] + [("a", 1900), ("a", 2020), ("a", 2020)], "e string, y int")
+    clean, bad, report = Q.validate(df, spark.createDataFrame([("a",)], "e string"), "e", "y", 2000, 2030, "census")
+    assert report.samples["invalid_entity"] == sorted(map(str, range(30)))[:10] and not report.passed and clean.count() == 1
+    assert bad.filter("_quarantine_at IS NULL OR _quarantine_source <> 'census'").count() == 0
+    Q.write_quarantine(bad, str(tmp_path / "bad"))
+    assert spark.read.parquet(str(tmp_path / "bad")).filter("_quarantine_reason = 'duplicate_key'").count() == 1
+    Q.write_report(spark, report, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/json")).first()["n_rows"] == 33
+    assert spark.read.option("header", True).csv(str(tmp_path / "report/csv")).count() == 3
+    seen = []
+    Q.gated([("one", lambda x: x.limit(2)), ("two", lambda x: x.limit(1))], df, lambda name, x: seen.append((name, x.count())))
+    assert seen == [("one", 2), ("two", 1)]

@@ -16,7 +16,12 @@ def test_csv_readers(spark, tmp_path):
     assert got == [("0042", 1.5), ("7", None)]
     latin = tmp_path / "latin.csv"
     latin.write_bytes("município;uf;total\nSão;SP;1.234,5\n".encode("latin-1"))
-    df = R.sniff_csv(spark, str(latin), encodings=("ISO-8859-1",))
+    df = R.sniff_csv(spark, str(latin))
+    late = tmp_path / "late.csv"  # the header is ASCII; only the last row tells
+    late.write_bytes("city;uf;total\nRio;RJ;1\nSão;SP;2\n".encode("latin-1"))
+    assert [r["city"] for r in R.sniff_csv(spark, str(late)).collect()] == ["Rio", "São"]
+    late.write_bytes("city,uf,total\nSão,SP,2\n".encode())
+    assert [r["city"] for r in R.sniff_csv(spark, str(late)).collect()] == ["São"]
     assert df.select(R.dotted_number(F.col("total")).alias("t")).first()["t"] == 1234.5 and "município" in df.columns
 
 
@@ -62,16 +67,41 @@ def test_tree_manifest_round_trip(spark, tmp_path):
     K.export_tree({"scores": spark.range(5), "raw_events": spark.range(3)}, str(root), [("raw", "raw"), ("scores", "results")])
     with pytest.raises(ValueError, match="unsafe"):
         K.export_tree({"a; drop": spark.range(1)}, str(root), [])
-    manifest = K.write_manifest(root)
-    assert manifest["total_rows"] == 8 and K.verify_manifest(root, manifest) == []
+    manifest = K.write_manifest(spark, str(root))
+    assert manifest["total_rows"] == 8 and K.verify_manifest(spark, str(root), manifest) == []
+    assert json.loads((root / "manifest.json").read_text()) == manifest and manifest["files"][0]["schema"] == {"id": "bigint"}
     assert K.register_views(spark, str(root), manifest, ["scores"]) == ["scores"] and spark.table("scores").count() == 5
     manifest["files"][0]["sha256"] = "0"
     manifest["files"].append({"path": "../x.parquet", "sha256": "", "rows": 0})
     (root / "extra.parquet").write_bytes(next(root.rglob("*.parquet")).read_bytes())
-    wrong = K.verify_manifest(root, manifest)
+    wrong = K.verify_manifest(spark, str(root), manifest)
     assert any(w.startswith("digest") for w in wrong) and any(w.startswith("unsafe") for w in wrong) and any(w.startswith("unlisted") for w in wrong)
 
 
+def test_parquet_trees_tables_and_fallbacks(spark, tmp_path):
+    a = spark.createDataFrame([(1, 2020), (2, 2021)], "v int, year int")
+    a.write.parquet(str(tmp_path / "t/a"))
+    a.withColumn("extra", F.lit("x")).write.parquet(str(tmp_path / "t/b"))
+    both = R.parquet_tree(spark, [str(tmp_path / "t/a"), str(tmp_path / "t/b")])
+    assert both.count() == 4 and "extra" in both.columns
+    assert sorted(r["v"] for r in R.parquet_tree(spark, str(tmp_path / "t/a"), years=(2021, 2022)).collect()) == [2]
+    a.createOrReplaceTempView("readings")
+    assert R.table_filter(spark, "readings", "v > 1").count() == 1 and R.table_filter(spark, "readings").count() == 2
+    loaders = [("cache", lambda s: s.read.parquet(str(tmp_path / "absent"))), ("files", lambda s: s.read.parquet(str(tmp_path / "t/a")))]
+    assert {r["_source"] for r in R.first_that_loads(spark, loaders).collect()} == {"files"}
+    with pytest.raises(ValueError, match="cache"):
+        R.first_that_loads(spark, loaders[:1])
+    assert [r["estimated"] for r in R.with_estimated_flag(a, "year", 2021).orderBy("v").collect()] == [False, True]
+    for k, page in enumerate(([{"id": 1, "kind": "h"}, {"id": 1, "kind": "g"}], [{"id": 2, "kind": "x"}])):
+        (tmp_path / f"page{k}.json").write_text(json.dumps({"items": page}))
+    found = R.facility_list(spark, str(tmp_path / "page*.json"), "id int, kind string", "id", F.col("kind") != "x")
+    assert [tuple(r) for r in found.collect()] == [(1, "g")]
+    places = spark.createDataFrame([(1, 5.0), (1, 4.0)], "v int, lat double")
+    assert sorted((r["v"], r["lat"]) for r in R.entity_master(a.select("v"), places, "v").collect()) == [(1, 4.0), (2, None)]
+    K.upsert_tree(spark, spark.createDataFrame([(2, 1999)], "v int, year int"), str(tmp_path / "t/a"), str(tmp_path / "t/c"), ["v"])
+    assert sorted(r["year"] for r in spark.read.parquet(str(tmp_path / "t/c")).collect()) == [1999, 2020]
+
+
 def test_streaming_counts_each_event_once(spark, tmp_path):
     landing = str(tmp_path / "in")
     rows = [(1, "2024-01-01 00:10:00", "a", 1.0), (1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-01 00:20:00", "a", 2.0)]
