@@ -6,7 +6,8 @@ has a class of its own, in a table of words that grows with the corpus. It is fo
 1. Exchange clustering of units: each of the UNITS most frequent words is a unit, and all other words share one by the
 form of their ending. In each round every unit is weighed in every class, against counts that leave it out, by the
 likelihood of the classes before and after it, and goes to the best. Rounds add up counts per unit and neighbouring class,
-and move a part of the units at a time, so that two of them don't swap places for ever.
+and move a part of the units at a time. A round after which the likelihood is lower is undone, and smaller parts move from
+then on. Rounds end when the last ones gained too little (GAIN).
 2. Every other repeated word is taken out of its form's class and goes to its best one in the same way, by its own counts
 per side and neighbouring class, which tasks add up by ranges of word hashes. This is done once; a neighbour that isn't
 a unit counts there with its form's class.
@@ -36,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .storage import cut
+from .storage import cut, small_batches
 
 #: The most frequent words that are clustered first, as units of their own, and units of word forms.
 UNITS = 1 << 14
 FORMS = 512
 CLASSES = 64
-ROUNDS = 10
+#: Rounds end once a round gains less than this logarithm of likelihood a token, on average over the last ones; and at ROUNDS.
+GAIN = 1e-3
+ROUNDS = 30
+#: Parts of units that move at a time, at first and at most.
+PARTS, MOST_PARTS = 2, 16
 #: Words whose counts and classes every task holds.
 HEAD = 1 << 18
 ADDED = 0.1
@@ -188,8 +193,8 @@ def _neighbours(units: DataFrame, coarse, classes: np.ndarray, n_classes: int) -
     return units.mapInArrow(run, "block int, side int, cells binary, counts binary")
 
 
-def _moved(parts: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int) -> DataFrame:
-    """unit and class of the units, a part of which is moved to where it is likeliest."""
+def _moved(parts: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int, share: int) -> DataFrame:
+    """unit and class of the units, one of `share` parts of which is moved to where it is likeliest."""
     n_classes = len(transitions)
     context = parts.sparkSession.sparkContext
     shared = context.broadcast((classes, transitions))
@@ -205,7 +210,7 @@ def _moved(parts: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn:
         new = of[first : first + n].copy()
         for k in range(n):
             unit = first + k
-            if unit != _END and before[k].any() and words.mix(np.array([unit * 31 + turn], _U))[0] % _U(2) == turn % 2:
+            if unit != _END and before[k].any() and words.mix(np.array([unit], _U))[0] % _U(share) == turn % share:
                 new[k] = best_class(before[k], after[k], int(of[unit]), between)
         return pa.table({"unit": pa.array(np.arange(first, first + n), pa.int32()), "class": pa.array(new.astype(np.int32))})
 
@@ -222,7 +227,8 @@ def best_class(before: np.ndarray, after: np.ndarray, now: int, between: np.ndar
     rest[:, now] -= before
     rest[now, :] -= after
     rest = np.maximum(rest, 0.0)
-    left, right = rest.sum(axis=1), rest.sum(axis=0)
+    # The neighbours' own places stay taken wherever the unit goes.
+    left, right = rest.sum(axis=1) + before, rest.sum(axis=0) + after
     seen_b, seen_a = np.flatnonzero(before), np.flatnonzero(after)
 
     def xlogx(x: np.ndarray) -> np.ndarray:
@@ -232,6 +238,9 @@ def best_class(before: np.ndarray, after: np.ndarray, now: int, between: np.ndar
     gain = (xlogx(into + before[seen_b, None]) - xlogx(into)).sum(axis=0)
     out = rest[:, seen_a]
     gain += (xlogx(out + after[seen_a]) - xlogx(out)).sum(axis=1)
+    # A class beside itself takes both in one cell.
+    own = rest.diagonal()
+    gain += xlogx(own + before + after) - xlogx(own + before) - xlogx(own + after) + xlogx(own)
     gain -= xlogx(right + before.sum()) - xlogx(right) + xlogx(left + after.sum()) - xlogx(left)
     gain[_END] = -np.inf  # text ends stay a class of their own
     return int(gain.argmax()) if gain.max() > gain[now] + 1e-9 else now
@@ -261,7 +270,11 @@ def best_classes(before: np.ndarray, after: np.ndarray, now: np.ndarray, between
         b, a, own = before[at : at + rows].astype(float), after[at : at + rows].astype(float), now[at : at + rows].astype(np.int64)
         line, nb, na = np.arange(len(own)), b.sum(axis=1), a.sum(axis=1)
         gain = joined(b, a, own, between) + joined(a, b, own, between.T)
-        left, right = between.sum(axis=1) - b, between.sum(axis=0) - a
+        diagonal = np.repeat(between.diagonal()[None], len(own), axis=0)
+        diagonal[line, own] -= b[line, own] + a[line, own]
+        diagonal = np.maximum(diagonal, 0.0)
+        gain += xlogx(diagonal + b + a) - xlogx(diagonal + b) - xlogx(diagonal + a) + xlogx(diagonal)
+        left, right = np.repeat(between.sum(axis=1)[None], len(own), axis=0), np.repeat(between.sum(axis=0)[None], len(own), axis=0)
         left[line, own] -= na
         right[line, own] -= nb
         left, right = np.maximum(left, 0.0), np.maximum(right, 0.0)
@@ -353,20 +366,39 @@ def _pairs(units: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
     return _matrix(units.mapInArrow(run, "pair int, n long"), n_classes)
 
 
-def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit by exchange clustering over a table of units (four bytes each, a binary per text), which coarse maps to units of the clustering."""
+def likelihood(between: np.ndarray) -> float:
+    """What of the log likelihood of a text depends on its words' classes, from counts of class pairs."""
+
+    def xlogx(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1.0))).sum())
+
+    return xlogx(between) - xlogx(between.sum(axis=0)) - xlogx(between.sum(axis=1))
+
+
+def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit by exchange clustering over a table of units (four bytes each, a binary per text), which coarse maps to
+    units of the clustering; and the counts of class pairs then. Rounds never lower the likelihood."""
     classes = (1 + words.mix(np.arange(n_units, dtype=_U)) % _U(n_classes - 1)).astype(np.int32)
     classes[_END] = _END
     unit_of = units.sparkSession.sparkContext.broadcast(coarse)
+    between = _pairs(units, classes[coarse], n_classes)
+    now, share, gains = likelihood(between), PARTS, []
     for turn in range(rounds):
-        between = _pairs(units, classes[coarse], n_classes)
-        moved = _moved(_neighbours(units, unit_of, classes, n_classes), classes, between, turn).toArrow()
+        moved = _moved(_neighbours(units, unit_of, classes, n_classes), classes, between, turn, share).toArrow()
         new = classes.copy()
         new[moved["unit"].to_numpy()] = moved["class"].to_numpy()
-        if (new == classes).all() and turn:
+        counts = _pairs(units, new[coarse], n_classes)
+        then = likelihood(counts)
+        if then < now:
+            if share == MOST_PARTS:
+                break
+            share, gains = 2 * share, []
+            continue
+        gains.append(then - now)
+        classes, between, now = new, counts, then
+        if len(gains) >= share and sum(gains[-share:]) <= gain * share * between.sum():
             break
-        classes = new
-    return classes
+    return classes, between
 
 
 def _classed(encoded: DataFrame, lexicon: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -434,12 +466,13 @@ def _matrix(pairs: DataFrame, n_classes: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
-    """Of every row of docs (doc_id, text): trains, n_tokens, n_known, train_tokens, base_score and score.
+    """Of every row of docs (doc_id, text): trains, n_tokens, n_known, train_tokens, base_score, score and perplexity (by score, of a token).
 
     Both scores are log10 probabilities of the whole text, its end included: base_score by smoothed word counts, score by
     the class model. trains is a condition that says which rows the model learns from.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(trains, F.lit(False)).alias("trains"), F.coalesce("text", F.lit("")).alias("text"))
     counts = cut(_counted(docs.filter("trains")), "counts")
     n_texts = docs.filter("trains").count()
@@ -453,9 +486,9 @@ def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
     # Units of texts are words of the head and forms; those of the clustering are the most frequent words and forms.
     at, own = _lookup(unit_keys, keys)
     coarse = np.concatenate([[_END], np.where(own, at + 1, 1 + len(unit_keys) + head_forms), 1 + len(unit_keys) + np.arange(FORMS)]).astype(np.int32)
-    of_unit = cluster(training.select("units"), coarse, 1 + len(unit_keys) + FORMS)
+    of_unit, pairs = cluster(training.select("units"), coarse, 1 + len(unit_keys) + FORMS)
     classes = of_unit[coarse]
-    placed = _placed(training, keys, np.concatenate([[True], own, np.zeros(FORMS, bool)]), classes, _pairs(training.select("units"), classes, CLASSES), n_types or 0)
+    placed = _placed(training, keys, np.concatenate([[True], own, np.zeros(FORMS, bool)]), classes, pairs, n_types or 0)
     placed = cut(placed, "placed")
     found = placed.filter("in_head").select("word", "class").toArrow()
     classes[1 + np.searchsorted(keys, found["word"].to_numpy().view(_U))] = found["class"].to_numpy()
@@ -501,4 +534,5 @@ def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("log_n") + F.lit(log_end) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
         (F.col("log_n") + F.col("part")).alias("score"),
+        F.pow(F.lit(10.0), -(F.col("log_n") + F.col("part")) / F.col("n_tokens")).alias("perplexity"),
     )

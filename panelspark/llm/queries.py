@@ -48,7 +48,7 @@ def _folded(of: str, parts: int, out: int) -> Column:
 
 def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = brown.score(_table(spark, sf_dir, "documents"), ~_folded("doc_id", 10, 0))
-    return out.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op4_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

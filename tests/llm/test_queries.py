@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -122,6 +123,47 @@ def test_most_frequent_words_fill_the_table(spark):
     assert len(keys) == len(form) == 8 and sorted(n.tolist()) == [2] * 7 + [5]
 
 
+def test_exchange_takes_the_likeliest_class_and_never_falls(spark):
+    """best_class against the likelihood of every class in turn; clustering against where it began."""
+    rnd = random.Random(4)
+    n_units, n_classes = 30, 7
+    text = [0]
+    while len(text) < 4_000:
+        u = rnd.randrange(1, n_units) if rnd.random() < 0.9 else 0
+        if u != text[-1]:
+            text.append(u)
+    text = np.array([*text, 0] if text[-1] else text)
+
+    def pairs(classes):
+        c, out = classes[text], np.zeros((n_classes, n_classes))
+        np.add.at(out, (c[:-1], c[1:]), 1)
+        return out
+
+    classes = np.array([0, *(rnd.randrange(1, n_classes) for _ in range(n_units - 1))])
+    for u in range(1, n_units):
+        before, after = np.zeros(n_classes), np.zeros(n_classes)
+        np.add.at(before, classes[text[:-1][text[1:] == u]], 1)
+        np.add.at(after, classes[text[1:][text[:-1] == u]], 1)
+        by_class = {}
+        for c in range(1, n_classes):
+            moved = classes.copy()
+            moved[u] = c
+            by_class[c] = brown.likelihood(pairs(moved))
+        got = brown.best_class(before, after, int(classes[u]), pairs(classes))
+        assert by_class[got] == pytest.approx(max(by_class.values()), abs=1e-6)
+    inner = text[1:-1]
+    texts = [t for t in np.split(inner, np.flatnonzero(inner == 0))]
+    df = spark.createDataFrame([(bytearray(t[t > 0].astype("<u4").tobytes()),) for t in texts], "units binary")
+    start, none = brown.cluster(df, np.arange(n_units, dtype=np.int32), n_units, n_classes, rounds=0)
+    end, counts = brown.cluster(df, np.arange(n_units, dtype=np.int32), n_units, n_classes, gain=0.0)
+    assert brown.likelihood(counts) > brown.likelihood(none) and counts.sum() == none.sum() and start[0] == end[0] == 0
+
+
+def test_perplexity_is_that_of_the_score(spark):
+    rows = brown.score(documents(spark, ["a b c a b", "a b", None, "d"]), F.lit(True)).collect()
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in rows)
+
+
 # --- op2
 
 
@@ -231,6 +273,35 @@ def test_mined_rules_generalise(spark):
     assert got[60]["rule"] is None and got[60]["verdict"] == "block" and got[61]["verdict"] == "allow"
 
 
+def test_mined_rules_equal_brute_force(spark):
+    """Every token set of labelled URLs, its support and confidence, pruning and the surest rule that holds, by plain loops."""
+    rnd = random.Random(9)
+    hosts, words_of, ends = ["a.org", "b.org", "c.com", "d.com"], ["x", "y", "z", "news", "12", "345"], ["", ".html", ".php"]
+    urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(words_of)}/{rnd.choice(words_of)}{rnd.choice(ends)}" for _ in range(150)]
+    urls += [f"http://{rnd.choice(['e.net', 'a.net'])}/{rnd.choice(words_of)}/{rnd.choice(words_of)}" for _ in range(60)] + [None, "", "x" * 5_000, "http://e.net/" + "y/" * 3_000] + urls[:5]
+    rules = [url_rules.Rule("block", "org", "/x"), url_rules.Rule("allow", "org", "/"), url_rules.Rule("allow", "com", "/y/"), url_rules.Rule("block", "com", "/z/")]
+    df = spark.createDataFrame([(i, u, "r", "t", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, found string, salt int")
+    url = F.col("url")
+    shown = df.select("page_id", url_rules.explicit(url_rules.host_of(url), url_rules.path_of(url), rules).alias("said"), url_rules.tokens(url, url_rules.host_of(url), url_rules.path_of(url)).alias("tokens")).collect()
+    labelled_rows = [(frozenset(r["tokens"]), r["said"]["verdict"]) for r in shown if r["said"]]
+    support, confidence = 0.03, 0.8
+    counts, joint = collections.Counter(), collections.Counter()
+    for own, verdict in labelled_rows:
+        for size in range(1, len(own) + 1):
+            for some in itertools.combinations(sorted(own), size):
+                counts[some] += 1
+                joint[some, verdict] += 1
+    n = len(labelled_rows)
+    mined = {(t, v): (k / counts[t], k / n) for (t, v), k in joint.items() if k >= math.ceil(support * n) and k / counts[t] >= confidence}
+    kept = {(t, v): x for (t, v), x in mined.items() if not any((p := tuple(y for y in t if y != left), v) in mined and mined[p, v][0] >= x[0] for left in t)}
+    got = url_rules.mine(spark.createDataFrame([(sorted(t), v) for t, v in labelled_rows], "tokens array<string>, verdict string"), support, confidence).collect()
+    assert {(tuple(r["rule"]), r["verdict"]): (pytest.approx(r["confidence"]), pytest.approx(r["support"])) for r in got} == kept and len(kept) > 10
+    verdicts = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, rules, "allow", support, confidence).collect()}
+    for r in shown:
+        holding = [(c, s, len(t), v) for (t, v), (c, s) in kept.items() if set(t) <= set(r["tokens"])]
+        assert verdicts[r["page_id"]] == (r["said"]["verdict"] if r["said"] else max(holding)[3] if holding else "allow")
+
+
 # --- op5 and op9
 
 
@@ -254,6 +325,49 @@ def test_classifiers_without_labels(spark):
     assert toxicity.scored(docs.limit(0), toxicity.learn(docs.limit(0), nulls)).count() == 0
 
 
+def test_log_count_ratio_by_hand():
+    rows, y = [np.array([0, 5]), np.array([5, 7]), np.array([7])], np.array([1, 0, 1])
+    counts = nbsvm.class_counts(rows, y)
+    ratio = nbsvm.log_count_ratio(counts)
+    total = [nbsvm.DIMENSIONS * nbsvm.PRIOR + 2, nbsvm.DIMENSIONS * nbsvm.PRIOR + 3]  # places set in class 0, and 1
+    for place, (one, none) in {0: (1, 0), 5: (1, 1), 7: (1, 1), 9: (0, 0)}.items():
+        assert ratio[place] == pytest.approx(math.log((one + 1) / total[1]) - math.log((none + 1) / total[0]))
+
+
+@pytest.mark.parametrize(("name", "label", "held"), [("op5_nbsvm", "quality", 0.9), ("op9_lexicon", "toxic", 0.8)])
+def test_held_out_documents_are_told_apart(spark, name, label, held):
+    """The chance that a held-out document of label 1 scores above one of label 0."""
+    sf = "/root/testdata/sf0.01"
+    scores = queries.QUERIES[name](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label), "doc_id")
+    got = [(r["score"], r[label]) for r in scores.collect()]
+    good, bad = [s for s, y in got if y], [s for s, y in got if not y]
+    assert good and bad and np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > held
+
+
+def test_one_row_of_a_repeated_labelled_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "a"), (3, "a"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", 100).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == [(1, 1), (2, 0), (4, 1)]
+    assert sorted(got) == sorted(labelled.sample(docs.repartition(3), labels, "quality", 100).collect())
+
+
+def test_lexicon_matches_equal_a_plain_scan():
+    rnd = random.Random(3)
+    for _ in range(60):
+        word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 5)))
+        weights = {e: rnd.randint(1, 9) / 2 for _ in range(6) for e in [rnd.choice([f" {word()}", f" {word()} "])]}
+        exceptions = [f"{word()} {word()}" for _ in range(4)]
+        folded = f" {' '.join(word() for _ in range(60))} "
+        spans = [(i, i + len(x) + 1) for x in exceptions for i in range(len(folded)) if folded.startswith(f" {x} ", i)]
+        best = {}
+        for entry, w in weights.items():
+            for i in range(len(folded)):
+                if folded.startswith(entry, i) and not any(a <= i and i + len(entry) - 1 <= b for a, b in spans):
+                    best[i] = max(best.get(i, 0), w)
+        assert toxicity.measure(folded, toxicity.Lexicon(weights, exceptions, np.zeros(3)).automaton()) == (pytest.approx(sum(best.values())), 60)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows, y = [], []
