@@ -193,28 +193,53 @@ def _neighbours(units: DataFrame, coarse, classes: np.ndarray, n_classes: int) -
     return units.mapInArrow(run, "block int, side int, cells binary, counts binary")
 
 
-def _moved(parts: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int, share: int) -> DataFrame:
-    """unit and class of the units, one of `share` parts of which is moved to where it is likeliest."""
-    n_classes = len(transitions)
-    context = parts.sparkSession.sparkContext
-    shared = context.broadcast((classes, transitions))
+def _added(parts: DataFrame, n_classes: int) -> DataFrame:
+    """block, and the sums of its units' counts before and after (eight bytes each): as large as there are units and classes."""
 
     def run(group: pa.Table) -> pa.Table:
-        of, between = shared.value
-        total = np.zeros((2, _BLOCK * n_classes))
+        total = np.zeros((2, _BLOCK * n_classes), np.int64)
         for side, cells, n in zip(group["side"].to_pylist(), group["cells"], group["counts"], strict=True):
             total[side, np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int64)
-        before, after = total.reshape(2, _BLOCK, n_classes)
-        first = group["block"][0].as_py() * _BLOCK
-        n = min(_BLOCK, len(of) - first)
-        new = of[first : first + n].copy()
-        for k in range(n):
-            unit = first + k
-            if unit != _END and before[k].any() and words.mix(np.array([unit], _U))[0] % _U(share) == turn % share:
-                new[k] = best_class(before[k], after[k], int(of[unit]), between)
-        return pa.table({"unit": pa.array(np.arange(first, first + n), pa.int32()), "class": pa.array(new.astype(np.int32))})
+        return pa.table({"block": group["block"][:1].cast(pa.int32()), "before": pa.array([total[0].tobytes()], pa.binary()), "after": pa.array([total[1].tobytes()], pa.binary())})
+
+    return cut(parts.groupBy("block").applyInArrow(run, "block int, before binary, after binary"), "neighbours")
+
+
+def _between(added: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """Counts of neighbouring classes, from the classes before each unit."""
+    shared = added.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = shared.value, np.zeros((n_classes, n_classes), np.int64)
+        for batch in batches:
+            for block, n in zip(batch["block"].to_pylist(), batch["before"], strict=True):
+                own = of[block * _BLOCK : (block + 1) * _BLOCK]
+                np.add.at(total.T, own, np.frombuffer(n.as_buffer(), np.int64).reshape(_BLOCK, n_classes)[: len(own)])
+        seen = np.flatnonzero(total.reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total.reshape(-1)[seen])], names=["pair", "n"])
+
+    return _matrix(added.select("block", "before").mapInArrow(run, "pair int, n long"), n_classes)
 
-    return parts.groupBy("block").applyInArrow(run, "unit int, class int")
+
+def _moved(added: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int, share: int) -> DataFrame:
+    """unit and class of the units, one of `share` parts of which is moved to where it is likeliest."""
+    n_classes = len(transitions)
+    shared = added.sparkSession.sparkContext.broadcast((classes, transitions))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, between = shared.value
+        for batch in batches:
+            for block, *sides in zip(batch["block"].to_pylist(), batch["before"], batch["after"], strict=True):
+                before, after = (np.frombuffer(x.as_buffer(), np.int64).reshape(_BLOCK, n_classes).astype(float) for x in sides)
+                first = block * _BLOCK
+                new = of[first : first + _BLOCK].copy()
+                parts = words.mix(np.arange(first, first + len(new), dtype=_U)) % _U(share)
+                for k in np.flatnonzero((parts == turn % share) & before[: len(new)].any(axis=1)).tolist():
+                    if first + k != _END:
+                        new[k] = best_class(before[k], after[k], int(of[first + k]), between)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(new)), pa.int32()), pa.array(new.astype(np.int32))], names=["unit", "class"])
+
+    return added.mapInArrow(run, "unit int, class int")
 
 
 def best_class(before: np.ndarray, after: np.ndarray, now: int, between: np.ndarray) -> int:
@@ -350,22 +375,6 @@ def _placed(training: DataFrame, keys: np.ndarray, own: np.ndarray, classes: np.
     return parts.groupBy("range").applyInArrow(place, "word long, class int, in_head boolean")
 
 
-def _pairs(units: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """Counts of neighbouring classes, over all training texts."""
-    shared = units.sparkSession.sparkContext.broadcast(classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = shared.value.astype(np.int64), np.zeros(n_classes * n_classes, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                c = of[_joined(batch["units"][at : at + _TEXTS])]
-                total += np.bincount(c[:-1] * n_classes + c[1:], minlength=n_classes * n_classes)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["pair", "n"])
-
-    return _matrix(units.mapInArrow(run, "pair int, n long"), n_classes)
-
-
 def likelihood(between: np.ndarray) -> float:
     """What of the log likelihood of a text depends on its words' classes, from counts of class pairs."""
 
@@ -381,13 +390,18 @@ def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int =
     classes = (1 + words.mix(np.arange(n_units, dtype=_U)) % _U(n_classes - 1)).astype(np.int32)
     classes[_END] = _END
     unit_of = units.sparkSession.sparkContext.broadcast(coarse)
-    between = _pairs(units, classes[coarse], n_classes)
+
+    def counted(of: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+        added = _added(_neighbours(units, unit_of, of, n_classes), n_classes)
+        return added, _between(added, of, n_classes)
+
+    added, between = counted(classes)
     now, share, gains = likelihood(between), PARTS, []
     for turn in range(rounds):
-        moved = _moved(_neighbours(units, unit_of, classes, n_classes), classes, between, turn, share).toArrow()
+        moved = _moved(added, classes, between, turn, share).toArrow()
         new = classes.copy()
         new[moved["unit"].to_numpy()] = moved["class"].to_numpy()
-        counts = _pairs(units, new[coarse], n_classes)
+        after, counts = counted(new)
         then = likelihood(counts)
         if then < now:
             if share == MOST_PARTS:
@@ -395,7 +409,7 @@ def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int =
             share, gains = 2 * share, []
             continue
         gains.append(then - now)
-        classes, between, now = new, counts, then
+        classes, added, between, now = new, after, counts, then
         if len(gains) >= share and sum(gains[-share:]) <= gain * share * between.sum():
             break
     return classes, between
