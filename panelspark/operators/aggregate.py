@@ -184,8 +184,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def average_ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS) -> DataFrame:
-    """Ranks in which ties share their mean; nulls have none.
+def _ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS) -> DataFrame:
+    """_v and out: the rank of each distinct value of a column.
 
     Distinct values with their counts are dealt to ranges of about equal size and sorted in each; the counts of the ranges
     before are added.
@@ -202,20 +202,28 @@ def average_ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS)
         before[k], total = total, total + sizes[k]
     offset = F.array(*(F.lit(before.get(k, 0)) for k in range(max(before, default=0) + 1)))[F.col("_part")]
     upto = F.sum("_n").over(W.partitionBy("_part").orderBy("_v"))
-    ranks = counts.select("_v", (offset + upto - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+    return counts.select("_v", (offset + upto - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+
+
+def _ranked(df: DataFrame, column: str, ranks: DataFrame) -> DataFrame:
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
 
 
+def average_ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS) -> DataFrame:
+    """df with ranks in which ties share their mean; nulls have none."""
+    return _ranked(df, column, _ranks(df, column, out, parts))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     complete = df.select(x, y).na.drop()
-    return average_ranks(average_ranks(complete, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return _ranked(_ranked(complete, x, _ranks(complete, x, "_rx")), y, _ranks(complete, y, "_ry")).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """x, y, r and n of each pair of columns, by ranks over the rows that have them all."""
-    ranked = df.select(*columns).na.drop()
+    complete = ranked = df.select(*columns).na.drop()
     for i, c in enumerate(columns):
-        ranked = average_ranks(ranked, c, f"_r{i}")
+        ranked = _ranked(ranked, c, _ranks(complete, c, f"_r{i}"))
     return correlations(ranked.select(*(F.col(f"_r{i}").alias(c) for i, c in enumerate(columns))), columns)
 
 
