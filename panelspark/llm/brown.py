@@ -5,8 +5,8 @@ has a class of its own, in a table of words that grows with the corpus. It is fo
 
 1. Exchange clustering of units: each of the UNITS most frequent words is a unit, and all other words share one by the
 form of their ending. In each round every unit is weighed in every class, against counts that leave it out, by the
-likelihood of the classes before and after it, and goes to the best. Rounds add up counts per unit and neighbouring class,
-and move a part of the units at a time. A round after which the likelihood is lower is undone, and smaller parts move from
+likelihood of the classes before and after it, and goes to the best. One pass over the texts counts the pairs of units, at
+most UNITS squared however large the corpus is; rounds read these counts only, and move a part of the units at a time. A round after which the likelihood is lower is undone, and smaller parts move from
 then on. Rounds end when the last ones gained too little (GAIN).
 2. Every other repeated word is taken out of its form's class and goes to its best one in the same way, by its own counts
 per side and neighbouring class, which tasks add up by ranges of word hashes. This is done once; a neighbour that isn't
@@ -162,76 +162,92 @@ def _joined(column: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Units of a block, whose counts one task adds up.
-_BLOCK = 256
+#: Units of a block, whose neighbours are one row.
+_BLOCK = 64
 #: Texts whose units are counted at once.
 _TEXTS = 2048
 
 
-def _neighbours(units: DataFrame, coarse, classes: np.ndarray, n_classes: int) -> DataFrame:
-    """block, side (0: before, 1: after), cells and counts: how often classes stand beside the block's units, by task."""
-    shared = units.sparkSession.sparkContext.broadcast(classes)
-    n_units = len(classes)
-    blocks = -(-n_units // _BLOCK)
+def _neighbours(units: DataFrame, coarse: np.ndarray, n_units: int) -> DataFrame:
+    """block, and of each side of its units the cells (place in the block * n_units + neighbouring unit) and their counts.
+
+    One pass over the texts; what is written has a row for each block and a cell for each pair of units that occurs, at most
+    _BLOCK * n_units a row and side, however long the texts are.
+    """
+    shared = units.sparkSession.sparkContext.broadcast(coarse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, unit_of, size = shared.value.astype(np.int64), coarse.value, blocks * _BLOCK * n_classes
-        sums = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+        def counted(kept: list[np.ndarray]) -> pa.RecordBatch:
+            pair, n = np.unique(np.concatenate(kept), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+        unit_of, kept, size = shared.value.astype(np.int64), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, _TEXTS):
-                u = unit_of[_joined(batch["units"][at : at + _TEXTS])].astype(np.int64)
-                c = of[u]
-                sums[0] += np.bincount(u[1:] * n_classes + c[:-1], minlength=size)
-                sums[1] += np.bincount(u[:-1] * n_classes + c[1:], minlength=size)
-        for side, total in enumerate(sums):
-            cells = np.flatnonzero(total)
-            edges = np.searchsorted(cells, np.arange(blocks + 1) * (_BLOCK * n_classes))
-            own = [(k, cells[x:y]) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
-            columns = [[k for k, _ in own], [side] * len(own), [(c - k * _BLOCK * n_classes).astype(np.int32).tobytes() for k, c in own], [total[c].tobytes() for _, c in own]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "side", "cells", "counts"])
+                u = unit_of[_joined(batch["units"][at : at + _TEXTS])]
+                kept.append(u[:-1] * n_units + u[1:])
+                size += len(kept[-1])
+                if size > 2_000_000:  # bounds memory; the shuffle adds up the rest
+                    yield counted(kept)
+                    kept, size = [], 0
+        if kept:
+            yield counted(kept)
+
+    def pack(group: pa.Table) -> pa.Table:
+        side, cell, n = (group[c].to_numpy() for c in ("side", "cell", "n"))
+        columns = [group["block"][:1].cast(pa.int32())]
+        for own in (side == 0, side == 1):
+            columns += [pa.array([cell[own].astype("<i4").tobytes()], pa.binary()), pa.array([n[own].astype("<i8").tobytes()], pa.binary())]
+        return pa.table(columns, names=["block", *_SIDES])
 
-    return units.mapInArrow(run, "block int, side int, cells binary, counts binary")
+    pairs = units.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    left, right = F.floor(F.col("pair") / n_units).cast("long"), F.col("pair") % n_units
+    ends = [F.struct(F.lit(side).alias("side"), unit.alias("unit"), other.alias("other")) for side, unit, other in ((0, right, left), (1, left, right))]
+    rows = pairs.select("n", F.inline(F.array(*ends)))
+    rows = rows.select(F.floor(F.col("unit") / _BLOCK).cast("int").alias("block"), "side", (F.col("unit") % _BLOCK * n_units + F.col("other")).cast("int").alias("cell"), "n")
+    return cut(rows.groupBy("block").applyInArrow(pack, f"block int, {', '.join(f'{c} binary' for c in _SIDES)}"), "neighbours")
 
 
-def _added(parts: DataFrame, n_classes: int) -> DataFrame:
-    """block, and the sums of its units' counts before and after (eight bytes each): as large as there are units and classes."""
+_SIDES = ["before", "n_before", "after", "n_after"]
 
-    def run(group: pa.Table) -> pa.Table:
-        total = np.zeros((2, _BLOCK * n_classes), np.int64)
-        for side, cells, n in zip(group["side"].to_pylist(), group["cells"], group["counts"], strict=True):
-            total[side, np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int64)
-        return pa.table({"block": group["block"][:1].cast(pa.int32()), "before": pa.array([total[0].tobytes()], pa.binary()), "after": pa.array([total[1].tobytes()], pa.binary())})
 
-    return cut(parts.groupBy("block").applyInArrow(run, "block int, before binary, after binary"), "neighbours")
+def _cells(row: dict, side: str, n_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of units in their block, neighbouring units and counts of one side of a row of neighbours."""
+    cell = np.frombuffer(row[side], "<i4")
+    return cell // n_units, cell % n_units, np.frombuffer(row[f"n_{side}"], "<i8")
 
 
-def _between(added: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """Counts of neighbouring classes, from the classes before each unit."""
-    shared = added.sparkSession.sparkContext.broadcast(classes)
+def _between(neighbours: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """Counts of neighbouring classes."""
+    shared, n_units = neighbours.sparkSession.sparkContext.broadcast(classes), len(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = shared.value, np.zeros((n_classes, n_classes), np.int64)
+        of, total = shared.value.astype(np.int64), np.zeros(n_classes * n_classes)
         for batch in batches:
-            for block, n in zip(batch["block"].to_pylist(), batch["before"], strict=True):
-                own = of[block * _BLOCK : (block + 1) * _BLOCK]
-                np.add.at(total.T, own, np.frombuffer(n.as_buffer(), np.int64).reshape(_BLOCK, n_classes)[: len(own)])
-        seen = np.flatnonzero(total.reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total.reshape(-1)[seen])], names=["pair", "n"])
+            for row in batch.to_pylist():
+                own, other, n = _cells(row, "after", n_units)
+                total += np.bincount(of[row["block"] * _BLOCK + own] * n_classes + of[other], weights=n, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen].astype(np.int64))], names=["pair", "n"])
 
-    return _matrix(added.select("block", "before").mapInArrow(run, "pair int, n long"), n_classes)
+    return _matrix(neighbours.select("block", "after", "n_after").mapInArrow(run, "pair int, n long"), n_classes)
 
 
-def _moved(added: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int, share: int) -> DataFrame:
+def _moved(neighbours: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int, share: int) -> DataFrame:
     """unit and class of the units, one of `share` parts of which is moved to where it is likeliest."""
-    n_classes = len(transitions)
-    shared = added.sparkSession.sparkContext.broadcast((classes, transitions))
+    n_classes, n_units = len(transitions), len(classes)
+    shared = neighbours.sparkSession.sparkContext.broadcast((classes, transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, between = shared.value
         for batch in batches:
-            for block, *sides in zip(batch["block"].to_pylist(), batch["before"], batch["after"], strict=True):
-                before, after = (np.frombuffer(x.as_buffer(), np.int64).reshape(_BLOCK, n_classes).astype(float) for x in sides)
-                first = block * _BLOCK
+            for row in batch.to_pylist():
+                sides = []
+                for side in ("before", "after"):
+                    own, other, n = _cells(row, side, n_units)
+                    sides.append(np.bincount(own * n_classes + of[other], weights=n, minlength=_BLOCK * n_classes).reshape(_BLOCK, n_classes))
+                before, after = sides
+                first = row["block"] * _BLOCK
                 new = of[first : first + _BLOCK].copy()
                 parts = words.mix(np.arange(first, first + len(new), dtype=_U)) % _U(share)
                 for k in np.flatnonzero((parts == turn % share) & before[: len(new)].any(axis=1)).tolist():
@@ -239,7 +255,7 @@ def _moved(added: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn:
                         new[k] = best_class(before[k], after[k], int(of[first + k]), between)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(new)), pa.int32()), pa.array(new.astype(np.int32))], names=["unit", "class"])
 
-    return added.mapInArrow(run, "unit int, class int")
+    return neighbours.mapInArrow(run, "unit int, class int")
 
 
 def best_class(before: np.ndarray, after: np.ndarray, now: int, between: np.ndarray) -> int:
@@ -389,19 +405,14 @@ def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int =
     units of the clustering; and the counts of class pairs then. Rounds never lower the likelihood."""
     classes = (1 + words.mix(np.arange(n_units, dtype=_U)) % _U(n_classes - 1)).astype(np.int32)
     classes[_END] = _END
-    unit_of = units.sparkSession.sparkContext.broadcast(coarse)
-
-    def counted(of: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        added = _added(_neighbours(units, unit_of, of, n_classes), n_classes)
-        return added, _between(added, of, n_classes)
-
-    added, between = counted(classes)
+    neighbours = _neighbours(units, coarse, n_units)
+    between = _between(neighbours, classes, n_classes)
     now, share, gains = likelihood(between), PARTS, []
     for turn in range(rounds):
-        moved = _moved(added, classes, between, turn, share).toArrow()
+        moved = _moved(neighbours, classes, between, turn, share).toArrow()
         new = classes.copy()
         new[moved["unit"].to_numpy()] = moved["class"].to_numpy()
-        after, counts = counted(new)
+        counts = _between(neighbours, new, n_classes)
         then = likelihood(counts)
         if then < now:
             if share == MOST_PARTS:
@@ -409,7 +420,7 @@ def cluster(units: DataFrame, coarse: np.ndarray, n_units: int, n_classes: int =
             share, gains = 2 * share, []
             continue
         gains.append(then - now)
-        classes, added, between, now = new, after, counts, then
+        classes, between, now = new, counts, then
         if len(gains) >= share and sum(gains[-share:]) <= gain * share * between.sum():
             break
     return classes, between
