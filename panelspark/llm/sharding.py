@@ -4,8 +4,8 @@ Each shard draws a number from the record's key and the shard's id; the highest
 record's shard depends on its key and the shards alone, and a new shard only takes the records that it wins.
 
 Defined cases: a null key draws as the empty key; equal keys share a shard; a null text has no bytes; rows that repeat get
-a slot each; an empty table gives an empty result. Slots are counted in small hash buckets of each shard, so that no task
-sorts a whole shard, even when one key holds a third of all rows.
+a slot each; an empty table gives an empty result. Slots follow doc_id, size and checksum at every size of the table; they are
+counted in small ranges of that order, so that no task sorts a whole shard, even when one key holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, unused
 
-#: Rows of a bucket on average, within which slots are counted.
+#: Rows of a range on average, within which slots are counted.
 BUCKET_ROWS = 20_000
 
 
@@ -44,18 +44,27 @@ def assign(records: DataFrame, key: str, shards: Sequence[tuple[int, float]], gr
 
 
 def number_slots(records: DataFrame, order: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """records (with a column shard) with slot: 0, 1, ... without gaps in each shard.
+    """records (with a column shard) with slot: 0, 1, ... without gaps in each shard, by `order`, then the other columns; nulls last.
 
-    records is read twice and must give the same rows each time, as a written table does.
+    Rows that repeat entirely are one row with a count until slots are known. The others are dealt to ranges of the order,
+    which are written, counted and numbered each by itself.
     """
-    n = records.count()
-    shards = max(1, records.select("shard").distinct().count())
-    buckets = max(1, -(-n // (bucket_rows * shards)))
-    rows = records.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = rows.groupBy("shard", "_bucket").count()
-    before = sizes.select("shard", "_bucket", (F.sum("count").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("count")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy(*order))
-    return rows.withColumn("_within", within).join(before, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_within") - 1).drop("_bucket", "_within", "_before")
+    columns, names = records.columns, []
+    for name in ("_times", "_range", "_total", "_before", "_first", "_chunk"):
+        names.append(unused(columns, name))
+    times, part, total, before, first, chunk = names
+    by = [F.col(c).asc_nulls_last() for c in ["shard", *order, *(c for c in columns if c not in ("shard", *order))]]
+    rows = cut(records.groupBy(*columns).agg(F.count("*").alias(times)), "distinct")
+    ranges = max(1, -(-rows.count() // bucket_rows))
+    rows = cut(rows.repartitionByRange(ranges, *by).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("shard", part).agg(F.sum(times).alias(total))
+    sizes = sizes.select("shard", part, (F.sum(total).over(W.partitionBy("shard").orderBy(part)) - F.col(total)).alias(before))
+    within = F.sum(times).over(W.partitionBy("shard", part).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(times)
+    rows = rows.withColumn(first, within).join(sizes, ["shard", part]).select(*columns, times, (F.col(first) + F.col(before)).alias(first))
+    # A row that repeats very often is dealt out in chunks before it is written out.
+    rows = rows.select(*columns, times, first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(bucket_rows).cast("long"))).alias(chunk)).repartition("shard", first, chunk)
+    slots = F.sequence(F.col(first) + F.col(chunk), F.col(first) + F.least(F.col(chunk) + bucket_rows, F.col(times)) - 1)
+    return rows.select(*columns, F.explode(slots).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: Sequence[tuple[int, float]], grown: tuple[int, float] | None = None) -> DataFrame:
@@ -66,7 +75,7 @@ def shard_documents(docs: DataFrame, shards: Sequence[tuple[int, float]], grown:
 
 
 def oracle_sql(shards: int) -> str:
-    """The assignment to so many shards of weight 1, and one more, in DuckDB SQL, with slots for a single bucket a shard; crc32 is folded byte by byte over a table made by its rule."""
+    """The assignment to so many shards of weight 1, and one more, in DuckDB SQL; crc32 is folded byte by byte over a table made by its rule."""
     draw = "((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(s AS VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
     step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
     return f"""
