@@ -22,6 +22,7 @@ and text are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,8 @@ ELEMENTS = 2_048
 #: Ids that are sent to all tasks at most, 8 bytes each.
 BROADCAST_IDS = 200_000
 
+#: Numbers of blocks of a rung of sizes.
+_RUNG = 1 << 32
 _round_keys = words.mix(np.arange(1, ROUNDS + REGISTERS + 1, dtype=_U) * _U(0xA24BAED4963EE407))
 _bucket_bits = REGISTERS.bit_length() - 1
 _bucket_edges = np.arange(REGISTERS, dtype=_U) << _U(64 - _bucket_bits)
@@ -204,15 +207,22 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _crowd_links(crowd: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between the components of crowds: their full sets are compared block by block.
 
-    crowd: bucket, id and label of the members of crowded buckets. Crowds that share members are one group, which is dealt
-    to blocks of about BLOCK members; each two blocks meet in a task of their own, which returns only as many links as it
-    takes to join the components that it finds linked.
+    crowd: bucket, id, n and label of the members of crowded buckets. Crowds that share members are one group, which is dealt
+    to blocks of about BLOCK members. Larger groups are dealt by rungs of their sets' sizes first, so wide that sets more
+    than a rung apart can't reach the threshold: a block meets those of its rung and the next ones only. Each two blocks meet
+    in a task of their own, which returns only as many links as it takes to join the components that it finds linked.
     """
     first = crowd.groupBy("bucket").agg(F.min("id").alias("v"))
     groups = graph.components(crowd.join(first, "bucket").select(F.col("id").alias("u"), "v")).toDF("id", "crowd")
-    members = checkpoint(crowd.select("id", "label").distinct().join(groups, "id"))
-    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = checkpoint(crowd.select("id", "label", "n").distinct().join(groups, "id"))
+    totals = members.groupBy("crowd").agg(F.count("*").alias("total"))
+    height = 1.001 * max(math.log(100 / percent), 0.01)  # a little more than the ratio, so that rounding can't part a pair
+    rung = F.when(F.col("total") > BLOCK, F.floor(F.log("n") / height)).otherwise(0).cast("long")
+    members = members.join(totals, "crowd").select("crowd", "id", "label", rung.alias("rung"))
+    sizes = members.groupBy("crowd", "rung").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    members = members.join(sizes, ["crowd", "rung"]).select("crowd", "id", "label", "rung", (F.col("rung") * _RUNG + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("own"))
+    beside = F.explode(F.array(*(F.col("rung") + k for k in (-1, 0, 1)))).alias("beside")
+    meets = members.select("crowd", "id", "label", "own", beside).join(sizes.withColumnRenamed("rung", "beside"), ["crowd", "beside"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +230,7 @@ def _crowd_links(crowd: DataFrame, docs: DataFrame, width: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], names=["id", "elements"])
 
     held = _texts_of(docs, members.select("id")).mapInArrow(sets, "id long, elements binary")
-    cells = members.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = meets.join(held, "id").withColumn("other", F.explode(F.sequence(F.col("beside") * _RUNG, F.col("beside") * _RUNG + F.col("blocks") - 1)))
     cells = cells.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "elements")
 
     def compare(cell: pa.Table) -> pa.Table:
@@ -307,7 +317,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = few.join(other, "bucket").filter("label > label_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
     rest = rest.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = confirm(checkpoint(_promising(rest, classes, percent / 100)), docs, width, percent)
-    crowd = left.filter(F.col("members") > CROWD).select("bucket", "id", "label")
+    crowd = left.filter(F.col("members") > CROWD).select("bucket", "id", "n", "label")
     more = checkpoint(more.union(_crowd_links(crowd, docs, width, percent)))
 
     # Classes stand for their documents; documents that have rows in several classes link these.

@@ -193,8 +193,18 @@ def test_rendezvous_shards(spark):
 def test_weights_draw_their_share(spark):
     got = sharding.assign(spark.range(4000), "id", [(0, 1.0), (1, 3.0)]).groupBy("shard").count().collect()
     assert 0.68 < {r["shard"]: r["count"] for r in got}[1] / 4000 < 0.82
-    few = sharding.number_slots(sharding.assign(spark.range(300), "id", [(0, 1.0)]), ["id"], bucket_rows=20)
-    assert sorted(r["slot"] for r in few.collect()) == list(range(300))
+
+
+def test_slots_follow_the_order_at_every_size(spark):
+    """Small ranges number as one window does, with nulls last, rows that repeat often, and columns named like helpers."""
+    rows = [(k % 3, k if k % 7 else None, k % 5, "r") for k in range(300)] + [(1, 42, 0, "hot")] * 150
+    records = spark.createDataFrame(rows, "shard int, id long, _times int, _Range string")
+    for bucket_rows in (20, 10_000):
+        got = sharding.number_slots(records, ["id"], bucket_rows).collect()
+        for shard in range(3):
+            own = sorted((r for r in rows if r[0] == shard), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+            assert [tuple(r[:4]) for r in sorted(got, key=lambda r: r["slot"]) if r["shard"] == shard] == own
+            assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(len(own)))
 
 
 # --- op3
@@ -451,6 +461,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c)
 
 
+def test_crowds_of_many_sizes_equal_brute_force(spark, monkeypatch):
+    """Texts about a shared passage, in several blocks and rungs of sizes: some pairs lie at the threshold, a rung apart."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(41)]
+    texts = [" ".join(passage + [f"{k}x{i}" for i in range(rnd.randint(0, 60))]) for k in range(60)]
+    tails = [[f"t{k}w{i}" for i in range(40)] for k in range(20)]
+    texts += [" ".join(passage + t[:n]) for t in tails for n in (12, rnd.randint(20, 27), rnd.randint(30, 40))]
+    texts += [" ".join(passage[:n]) for n in (33, 41)]  # 32 and 40 shingles: exactly four fifths
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(documents(spark, texts), 2).collect()}
+    assert got == brute_components(list(enumerate(texts, 1)))
+
+
 def test_near_duplicates_of_odd_keys(spark):
     docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (2, "A b  c"), (2, "A b  c"), (3, "x"), (4, "x"), (5, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 2).collect())
