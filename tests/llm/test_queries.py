@@ -471,8 +471,17 @@ def test_crowds_of_many_sizes_equal_brute_force(spark, monkeypatch):
     tails = [[f"t{k}w{i}" for i in range(40)] for k in range(20)]
     texts += [" ".join(passage + t[:n]) for t in tails for n in (12, rnd.randint(20, 27), rnd.randint(30, 40))]
     texts += [" ".join(passage[:n]) for n in (33, 41)]  # 32 and 40 shingles: exactly four fifths
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(documents(spark, texts), 2).collect()}
-    assert got == brute_components(list(enumerate(texts, 1)))
+    want = brute_components(list(enumerate(texts, 1)))
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, 2).collect()}
+    assert got == want
+    # All of them as one crowd, so that nothing but blocks can find the links.
+    crowd = spark.createDataFrame([(1, i, i, n) for i, (n, _) in want.items()], "bucket long, id long, label long, n long")
+    label = {i: i for i in want}
+    for a, b in near_dedup._crowd_links(crowd, docs, 2, 80).collect():
+        a, b = label[a], label[b]
+        label = {i: min(a, b) if x in (a, b) else x for i, x in label.items()}
+    assert label == {i: c for i, (_, c) in want.items()}
 
 
 def test_near_duplicates_of_odd_keys(spark):
