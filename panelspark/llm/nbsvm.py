@@ -2,13 +2,16 @@
 
 A text's features are which n-grams it holds: runs of one to three bytes, words, and pairs of words, hashed into
 DIMENSIONS places. Each feature is scaled by its log-count ratio between the classes, and a linear model is fitted on the
-scaled indicators with the hinge loss by dual coordinate descent. Counts are added up over the whole sample first. Training texts are dealt into groups of GROUP_ROWS; each
-is fitted in a task of its own, and as all models are linear in the indicators, their mean is the model. A logistic curve
-turns margins into probabilities; it is fitted on margins of each group's texts under the mean of the other groups' models.
+scaled indicators with the hinge loss by dual coordinate descent. Counts are added up over the whole sample first. Training
+texts are dealt, class by class, into groups of about GROUP_ROWS that all have both classes: where the rarer class has fewer
+rows than groups, groups are fewer and larger. Each is fitted in a task of its own, and as all models are linear in the
+indicators, their mean is the model. A logistic curve turns margins into probabilities; it is fitted on margins of each
+group's texts under the mean of the other groups' models.
 
 Defined cases: a null text is an empty one; an empty text has no feature, and its score is the curve's at the bias; with
 one class only, all texts get its share of the labels, and 0.99 without any labelled text, as nothing speaks against
-one; other columns are not looked at.
+one; a repeated row of documents gets its score each time, but teaches once, as labelled.sample says; texts are read whole,
+however long; ties of scores stay ties; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import labelled, words
@@ -78,8 +82,9 @@ def log_count_ratio(counts: np.ndarray) -> np.ndarray:
     return np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights of the scaled indicators, the bias last, for labels y of -1 and 1 under the hinge loss.
+def solve_dual(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dual coordinate descent: weights of the scaled indicators, the bias last, for labels y of -1 and 1 under the hinge
+    loss, and each row's dual variable and its upper bound.
 
     A row's values are divided by the square root of their number. Classes weigh the same however many rows they have.
     """
@@ -100,7 +105,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
                 w[rows[i]] += step * values[i]
                 bias += step
                 alpha[i] = new
-    return np.append(w, bias)
+    return np.append(w, bias), alpha, limit
 
 
 @dataclass
@@ -118,13 +123,20 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return np.array([weights[r].sum() / max(1.0, len(r)) ** 0.5 + weights[-1] for r in indicators(texts)], float)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the model on at most `rows` labelled documents; what reaches the driver is a weight vector per group and a margin per row."""
-    sampled = labelled.sample(docs, labels, label, rows)
-    groups = max(1, -(-rows // GROUP_ROWS))
-    sampled = sampled.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(groups)).cast("int")).cache()
+def groups_of(sampled: DataFrame, group_rows: int) -> DataFrame:
+    """A bounded sample with part, its group: as many groups as rows ask for, but none without both classes, and each class dealt
+    out evenly."""
+    n = {bool(r["one"]): r["n"] for r in sampled.groupBy((F.col("label") > 0).alias("one")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = max(1, min(-(-sum(n.values()) // group_rows), n.get(True, 0), n.get(False, 0)))
+    place = F.row_number().over(W.partitionBy(F.col("label") > 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    return sampled.withColumn("part", (place % groups).cast("int"))
+
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, group_rows: int = GROUP_ROWS) -> Model:
+    """Fits the model on at most `rows` labelled documents; what reaches the driver is a weight vector per group and a margin per row."""
     small_batches(docs.sparkSession)
+    drawn = labelled.sample(docs, labels, label, rows).cache()
+    sampled = groups_of(drawn, group_rows)
 
     def count(group: pa.Table) -> pa.Table:
         return pa.table({"counts": pa.array([class_counts(list(indicators(group["text"])), group["label"].to_numpy()).tobytes()], pa.binary())})
@@ -140,14 +152,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         if y.min() == y.max():
             return pa.table({"part": pa.array([], pa.int32()), "weights": pa.array([], pa.binary())})
         scale = ratio.value.astype(float)
-        weights = dual_coordinate_descent(found, scale, np.where(y > 0, 1.0, -1.0))
+        weights = solve_dual(found, scale, np.where(y > 0, 1.0, -1.0))[0]
         plain = np.append(weights[:-1] * scale, weights[-1]).astype(np.float32)
         return pa.table({"part": group["part"][:1].cast(pa.int32()), "weights": pa.array([plain.tobytes()], pa.binary())})
 
     fitted = {r["part"]: np.frombuffer(r["weights"], np.float32) for r in sampled.groupBy("part").applyInArrow(fit, "part int, weights binary").collect()}
     if not fitted:
         share = sampled.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
-        sampled.unpersist()
+        drawn.unpersist()
         share = 0.99 if share is None else min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(DIMENSIONS + 1, np.float32), np.array([0.0, np.log(share / (1 - share))]))
     total = np.sum(list(fitted.values()), axis=0)
@@ -164,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             yield pa.RecordBatch.from_arrays([pa.array(out), batch["label"]], names=["margin", "label"])
 
     got = sampled.select("text", "part", "label").mapInArrow(others, "margin double, label int").collect()
-    sampled.unpersist()
+    drawn.unpersist()
     y = np.array([float(r["label"] > 0) for r in got])
     return Model(total / np.float32(len(fitted)), labelled.fit_logistic(np.array([[r["margin"]] for r in got]), y))
 

@@ -378,18 +378,40 @@ def test_lexicon_matches_equal_a_plain_scan():
         assert toxicity.measure(folded, toxicity.Lexicon(weights, exceptions, np.zeros(3)).automaton()) == (pytest.approx(sum(best.values())), 60)
 
 
-def test_dual_coordinate_descent_separates():
+@pytest.mark.parametrize("rare", [100, 6])
+def test_dual_coordinate_descent_meets_its_conditions(rare):
+    """At the optimum, w is the dual's sum, and each dual is 0 beyond the margin, at its bound within, and between on it."""
     rng = np.random.default_rng(0)
     rows, y = [], []
-    for _ in range(200):
-        label = rng.random() < 0.5
-        rows.append(np.unique(np.append(rng.integers(10, 60, 8), 3 if label else 5)).astype(np.int32))
-        y.append(1.0 if label else -1.0)
+    for k in range(200):
+        rows.append(np.unique(np.append(rng.integers(10, 60, 8), 3 if k < rare else 5)).astype(np.int32))
+        y.append(1.0 if k < rare else -1.0)
     y = np.array(y)
-    scale = nbsvm.log_count_ratio(rows, y)
-    w = nbsvm.dual_coordinate_descent(rows, scale, y)
-    margin = np.array([w[:-1][r] @ scale[r] / len(r) ** 0.5 + w[-1] for r in rows])
-    assert ((margin > 0) == (y > 0)).mean() > 0.97
+    scale = nbsvm.log_count_ratio(nbsvm.class_counts(rows, y))
+    w, alpha, limit = nbsvm.solve_dual(rows, scale, y, epochs=3000)
+    values = [scale[r] / len(r) ** 0.5 for r in rows]
+    total = np.zeros(len(scale) + 1)
+    for r, v, a, t in zip(rows, values, alpha, y, strict=True):
+        total[r] += a * t * v
+        total[-1] += a * t
+    assert np.allclose(total, w, atol=1e-9)
+    margin = y * np.array([w[:-1][r] @ v + w[-1] for r, v in zip(rows, values, strict=True)])
+    assert ((alpha >= 0) & (alpha <= limit)).all() and np.isclose(limit[y > 0].sum(), limit[y < 0].sum())
+    assert (margin[alpha == 0] > 1 - 1e-3).all() and (margin[alpha == limit] < 1 + 1e-3).all()
+    assert np.abs(margin[(alpha > 0) & (alpha < limit)] - 1).max(initial=0) < 1e-3
+    assert (margin > 0).mean() > 0.97 and (alpha > 0).any()
+
+
+def test_rare_labels_are_in_the_model(spark):
+    """3 of 600 labels: no row of either class is left out, whatever its group."""
+    docs = documents(spark, [("shine " if i % 200 == 7 else "murk ") + " ".join(f"w{(i * k) % 50}" for k in range(1, 9)) + f" u{i}" for i in range(600)])
+    labels = docs.select("doc_id", F.when(F.col("text").startswith("shine"), 1).otherwise(0).alias("quality"))
+    dealt = nbsvm.groups_of(labelled.sample(docs, labels, "quality", 8_000), 150).groupBy("part").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(dealt) == 3 and all(r["ones"] == 1 and r["n"] in (199, 200, 201) for r in dealt)
+    model = nbsvm.learn(docs, labels, group_rows=150)
+    got = {r["doc_id"]: r["score"] for r in nbsvm.scored(docs, model).collect()}
+    ones = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    assert min(got[i] for i in ones) > max(s for i, s in got.items() if i not in ones)
 
 
 def test_lexicon_learns_words_disguises_and_exceptions(spark):
