@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, nbsvm, near_dedup, packing, perspectives, sharding, topk, toxicity, url_rules
+from . import brown, conversation_repair, decontaminate, nbsvm, near_dedup, packing, perspectives, sharding, topk, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,13 @@ def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    placed = conversation_repair.mark(conversation_repair.damage(rows))
+    edits, costs = conversation_repair.repair(placed)
+    return conversation_repair.report(placed, edits, costs, rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +96,7 @@ QUERIES = {
         op8_wu_manber,
         op9_lexicon,
         op10_ball_tree,
+        op11_conversation_repair,
     )
 }
 
@@ -98,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_perspectives": perspectives.ORACLE_SQL,
     "op8_wu_manber": decontaminate.ORACLE_SQL,
     "op10_ball_tree": topk.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
 }
