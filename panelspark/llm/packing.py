@@ -43,6 +43,8 @@ class WordTokenizer:
     character before it is surely a letter or digit, as the pre-tokenizer cuts there as well.
     """
 
+    most = CACHE_WORDS
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -94,33 +96,46 @@ class WordTokenizer:
             lengths = ends - starts
         return starts, lengths, words.hashes(mapped, lengths)
 
+    def is_special(self, raw: bytes) -> bool:
+        """Whether bytes may hold a special token, whose case matters."""
+        return b"<|" in raw
+
+    def spelled(self, word: bytes) -> str:
+        """A word as encode takes it."""
+        return word.lower().decode()
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for _, _, data, offsets in words.pieces(column):
-            raw = data.tobytes()
-            if b"<|" in raw:  # may hold a special token, whose case matters
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    yield np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
-                continue
-            starts, lengths, keys = self.cut(data, offsets)
-            distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            yield from self.ids_of(data, offsets)
+
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text; text i is data[offsets[i]:offsets[i + 1]]."""
+        raw = data.tobytes()
+        if self.is_special(raw):
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                yield np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
+            return
+        starts, lengths, keys = self.cut(data, offsets)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == distinct[known]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            if len(self.keys) + len(new) > self.most or len(self.pool) > 16 * self.most:  # this text's own words stay, whatever their number
+                often = np.argsort(-self.used, kind="stable")[: self.most // 2]
+                often = often[np.cumsum(self.counts[often].astype(np.int64)) <= 8 * self.most]
+                self.keep(np.union1d(often, at[known]))
+            self.learn(distinct[new], [self.spelled(raw[a : a + n]) for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.keys, distinct)
-            known = at < len(self.keys)
-            known[known] = self.keys[at[known]] == distinct[known]
-            if not known.all():
-                new = np.flatnonzero(~known)
-                if len(self.keys) + len(new) > CACHE_WORDS:  # this piece's own words stay, whatever their number
-                    often = np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2]
-                    self.keep(np.union1d(often, at[known]))
-                self.learn(distinct[new], [raw[a : a + n].lower().decode() for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)])
-                at = np.searchsorted(self.keys, distinct)
-            self.used[at] += np.bincount(inverse, minlength=len(distinct))
-            counts = self.counts[at].astype(np.int64)[inverse]
-            begins = np.cumsum(counts) - counts
-            ids = self.pool[np.repeat(self.firsts[at][inverse] - begins, counts) + np.arange(int(counts.sum()))]
-            edge = np.append(begins, len(ids))[np.searchsorted(starts, offsets)]
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                yield ids[a:b]
+        self.used[at] += np.bincount(inverse, minlength=len(distinct))
+        counts = self.counts[at].astype(np.int64)[inverse]
+        begins = np.cumsum(counts) - counts
+        ids = self.pool[np.repeat(self.firsts[at][inverse] - begins, counts) + np.arange(int(counts.sum()))]
+        edge = np.append(begins, len(ids))[np.searchsorted(starts, offsets)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield ids[a:b]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, conversation_repair, decontaminate, nbsvm, near_dedup, packing, perspectives, sharding, topk, toxicity, url_rules
+from . import brown, byte_bpe, conversation_repair, decontaminate, nbsvm, near_dedup, packing, perspectives, sharding, topk, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(placed, edits, costs, rows)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +101,7 @@ QUERIES = {
         op9_lexicon,
         op10_ball_tree,
         op11_conversation_repair,
+        op12_byte_bpe,
     )
 }
 
