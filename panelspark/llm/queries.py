@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, byte_bpe, conversation_repair, decontaminate, nbsvm, near_dedup, packing, perspectives, sharding, topk, toxicity, url_rules
+from . import brown, byte_bpe, conversation_repair, decontaminate, hard_negatives, nbsvm, near_dedup, packing, perspectives, sharding, topk, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(topk.quantised(rows.withColumn("label", moved), keep=["label"]), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,6 +108,7 @@ QUERIES = {
         op10_ball_tree,
         op11_conversation_repair,
         op12_byte_bpe,
+        op13_hard_negatives,
     )
 }
 
@@ -112,4 +119,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_wu_manber": decontaminate.ORACLE_SQL,
     "op10_ball_tree": topk.ORACLE_SQL,
     "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }

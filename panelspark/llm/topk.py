@@ -21,7 +21,7 @@ them is the query's own, this is all that a top k can hold.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +46,13 @@ _DIGITS = 700
 _CELL = ["dim", "centre", "shard"]
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v, the components times scale, rounded down to integers (as doubles), of the rows that take part."""
+def quantised(vectors: DataFrame, scale: int = 256, keep: Sequence[str] = ()) -> DataFrame:
+    """vec_id, v (the components times scale, rounded down to integers, as doubles) and the columns to keep of the rows that take part."""
     scaled = F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double"))
-    rows = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    rows = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), *keep)
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)  # noqa: E731  # larger doubles are integers
-    return rows.filter(sound).select("vec_id", F.transform("v", whole).alias("v"))
+    return rows.filter(sound).select("vec_id", F.transform("v", whole).alias("v"), *keep)
 
 
 class BallTree:
