@@ -1,11 +1,13 @@
 """Packing of tokenised documents into sequences: first-fit decreasing over a tournament tree, in randomised groups.
 
 token_pieces turns every document into pieces of at most `capacity` ids: whole sequences from the front, then the rest.
-pack deals the pieces to groups by a hash of their content and packs each group by itself, so that the work is spread
-evenly however the documents are keyed, and no task holds more than one group.
+pack counts equal pieces, deals the distinct ones to groups by a hash of their content, and the copies of a repeated one to
+consecutive groups, and packs each group by itself. So the work is spread evenly however the documents are keyed or
+repeated, no task holds more than one group, and a lost task packs the same again.
 
-Defined cases: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed each; an
-empty table gives an empty result; other columns of the input are not used, whatever their names.
+Defined cases: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed each; pieces of
+the same length go by doc_id and start; texts of any length are read whole; an empty table gives an empty result; other
+columns of the input are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -209,13 +211,20 @@ def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, group_do
     """
     groups = max(1, -(-n_documents // group_documents))
     names, own = pieces.columns, unused(pieces.columns, "_group")
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*names).dtypes) + ", sequence_id long, offset long"
+    copies = unused([*names, own], "_copies")
+    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
 
     def one(group: pa.Table) -> pa.Table:
+        group = group.take(np.repeat(np.arange(group.num_rows), group[copies].to_numpy()))
         group = group.take(pc.sort_indices(group, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
         bins, offsets = first_fit_decreasing(group["length"].to_pylist(), capacity)
         first = group[own][0].as_py() << 32
         out = group.select(names).append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
-    return pieces.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias(own)).groupBy(own).applyInArrow(one, schema)
+    times, place = F.col(copies), F.col(own)
+    counted = pieces.groupBy(*names).agg(F.count(F.lit(1)).alias(copies))
+    counted = counted.withColumn(own, F.explode(F.sequence(F.lit(0).cast("long"), F.least(times, F.lit(groups)) - 1)))
+    dealt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)) + place
+    shares = F.floor(times / groups) + F.when(place < times % groups, 1).otherwise(0)
+    return counted.select(*names, F.pmod(dealt, F.lit(groups)).alias(own), shares.cast("long").alias(copies)).groupBy(own).applyInArrow(one, schema)
