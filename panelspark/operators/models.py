@@ -1,4 +1,4 @@
-"""Grouped cross-validation, tree ensembles, double machine learning and chained imputation with MLlib."""
+"""Grouped cross-validation, tree ensembles and double machine learning."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import trees as T
 from .aggregate import with_t_interval
 from .stats import r_squared
 
@@ -49,8 +50,20 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: st
     return df.sparkSession.createDataFrame(out, "fold int, rmse double, mae double, r2 double")
 
 
+def boosted_fold_metrics(df: DataFrame, features: Sequence[str], label: str, group: str, keys: Sequence[str], rounds: int = 200, folds: int = 5, **options) -> DataFrame:
+    """fold, rmse, mae and r2 of second-order boosting on each fold's groups; the folds' models grow side by side."""
+    rows = group_folds(df.na.drop(subset=[*features, label]), group, folds)
+    model = T.boost(rows, features, label, keys, "fold", rounds, **options)
+    if model is None:
+        return df.sparkSession.createDataFrame([], "fold int, rmse double, mae double, r2 double")
+    e = F.col(label) - F.col("predicted")
+    square = F.avg(e * e)
+    by_fold = T.boosted_predictions(rows, model, ["fold", label], "fold").groupBy("fold")
+    return by_fold.agg(F.sqrt(square).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (F.lit(1.0) - square / F.nullif(F.var_pop(label), F.lit(0.0))).alias("r2"))
+
+
 def importances(df: DataFrame, features: Sequence[str], label: str, kind: str = "rf", trees: int = 20) -> DataFrame:
-    """feature and importance by impurity, the substitute for attributions per row, which Spark doesn't have."""
+    """feature and importance by impurity; trees.attributions has the effect of each feature on each row."""
     model = tree_model(kind, label, trees).fit(_vectors(df, features, label))
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
@@ -99,14 +112,14 @@ def choose_penalty(grams: Sequence[np.ndarray], penalties: int = 30, least: floa
     return grid[int(np.argmin(errors))]
 
 
-def double_ml(df: DataFrame, outcome: str, treatment: str, controls: Sequence[str], keys: Sequence[str], folds: int = 5, penalty: float | None = None, least: int = 50) -> dict[str, float] | None:
-    """The effect of a treatment on an outcome by cross-fitted lasso residuals, with a robust error; None under `least` rows.
+def dml_residuals(df: DataFrame, outcome: str, treatment: str, controls: Sequence[str], keys: Sequence[str], folds: int = 5, penalty: float | None = None, least: int = 50, keep: Sequence[str] = ()) -> DataFrame | None:
+    """keys, columns to keep, and cross-fitted lasso residuals _d of the treatment and _y of the outcome; None under `least` rows.
 
     Rows with a null are left out. Each fold's residuals come from a model of the others, whose penalty, unless given, is chosen
     by cross-validation over these. One pass adds up products of columns by fold; all models are solved from them.
     """
     columns = [*controls, treatment, outcome]
-    rows = hash_folds(df.select(*keys, *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns))).na.drop(subset=[f"_c{i}" for i in range(len(columns))]), keys, folds, "_fold")
+    rows = hash_folds(df.select(*dict.fromkeys((*keys, *keep)), *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns))).na.drop(subset=[f"_c{i}" for i in range(len(columns))]), keys, folds, "_fold")
     terms = [F.lit(1.0), *(F.col(f"_c{i}") for i in range(len(columns)))]
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     grams = {}
@@ -128,7 +141,14 @@ def double_ml(df: DataFrame, outcome: str, treatment: str, controls: Sequence[st
             for i in range(k):
                 guess = guess + F.col(f"_c{i}") * F.lit(float(coef[1 + i]))
             fitted[name] = F.when(F.col("_fold") == fold, F.col(f"_c{label - 1}") - guess).otherwise(fitted[name])
-    residuals = rows.select(*(c.alias(n) for n, c in fitted.items()))
+    return rows.select(*dict.fromkeys((*keys, *keep)), *(c.alias(n) for n, c in fitted.items()))
+
+
+def double_ml(df: DataFrame, outcome: str, treatment: str, controls: Sequence[str], keys: Sequence[str], folds: int = 5, penalty: float | None = None, least: int = 50) -> dict[str, float] | None:
+    """The effect of a treatment on an outcome by cross-fitted lasso residuals, with a robust error; None under `least` rows."""
+    residuals = dml_residuals(df, outcome, treatment, controls, keys, folds, penalty, least)
+    if residuals is None:
+        return None
     s = residuals.agg(F.sum(F.col("_d") * F.col("_y")).alias("dy"), F.sum(F.col("_d") * F.col("_d")).alias("dd"), F.count(F.lit(1)).alias("n")).first()
     effect = s["dy"] / s["dd"]
     e = F.col("_y") - F.lit(effect) * F.col("_d")
@@ -149,47 +169,10 @@ def refit(df: DataFrame, features: Sequence[str], label: str, kind: str = "rf",
 
 
 def effects_by_group(df: DataFrame, outcome: str, treatment: str, group: str) -> DataFrame:
-    """group, n and slope of the outcome on the treatment: the substitute for a causal forest's effects by group."""
+    """group, n and slope of the outcome on the treatment; trees.effects_by has a causal forest's effects by group."""
     return df.na.drop(subset=[outcome, treatment]).groupBy(group).agg(F.count(F.lit(1)).alias("n"), (F.covar_samp(treatment, outcome) / F.nullif(F.var_samp(treatment), F.lit(0.0))).alias("slope"))
 
 
-def impute_chained(df: DataFrame, targets: Sequence[str], auxiliaries: Sequence[str], keys: Sequence[str], draws: int = 3, sweeps: int = 3, ridge: float = 0.01, seed: int = 7, flag: str = "is_imputed") -> DataFrame:
-    """Missing cells of the targets filled by chained ridge regressions with normal noise, pooled over the draws.
-
-    Observed cells and auxiliaries stay; flag is 1 where any target was missing. Noise is a hash of keys, so that a lost task
-    gives the same values again.
-    """
-    means = df.agg(*(F.avg(c).alias(c) for c in (*targets, *auxiliaries))).first()
-    flags = {f"_miss_{c}": F.col(c).isNull() for c in targets}
-    base = df.withColumns(flags).withColumns({f"_o_{c}": F.col(c) for c in (*targets, *auxiliaries)})
-    pooled = None
-    for draw in range(draws):
-        filled = base.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in (*targets, *auxiliaries)})
-        for sweep in range(sweeps):
-            for c in targets:
-                inputs = [x for x in (*targets, *auxiliaries) if x != c]
-                vectors = VectorAssembler(inputCols=inputs, outputCol="_features").transform(filled)
-                observed = vectors.filter(~F.col(f"_miss_{c}"))
-                model = LinearRegression(featuresCol="_features", labelCol=c, predictionCol="_fit", regParam=ridge, elasticNetParam=0.0).fit(observed)
-                spread = model.summary.rootMeanSquaredError
-                filled = model.transform(vectors).withColumn(c, F.when(F.col(f"_miss_{c}"), F.col("_fit") + F.lit(spread) * _noise(keys, c, draw, sweep, seed)).otherwise(F.col(c))).drop("_fit", "_features")
-        part = filled.select(*keys, *(F.col(c).alias(c) for c in targets))
-        pooled = part if pooled is None else pooled.union(part)
-    mean = pooled.groupBy(*keys).agg(*(F.avg(c).alias(f"_p_{c}") for c in targets))
-    joined = df.join(mean, list(keys), "left")
-    missing = F.lit(False)
-    for c in targets:
-        missing = missing | F.col(c).isNull()
-    out = joined.withColumn(flag, missing.cast("int"))
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_p_{c}")) for c in targets}).drop(*(f"_p_{c}" for c in targets))
-
-
-def _noise(keys: Sequence[str], column: str, draw: int, sweep: int, seed: int) -> Column:
-    """A standard normal from two hashes of the keys."""
-    uniform = lambda k: (F.pmod(F.xxhash64(*keys, F.lit(column), F.lit(draw), F.lit(sweep), F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.sqrt(F.lit(-2.0) * F.ln(uniform(0))) * F.cos(F.lit(6.283185307179586) * uniform(1))
-
-
 def imputation_log(before: DataFrame, targets: Sequence[str], period: str, method: str, draws: int, sweeps: int) -> DataFrame:
     """variable, period, cells imputed, and how."""
     long = before.select(period, *(F.col(c).cast("double").alias(c) for c in targets)).unpivot(period, list(targets), "variable", "value")

@@ -193,29 +193,6 @@ def morans_permutation_test(spark, d):
     return found.select(r("morans_i").alias("morans_i"), r("expected").alias("expected"), r("z", 5).alias("z"), r("p").alias("p"))
 
 
-def _modelled(spark: SparkSession, d: str) -> DataFrame:
-    region = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity"), "n_regionkey")
-    return scores(spark, d).join(region, "entity").na.fill(0.5, ["d1", "d2", "d3", "d4"])
-
-
-_FEATURES = ["d1", "d2", "d3", "d4"]
-
-
-@query()
-def forest_cross_validation(spark, d):
-    return M.cross_validate(_modelled(spark, d), _FEATURES, "cost", "n_regionkey", "rf", trees=50)
-
-
-@query()
-def boosting_fold_summary(spark, d):
-    return M.fold_summary(M.cross_validate(_modelled(spark, d), _FEATURES, "cost", "n_regionkey", "gbt", trees=20))
-
-
-@query()
-def forest_importances(spark, d):
-    return M.importances(_modelled(spark, d), _FEATURES, "cost", "rf", trees=50)
-
-
 @query()
 def double_machine_learning(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.month("o_orderdate").cast("double").alias("m"), (F.col("o_custkey") % 100).cast("double").alias("x"), F.col("o_totalprice").alias("y"), (F.col("o_orderkey") % 13).cast("double").alias("treatment"))
@@ -223,17 +200,6 @@ def double_machine_learning(spark, d):
     return spark.createDataFrame([(found["effect"], found["se"], found["n"])] if found else [], "effect double, se double, n long")
 
 
-@query()
-def chained_imputation(spark, d):
-    rows = scores(spark, d).select("entity", "period", "d1", "d2", "d3", F.col("procedures").cast("double").alias("procedures"))
-    return M.impute_chained(rows, ["d2"], ["d1", "d3", "procedures"], ["entity", "period"], draws=2, sweeps=2)
-
-
-@query(_DIMS + "SELECT 'd2' AS variable, period, count(*) FILTER (WHERE d2 IS NULL) AS n_imputed, count(*) AS n_total, 'chained' AS method, 2 AS draws, 2 AS sweeps FROM cs GROUP BY period")
-def imputation_log(spark, d):
-    return M.imputation_log(scores(spark, d), ["d2"], "period", "chained", 2, 2)
-
-
 @query(
     """WITH c AS (SELECT CAST(s_nationkey AS BIGINT) AS entity, s_suppkey % 4 = 1 OR s_suppkey % 6 = 1 AS able, s_acctbal > 5000 AS rich FROM supplier), p AS (SELECT CAST(c_nationkey AS BIGINT) AS entity, count(*) AS population FROM customer GROUP BY 1),
 g AS (SELECT entity, count(*) FILTER (WHERE able) AS n_able, count(*) FILTER (WHERE rich) AS n_rich, max(population) AS population FROM c LEFT JOIN p USING (entity) GROUP BY 1)

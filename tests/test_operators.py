@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import exprs as X
 from panelspark.operators import aggregate as A
+from panelspark.operators import imputation
 from panelspark.operators import indicators as I
 from panelspark.operators import models as M
 from panelspark.operators import normalize as N
@@ -221,7 +222,7 @@ def test_imputation_fills_only_gaps(spark):
     rng = np.random.default_rng(0)
     data = [(i, float(a), None if i % 5 == 0 else float(2 * a + rng.normal() * 0.1)) for i, a in enumerate(rng.normal(size=40))]
     df = spark.createDataFrame(data, "k int, a double, b double")
-    out = {r["k"]: r for r in M.impute_chained(df, ["b"], ["a"], ["k"], draws=2, sweeps=2).collect()}
+    out = {r["k"]: r for r in imputation.impute(df, ["b"], ["a"], ["k"], draws=2, sweeps=2).collect()}
     assert all(out[k]["b"] == b for k, _, b in data if b is not None) and all(out[k]["is_imputed"] == int(b is None) for k, _, b in data)
     assert all(abs(out[k]["b"] - 2 * a) < 1.0 for k, a, b in data if b is None)
 
