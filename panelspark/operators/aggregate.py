@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import t975
-from .normalize import percentiles, quantile_bins, with_stats_of
+from .normalize import GROUP_ROWS, percentiles, quantile_bins, with_stats_of
 
 #: Periods that a pivot may have columns for.
 MOST_PERIODS = 1_000
-#: Ranges that distinct values are sorted in for ranks.
-RANK_PARTS = 64
+#: Rows of a range, on average, whose distinct values one task sorts for ranks.
+RANK_ROWS = 200_000
 
 
 def event_rollup(events: DataFrame, keys: Sequence[str], event: str, deaths: Column, value: str, stay: str) -> DataFrame:
@@ -126,6 +126,14 @@ def describe(df: DataFrame, columns: Sequence[str], group: str | None = None, ov
         q = percentiles(long, ["value"], [0.25, 0.5, 0.75], keys)
         return q.select(*keys, *(F.col("_q_value")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))))
 
+    if df.count() <= GROUP_ROWS:  # no group is larger: percentiles in the same pass
+        stats.append(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_q"))
+        spread = {n: F.col("_q")[i] for i, n in enumerate(("q25", "median", "q75"))}
+        if group is None:
+            return long.groupBy("variable").agg(*stats).withColumns(spread).drop("_q")
+        sets = long.groupingSets([["_group", "variable"], ["variable"]], "_group", "variable").agg(*stats, F.grouping("_group").cast("int").alias("_all")).withColumns(spread)
+        name = F.when(F.col("_all") == 1, F.lit(overall)).otherwise(F.col("_group"))
+        return sets.select(name.alias("group"), *(c for c in sets.columns if c[0] != "_"))
     if group is None:
         return with_stats_of(long.groupBy("variable").agg(*stats), quartiles(["variable"]), ["variable"])
     sets = long.groupingSets([["_group", "variable"], ["variable"]], "_group", "variable").agg(*stats, F.grouping("_group").cast("int").alias("_all"))
@@ -153,7 +161,8 @@ def periods(df: DataFrame, column: str, most: int = MOST_PERIODS) -> list:
 
 def medians_by(df: DataFrame, row: str, column: str, values: Sequence, variable: str) -> DataFrame:
     """A row for each group with its median in each of the given periods."""
-    return df.groupBy(row).pivot(column, list(values)).agg(F.median(variable))
+    medians = percentiles(df, [variable], [0.5], [row, column]).select(row, column, F.col(f"_q_{variable}")[0].alias("_median"))
+    return medians.groupBy(row).pivot(column, list(values)).agg(F.first("_median"))
 
 
 def missingness(df: DataFrame, columns: Sequence[str], period: str | None = None, handling: Mapping[str, str] | None = None) -> DataFrame:
@@ -170,6 +179,32 @@ def missingness(df: DataFrame, columns: Sequence[str], period: str | None = None
     return out if period else out.drop("_period")
 
 
+def with_mechanism(missing: DataFrame, declared: Mapping[str, str], sources: Sequence[str] = (), handling: Mapping[str, str] | None = None) -> DataFrame:
+    """missingness with mechanism and how each is handled.
+
+    declared names the mechanism of variables by how their names begin (the first that fits counts). Of variables of the
+    sources, one without any value is "source_unavailable". Others are "NA" where nothing is missing, else "MAR".
+    """
+    begins = lambda names: F.exists(F.array(*map(F.lit, names)), lambda n: F.col("variable").startswith(n)) if names else F.lit(False)
+    mechanism = F.when(begins(list(sources)) & (F.col("pct_missing") >= 100), "source_unavailable").when(F.col("n_missing") == 0, "NA").otherwise("MAR")
+    for prefix, name in reversed(declared.items()):
+        mechanism = F.when(F.col("variable").startswith(prefix), name).otherwise(mechanism)
+    how = F.lit("left_as_missing")
+    for name, text in (handling or {}).items():
+        how = F.when(F.col("mechanism") == name, text).otherwise(how)
+    return missing.withColumn("mechanism", mechanism).withColumn("handling", how)
+
+
+def trends(df: DataFrame, period: str, means: Sequence[str] = (), medians: Sequence[str] = (), sums: Sequence[str] = (), distinct: Sequence[str] = ()) -> DataFrame:
+    """period, and mean_, median_, sum_ and n_ of the columns of each kind; medians are exact, nulls count in none."""
+    kinds = [F.avg(c).alias(f"mean_{c}") for c in means] + [F.sum(c).alias(f"sum_{c}") for c in sums] + [F.count_distinct(c).alias(f"n_{c}") for c in distinct]
+    out = df.groupBy(period).agg(*kinds) if kinds else df.select(period).distinct()
+    if not medians:
+        return out
+    found = with_stats_of(out, percentiles(df, medians, [0.5], [period]), [period])
+    return found.withColumns({f"median_{c}": F.col(f"_q_{c}")[0] for c in medians}).drop(*(f"_q_{c}" for c in medians))
+
+
 def missingness_wide(df: DataFrame, columns: Sequence[str], period: str, values: Sequence) -> DataFrame:
     """variable, its missing per cent in each period, and overall."""
     each = missingness(df, columns, period).groupBy("variable").pivot(period, list(values)).agg(F.first("pct_missing"))
@@ -184,32 +219,32 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def _ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS) -> DataFrame:
+def _ranks(df: DataFrame, column: str, out: str, parts: int | None = None) -> DataFrame:
     """_v and out: the rank of each distinct value of a column.
 
-    Distinct values with their counts are dealt to ranges of about equal size and sorted in each; the counts of the ranges
-    before are added.
+    Distinct values with their counts are dealt to ranges of RANK_ROWS rows or so (or to `parts` ranges) and sorted in each; the
+    counts of the ranges before are added. Ranges come from a sketch of the rows.
     """
+    parts = parts or max(1, -(-df.count() // RANK_ROWS))
+    edges = (df.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []) if parts > 1 else []
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    edges = counts.agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
     part = F.lit(0)
     if edges:
-        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("_v")))
+        part = F.array_size(F.filter(F.lit(sorted(set(edges))), lambda e: e < F.col("_v")))
     counts = counts.withColumn("_part", part)
-    sizes = dict(counts.groupBy("_part").agg(F.sum("_n")).collect())  # a row for each range
-    total, before = 0, {}
-    for k in sorted(sizes):
-        before[k], total = total, total + sizes[k]
-    offset = F.array(*(F.lit(before.get(k, 0)) for k in range(max(before, default=0) + 1)))[F.col("_part")]
-    upto = F.sum("_n").over(W.partitionBy("_part").orderBy("_v"))
-    return counts.select("_v", (offset + upto - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+    upto = F.sum("_n").over(W.partitionBy("_part").orderBy("_v")) - F.col("_n") + (F.col("_n") + 1) / 2.0
+    if not edges:
+        return counts.select("_v", upto.alias(out))
+    sizes = counts.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    before = sizes.select("_part", (F.sum("_s").over(W.partitionBy(F.lit(1)).orderBy("_part")) - F.col("_s")).alias("_before"))  # a row for each range
+    return counts.withColumn("_upto", upto).join(F.broadcast(before), "_part").select("_v", (F.col("_before") + F.col("_upto")).alias(out))
 
 
 def _ranked(df: DataFrame, column: str, ranks: DataFrame) -> DataFrame:
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
 
 
-def average_ranks(df: DataFrame, column: str, out: str, parts: int = RANK_PARTS) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, out: str, parts: int | None = None) -> DataFrame:
     """df with ranks in which ties share their mean; nulls have none."""
     return _ranked(df, column, _ranks(df, column, out, parts))
 

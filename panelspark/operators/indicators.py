@@ -9,8 +9,8 @@ from types import MappingProxyType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip_keep_null, flag, geometric_mean, haversine_km, present, rate, row_mean, safe_div
-from .normalize import minmax_within
+from ..functions.exprs import clip_keep_null, flag, floored_geometric_mean, geometric_mean, haversine_km, present, rate, row_mean, safe_div
+from .normalize import minmax_within, winsor_minmax
 
 #: Facilities that are sent to all tasks; more are matched by cells.
 BROADCAST_FACILITIES = 1_000
@@ -38,6 +38,16 @@ def raw_dimensions(df: DataFrame, specs: Sequence[DimensionSpec]) -> DataFrame:
     return df.withColumns(out)
 
 
+def winsorised_composite(df: DataFrame, columns: Sequence[str], inverted: Sequence[str] = (), keys: Sequence[str] = (), score: str = "score") -> DataFrame:
+    """df with score: the geometric mean, floored, of columns clipped to their percentiles and scaled; inverted ones count as 1 - x.
+
+    Missing columns of a row are left out of its mean; a row without any has no score.
+    """
+    scaled = winsor_minmax(df.withColumns({f"_w_{c}": F.col(c).cast("double") for c in columns}), [f"_w_{c}" for c in columns], keys)
+    parts = [F.lit(1.0) - F.col(f"_w_{c}") if c in inverted else F.col(f"_w_{c}") for c in columns]
+    return scaled.withColumn(score, floored_geometric_mean(parts)).drop(*(f"_w_{c}" for c in columns))
+
+
 def composite_scores(df: DataFrame, specs: Sequence[DimensionSpec], period: str, score: str = "score") -> DataFrame:
     """Dimensions scaled within each period, inverted ones turned, their geometric mean, and how many there are."""
     keys = [s.key for s in specs]

@@ -112,22 +112,31 @@ def fixed_effects(df: DataFrame, y: str, x: Sequence[str], entity: str, period:
     r2_within (of deviations from entity means), r2_between (of entity means) and r2_overall (of the rows) are those of its
     coefficients, about zero, as there is no constant.
     """
-    columns = [y, *x]
+    columns, k = [*x, y], len(x)
     rows = df.select(entity, period, *(F.col(c).cast("double").alias(c) for c in columns)).na.drop().cache()
-    regressors, k = [F.col(c) for c in x], len(x)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(entity).alias("g"), F.countDistinct(period).alias("t")).first()
-    n, g = counts["n"], counts["g"]
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(period).alias("t")).first()
+    n = counts["n"]
     if n < least:
         rows.unpersist()
         return None
-    by_entity = demean_within(rows, columns, entity)
-    within = (demean_two_way(rows, columns, entity, period) if two_way else by_entity).cache()
-    products = cross_products(within, [*regressors, F.col(y)])
-    inverse = np.linalg.inv(products[:k, :k])
-    coef = inverse @ products[:k, k]
-    e = F.col(y) - _dot(regressors, coef)
-    by_cluster = within.groupBy(entity).agg(*(F.sum(r * e).alias(f"u{i}") for i, r in enumerate(regressors)))
-    meat = cross_products(by_cluster, [F.col(f"u{i}") for i in range(k)])
+    # Each row's values, their deviations from entity means, and those from both effects; then sums of products by entity.
+    wide = demean_within(rows.withColumns({f"_{v}{i}": F.col(c) for v in "rb" for i, c in enumerate(columns)}), [f"_b{i}" for i in range(k + 1)], entity)
+    wide = demean_two_way(wide, columns, entity, period) if two_way else wide.withColumns({c: F.col(f"_b{i}") for i, c in enumerate(columns)})
+    versions = {"w": columns, "b": [f"_b{i}" for i in range(k + 1)], "r": [f"_r{i}" for i in range(k + 1)]}
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = [F.sum(F.col(of[i]) * F.col(of[j])).alias(f"{v}{i}_{j}") for v, of in versions.items() for i, j in pairs]
+    by_entity = wide.groupBy(entity).agg(*sums, *(F.avg(f"_r{i}").alias(f"m{i}") for i in range(k + 1))).cache()
+    means = [F.sum(F.col(f"m{i}") * F.col(f"m{j}")).alias(f"m{i}_{j}") for i, j in pairs]
+    total = by_entity.agg(F.count(F.lit(1)).alias("g"), *means, *(F.sum(f"{v}{i}_{j}").alias(f"{v}{i}_{j}") for v in versions for i, j in pairs)).first()
+
+    def products(v: str) -> np.ndarray:
+        return np.array([[total[f"{v}{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+
+    g, within = total["g"], products("w")
+    inverse = np.linalg.inv(within[:k, :k])
+    coef = inverse @ within[:k, k]
+    scores = [F.col(f"w{i}_{k}") - _dot([F.col(f"w{min(i, j)}_{max(i, j)}") for j in range(k)], coef) for i in range(k)]
+    meat = cross_products(by_entity, scores)
     factor = g / (g - 1) * (n - 1) / (n - k) if small_sample and g > 1 and n > k else 1.0
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * factor, 0))
     full = np.append(-coef, 1.0)
@@ -135,12 +144,10 @@ def fixed_effects(df: DataFrame, y: str, x: Sequence[str], entity: str, period:
     def share(m: np.ndarray) -> float:
         return 1 - float(full @ m @ full) / m[k, k] if m[k, k] else float("nan")
 
-    means = rows.groupBy(entity).agg(*(F.avg(c).alias(c) for c in columns))
-    others = [share(cross_products(part, [*regressors, F.col(y)])) for part in (by_entity, means, rows)]
-    within.unpersist()
+    by_entity.unpersist()
     rows.unpersist()
     df_left = n - k - g - (counts["t"] - 1 if two_way else 0)
-    return Fit(list(x), coef, se, n, max(df_left, 1), share(products), float("nan"), *others)
+    return Fit(list(x), coef, se, n, max(df_left, 1), share(within), float("nan"), *(share(products(v)) for v in "bmr"))
 
 
 def hausman(df: DataFrame, y: str, x: Sequence[str], entity: str) -> dict[str, float]:
@@ -199,11 +206,12 @@ def _hashed_rank(df: DataFrame, keys: Sequence[str], hashed: Column, node: str)
     return rows.withColumn("_w", within).join(before, [*keys, "_b"]).withColumn("_k", F.col("_before") + F.col("_w")).drop("_h", "_b", "_w", "_before")
 
 
-def morans_test(values: DataFrame, edges: DataFrame, node: str = "id", value: str = "value", permutations: int = 99, seed: int = 7) -> DataFrame:
+def morans_test(values: DataFrame, edges: DataFrame, node: str = "id", value: str = "value", permutations: int = 99, seed: int = 7, least: int = 4) -> DataFrame:
     """morans_i, expected, z and p of a permutation test, in one plan.
 
     Permutation k gives the nodes' values, in the order of a digest of the node, to the nodes in the order of a digest of node, seed and
-    k. p is (more extreme permutations + 1) / (permutations + 1); all but morans_i are null without edges.
+    k. p is (more extreme permutations + 1) / (permutations + 1); all but morans_i are null without edges. Fewer than `least` nodes with
+    a value give no row.
     """
     seen = values.select(F.col(node).alias("_id"), F.col(value).cast("double").alias("_v")).na.drop()
     moments = seen.agg(F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("_n"))
@@ -221,7 +229,7 @@ def morans_test(values: DataFrame, edges: DataFrame, node: str = "id", value: st
     of = crossed.groupBy("_p").agg(F.sum("w").alias("_s0"), F.sum(F.col("w") * F.col("_a") * F.col("_b")).alias("_cross"))
     square = seen.agg(F.sum(F.col("_z") * F.col("_z")).alias("_square"), F.max("_n").alias("_n"))
     i = F.col("_n") / F.nullif(F.col("_s0"), F.lit(0.0)) * F.col("_cross") / F.nullif(F.col("_square"), F.lit(0.0))
-    found = of.crossJoin(F.broadcast(square)).select("_p", i.alias("_i"))  # a row for each permutation
+    found = of.crossJoin(F.broadcast(square)).filter(F.col("_n") >= least).select("_p", i.alias("_i"))  # a row for each permutation
     observed = found.filter("_p = 0").select(F.col("_i").alias("morans_i"))
     sims = found.filter("_p > 0").crossJoin(F.broadcast(observed))
     out = sims.groupBy("morans_i").agg(F.avg("_i").alias("expected"), F.stddev_pop("_i").alias("_sd"), F.count_if(F.col("_i") >= F.col("morans_i")).alias("_larger"))
@@ -229,6 +237,13 @@ def morans_test(values: DataFrame, edges: DataFrame, node: str = "id", value: st
     return out.select("morans_i", "expected", ((F.col("morans_i") - F.col("expected")) / F.nullif(F.col("_sd"), F.lit(0.0))).alias("z"), p.alias("p"))
 
 
+def with_interpretation(test: DataFrame, level: float = 0.05) -> DataFrame:
+    """morans_test with what it says: positive or negative autocorrelation where p is under the level, none else, null without p."""
+    sign = F.when(F.col("morans_i") > 0, "positive").otherwise("negative")
+    said = F.when(F.col("p") < level, F.concat(sign, F.lit(" spatial autocorrelation"))).when(F.col("p").isNotNull(), "no significant autocorrelation")
+    return test.withColumn("interpretation", said)
+
+
 def r_squared(df: DataFrame, y: str, predicted: str) -> DataFrame:
     """rmse, mae and r2 of predictions."""
     e = F.col(y) - F.col(predicted)

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import aggregate as A
+from ..operators import contiguity as C
 from ..operators import indicators as I
 from ..operators import normalize as N
 from ..operators import panel as P
 from ..operators import quality as Q
 from ..operators import stats as S
+from ..sources import html_tables as H
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,6 +145,70 @@ def winsor_minmax_year(spark, d):
     return N.winsor_minmax(rows, ["v"], ["period"]).select("o_orderkey", "period", r("v").alias("v"))
 
 
+#: Areas stand in a row of so many; an area's number is its key.
+_WIDE = 37
+_NEAR = f"abs(a.k % {_WIDE} - b.k % {_WIDE}) <= 1 AND abs(a.k // {_WIDE} - b.k // {_WIDE}) <= 1 AND a.k <> b.k"
+
+
+def cells_of(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of square areas, one for each customer, but for every fifth, so that there are gaps."""
+    k = F.col("c_custkey")
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0.0, 0.1) for j in (0.0, 0.1))))
+    return table(spark, d, "customer").filter(k % 5 != 0).select(k.alias("area"), corner.alias("c")).select("area", ((F.col("area") % _WIDE) * 0.1 + F.col("c.i")).alias("x"), (F.floor(F.col("area") / _WIDE) * 0.1 + F.col("c.j")).alias("y"))
+
+
+@query(f"WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0) SELECT a.k AS src, b.k AS dst, CAST(1 AS DOUBLE) AS w FROM c a JOIN c b ON {_NEAR}")
+def queen_contiguity(spark, d):
+    return C.queen(cells_of(spark, d))
+
+
+@query(f"""WITH v AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 5 <> 0), z AS (SELECT k, v - (SELECT avg(v) FROM v) AS z FROM v),
+w AS (SELECT a.k AS src, b.k AS dst, 1.0 / count(*) OVER (PARTITION BY a.k) AS w FROM z a JOIN z b ON {_NEAR})
+SELECT (SELECT count(*) FROM z) AS n, round((SELECT count(*) FROM z) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM z), 6) AS morans_i FROM w JOIN z a ON src = a.k JOIN z b ON dst = b.k""")
+def contiguous_morans_i(spark, d):
+    values = table(spark, d, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return S.morans_i(values, C.queen(cells_of(spark, d))).select("n", r("morans_i").alias("morans_i"))
+
+
+@query("""WITH c AS (SELECT CAST(n_regionkey AS BIGINT) AS region, n_name, CAST(count(*) AS VARCHAR) AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, n_regionkey),
+g AS (SELECT region, k, 0 AS c, CAST(region AS VARCHAR) AS text FROM c UNION ALL SELECT region, k, 1, n_name FROM c UNION ALL SELECT region, k, 2, n FROM c
+UNION ALL SELECT region, 0, c, CASE c WHEN 0 THEN 'Region' ELSE 'Nation & customers' END FROM (SELECT DISTINCT region FROM c), (VALUES (0), (1), (2)) t(c))
+SELECT region, CAST(k AS INTEGER) AS "row", c AS "column", text, k = 0 AS header FROM g""")
+def html_table_cells(spark, d):
+    """Cells of tables that pages made from nations hold, with a region that spans its nations' rows and a heading over two columns; pages of the web table have none."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("long").alias("region"))
+    counts = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("region", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    lines = counts.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("n_name", "n"))).alias("rows"))
+    first = F.concat(F.lit("<td rowspan='"), F.size("rows").cast("string"), F.lit("'>"), F.col("region").cast("string"), F.lit("</td>"))
+    body = F.array_join(F.transform("rows", lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), F.lit("<td>"), x["n_name"], F.lit("<td> "), x["n"].cast("string"), F.lit("\n</tr>"))), "")
+    page = F.concat(F.lit("<p>text<table><tr><th>Region<th colspan=2>Nation &amp;<br>customers</tr>"), body, F.lit("</table>"))
+    return H.scan(lines.select("region", page.alias("html")).union(table(spark, d, "pages").select("page_id", "html")), "region").select("region", "row", "column", "text", "header")
+
+
+_FIVE = ("access", "density", "volume", "mortality", "burden")
+
+
+@query(
+    _PANEL
+    + """, fac AS (SELECT CAST(s_nationkey AS BIGINT) AS entity, count(*) AS n, count(*) FILTER (WHERE s_acctbal > 0) AS open FROM supplier GROUP BY 1),
+v AS (SELECT entity, period, open / CAST(n AS DOUBLE) AS access, n / CAST(nullif(population, 0) AS DOUBLE) * 100000 AS density, procedures / CAST(nullif(population, 0) AS DOUBLE) * 100000 AS volume,
+  CASE WHEN procedures >= 80 THEN deaths / CAST(procedures AS DOUBLE) END AS mortality, CASE WHEN procedures > 0 AND income > 0 THEN cost / procedures / income END AS burden FROM full_panel LEFT JOIN fac USING (entity)),
+q AS (SELECT """
+    + ", ".join(f"quantile_cont({c}, 0.01) AS l_{c}, quantile_cont({c}, 0.99) AS h_{c}" for c in _FIVE)
+    + " FROM v), z AS (SELECT entity, period, "
+    + ", ".join(("1 - " if c in ("mortality", "burden") else "") + f"CASE WHEN {c} IS NOT NULL THEN CASE WHEN h_{c} > l_{c} THEN (least(greatest({c}, l_{c}), h_{c}) - l_{c}) / (h_{c} - l_{c}) ELSE {c} END END AS {c}" for c in _FIVE)
+    + " FROM v, q) SELECT entity, period, round(exp(list_avg(list_transform(list_filter(["
+    + ", ".join(_FIVE)
+    + "], lambda x: x IS NOT NULL), lambda x: ln(greatest(x, 0.001))))), 6) AS score FROM z"
+)
+def five_indicator_composite(spark, d):
+    """Access, density, volume, mortality and burden in one score; the last two are better when low."""
+    facilities = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("entity")).agg(F.count(F.lit(1)).alias("facilities"), F.count_if(F.col("s_acctbal") > 0).alias("open"))
+    p, n, c, i = (F.col(x) for x in ("procedures", "population", "cost", "income"))
+    rows = full(spark, d).join(facilities, "entity", "left").withColumns({"access": F.col("open") / F.col("facilities"), "density": X.rate(F.col("facilities"), n), "volume": I.volume(p, n), "mortality": I.mortality(F.col("deaths"), p, 80), "burden": I.financial_risk(c, p, i)})
+    return I.winsorised_composite(rows, _FIVE, ["mortality", "burden"]).select("entity", "period", r("score").alias("score"))
+
+
 @query(
     _PANEL
     + """SELECT entity, period, round(procedures / CAST(nullif(population, 0) AS DOUBLE) * 100000, 6) AS volume, round(CASE WHEN procedures >= 80 THEN deaths / CAST(procedures AS DOUBLE) END, 6) AS mortality,
@@ -276,9 +342,9 @@ def dedup_keep_first(spark, d):
     return P.keep_first(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_nationkey, max(c_custkey) AS c_custkey FROM customer WHERE c_acctbal >= 9000 GROUP BY c_nationkey")
+@query("SELECT c_nationkey, max(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey")
 def latest_wins(spark, d):
-    rows = table(spark, d, "customer").filter("c_acctbal >= 9000")
+    rows = table(spark, d, "customer")
     return P.keep_latest(rows, ["c_nationkey"], "c_custkey").select("c_nationkey", "c_custkey")
 
 
@@ -403,6 +469,21 @@ _GAPS = "WITH g AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS period, nullif(l_
 _PCT = "round_even(100.0 * CAST(count(*) - count({c}) AS DOUBLE) / CAST(count(*) AS DOUBLE), 2)"
 
 
+_MECHANISMS = {"discount": ("MNAR", "multiple_imputation"), "tax": ("MAR", "left_as_missing"), "l_quantity": ("NA", "none"), "rebate": ("source_unavailable", "documented_gap"), "fixed_price": ("cross_sectional", "constant_fill")}
+
+
+@query(
+    _GAPS.replace(", l_quantity FROM", ", l_quantity, CAST(NULL AS DOUBLE) AS rebate, CASE WHEN l_linenumber = 1 THEN l_extendedprice END AS fixed_price FROM")
+    + " UNION ALL ".join(f" SELECT '{c}' AS variable, period, count(*) AS n_total, count({c}) AS n_observed, count(*) - count({c}) AS n_missing, {_PCT.format(c=c)} AS pct_missing, '{m}' AS mechanism, '{h}' AS handling FROM g GROUP BY period" for c, (m, h) in _MECHANISMS.items())
+)
+def missingness_mechanisms(spark, d):
+    """Missing cells of each variable and year, why they are missing, and what is done about them."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    rows = l.select(year("l_shipdate").alias("period"), F.nullif("l_discount", F.lit(0.0)).alias("discount"), F.nullif("l_tax", F.lit(0.08)).alias("tax"), "l_quantity", F.lit(None).cast("double").alias("rebate"), F.when(F.col("l_linenumber") == 1, F.col("l_extendedprice")).alias("fixed_price"))
+    handling = {"MNAR": "multiple_imputation", "cross_sectional": "constant_fill", "source_unavailable": "documented_gap", "NA": "none"}
+    return A.with_mechanism(A.missingness(rows, list(_MECHANISMS), "period"), {"discount": "MNAR", "fixed_": "cross_sectional"}, ["rebate", "tax"], handling)
+
+
 @query(
     _GAPS
     + " UNION ALL ".join(f" SELECT '{c}' AS variable, period, count(*) AS n_total, count({c}) AS n_observed, count(*) - count({c}) AS n_missing, {_PCT.format(c=c)} AS pct_missing, CASE WHEN count(*) = count({c}) THEN 'complete' ELSE '{h}' END AS handling FROM g GROUP BY period" for c, h in (("discount", "chained equations"), ("tax", "none"), ("l_quantity", "none")))
@@ -544,6 +625,17 @@ def temporal_trend(spark, d):
     return A.with_t_interval(rows).select("r_name", "period", "n", r("mean", 4).alias("mean"), r("se", 4).alias("se"))
 
 
+@query(_PANEL + "SELECT period, round(avg(deaths), 6) AS mean_deaths, round(sum(cost), 2) AS sum_cost, count(DISTINCT entity) AS n_entity, round(quantile_cont(cost, 0.5), 4) AS median_cost, quantile_cont(CAST(procedures AS DOUBLE), 0.5) AS median_procedures FROM panel GROUP BY 1")
+def yearly_trends(spark, d):
+    out = A.trends(panel(spark, d), "period", ["deaths"], ["cost", "procedures"], ["cost"], ["entity"])
+    return out.select("period", r("mean_deaths").alias("mean_deaths"), r("sum_cost", 2).alias("sum_cost"), "n_entity", r("median_cost", 4).alias("median_cost"), "median_procedures")
+
+
+@query("WITH g AS (SELECT r_name, o_totalprice, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT CASE WHEN grouping(r_name) = 1 THEN 'Overall' ELSE r_name END AS \"group\", count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(stddev_samp(o_totalprice), 4) AS sd FROM g GROUP BY GROUPING SETS ((r_name), ())")
+def regional_summary(spark, d):
+    return A.describe(regional(spark, d), ["o_totalprice"], "r_name").select("group", "n", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("sd", 4).alias("sd"))
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def semi_join(spark, d):
     large = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
@@ -658,13 +750,11 @@ def pending_tasks(spark, d):
     return Q.pending_tasks(table(spark, d, "customer").select("c_custkey"), log, ["c_custkey"])
 
 
-_MONTHS = "SELECT CAST(year(m) AS BIGINT) AS y, CAST(month(m) AS BIGINT) AS mo FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-06-01', INTERVAL 1 MONTH)) AS m)"
-
-
-@query(_MONTHS)
+@query("SELECT CAST(year(m) AS BIGINT) AS y, CAST(month(m) AS BIGINT) AS mo FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)")
 def month_sequence(spark, d):
-    one = table(spark, d, "region").limit(1)
-    months = one.select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1996-06-01").cast("date"), F.expr("interval 1 month"))).alias("m"))
+    """Every month from the first order's to the last one's, with orders or without."""
+    ends = table(spark, d, "orders").agg(*(F.trunc(f("o_orderdate"), "month").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))))
+    months = ends.filter("first IS NOT NULL").select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("m"))
     return months.select(year("m").alias("y"), F.month("m").cast("long").alias("mo"))
 
 

@@ -45,6 +45,21 @@ def compact(df: DataFrame, path: str, by: Sequence[str], files: int = 1) -> None
     df.repartition(*by, part).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, by: Sequence[str], file_rows: int = 1_000_000) -> None:
+    """Writes df in the order of `by` (nulls first) over files of about file_rows rows: files in the order of their names, each sorted.
+
+    No value of `by` is in two files, so that statistics of files don't overlap and a reader of one value opens one.
+    """
+    files = max(1, -(-df.count() // file_rows))
+    df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def file_ranges(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """file, n, and low_ and high_ of each column of `by`, of each file under the path."""
+    ends = [f(c).alias(f"{n}_{c}") for c in by for f, n in ((F.min, "low"), (F.max, "high"))]
+    return spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n"), *ends)
+
+
 def export_tree(tables: Mapping[str, DataFrame], root: str, rules: Sequence[tuple[str, str]]) -> list[str]:
     """Writes each table to root/namespace/name as zstd Parquet; a name that isn't a plain identifier is refused."""
     out = []

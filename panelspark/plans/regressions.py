@@ -71,9 +71,10 @@ _VARIANTS = {"arithmetic": ("arithmetic", "true"), "four dimensions": ("score",
 
 @query(_two_way_sql(_VARIANTS))
 def sensitivity_regressions(spark, d):
-    rows = _outcome(spark, d)
+    rows = _outcome(spark, d).select("entity", "period", "score", "arithmetic", "n_dimensions", "outcome").cache()  # scored once for all variants
     variants = {"arithmetic": ("arithmetic", rows), "four dimensions": ("score", rows.filter("n_dimensions >= 4")), "without a year": ("score", rows.filter("period <> 1998"))}
     fits = {m: S.fixed_effects(df, "outcome", [x], "entity", "period") for m, (x, df) in variants.items()}
+    rows.unpersist()
     return _shown(S.result_frame(spark, {m: f for m, f in fits.items() if f}))
 
 
@@ -186,11 +187,12 @@ node AS (SELECT p, id, row_number() OVER (PARTITION BY p ORDER BY md5(CAST(id AS
 drawn AS (SELECT p, id, z FROM node JOIN place USING (k) UNION ALL SELECT 0, id, z FROM z),
 i AS (SELECT a.p, (SELECT count(*) FROM z) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM z) AS i FROM w JOIN drawn a ON a.id = src JOIN drawn b ON b.id = dst AND a.p = b.p GROUP BY 1),
 o AS (SELECT i AS morans_i FROM i WHERE p = 0), t AS (SELECT any_value(morans_i) AS morans_i, avg(i) AS expected, stddev_pop(i) AS sd, count(*) FILTER (WHERE i >= morans_i) AS larger FROM i, o WHERE p > 0)
-SELECT round(morans_i, 6) AS morans_i, round(expected, 6) AS expected, round((morans_i - expected) / sd, 5) AS z, round((least(larger, 99 - larger) + 1) / 100.0, 6) AS p FROM t"""
+SELECT round(morans_i, 6) AS morans_i, round(expected, 6) AS expected, round((morans_i - expected) / sd, 5) AS z, round((least(larger, 99 - larger) + 1) / 100.0, 6) AS p,
+  CASE WHEN (least(larger, 99 - larger) + 1) / 100.0 >= 0.05 THEN 'no significant autocorrelation' WHEN morans_i > 0 THEN 'positive spatial autocorrelation' ELSE 'negative spatial autocorrelation' END AS interpretation FROM t"""
 )
 def morans_permutation_test(spark, d):
-    found = S.morans_test(*_mean_cost(spark, d))
-    return found.select(r("morans_i").alias("morans_i"), r("expected").alias("expected"), r("z", 5).alias("z"), r("p").alias("p"))
+    found = S.with_interpretation(S.morans_test(*_mean_cost(spark, d)))
+    return found.select(r("morans_i").alias("morans_i"), r("expected").alias("expected"), r("z", 5).alias("z"), r("p").alias("p"), "interpretation")
 
 
 @query()
