@@ -137,6 +137,16 @@ def ln_positive(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def log1p_floored(x: Column) -> Column:
+    """ln(1 + x), of 0 for what is below it; a null stays null."""
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x.cast("double"), F.lit(0.0))))
+
+
+def per_head(total: Column, people: Column, units: float = 1_000.0) -> Column:
+    """A total in so many units of money, by people; null without people."""
+    return rate(total, people, units)
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
     """For comparing sums of doubles, whose last digits depend on the partitioning."""
     return F.round(x, digits)

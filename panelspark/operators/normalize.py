@@ -120,6 +120,12 @@ def quantile_bins(df: DataFrame, column: str, bins: int, keys: Sequence[str] = (
     return joined.withColumn(out, F.when(F.col(column).isNotNull() & (F.size(edges) > 1), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
 
+def centred(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with out: the column less its mean over all rows."""
+    mean = df.agg(F.avg(column).alias("_mean"))
+    return df.crossJoin(F.broadcast(mean)).withColumn(out, F.col(column) - F.col("_mean")).drop("_mean")  # one row
+
+
 def demean_within(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Columns less their means by key, which are aggregated partially and joined back."""
     joined = with_stats(df, [key], [F.avg(c).alias(f"_m_{c}") for c in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import normalize_code
+from ..functions.exprs import name_key, normalize_code
 
 
 @dataclass(frozen=True)
@@ -117,6 +117,27 @@ def crosswalk(df: DataFrame, code: str, period: str, mapping: DataFrame) -> Data
     return df.join(latest, [code, period], "left").withColumn(code, F.coalesce("_new", code)).drop("_new")
 
 
+def chain_index(changes: DataFrame, order: Sequence[str], change: str, start: float = 100.0) -> DataFrame:
+    """changes (a row a month, say) with index: `start` times all changes, in per cent, up to the row; a missing change is none."""
+    step = F.ln(F.lit(1.0) + F.coalesce(F.col(change), F.lit(0.0)) / 100)
+    upto = W.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)  # a row for each period, of which there are few
+    return changes.withColumn("index", F.lit(start) * F.exp(F.sum(step).over(upto)))
+
+
+def annual_rates(rates: DataFrame, date: str, rate: str, units: float = 1.0) -> DataFrame:
+    """year, and the mean and the last rate of a series of daily rates, by `units`; nulls are left out."""
+    rows = rates.filter(F.col(rate).isNotNull() & F.col(date).isNotNull())
+    value = F.col(rate) / F.lit(float(units))
+    return rows.groupBy(F.year(date).cast("long").alias("year")).agg(F.avg(value).alias("mean_rate"), F.max_by(value, F.col(date)).alias("last_rate"))
+
+
+def join_by_name(left: DataFrame, right: DataFrame, left_name: str, left_group: str, right_name: str, right_group: str) -> DataFrame:
+    """left with the columns of right whose name, trimmed and in upper case, and group are the same; right has a row for each at most."""
+    key = "_name_key"
+    named = right.withColumn(key, name_key(F.col(right_name), F.col(right_group).cast("string"))).drop(right_name, right_group)
+    return left.withColumn(key, name_key(F.col(left_name), F.col(left_group).cast("string"))).join(named, key, "left").drop(key)
+
+
 def deflation_factors(index: DataFrame, base: int, year: str = "year", month: str = "month", value: str = "index") -> DataFrame:
     """year and factor: the base year's December index over the year's."""
     december = index.filter(F.col(month) == 12).groupBy(year).agg(F.max(value).alias("_index"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +103,14 @@ def require_rows(df: DataFrame, period: str, per_period: int) -> None:
         raise ValidationError(f"rows per period other than {per_period}: { {r[period]: r['count'] for r in wrong} }")
 
 
+def require_reference(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df, a reference list: raises unless it has that many rows, and in each a key that no other has."""
+    n, keys, nulls = df.agg(F.count(F.lit(1)), F.count_distinct(key), F.count_if(F.col(key).isNull())).first()
+    if n != rows or keys != rows or nulls:
+        raise ValidationError(f"{n} rows, {keys} distinct {key} and {nulls} without one; {rows} wanted of the first two")
+    return df
+
+
 def require_values(df: DataFrame, keys: Sequence[str]) -> None:
     """Raises on a panel with nothing but keys and nulls."""
     values = [c for c in df.columns if c not in keys]
@@ -126,6 +134,21 @@ def data_dictionary(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def check_dictionary(df: DataFrame, documented: Mapping[str, str]) -> DataFrame:
+    """column, type, documented type, status and pct_missing of each column of df or of the documentation.
+
+    status: ok, type (differs from the documented one), undocumented, absent (documented only), or empty (no value at all).
+    """
+    found = data_dictionary(df)
+    told = F.create_map(*(F.lit(x) for pair in documented.items() for x in pair)) if documented else F.create_map().cast("map<string,string>")
+    rows = found.withColumn("documented", F.element_at(told, F.col("column")))
+    status = F.when(F.col("documented").isNull(), "undocumented").when(F.col("type") != F.col("documented"), "type").when(F.col("pct_missing") >= 100, "empty").otherwise("ok")
+    rows = rows.select("column", "type", "documented", status.alias("status"), "pct_missing")
+    absent = [(c, None, t, "absent", None) for c, t in documented.items() if c not in df.columns]
+    schema = "column string, type string, documented string, status string, pct_missing double"
+    return rows.union(df.sparkSession.createDataFrame(absent, schema)) if absent else rows
+
+
 def status_rollup(log: DataFrame) -> DataFrame:
     return log.groupBy("task", "status").agg(F.count(F.lit(1)).alias("n"))
 

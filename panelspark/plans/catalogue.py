@@ -469,6 +469,43 @@ _GAPS = "WITH g AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS period, nullif(l_
 _PCT = "round_even(100.0 * CAST(count(*) - count({c}) AS DOUBLE) / CAST(count(*) AS DOUBLE), 2)"
 
 
+@query(_PANEL + "SELECT entity, period, round(period - avg(period) OVER (), 6) AS trend, round(CASE WHEN population > 0 THEN ln(population) END, 6) AS log_population, round(ln(1 + deaths), 6) AS log_deaths, round(cost * 1000 / CAST(nullif(population, 0) AS DOUBLE), 4) AS per_head FROM full_panel")
+def model_inputs(spark, d):
+    """A centred trend, logarithms, and cost per head as models take them."""
+    rows = N.centred(full(spark, d), "period", "trend")
+    logs = {"log_population": X.ln_positive(F.col("population")), "log_deaths": X.log1p_floored(F.col("deaths"))}
+    return rows.select("entity", "period", r("trend").alias("trend"), *(r(c).alias(n) for n, c in logs.items()), r(X.per_head(F.col("cost"), F.col("population")), 4).alias("per_head"))
+
+
+@query("""WITH c AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month, avg(o_totalprice) AS p FROM orders GROUP BY 1, 2),
+g AS (SELECT year, month, 100 * (p / lag(p) OVER (ORDER BY year, month) - 1) AS change FROM c)
+SELECT year, month, round(100 * exp(sum(ln(1 + coalesce(change, 0) / 100)) OVER (ORDER BY year, month)), 5) AS "index" FROM g""")
+def chained_price_index(spark, d):
+    means = price_index(spark, d)
+    before = F.lag("index").over(W.partitionBy(F.lit(1)).orderBy("year", "month"))  # a row a month
+    changes = means.select("year", "month", (F.lit(100.0) * (F.col("index") / before - 1)).alias("change"))
+    return P.chain_index(changes, ["year", "month"], "change").select("year", "month", r("index", 5).alias("index"))
+
+
+@query("SELECT CAST(year(ts) AS BIGINT) AS year, round(avg(value / 4.0), 6) AS mean_rate, round(max(value / 4.0) FILTER (WHERE ts = last), 6) AS last_rate FROM (SELECT *, max(ts) OVER (PARTITION BY year(ts)) AS last FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def annual_exchange_rates(spark, d):
+    return P.annual_rates(table(spark, d, "events"), "ts", "value", 4.0).select("year", r("mean_rate").alias("mean_rate"), r("last_rate").alias("last_rate"))
+
+
+@query("SELECT n_nationkey, r_comment FROM nation LEFT JOIN (SELECT n_name, n_regionkey, 'x' || CAST(n_nationkey AS VARCHAR) AS r_comment FROM nation WHERE n_nationkey % 4 <> 0) r USING (n_name, n_regionkey)")
+def composite_name_join(spark, d):
+    """Names in another spelling, with their region, meet their nation."""
+    nation = table(spark, d, "nation")
+    other = nation.filter("n_nationkey % 4 <> 0").select(F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("name"), F.col("n_regionkey").alias("part"), F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("r_comment"))
+    return P.join_by_name(nation, other, "n_name", "n_regionkey", "name", "part").select("n_nationkey", "r_comment")
+
+
+@query(_GAPS + f""" SELECT 'period' AS "column", 'bigint' AS type, 'bigint' AS documented, 'ok' AS status, {_PCT.format(c="period")} AS pct_missing FROM g UNION ALL SELECT 'discount', 'double', 'double', 'ok', {_PCT.format(c="discount")} FROM g
+UNION ALL SELECT 'tax', 'double', 'string', 'type', {_PCT.format(c="tax")} FROM g UNION ALL SELECT 'l_quantity', 'double', NULL, 'undocumented', {_PCT.format(c="l_quantity")} FROM g UNION ALL SELECT 'rebate', NULL, 'double', 'absent', NULL""")
+def dictionary_check(spark, d):
+    return Q.check_dictionary(with_gaps(spark, d), {"period": "bigint", "discount": "double", "tax": "string", "rebate": "double"})
+
+
 _MECHANISMS = {"discount": ("MNAR", "multiple_imputation"), "tax": ("MAR", "left_as_missing"), "l_quantity": ("NA", "none"), "rebate": ("source_unavailable", "documented_gap"), "fixed_price": ("cross_sectional", "constant_fill")}
 
 

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, SparkRuntimeException
@@ -17,7 +18,7 @@ from ..functions.exprs import number
 
 
 #: What decoders put for bytes that are no character.
-BROKEN = "\ufffd"
+BROKEN = "[\ufffd\u0080-\u009f]"
 
 
 def first_that_loads(spark: SparkSession, loaders: Sequence[tuple[str, Callable[[SparkSession], DataFrame]]]) -> DataFrame:
@@ -71,19 +72,34 @@ def dotted_number(x: Column) -> Column:
     return number(F.regexp_replace(F.regexp_replace(F.trim(x), r"\.", ""), ",", "."))
 
 
+def _encoded_csv(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """A CSV file as text. Spark doesn't read windows-1252: it is ISO-8859-1 with other characters for most of U+0080 to U+009F."""
+    wide = encoding.lower() in ("windows-1252", "cp1252")
+    df = spark.read.options(header=True, sep=sep, encoding="ISO-8859-1" if wide else encoding, mode="PERMISSIVE").csv(path)
+    if not wide:
+        return df
+    pairs = [(chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))]
+    old, new = ("".join(x) for x in zip(*pairs, strict=True))
+    return df.select(*(F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(str.maketrans(old, new))) for c in df.columns))
+
+
 def sniff_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1", "windows-1252"), separators: Sequence[str] = (";", ",", "\t"), least: int = 3) -> DataFrame:
     """Reads with the first encoding and separator that give `least` columns and no broken character, in header or rows.
 
-    Rows are all looked at, as a broken character may stand in any; that ends at the first one.
+    Rows are all looked at, as a broken character may stand in any; that ends at the first one. Control characters from U+0080
+    to U+009F count as broken: ISO-8859-1 has them where other encodings have quotation marks and dashes.
     """
     for encoding in encodings:
         for sep in separators:
-            df = spark.read.options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE").csv(path)
-            if len(df.columns) < least or any(BROKEN in c for c in df.columns):
+            df = _encoded_csv(spark, path, sep, encoding)
+            if len(df.columns) < least:
                 continue
-            broken = F.exists(F.array(*(F.col(f"`{c}`") for c in df.columns)), lambda x: F.contains(x, F.lit(BROKEN)))
-            if not df.filter(broken).limit(1).count():
-                return df
+            if any(re.search(BROKEN, c) for c in df.columns):
+                break
+            broken = F.exists(F.array(*(F.col(f"`{c}`") for c in df.columns)), lambda x: x.rlike(BROKEN))
+            if df.filter(broken).limit(1).count():
+                break  # another separator doesn't mend it
+            return df
     raise ValueError(f"{path}: no encoding and separator give {least} columns")
 
 
@@ -119,21 +135,44 @@ def series_values(df: DataFrame, level: str, level_value: str, date: str, year:
     return df.filter((F.col(level) == level_value) & (F.year(F.try_to_timestamp(F.col(date))) == year))
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """archive, member and text of the members of ZIP files whose names match; an archive is unpacked in one task."""
+def zip_members(spark: SparkSession, path: str, pattern: str, encoding: str = "utf-8") -> DataFrame:
+    """archive, member, text and error of the members of ZIP files whose names match; an archive is unpacked in one task.
+
+    A member whose bytes aren't of the encoding, or that can't be unpacked, has no text but an error; so has an archive that
+    can't be opened, without a member.
+    """
     matcher = re.compile(pattern)
 
     def unpack(batches):
         import pandas as pd
 
+        def row(archive, member, text, error):
+            return pd.DataFrame({"archive": [archive], "member": [member], "text": [text], "error": [error]})
+
         for frame in batches:
             for archive, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(z.namelist()):
-                        if matcher.search(name):
-                            yield pd.DataFrame({"archive": [archive], "member": [name], "text": [z.read(name).decode("utf-8", "replace")]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, text string")
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile as e:
+                    yield row(archive, None, None, str(e))
+                    continue
+                with z:
+                    for name in sorted(n for n in z.namelist() if matcher.search(n)):
+                        try:
+                            yield row(archive, name, z.read(name).decode(encoding), None)
+                        except (UnicodeDecodeError, zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+                            yield row(archive, name, None, str(e))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, text string, error string")
+
+
+def table_census(spark: SparkSession, required: Sequence[str] = ()) -> DataFrame:
+    """table and n, its rows, of every table and view of the session's catalogue; an error that names the required ones that aren't there."""
+    found = sorted(t.name for t in spark.catalog.listTables())
+    if missing := sorted(set(required) - set(found)):
+        raise ValueError(f"tables missing: {', '.join(missing)}")
+    counts = [spark.table(t).agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("n")) for t in found]
+    return reduce(DataFrame.union, counts) if counts else spark.createDataFrame([], "table string, n long")
 
 
 def table_filter(spark: SparkSession, table: str, condition: str | None = None) -> DataFrame:

@@ -365,3 +365,51 @@ def test_quarantine_names_and_reports(spark, tmp_path):
     seen = []
     Q.gated([("one", lambda x: x.limit(2)), ("two", lambda x: x.limit(1))], df, lambda name, x: seen.append((name, x.count())))
     assert seen == [("one", 2), ("two", 1)]
+
+
+def test_reference_list_guard(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert Q.require_reference(df, "k", 2) is df
+    for bad, rows in ((df, 3), (df.union(df.limit(1)), 3), (df.union(spark.createDataFrame([(None, 1)], df.schema)), 3)):
+        with pytest.raises(Q.ValidationError):
+            Q.require_reference(bad, "k", rows)
+
+
+def test_dictionary_statuses(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, None)], "a int, b double, c string")
+    got = {r["column"]: (r["status"], r["pct_missing"]) for r in Q.check_dictionary(df, {"a": "int", "b": "double", "c": "int", "d": "date"}).collect()}
+    assert got == {"a": ("ok", 0.0), "b": ("empty", 100.0), "c": ("type", 50.0), "d": ("absent", None)}
+    assert {r["status"] for r in Q.check_dictionary(df, {}).collect()} == {"undocumented"}
+
+
+def test_chained_index_and_rates(spark):
+    changes = spark.createDataFrame([(2020, 2, 10.0), (2020, 1, None), (2020, 3, -50.0)], "y int, m int, c double")
+    assert [r["index"] for r in P.chain_index(changes, ["y", "m"], "c").orderBy("m").collect()] == pytest.approx([100, 110, 55])
+    rates = spark.createDataFrame([("2020-01-01", 2.0), ("2020-12-31", 4.0), ("2020-06-01", None), (None, 9.0)], "d string, r double").withColumn("d", F.to_date("d"))
+    assert [tuple(r) for r in P.annual_rates(rates, "d", "r", 2.0).collect()] == [(2020, 1.5, 2.0)]
+
+
+def test_join_by_name_keeps_rows_without_a_match(spark):
+    left = spark.createDataFrame([("Ab", "x"), ("Ab", "y"), (None, "x")], "n string, g string")
+    right = spark.createDataFrame([(" ab ", "x", 1), ("zz", "x", 2)], "m string, h string, v int")
+    assert sorted(P.join_by_name(left, right, "n", "g", "m", "h").collect(), key=str) == [("Ab", "x", 1), ("Ab", "y", None), (None, "x", None)]
+
+
+def test_mechanisms_and_interpretation(spark):
+    df = spark.createDataFrame([(1, None, 2.0, None), (1, 1.0, 2.0, None)], "p int, a double, b double, src_c double").withColumn("fixed_d", F.col("a"))
+    got = {r["variable"]: (r["mechanism"], r["handling"]) for r in A.with_mechanism(A.missingness(df, ["a", "b", "src_c", "fixed_d"], "p"), {"fixed_": "F"}, ["src_"], {"F": "fill", "NA": "none"}).collect()}
+    assert got == {"a": ("MAR", "left_as_missing"), "b": ("NA", "none"), "src_c": ("source_unavailable", "left_as_missing"), "fixed_d": ("F", "fill")}
+    tests = spark.createDataFrame([(0.3, 0.01), (-0.2, 0.04), (0.3, 0.2), (0.1, None)], "morans_i double, p double")
+    assert [r["interpretation"] for r in S.with_interpretation(tests).collect()] == ["positive spatial autocorrelation", "negative spatial autocorrelation", "no significant autocorrelation", None]
+    values = spark.createDataFrame([(i, float(i)) for i in range(3)], "id int, value double")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src int, dst int, w double")
+    assert S.morans_test(values, edges).count() == 0
+
+
+def test_trends_and_winsorised_composite(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (1, 3.0, None), (2, None, 7.0)], "p int, a double, b double")
+    got = {r["p"]: r.asDict() for r in A.trends(df, "p", ["a"], ["b"], ["a"], ["b"]).collect()}
+    assert got[1] == {"p": 1, "mean_a": 2.0, "sum_a": 4.0, "n_b": 1, "median_b": 5.0} and got[2] == {"p": 2, "mean_a": None, "sum_a": None, "n_b": 1, "median_b": 7.0}
+    rows = spark.createDataFrame([(float(i), float(i)) for i in range(101)] + [(None, 100.0), (None, None)], "a double, b double")
+    scored = {(r["a"], r["b"]): r["score"] for r in I.winsorised_composite(rows, ["a", "b"], ["b"]).collect()}
+    assert scored[None, None] is None and scored[None, 100.0] == pytest.approx(0.001) and scored[50.0, 50.0] == pytest.approx(0.5, abs=0.02)

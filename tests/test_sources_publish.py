@@ -46,6 +46,35 @@ def test_zip_members_and_file_period(spark, tmp_path):
     assert (got["year"], got["month"]) == (2023, 3)
 
 
+def test_encodings_that_accept_every_byte_are_not_taken_for_others(spark, tmp_path):
+    """Curly quotes of windows-1252 are control characters in ISO-8859-1; a file of plain Latin-1 stays one."""
+    for name, text, encoding in (("w", "a;b;c\n\u201cx\u201d;\u2013;1\n", "cp1252"), ("l", "a;b;c\né;ü;1\n", "latin-1"), ("u", "a;b;c\né;\u201cü\u201d;1\n", "utf-8")):
+        (tmp_path / name).write_bytes(text.encode(encoding))
+        assert list(R.sniff_csv(spark, str(tmp_path / name)).first()) == text.split("\n")[1].split(";")
+    (tmp_path / "bad").write_bytes(b"a;b;c\n\x81\x8d;\xff;1\n")
+    with pytest.raises(ValueError, match="no encoding"):
+        R.sniff_csv(spark, str(tmp_path / "bad"))
+
+
+def test_broken_members_are_reported(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("a.csv", "é".encode("latin-1"))
+        z.writestr("b.csv", "é".encode())
+    (tmp_path / "y.zip").write_bytes(b"no archive")
+    got = {(r["archive"][-5:], r["member"]): (r["text"], r["error"]) for r in R.zip_members(spark, str(tmp_path / "*.zip"), r"csv$").collect()}
+    assert got["x.zip", "b.csv"] == ("é", None) and got["x.zip", "a.csv"][0] is None and "decode" in got["x.zip", "a.csv"][1] and got["y.zip", None][1]
+    assert {r["text"] for r in R.zip_members(spark, str(tmp_path / "x.zip"), r"a\.csv$", "latin-1").collect()} == {"é"}
+
+
+def test_census_of_tables(spark):
+    spark.range(3).createOrReplaceTempView("census_a")
+    spark.range(0).createOrReplaceTempView("census_b")
+    got = {r["table"]: r["n"] for r in R.table_census(spark, ["census_a", "census_b"]).collect()}
+    assert (got["census_a"], got["census_b"]) == (3, 0)
+    with pytest.raises(ValueError, match="census_c"):
+        R.table_census(spark, ["census_a", "census_c"])
+
+
 def test_empty_source_keeps_its_schema(spark):
     assert R.empty(spark, "a string, b long").dtypes == [("a", "string"), ("b", "bigint")]
 
