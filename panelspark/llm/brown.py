@@ -22,8 +22,9 @@ Counts and classes of the HEAD most frequent words are sent to all tasks (a boun
 looked up by a join on the word, once for each text.
 
 Defined cases: a null or empty text is the end token alone; rows with a null doc_id are scored, and whether they
-train is for the caller's condition to say; repeated rows count each; a corpus without training rows gives every
-word the smoothed chance of an unknown one; other columns are not looked at.
+train is for the caller's condition to say; repeated rows count each, in training and in scores; texts are read whole,
+however long; of words of equal counts, those with the smallest hashes are the more frequent; a corpus without training
+rows gives every word the smoothed chance of an unknown one; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ ROUNDS = 30
 PARTS, MOST_PARTS = 2, 16
 #: Words whose counts and classes every task holds.
 HEAD = 1 << 18
+#: Ranges of counts in which words are counted at once.
+RANGES = 512
 ADDED = 0.1
 #: Weight of the classes' own shares in transitions, in tokens.
 BACKOFF = 2.0
@@ -99,18 +102,34 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, histogram: list[tuple[int, int]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cutoff(counts: DataFrame, most: int) -> tuple[int, int]:
+    """The least count of which, with all larger ones, at most `most` words are; and how many words those are.
+
+    Found by counting words in ranges of counts, at most RANGES at a time, within the range in which the cut lies.
+    """
+    low, high, above = 2, 1 << 62, 0  # words of counts from `high` on fit
+    while True:
+        edges = sorted({min(high, max(low, x)) for x in ([low << k for k in range(63)] if high == 1 << 62 else np.linspace(low, high, min(RANGES, high - low) + 1).astype(np.int64).tolist())} | {high})
+        part = F.array_size(F.filter(F.lit(edges), lambda e: e <= F.col("n")))
+        found = {r["part"]: r["size"] for r in counts.filter((F.col("n") >= low) & (F.col("n") < high)).groupBy(part.alias("part")).agg(F.count("*").alias("size")).collect()}  # a row a range
+        for k in range(len(edges) - 1, 0, -1):
+            if above + found.get(k, 0) > most:
+                low, high = edges[k - 1], edges[k]
+                break
+            above += found.get(k, 0)
+        else:
+            return low, above
+        if high - low == 1:
+            return high, above
+
+
+def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, sorted, counts and forms of the `most` most frequent words; of the last count that fits in part, the smallest hashes."""
-    least, total, part = None, 0, None
-    for n, size in histogram:
-        if total + size > most:
-            part = n
-            break
-        least, total = n, total + size
-    counts = counts.select("word", "n", "form")
-    chosen = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
-    if part is not None and total < most:
-        chosen = chosen.union(counts.filter(F.col("n") == part).orderBy("word").limit(most - total))
+    least, total = _cutoff(counts, most)
+    counts = counts.select("word", "n", "form").filter("n > 1")
+    chosen = counts.filter(F.col("n") >= least)
+    if total < most:
+        chosen = chosen.union(counts.filter(F.col("n") == least - 1).orderBy("word").limit(most - total))
     found = chosen.toArrow()
     keys = found["word"].to_numpy().view(_U)
     order = np.argsort(keys)
@@ -502,10 +521,9 @@ def score(docs: DataFrame, trains: Column, added: float = ADDED) -> DataFrame:
     counts = cut(_counted(docs.filter("trains")), "counts")
     n_texts = docs.filter("trains").count()
     n_words, n_types = counts.agg(F.sum("n"), F.count("*")).first()
-    histogram = [(r["n"], r["count"]) for r in counts.groupBy("n").count().filter("n > 1").orderBy(F.desc("n")).collect()]
     total, types = (n_words or 0) + n_texts, (n_types or 0) + (n_texts > 0)
-    keys, n, head_forms = _most_frequent(counts, histogram, HEAD)
-    unit_keys, _, _ = _most_frequent(counts, histogram, UNITS)
+    keys, n, head_forms = _most_frequent(counts, HEAD)
+    unit_keys, _, _ = _most_frequent(counts, UNITS)
     encoded = cut(_encoded(docs, spark.sparkContext.broadcast((keys, n))).withColumn("row", F.monotonically_increasing_id()), "encoded")
     training = encoded.filter("trains")
     # Units of texts are words of the head and forms; those of the clustering are the most frequent words and forms.

@@ -117,10 +117,64 @@ def test_best_classes_equal_one_by_one():
     assert brown.best_classes(before, after, now, between, rows=16).tolist() == [brown.best_class(before[k], after[k], int(now[k]), between) for k in range(40)]
 
 
-def test_most_frequent_words_fill_the_table(spark):
+def test_most_frequent_words_fill_the_table(spark, monkeypatch):
     counts = spark.createDataFrame([(i, i % 3, 5 if i == 7 else 2) for i in range(-10, 10)], "word long, form int, n long")
-    keys, n, form = brown._most_frequent(counts, [(5, 1), (2, 19)], 8)
+    keys, n, form = brown._most_frequent(counts, 8)
     assert len(keys) == len(form) == 8 and sorted(n.tolist()) == [2] * 7 + [5]
+    rnd = random.Random(8)
+    sizes = [rnd.choice([1, 2, 3, rnd.randint(1, 100), rnd.randint(10**6, 10**6 + 5000)]) for _ in range(400)]
+    counts = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "word long, form int, n long")
+    for ranges in (512, 3):
+        monkeypatch.setattr(brown, "RANGES", ranges)
+        for most in (0, 1, 37, 120, 399, 1000):
+            want = sorted((-n, i) for i, n in enumerate(sizes) if n > 1)[:most]
+            keys, n, _ = brown._most_frequent(counts, most)
+            assert sorted(zip((-n).tolist(), keys.astype(np.int64).tolist(), strict=True)) == want
+
+
+def test_score_equals_a_plain_class_model(spark, monkeypatch):
+    """Classes as the operator found them; counts, smoothing and sums by hand. Repeated, empty and very long texts."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}{c}" for i in range(30) for c in "ab"]
+    texts = [" ".join(rnd.choice(vocabulary[: rnd.randint(3, 60)]) for _ in range(rnd.randint(0, 30))) for _ in range(120)]
+    texts += [texts[0]] * 5 + ["", None, "w1a w2b " * 20_000, "once1a twice2b", "x" * 50_000] + ["new1a w1a other7b W2B", "unseenzz"]
+    seen = {}
+    plain_cut, plain_cluster = brown.cut, brown.cluster
+    monkeypatch.setattr(brown, "cut", lambda df, name: seen.setdefault(name, plain_cut(df, name)))
+    monkeypatch.setattr(brown, "cluster", lambda *a: seen.setdefault("cluster", plain_cluster(*a)))
+    docs = documents(spark, texts)
+    trains = F.col("doc_id") <= len(texts) - 2
+    got = {r["doc_id"]: r for r in brown.score(docs, trains).collect()}
+    lexicon = {r["word"]: (r["n"], r["class"]) for r in seen["lexicon"].collect()}
+    of_form = seen["cluster"][0][-brown.FORMS :]
+    kinds, once, tokens = collections.Counter(), collections.Counter(), collections.Counter()
+    for n, c in lexicon.values():
+        kinds[c] += 1
+        once[c] += n == 1
+    classed = {}
+    for row, _, data, starts, lengths, hashes, before in words.chunks(pa.array(texts)):
+        keys, form = hashes.view(np.int64).tolist(), brown.forms(data, starts, lengths).tolist()
+        for k in range(len(before) - 1):
+            own = slice(before[k], before[k + 1])
+            classed[row + k + 1] = [(w, lexicon[w][1] if w in lexicon else int(of_form[f])) for w, f in zip(keys[own], form[own], strict=True)]
+    pairs = collections.Counter()
+    for i, line in classed.items():
+        if i <= len(texts) - 2:
+            path = [0, *(c for _, c in line), 0]
+            pairs.update(zip(path, path[1:], strict=False))
+    for (_, c), n in pairs.items():
+        tokens[c] += n
+    total = sum(tokens.values()) + brown.CLASSES * 0.1
+    for i, line in classed.items():
+        path, want = [0, *(c for _, c in line), 0], 0.0
+        for c, d in zip(path, path[1:], strict=False):
+            row = sum(n for (x, _), n in pairs.items() if x == c)
+            want += math.log10((pairs[c, d] + brown.BACKOFF * (tokens[d] + 0.1) / total) / (row + brown.BACKOFF))
+        for w, c in line:
+            unknown = min(max((once[c] + 0.1) / (tokens[c] + 0.2), 1e-9), 0.9)
+            want += math.log10((1 - unknown) * (lexicon[w][0] + 0.1) / max(tokens[c] + 0.1 * kinds[c], 0.1)) if w in lexicon else math.log10(unknown)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9), i
+    assert got[1]["score"] == pytest.approx(got[121]["score"]) and len(got) == len(texts)
 
 
 def test_exchange_takes_the_likeliest_class_and_never_falls(spark):
