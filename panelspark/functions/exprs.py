@@ -120,6 +120,12 @@ def floored_geometric_mean(columns: Sequence[Column], floor: float = 0.001) -> C
     return F.exp(row_mean([F.when(c.isNotNull(), F.ln(F.greatest(c, F.lit(floor)))) for c in columns]))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """An aggregate: Pearson's correlation over the rows that have both; null where one doesn't vary, which corr takes for an error."""
+    both = lambda a, b: F.var_pop(F.when(b.isNotNull(), a))
+    return F.covar_pop(x, y) / F.nullif(F.sqrt(both(x, y)) * F.sqrt(both(y, x)), F.lit(0.0))
+
+
 def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:
     """Bounds of Wilson's interval within [0, 1]; null without trials."""
     n = F.nullif(trials.cast("double"), F.lit(0.0))

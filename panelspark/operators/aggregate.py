@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exprs import correlation
 from ..functions.quantiles import t975
 from .normalize import GROUP_ROWS, percentiles, quantile_bins, with_stats_of
 
@@ -214,7 +215,7 @@ def missingness_wide(df: DataFrame, columns: Sequence[str], period: str, values:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """x, y and r of each pair of columns, over the rows that have both; one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*(F.struct(F.corr(a, b).alias("r"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    one = df.agg(*(F.struct(correlation(F.col(a), F.col(b)).alias("r"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     rows = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{i}`.r").alias("r"), F.col(f"`{i}`.n").alias("n")) for i, (a, b) in enumerate(pairs)))
     return one.select(F.inline(rows))
 
@@ -251,7 +252,7 @@ def average_ranks(df: DataFrame, column: str, out: str, parts: int | None = None
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     complete = df.select(x, y).na.drop()
-    return _ranked(_ranked(complete, x, _ranks(complete, x, "_rx")), y, _ranks(complete, y, "_ry")).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return _ranked(_ranked(complete, x, _ranks(complete, x, "_rx")), y, _ranks(complete, y, "_ry")).agg(correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -31,6 +31,7 @@ class Fit:
     r2_within: float = float("nan")
     r2_between: float = float("nan")
     r2_overall: float = float("nan")
+    cov: np.ndarray | None = None
 
     def rows(self) -> list[tuple]:
         half = t_quantile(0.975, self.df) if self.df > 0 else float("nan")
@@ -93,11 +94,12 @@ def ols_hc3(df: DataFrame, y: str, x: Sequence[str], terms: dict[str, Column] |
     scaled = rows.withColumn("_e", residual).withColumn("_h", leverage)
     e3 = F.col("_e") / F.nullif(F.lit(1.0) - F.col("_h"), F.lit(0.0))
     meat = cross_products(scaled, regressors, e3 * e3)
-    se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
+    cov = inverse @ meat @ inverse
+    se = np.sqrt(np.maximum(np.diag(cov), 0))
     rss = all_products[k, k] - coef @ all_products[:k, k]
     tss = all_products[k, k] - all_products[0, k] ** 2 / n
     r2 = 1 - rss / tss if tss else float("nan")
-    return Fit(names, coef, se, n, n - k, r2, 1 - (1 - r2) * (n - 1) / (n - k) if n > k else float("nan"))
+    return Fit(names, coef, se, n, n - k, r2, 1 - (1 - r2) * (n - 1) / (n - k) if n > k else float("nan"), cov=cov)
 
 
 def polynomial(df: DataFrame, y: str, x: str, degree: int) -> Fit:

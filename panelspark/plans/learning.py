@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
-from ..operators import imputation
+from ..operators import curves, imputation
 from ..operators import models as M
 from ..operators import normalize as N
+from ..operators import stats as S
 from ..operators import trees as T
-from .catalogue import _DIMS, full, query, r, scores, table
+from .catalogue import _DIMS, _PANEL, events, full, panel, query, r, scores, table
 
 FEATURES = ["d1", "d2", "d3", "d4"]
 TREES, ROUNDS = 500, 200
@@ -119,3 +120,36 @@ def imputed_means(spark, d):
 @query(_DIMS + f"SELECT 'd2' AS variable, period, count(*) FILTER (WHERE d2 IS NULL) AS n_imputed, count(*) AS n_total, 'chained' AS method, {DRAWS} AS draws, {SWEEPS} AS sweeps FROM cs GROUP BY period")
 def imputation_log(spark, d):
     return M.imputation_log(scores(spark, d), ["d2"], "period", "chained", DRAWS, SWEEPS)
+
+
+@query()
+def spline_dose_response(spark, d):
+    """Order prices on a restricted cubic spline of the day of the year, with a joint test of curvature."""
+    rows = events(spark, d).select(F.dayofyear("o_orderdate").cast("double").alias("day"), F.col("o_totalprice").alias("price"))
+    found = curves.restricted_spline(rows, "price", "day")
+    if found is None:
+        return spark.createDataFrame([], "term string, coef double, se double, curvature double, p_curvature double")
+    fit, _, test = found
+    out = S.result_frame(spark, {"spline": fit}).select("term", "coef", "se")
+    return out.withColumns({"curvature": F.lit(test["statistic"]), "p_curvature": F.lit(test["p"])})
+
+
+@query(
+    _PANEL
+    + """, x AS (SELECT entity, period, cost / 1000 AS y, CAST(period - 1998 AS DOUBLE) AS t, CASE WHEN period >= 1998 THEN 1.0 ELSE 0.0 END AS p FROM panel),
+g AS (SELECT *, t * p AS s, count(*) OVER (PARTITION BY p) AS n, avg(t) OVER (PARTITION BY p) AS mt, avg(y) OVER (PARTITION BY p) AS my FROM x),
+b AS (SELECT p, sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope, any_value(my) AS my, any_value(mt) AS mt FROM g GROUP BY p)
+SELECT round(a.slope, 4) AS trend, round(c.my - c.slope * c.mt - (a.my - a.slope * a.mt), 4) AS level, round(c.slope - a.slope, 4) AS slope FROM b a, b c WHERE a.p = 0 AND c.p = 1"""
+)
+def interrupted_series_changes(spark, d):
+    """The change of level and slope of yearly cost from 1998 on; standard errors have a test of their own."""
+    fit = curves.interrupted_series(panel(spark, d).withColumn("y", F.col("cost") / 1000), "y", "entity", "period", 1998)
+    rows = spark.createDataFrame([tuple(float(x) for x in fit.coef[1:])], "trend double, level double, slope double")
+    return rows.select(*(r(c, 4).alias(c) for c in ("trend", "level", "slope")))
+
+
+@query()
+def component_composite(spark, d):
+    """The scored panel's dimensions in one score by the weights of their first component."""
+    rows = scores(spark, d).select("entity", "period", *FEATURES)
+    return curves.weighted_composite(rows, curves.component_weights(rows, FEATURES)).select("entity", "period", r("score").alias("score"))

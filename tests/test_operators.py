@@ -413,3 +413,10 @@ def test_trends_and_winsorised_composite(spark):
     rows = spark.createDataFrame([(float(i), float(i)) for i in range(101)] + [(None, 100.0), (None, None)], "a double, b double")
     scored = {(r["a"], r["b"]): r["score"] for r in I.winsorised_composite(rows, ["a", "b"], ["b"]).collect()}
     assert scored[None, None] is None and scored[None, 100.0] == pytest.approx(0.001) and scored[50.0, 50.0] == pytest.approx(0.5, abs=0.02)
+
+
+def test_correlations_with_a_constant_column(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 2.0, 4.0), (3.0, None, 9.0), (None, 7.0, 1.0)], "a double, b double, c double")
+    got = {(r["x"], r["y"]): (r["r"], r["n"]) for r in A.correlations(df, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] == (None, 2) and got["a", "c"][0] == pytest.approx(np.corrcoef([1, 2, 3], [5, 4, 9])[0, 1])
+    assert A.spearman(df, "a", "b").first()["rho"] is None
