@@ -5,10 +5,12 @@ SQL can express none of the fits; tests compare them with plain loops, all subse
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpoint
+from ..functions.lineage import checkpoint, shared_folder
 from ..operators import curves, imputation
 from ..operators import models as M
 from ..operators import normalize as N
@@ -43,20 +45,20 @@ def boosting_fold_summary(spark, d):
 
 
 @query()
-def boosting_attributions(spark, d):
-    """What each dimension adds to each entity's and period's predicted cost, beside a base that is the same for all."""
+def forest_attributions(spark, d):
+    """What each dimension adds to each entity's and period's cost as a forest predicts it, beside a base that is the same for all."""
     rows = checkpoint(_modelled(spark, d).select("entity", "period", "cost", *FEATURES))
-    model = T.boost(rows, FEATURES, "cost", ["entity", "period"], rounds=ROUNDS)
-    if model is None:
+    if rows.isEmpty():
         return rows.select("entity", "period", *(F.lit(None).cast("double").alias(f"shap_{c}") for c in FEATURES), F.lit(None).cast("double").alias("base"))
-    paths = T.paths_of(T.boosted_nodes(rows, model, 0), FEATURES)
-    return T.attributions(rows, paths, ["entity", "period"], float(model.base[0]))
+    model = M.refit(rows, FEATURES, "cost", "rf", TREES)
+    paths = T.paths_of(T.mllib_nodes(model, f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"), FEATURES, [1 / TREES] * TREES)
+    return T.attributions(rows, paths, ["entity", "period"])
 
 
 @query()
 def attribution_importance(spark, d):
     """The mean size of each dimension's attributions."""
-    return T.mean_attributions(boosting_attributions(spark, d), FEATURES)
+    return T.mean_attributions(forest_attributions(spark, d), FEATURES)
 
 
 def _forest(spark: SparkSession, d: str) -> tuple[DataFrame, T.CausalForest | None]:
