@@ -48,10 +48,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that cut wrote: for the end of a job, once its results are written."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables cut has written that are still there: where a job that clears up after itself begins."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that cut wrote, from number `since` on, but the last `keep`: for the end of a job, or of a step whose
+    result is written."""
+    gone = _written[since : max(since, len(_written) - keep)]
+    del _written[since : since + len(gone)]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

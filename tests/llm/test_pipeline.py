@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from panelspark.llm import near_dedup, queries
+from panelspark.llm import near_dedup, queries, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,17 @@ def test_empty_and_odd_documents(spark):
         assert {tuple(r) for r in out} <= every and out[0].__fields__ == rows.columns, name
         if name in ("near_dedup", "decontaminate"):  # without words, nothing is linked and nothing hit
             assert {r["doc_id"] for r in out} >= {900_007, 900_008, 900_010}, name
+
+
+def test_a_run_leaves_one_table(spark):
+    """Stages' tables go as soon as the next one's input is written; tables of other jobs stay."""
+    other = storage.cut(spark.range(3), "other")
+    before = storage.written()
+    packed = corpus_pipeline.run(spark, SF)
+    assert storage.written() == before + 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(packed.collect()) == sorted(docs.collect()) and other.count() == 3
+    storage.clear(spark, before)
+    assert storage.written() == before and other.count() == 3
