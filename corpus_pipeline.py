@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a table; all but the last
 return the columns of documents. Stages are joined by written Parquet, so that a lost executor costs no earlier stage.
+
+Defined cases, in all stages: an empty table gives an empty one; a null text is an empty one, and is kept or packed as such; a
+null doc_id stays null; rows that repeat are kept or dropped alike, also as near-duplicates, which go by doc_id; texts are read
+whole, however long; further columns stay as they are, whatever their names. Scores at a threshold decide as the stage says.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, nbsvm, near_dedup, packing, toxicity
-from panelspark.llm.storage import cut
+from panelspark.llm.storage import clear, cut, written
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents. What a stage wrote is deleted once its result is written; the last one's input stays."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        clear(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
