@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm import brown, decontaminate, labelled, nbsvm, near_dedup, packing, perspectives, queries, sharding, topk, toxicity, url_rules, words
+from panelspark.llm import brown, decontaminate, joins, labelled, nbsvm, near_dedup, packing, perspectives, queries, sharding, topk, toxicity, url_rules, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, shard int, score double, n_words int"
@@ -668,7 +668,7 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(n))) for i, n in enumerate([1, 2, 2, 3, 5, 8, 12, 13, 14, 20, 40, 40])] + [(99, None), (98, "..."), (5, "b b b a cc"), (None, "zz yy")]
     items[0] = (0, "solo")
     texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))) for _ in range(40)]
-    texts += ["x y " + items[10][1].upper().replace(" ", ", ") + " z", items[7][1] * 2, "Solo!", "zz YY", *ODD[:8]]
+    texts += ["x y " + items[10][1].upper().replace(" ", ", ") + " z", items[7][1] * 2, "Solo!", "zz YY", *ODD, "word " * 30_000 + items[9][1]]
     docs, benchmark = documents(spark, texts), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_words int")
     got = decontaminate.contamination(docs, benchmark, block_bytes=block_bytes).select("doc_id", "n_words", decontaminate.n_hit().alias("n"), "item_ids").collect()
     assert {g["doc_id"]: (g["n_words"], g["n"], g["item_ids"]) for g in got} == {i: brute_contamination(t, items) for i, t in enumerate(texts, 1)}
@@ -678,6 +678,33 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0 and decontaminate.contamination(docs, benchmark.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_large_benchmarks_and_hot_passages(spark, monkeypatch):
+    """Full tables, passages in most documents and items, items without ids, repeated rows: the join gives what the matcher gives."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 7)
+    rnd = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(30))
+    prose = lambda n: " ".join(f"w{int(rnd.paretovariate(0.6)) % 200}" for _ in range(n))
+    items = [(i, f"{prose(rnd.randint(0, 40))} {common if i % 3 else ''}") for i in range(120)] + [(None, common), (200, "c3 c4"), (201, "c5"), (200, "c3 c4")] + [(300 + i, f"c0 c1 c2 c3 c4 c5 c6 c7 z{i}") for i in range(60)]
+    texts = [f"{prose(rnd.randint(0, 50))} {common} {prose(5)}" for _ in range(60)] + [f"{prose(20)} {rnd.choice(items)[1]}" for _ in range(60)] + ["c0 c1 c2 c3 c4 c5 c6 c7 z9"]
+    docs, benchmark = documents(spark, texts), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_words int")
+    docs = docs.union(docs.limit(3)).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    of = lambda size: sorted(map(repr, decontaminate.contamination(docs, benchmark, block_bytes=size).collect()))
+    want = of(1_000_000)
+    assert len(want) == docs.count() and of(0) == want
+    full = decontaminate._searched_by_join(docs, decontaminate._items(benchmark)[0], 13, "doc_id", slots=4, longs=1)  # nothing is skipped
+    assert sorted(map(repr, full.collect())) == want
+
+
+def test_frequent_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"), "id").union(spark.createDataFrame([(None, 5)], "k long, id long"))
+    table = spark.createDataFrame([(1, "a"), (2500, "b"), (None, "c"), (7, "d")], "k long, v string")
+    got = joins.join_evenly(rows, table, ["k"])
+    assert sorted(map(tuple, got.select("k", "v").groupBy("k", "v").count().collect())) == [(1, "a", 2000), (2500, "b", 1)]
+    dealt = rows.filter("k = 1").select(F.pmod(F.xxhash64("k", "id"), F.lit(20)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert dealt < 200 and joins.join_evenly(rows.limit(0), table, ["k"]).count() == 0
+
+
 # --- op10
 
 
