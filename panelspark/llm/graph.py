@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import join_evenly
 from .storage import checkpoint
 
 
@@ -16,7 +17,7 @@ def _once(edges: DataFrame) -> DataFrame:
 def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The edges between the labels of their ends; an end without a label stays."""
     for end in ("u", "v"):
-        edges = edges.join(labels.select(F.col("id").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        edges = join_evenly(edges, labels.select(F.col("id").alias(end), "label"), [end], how="left").withColumn(end, F.coalesce("label", end)).drop("label")
     return edges
 
 
@@ -24,7 +25,7 @@ def _flattened(parents: DataFrame) -> DataFrame:
     """id and label: the end of the chain of parents that begins at id. Each round doubles how far a row sees."""
     while True:
         further = parents.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        now = checkpoint(parents.join(further, "label").select("id", F.col("label").alias("was"), F.col("next").alias("label")))
+        now = checkpoint(join_evenly(parents, further, ["label"]).select("id", F.col("label").alias("was"), F.col("next").alias("label")))
         parents = now.select("id", "label")
         if not now.filter("label <> was").limit(1).count():
             return parents
@@ -52,7 +53,7 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         if labels is None:
             labels = parents
         else:
-            moved = labels.join(parents.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left")
+            moved = join_evenly(labels, parents.select(F.col("id").alias("label"), F.col("label").alias("lower")), ["label"], how="left")
             labels = checkpoint(moved.select("id", F.coalesce("lower", "label").alias("label")))
         rest = checkpoint(_once(_relabelled(rest, parents)))
     return rest.select(F.col("u").alias("id"), F.col("v").alias("label")) if labels is None else labels

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, words
+from .joins import join_evenly, key_counts
 from .storage import checkpoint, cut, small_batches, unused
 
 _U = np.uint64
@@ -68,7 +69,7 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
         nxt = hashes[k : k + len(out)]
         out = words.mix(out * _U(0x9E3779B97F4A7C15) + nxt)
     if rest is None:  # a whole short sequence never equals a shingle of full width
-        out = words.mix(out ^ _U(0x5851F42D4C957F2D) * _U(len(hashes)))
+        out = words.mix(out ^ _U(0x5851F42D4C957F2D * len(hashes) & 0xFFFFFFFFFFFFFFFF))
     return np.unique(out)
 
 
@@ -148,7 +149,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     of = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(words.frugal(run), "a long, b long")
+    return join_evenly(join_evenly(pairs, of("a"), ["a"], key_counts(pairs, ["a"])), of("b"), ["b"], key_counts(pairs, ["b"])).mapInArrow(words.frugal(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -170,7 +171,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(words.frugal(run), "a long, b long")
+    # The hub of many pairs is copied to as many tasks as their rows are dealt to.
+    return join_evenly(join_evenly(pairs, of("a"), ["a"], key_counts(pairs, ["a"])), of("b"), ["b"], key_counts(pairs, ["b"])).mapInArrow(words.frugal(run), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -213,16 +215,16 @@ def _crowd_links(crowd: DataFrame, docs: DataFrame, width: int, percent: int) ->
     in a task of their own, which returns only as many links as it takes to join the components that it finds linked.
     """
     first = crowd.groupBy("bucket").agg(F.min("id").alias("v"))
-    groups = graph.components(crowd.join(first, "bucket").select(F.col("id").alias("u"), "v")).toDF("id", "crowd")
+    groups = graph.components(join_evenly(crowd, first, ["bucket"]).select(F.col("id").alias("u"), "v")).toDF("id", "crowd")
     members = checkpoint(crowd.select("id", "label", "n").distinct().join(groups, "id"))
     totals = members.groupBy("crowd").agg(F.count("*").alias("total"))
     height = 1.001 * max(math.log(100 / percent), 0.01)  # a little more than the ratio, so that rounding can't part a pair
     rung = F.when(F.col("total") > BLOCK, F.floor(F.log("n") / height)).otherwise(0).cast("long")
-    members = members.join(totals, "crowd").select("crowd", "id", "label", rung.alias("rung"))
+    members = join_evenly(members, totals, ["crowd"]).select("crowd", "id", "label", rung.alias("rung"))
     sizes = members.groupBy("crowd", "rung").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = members.join(sizes, ["crowd", "rung"]).select("crowd", "id", "label", "rung", (F.col("rung") * _RUNG + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("own"))
+    members = join_evenly(members, sizes, ["crowd", "rung"]).select("crowd", "id", "label", "rung", (F.col("rung") * _RUNG + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("own"))
     beside = F.explode(F.array(*(F.col("rung") + k for k in (-1, 0, 1)))).alias("beside")
-    meets = members.select("crowd", "id", "label", "own", beside).join(sizes.withColumnRenamed("rung", "beside"), ["crowd", "beside"])
+    meets = join_evenly(members.select("crowd", "id", "label", "own", beside), sizes.withColumnRenamed("rung", "beside"), ["crowd", "beside"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,15 +276,15 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose bucket has others, with the bucket's size."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(sizes, "bucket")
+    counts = key_counts(rows, ["bucket"])
+    return join_evenly(rows, counts.filter("n > 1").select("bucket", F.col("n").alias("size")), ["bucket"], counts)
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows in buckets of more than one component, with label, and members: how many rows the bucket has."""
-    rows = rows.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low < high")
-    return checkpoint(rows.join(mixed.select("bucket", "members"), "bucket"))
+    rows = checkpoint(rows.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label")))
+    found = checkpoint(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")))
+    return checkpoint(join_evenly(rows, found.filter("low < high").select("bucket", "members"), ["bucket"], found.select("bucket", F.col("members").alias("n"))))
 
 
 def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
@@ -292,8 +294,10 @@ def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
     is one, and so the likeliest to be linked with each.
     """
     meets = rows.groupBy("id").agg(F.sum("size").alias("meets"))
-    hubs = rows.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", "id", "n")).alias("hub")).select("bucket", F.col("hub.id").alias("id_b"), F.col("hub.n").alias("n_b"))
-    pairs = rows.join(hubs, "bucket").filter("id <> id_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
+    hubs = checkpoint(rows.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", "id", "n")).alias("hub"), F.count("*").alias("members")))
+    counts = hubs.select("bucket", F.col("members").alias("n"))
+    pairs = join_evenly(rows, hubs.select("bucket", F.col("hub.id").alias("id_b"), F.col("hub.n").alias("n_b")), ["bucket"], counts)
+    pairs = pairs.filter("id <> id_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
     return pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
 
 
@@ -306,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = cut(linked.groupBy("signature").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
 
     shared = cut(_shared(_buckets(classes)), "buckets")  # what shares no bucket is linked with nothing
-    tried = checkpoint(_promising(_with_hub(shared, percent), classes, percent / 100))
+    tried = checkpoint(_promising(checkpoint(_with_hub(shared, percent)), classes, percent / 100))
     links = checkpoint(confirm(tried, docs, width, percent))
     # What is left are pairs of different components that meet in a bucket: all pairs of a small bucket; in crowded ones,
     # where these would be too many rows, sets are compared block by block.
@@ -316,12 +320,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     other = few.toDF("bucket", "id_b", "n_b", "label_b")
     rest = few.join(other, "bucket").filter("label > label_b").filter(_sizes_fit(F.col("n"), F.col("n_b"), percent))
     rest = rest.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirm(checkpoint(_promising(rest, classes, percent / 100)), docs, width, percent)
+    more = confirm(checkpoint(_promising(checkpoint(rest), classes, percent / 100)), docs, width, percent)
     crowd = left.filter(F.col("members") > CROWD).select("bucket", "id", "n", "label")
     more = checkpoint(more.union(_crowd_links(crowd, docs, width, percent)))
 
     # Classes stand for their documents; documents that have rows in several classes link these.
-    rows = cut(linked.join(classes.select("signature", "id"), "signature").select("doc_id", "id"), "rows")
+    rows = cut(join_evenly(linked.select("doc_id", "signature"), classes.select("signature", "id"), ["signature"]).select("doc_id", "id"), "rows")
     own = rows.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     across = rows.join(own.filter("least < most"), "doc_id").select("id", "least").filter("id <> least")
     found = graph.components(more.union(across).toDF("u", "v"), joined)
