@@ -26,13 +26,17 @@ def join_evenly(rows: DataFrame, table: DataFrame, on: Sequence[str], counts: Da
     than HOT_KEYS by construction, so that they can be sent to all tasks. Their rows are dealt out by a hash of the whole row, and
     their rows of the table are copied to each part. Rows that are equal in all columns stay together; so do rows with a null
     in a key. Columns of the two other than `on` have different names.
+    rows are read several times, and so should be written or checkpointed before.
     """
     on = list(on)
-    total = rows.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
+    if counts is None:
+        if rows.count() <= HOT_ROWS:
+            return rows.join(table, on, how)
+        counts = key_counts(rows, on)
+    total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     most = max(HOT_ROWS, -(-total // HOT_KEYS))
-    if total <= most:
+    if largest <= most:
         return rows.join(table, on, how)
-    counts = key_counts(rows, on) if counts is None else counts
     hot = F.broadcast(counts.filter(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).alias("_parts")))
     part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1)))
     left = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")

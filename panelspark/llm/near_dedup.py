@@ -137,6 +137,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip(((a == b).mean(axis=1) - by_chance) / (1 - by_chance), 0, 1)
 
 
+def _of_both(pairs: DataFrame, of) -> DataFrame:
+    """The pairs (checkpointed) joined with of("a") and of("b"), tables of one row an id."""
+    for end, counts in [(end, key_counts(pairs, [end])) for end in ("a", "b")]:
+        pairs = join_evenly(pairs, of(end), [end], counts)
+    return pairs
+
+
 def _promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose estimate isn't clearly below the threshold."""
     floor = threshold - SLACK * (threshold * (1 - threshold) / REGISTERS) ** 0.5
@@ -149,7 +156,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     of = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    return join_evenly(join_evenly(pairs, of("a"), ["a"], key_counts(pairs, ["a"])), of("b"), ["b"], key_counts(pairs, ["b"])).mapInArrow(words.frugal(run), "a long, b long")
+    return _of_both(pairs, of).mapInArrow(words.frugal(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -172,7 +179,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     # The hub of many pairs is copied to as many tasks as their rows are dealt to.
-    return join_evenly(join_evenly(pairs, of("a"), ["a"], key_counts(pairs, ["a"])), of("b"), ["b"], key_counts(pairs, ["b"])).mapInArrow(words.frugal(run), "a long, b long")
+    return _of_both(pairs, of).mapInArrow(words.frugal(run), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -220,9 +227,9 @@ def _crowd_links(crowd: DataFrame, docs: DataFrame, width: int, percent: int) ->
     totals = members.groupBy("crowd").agg(F.count("*").alias("total"))
     height = 1.001 * max(math.log(100 / percent), 0.01)  # a little more than the ratio, so that rounding can't part a pair
     rung = F.when(F.col("total") > BLOCK, F.floor(F.log("n") / height)).otherwise(0).cast("long")
-    members = join_evenly(members, totals, ["crowd"]).select("crowd", "id", "label", rung.alias("rung"))
-    sizes = members.groupBy("crowd", "rung").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = join_evenly(members, sizes, ["crowd", "rung"]).select("crowd", "id", "label", "rung", (F.col("rung") * _RUNG + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("own"))
+    members = checkpoint(join_evenly(members, totals, ["crowd"]).select("crowd", "id", "label", rung.alias("rung")))
+    sizes = checkpoint(members.groupBy("crowd", "rung").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")))
+    members = checkpoint(join_evenly(members, sizes, ["crowd", "rung"]).select("crowd", "id", "label", "rung", (F.col("rung") * _RUNG + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("own")))
     beside = F.explode(F.array(*(F.col("rung") + k for k in (-1, 0, 1)))).alias("beside")
     meets = join_evenly(members.select("crowd", "id", "label", "own", beside), sizes.withColumnRenamed("rung", "beside"), ["crowd", "beside"])
 
