@@ -577,16 +577,6 @@ def test_near_duplicates_of_odd_keys(spark):
     assert near_dedup.near_duplicates(docs.limit(0), 2).count() == 0
 
 
-def test_hot_keys_of_near_duplicates_change_nothing(spark, monkeypatch):
-    """Every join deals out its frequent keys; the components are the same."""
-    docs = table(spark, "documents").select("doc_id", "text")
-    docs = docs.union(spark.range(10**6, 10**6 + 40).select("id", F.lit("one two three four"))).union(spark.range(3).select(F.lit(None).cast("long"), F.lit("x y z")))
-    of = lambda: sorted(map(repr, near_dedup.near_duplicates(docs, width=2).collect()))
-    want = of()
-    monkeypatch.setattr(joins, "HOT_ROWS", 3)
-    assert of() == want
-
-
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     for n in (5, 40, 300, 3000):
