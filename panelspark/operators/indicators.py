@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clip_keep_null, flag, floored_geometric_mean, geometric_mean, haversine_km, present, rate, row_mean, safe_div
 from .normalize import minmax_within, winsor_minmax
 
-#: Facilities that are sent to all tasks; more are matched by cells.
+#: Coordinates of facilities that are sent to all tasks; more are matched by cells.
 BROADCAST_FACILITIES = 1_000
 
 
@@ -114,38 +114,32 @@ def _on_sphere(lat: str, lon: str) -> list[Column]:
     return [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
 
 
-def _broadcast_distances(places: DataFrame, facilities: DataFrame, radii: Sequence[float]) -> DataFrame:
-    d = F.when(F.col("place").eqNullSafe(F.col("f_place")), F.lit(0.0)).otherwise(haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
-    pairs = places.filter("lat IS NOT NULL AND lon IS NOT NULL").crossJoin(F.broadcast(facilities)).select("place", "facility", d.alias("km"))
-    return pairs.groupBy("place").agg(F.min("km").alias("min_km"), F.min_by("facility", F.struct("km", "facility")).alias("nearest"), *(F.count_if(F.col("km") <= r).alias(f"within_{r:g}") for r in radii))
+def _located(places: DataFrame, facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return places.filter("lat IS NOT NULL AND lon IS NOT NULL"), facilities.filter("f_lat IS NOT NULL AND f_lon IS NOT NULL")
 
 
-def nearest_facility(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), broadcast_rows: int = BROADCAST_FACILITIES) -> DataFrame:
-    """place, min_km, nearest facility and the number of facilities within each radius.
+def _sites(places: DataFrame, facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different coordinates of places, and those of facilities with how many are there and the least of these.
 
-    places: place, lat, lon; facilities: facility, f_place, f_lat, f_lon. A place with a facility of its own is at 0 km; one
-    without coordinates, or any place if there are no facilities, has nulls. Facilities are counted first: few are sent to
-    all tasks, many are met cell by cell (see by_cells).
+    Who shares coordinates shares distances, so that these are worked out once, however many places and facilities there are.
     """
-    facilities = facilities.filter("f_lat IS NOT NULL AND f_lon IS NOT NULL")
-    if facilities.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        found = _broadcast_distances(places, facilities, radii)
-    else:
-        found = by_cells(places, facilities, radii)
-    return places.select("place").join(found, "place", "left")
+    points = facilities.groupBy("f_lat", "f_lon").agg(F.min("facility").alias("facility"), F.count(F.lit(1)).alias("n"))
+    return places.select("lat", "lon").distinct().cache(), points.cache()
 
 
-def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), first_km: float | None = None) -> DataFrame:
-    """The same by equi-joins on cells of the unit sphere's cube.
+def _km() -> Column:
+    return haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"))
 
-    A place meets the facilities of its own and the 26 cells around it, whose width is the radius looked at. Who finds one
-    within that radius is done; the others look twice as far. Radii to count in are looked at once each. The first radius,
-    unless given, is what a facility's share of the sphere's surface comes to.
-    """
-    places = places.filter("lat IS NOT NULL AND lon IS NOT NULL")
-    facilities = facilities.filter("f_lat IS NOT NULL AND f_lon IS NOT NULL")
+
+def _meet_all(sites: DataFrame, points: DataFrame, radii: Sequence[float]) -> DataFrame:
+    pairs = sites.crossJoin(F.broadcast(points)).withColumn("km", _km())
+    counts = (F.coalesce(F.sum(F.when(F.col("km") <= r, F.col("n"))), F.lit(0)).alias(f"within_{r:g}") for r in radii)
+    return pairs.groupBy("lat", "lon").agg(F.min("km").alias("min_km"), F.min_by("facility", F.struct("km", "facility")).alias("nearest"), *counts)
+
+
+def _meet_by_cells(sites: DataFrame, points: DataFrame, radii: Sequence[float], first_km: float | None) -> DataFrame:
     if first_km is None:
-        first_km = max(2 * 6371.0 / max(facilities.count(), 1) ** 0.5, 0.1)
+        first_km = max(2 * 6371.0 / max(points.count(), 1) ** 0.5, 0.1)
 
     def around(some: DataFrame, radius: float) -> DataFrame:
         width = F.lit(max(radius / 6371.0, 1e-9))
@@ -153,18 +147,51 @@ def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] =
         steps = F.array(*(F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
         own = F.array(*cell("lat", "lon"))
         wide = some.withColumn("cell", F.explode(F.transform(steps, lambda s: F.zip_with(own, s, lambda a, b: a + b))))
-        near = facilities.withColumn("cell", F.array(*cell("f_lat", "f_lon")))
-        met = wide.join(near, "cell").filter(~F.col("place").eqNullSafe(F.col("f_place")))
-        met = met.select("place", "facility", haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")).alias("km")).filter(F.col("km") <= radius)
-        # A place's own facilities count as near wherever their coordinates are.
-        return met.union(some.join(facilities, F.col("place") == F.col("f_place")).select("place", "facility", F.lit(0.0).alias("km")))
+        near = points.withColumn("cell", F.array(*cell("f_lat", "f_lon")))
+        return wide.join(near, "cell").withColumn("km", _km()).filter(F.col("km") <= radius)
 
-    found, left, radius = None, places, first_km
+    found, left, radius = None, sites, first_km
     while found is None or (radius < 41_000 and left.limit(1).count()):
-        met = around(left, radius).groupBy("place").agg(F.min("km").alias("min_km"), F.min_by("facility", F.struct("km", "facility")).alias("nearest")).cache()
+        met = around(left, radius).groupBy("lat", "lon").agg(F.min("km").alias("min_km"), F.min_by("facility", F.struct("km", "facility")).alias("nearest")).cache()
         found = met if found is None else found.union(met)
-        left, radius = left.join(met.select("place"), "place", "left_anti"), radius * 2
+        left, radius = left.join(met.select("lat", "lon"), ["lat", "lon"], "left_anti"), radius * 2
     for r in radii:
-        counts = around(places, r).groupBy("place").agg(F.count(F.lit(1)).alias(f"within_{r:g}"))
-        found = found.join(counts, "place", "left").na.fill(0, [f"within_{r:g}"])
+        counts = around(sites, r).groupBy("lat", "lon").agg(F.sum("n").alias(f"within_{r:g}"))
+        found = found.join(counts, ["lat", "lon"], "left").na.fill(0, [f"within_{r:g}"])
     return found
+
+
+def _of_places(places: DataFrame, facilities: DataFrame, found: DataFrame, radii: Sequence[float]) -> DataFrame:
+    """What was found for coordinates, by place; a place's own facilities count as at 0 km wherever they are."""
+    names = [f"within_{r:g}" for r in radii]
+    shared = places.join(found, ["lat", "lon"]).select("place", "min_km", "nearest", *names)
+    more = (F.lit(int(r >= 0)) - (_km() <= r).cast("int") for r in radii)  # an own facility within the radius is counted already
+    own = places.join(facilities, F.col("place") == F.col("f_place")).select("place", F.lit(0.0).alias("min_km"), F.col("facility").alias("nearest"), *(m.cast("long").alias(n) for m, n in zip(more, names, strict=True)))
+    return shared.union(own).groupBy("place").agg(F.min("min_km").alias("min_km"), F.min_by("nearest", F.struct("min_km", "nearest")).alias("nearest"), *(F.sum(n).alias(n) for n in names))
+
+
+def nearest_facility(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), broadcast_rows: int = BROADCAST_FACILITIES) -> DataFrame:
+    """place, min_km, nearest facility and the number of facilities within each radius.
+
+    places: place, lat, lon; facilities: facility, f_place, f_lat, f_lon. A place with a facility of its own is at 0 km; one
+    without coordinates, or any place if there are no facilities, has nulls. Different coordinates of facilities are counted
+    first: few are sent to all tasks, many are met cell by cell (see by_cells).
+    """
+    located, facilities = _located(places, facilities)
+    sites, points = _sites(located, facilities)
+    if points.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = _meet_all(sites, points, radii)
+    else:
+        found = _meet_by_cells(sites, points, radii, None)
+    return places.select("place").join(_of_places(located, facilities, found, radii), "place", "left")
+
+
+def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), first_km: float | None = None) -> DataFrame:
+    """The same by equi-joins on cells of the unit sphere's cube.
+
+    Coordinates of places meet those of facilities in their own and the 26 cells around it, whose width is the radius looked at.
+    Who finds one within that radius is done; the others look twice as far. Radii to count in are looked at once each. The first
+    radius, unless given, is what a share of the sphere's surface for each coordinates of facilities comes to.
+    """
+    located, facilities = _located(places, facilities)
+    return _of_places(located, facilities, _meet_by_cells(*_sites(located, facilities), radii, first_km), radii)

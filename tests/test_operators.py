@@ -152,6 +152,20 @@ def test_nearest_both_ways(spark):
     assert both[0] == both[1] and any(r[3] >= 2 for r in both[0] if r[3])
 
 
+def test_nearest_works_out_shared_coordinates_once(spark):
+    """Copies of places and facilities meet no more than the originals do; counts and own facilities are still whole."""
+    places = spark.range(6_000).select(F.col("id").alias("place"), (F.col("id") % 6 * 7).cast("double").alias("lat"), (F.col("id") % 4 * 5).cast("double").alias("lon"))
+    facilities = spark.range(3_000).select(F.col("id").alias("facility"), (F.col("id") * 4 + 1).alias("f_place"), (F.col("id") % 10).cast("double").alias("f_lat"), (F.col("id") % 3 * 4).cast("double").alias("f_lon"))
+    sites, points = I._sites(places, facilities)
+    assert sites.count() == 12 and points.count() == 30 and points.agg(F.sum("n")).first()[0] == 3_000
+    km = F.when(F.col("place") == F.col("f_place"), 0.0).otherwise(I.haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
+    some = F.col("place") < 60
+    pairs = places.filter(some).crossJoin(facilities).withColumn("km", km)
+    plain = rows(pairs.groupBy("place").agg(F.round(F.min("km"), 6), F.min_by("facility", F.struct("km", "facility")), F.count_if(F.col("km") <= 500)))
+    for found in (I.nearest_facility(places, facilities, (500,)), I.nearest_facility(places, facilities, (500,), broadcast_rows=0), I.by_cells(places, facilities, (500,))):
+        assert rows(found.filter(some).select("place", F.round("min_km", 6), "nearest", "within_500")) == plain and found.count() == 6_000
+
+
 def regression_frame(spark, n=60, seed=3):
     rng = np.random.default_rng(seed)
     entity, period = np.repeat(np.arange(n // 6), 6), np.tile(np.arange(6), n // 6)
