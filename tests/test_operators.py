@@ -166,6 +166,20 @@ def test_nearest_works_out_shared_coordinates_once(spark):
         assert rows(found.filter(some).select("place", F.round("min_km", 6), "nearest", "within_500")) == plain and found.count() == 6_000
 
 
+def test_haversine_query_meets_a_bounded_number_of_coordinates(spark, tmp_path, monkeypatch):
+    from panelspark.plans import catalogue
+
+    met = []
+    plain = I._meet_by_cells
+    monkeypatch.setattr(I, "_meet_by_cells", lambda sites, points, *args: (met.append((sites.count(), points.count())), plain(sites, points, *args))[1])
+    spark.range(1, 4_001).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 6_001).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["place"]: r for r in catalogue.QUERIES["nearest_facility_haversine"](spark, str(tmp_path)).collect()}
+    assert met == [(360, 2520)] and len(got) == 4_000
+    # 361 and 1 share coordinates and have no facility of their own; 15 has one.
+    assert got[361][1:] == got[1][1:] and got[15]["min_km"] == 0.0 and got[15]["has_access"] == 1
+
+
 def regression_frame(spark, n=60, seed=3):
     rng = np.random.default_rng(seed)
     entity, period = np.repeat(np.arange(n // 6), 6), np.tile(np.arange(6), n // 6)
