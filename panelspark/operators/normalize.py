@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,25 +49,43 @@ def percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[float],
     """keys and, for each column, _q_{column}: its exact (interpolated) percentiles at the points, in their order.
 
     Where a group is larger than group_rows, no task holds its values: a sketch brackets each point, and ranks are counted
-    exactly within the brackets only. The result is the same.
+    exactly within the brackets only. The result is the same. What brackets need of such groups, of which there are few, is
+    sent to all tasks, so that no row of theirs is moved; the other groups are left to Spark's percentile.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
-    if (largest or 0) <= group_rows:
-        return df.groupBy(*keys).agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(f"_q_{c}") for c in columns))
+    def plain(some: DataFrame) -> DataFrame:
+        return some.groupBy(*keys).agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(f"_q_{c}") for c in columns))
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= group_rows:
+        return plain(df)
+    if not keys:
+        return _bracketed(df, columns, points, keys, bracket_rows)
+    large = with_stats_of(df, F.broadcast(sizes.filter(F.col("_rows") > group_rows)), keys)
+    others = plain(large.filter("_rows IS NULL"))
+    return _bracketed(large.filter("_rows IS NOT NULL"), columns, points, keys, bracket_rows).select(*others.columns).union(others)
+
+
+def _bracketed(df: DataFrame, columns: Sequence[str], points: Sequence[float], keys: Sequence[str], bracket_rows: int) -> DataFrame:
+    """percentiles of few large groups."""
     by = [*(f"_k{i}" for i in range(len(keys))), "variable"]
     long = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x"))
     long = long.select(*by[:-1], "x.variable", "x.value").filter("value IS NOT NULL")
     lower, upper = ([min(max(p + s * BRACKET_SHARE, 0.0), 1.0) for p in points] for s in (-1, 1))
     base = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", [*lower, *upper], 10_000).alias("sketch"))
-    edge = lambda i, side: F.when((F.col("n") <= bracket_rows) | F.lit(points[i] in (0.0, 1.0)), F.col(("least", "most")[side])).otherwise(F.col("sketch")[i + side * len(points)])
+
+    def edge(i: int, side: int) -> Column:
+        if points[i] in (0.0, 1.0):  # the bracket is this value alone
+            return F.col("least" if points[i] == 0.0 else "most")
+        return F.when(F.col("n") <= bracket_rows, F.col(("least", "most")[side])).otherwise(F.col("sketch")[i + side * len(points)])
+
     base = base.select(*by, "n", *(edge(i, s).alias(f"_e{i}_{s}") for i in range(len(points)) for s in (0, 1)))
-    joined = with_stats_of(long, base, by)
+    joined = with_stats_of(long, F.broadcast(base), by)  # a row for each large group and column
     inside = [F.col("value").between(F.col(f"_e{i}_0"), F.col(f"_e{i}_1")) for i in range(len(points))]
     below = joined.groupBy(*by).agg(*(F.count_if(F.col("value") < F.col(f"_e{i}_0")).alias(f"b{i}") for i in range(len(points))))
-    kept = joined.withColumn("point", F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(inside))), lambda i: i.isNotNull())).filter(F.size("point") > 0)
+    kept = joined.filter(reduce(or_, inside)).withColumn("point", F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(inside))), lambda i: i.isNotNull()))
     kept = kept.groupBy(*by, "value", "point", "n").agg(F.count(F.lit(1)).alias("times")).withColumn("point", F.explode("point"))
     upto = F.sum("times").over(W.partitionBy(*by, "point").orderBy("value"))
-    ranked = with_stats_of(kept.withColumn("upto", upto), below, by)
+    ranked = with_stats_of(kept.withColumn("upto", upto), F.broadcast(below), by)
     i = F.col("point")
     before = F.array(*(F.col(f"b{k}") for k in range(len(points))))[i]
     at = F.array(*map(F.lit, points))[i] * (F.col("n") - 1)
@@ -113,11 +133,11 @@ def zscore(df: DataFrame, column: str, keys: Sequence[str] = (), out: str = "z")
 
 def quantile_bins(df: DataFrame, column: str, bins: int, keys: Sequence[str] = (), out: str = "bin") -> DataFrame:
     """The number (from 0) of x's quantile bin: exact edges, repeated ones dropped, right-closed, the lowest value included."""
-    edges = percentiles(df, [column], [k / bins for k in range(bins + 1)], keys).withColumnRenamed(f"_q_{column}", "_edges")
+    edges = percentiles(df, [column], [k / bins for k in range(bins + 1)], keys).withColumn("_edges", F.array_distinct(f"_q_{column}")).drop(f"_q_{column}")
     joined = with_stats_of(df, edges, keys)
-    edges = F.array_distinct("_edges")
-    below = F.size(F.filter(edges, lambda e: e < F.col(column)))  # edges under x; the first bin takes its lower edge too
-    return joined.withColumn(out, F.when(F.col(column).isNotNull() & (F.size(edges) > 1), F.greatest(below - 1, F.lit(0)))).drop("_edges")
+    # Edges under x; the first bin takes its lower edge too.
+    below = F.size(F.filter("_edges", lambda e: e < F.col(column)))
+    return joined.withColumn(out, F.when(F.col(column).isNotNull() & (F.size("_edges") > 1), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
 
 def centred(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -307,6 +307,32 @@ def test_percentiles_of_large_groups_equal_exact_ones(spark, monkeypatch):
                 assert got[key][f"_q_{c}"] == pytest.approx(np.quantile(own, points).tolist())
 
 
+def shuffled_by(spark, work):
+    """What work() returns, and the largest number of rows that one of its stages read from a shuffle."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    before = {s.stageId() for s in stages()}
+    found = work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return found, max(s.shuffleReadRecords() for s in stages() if s.stageId() not in before)
+
+
+def test_bins_of_large_tables_move_none_of_their_rows(spark, monkeypatch):
+    """Least and largest values are brackets of their own, and brackets are sent to the rows instead of joined by a shuffle."""
+    monkeypatch.setattr(N, "BRACKET_SHARE", 0.002)
+    n = 40_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"), (F.col("id") % 2).alias("k"))
+    for keys in ([], ["k"]):
+        points = [0.0, 0.25, 0.5, 0.75, 1.0]
+        got, most = shuffled_by(spark, lambda keys=keys, points=points: N.percentiles(df, ["x"], points, keys, group_rows=100, bracket_rows=0).collect())
+        values = [np.arange(k, n, 2) if keys else np.arange(n) for k in range(2 if keys else 1)]
+        assert sorted(r["_q_x"] for r in got) == [pytest.approx(np.quantile(v, points).tolist()) for v in values] and most < n / 20
+    # Groups beside a large one are left to Spark's percentile.
+    mixed = df.withColumn("k", F.when(F.col("x") < 5, F.lit(None)).otherwise(F.lit(1)))
+    got = {r["k"]: r["_q_x"] for r in N.percentiles(mixed, ["x"], [0.0, 0.5], ["k"], group_rows=100, bracket_rows=0).collect()}
+    assert got == {None: [0.0, 2.0], 1: [5.0, (n - 1 + 5) / 2]}
+
+
 def test_ranks_in_ranges_equal_plain_ranks(spark):
     values = [5, 1, 1, 3, None, 3, 3, 10, -4, 5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int")
