@@ -1,4 +1,5 @@
 import math
+from functools import partial
 
 import numpy as np
 import pytest
@@ -333,6 +334,23 @@ def test_bins_of_large_tables_move_none_of_their_rows(spark, monkeypatch):
     assert got == {None: [0.0, 2.0], 1: [5.0, (n - 1 + 5) / 2]}
 
 
+def test_dose_response_of_a_large_table_moves_none_of_its_rows(spark, monkeypatch):
+    """Few values, each repeated often: bins by their edges against a plain loop, whoever picks the percentiles."""
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % 50 + 1).cast("double").alias("x"), (F.col("id") % 977).cast("double").alias("y"))
+    small = rows(A.dose_response(df, "x", "y", 10).select("bin", "n", F.round("mean_x", 6), F.round("mean_y", 6), F.round("sem", 6)))
+    monkeypatch.setattr(N, "percentiles", partial(N.percentiles, group_rows=100, bracket_rows=0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables whose size Spark doesn't take for small
+    try:
+        large, most = shuffled_by(spark, lambda: rows(A.dose_response(df, "x", "y", 10).select("bin", "n", F.round("mean_x", 6), F.round("mean_y", 6), F.round("sem", 6))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    x = np.arange(n) % 50 + 1.0
+    edges = np.unique(np.quantile(x, [k / 10 for k in range(11)]))
+    bins = np.maximum(np.searchsorted(edges, x) - 1, 0)
+    assert large == small and [r[1] for r in large] == np.bincount(bins).tolist() and most < n / 20
+
+
 def test_ranks_in_ranges_equal_plain_ranks(spark):
     values = [5, 1, 1, 3, None, 3, 3, 10, -4, 5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int")
