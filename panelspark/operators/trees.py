@@ -89,8 +89,11 @@ def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in columns]) if columns else np.zeros((batch.num_rows, 0))
 
 
-def _level(rows: DataFrame, trees: Trees, level: int, measure: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, Callable]], names: Sequence[str]) -> tuple[DataFrame, int]:
-    """(tree, node, feature, bin and the named sums) of all nodes of a level, and how many rows that is at most.
+Measure = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, Callable]]
+
+
+def _adder(trees: Trees, level: int, measure: Measure, names: Sequence[str]) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], int]:
+    """A function from batches to (tree, node, feature, bin and the named sums) of all nodes of a level, and how many rows that is at most.
 
     measure gets a batch and returns its bins, its nodes (rows by trees; -1 where a row isn't in a tree) and a function from a slice of
     trees to the values that are summed (one array, rows by these trees, for each name).
@@ -123,38 +126,44 @@ def _level(rows: DataFrame, trees: Trees, level: int, measure: Callable[[pa.Reco
             where = [pa.array(x.astype(np.int32)) for x in (tree + t, node + first, feature, bin_)]
             yield pa.RecordBatch.from_arrays([*where, *(pa.array(s[at]) for s in sums)], names=["tree", "node", "feature", "bin", *names])
 
+    return run, total * wide * count * widest
+
+
+def _level(rows: DataFrame, trees: Trees, level: int, measure: Measure, names: Sequence[str]) -> tuple[DataFrame, int]:
+    """What _adder's function gives, added up over all tasks, and how many rows that is at most."""
+    run, most = _adder(trees, level, measure, names)
     schema = "tree int, node int, feature int, bin int, " + ", ".join(f"{n} double" for n in names)
-    sums = rows.mapInArrow(run, schema).groupBy("tree", "node", "feature", "bin").agg(*(F.sum(n).alias(n) for n in names))
-    return sums, total * wide * count * widest
+    return rows.mapInArrow(run, schema).groupBy("tree", "node", "feature", "bin").agg(*(F.sum(n).alias(n) for n in names)), most
 
 
-def _chosen(sums: DataFrame, most: int, names: Sequence[str], width: int, choose: Callable[[np.ndarray], tuple | None]) -> list[tuple]:
-    """(tree, node, *what choose returns) of all nodes for which it returns something; it gets sums by name, feature and bin."""
+def _choices(table: pa.Table, names: Sequence[str], width: int, choose: Callable[[np.ndarray], tuple | None]) -> list[tuple]:
+    """(tree, node, *what choose returns) of all nodes of a table for which it returns something; it gets sums by name, feature and bin."""
     count, widest = width >> 16, width & 0xFFFF
+    keys = np.column_stack([table["tree"].to_numpy(), table["node"].to_numpy()])
+    distinct, inverse = np.unique(keys, axis=0, return_inverse=True)
+    order = np.argsort(inverse.reshape(-1), kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(inverse.reshape(-1)[order], prepend=-1)), len(order))
+    feature, bin_ = table["feature"].to_numpy(), table["bin"].to_numpy()
+    values = [table[n].to_numpy() for n in names]
+    out = []
+    for k, (tree, node) in enumerate(distinct.tolist()):
+        own = order[edges[k] : edges[k + 1]]
+        grid = np.zeros((len(names), count, widest))
+        for n, v in enumerate(values):
+            grid[n, feature[own], bin_[own]] = v[own]
+        found = choose(grid)
+        if found is not None:
+            out.append((tree, node, *found))
+    return out
 
-    def of(table: pa.Table) -> list[tuple]:
-        keys = np.column_stack([table["tree"].to_numpy(), table["node"].to_numpy()])
-        distinct, inverse = np.unique(keys, axis=0, return_inverse=True)
-        order = np.argsort(inverse.reshape(-1), kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(inverse.reshape(-1)[order], prepend=-1)), len(order))
-        feature, bin_ = table["feature"].to_numpy(), table["bin"].to_numpy()
-        values = [table[n].to_numpy() for n in names]
-        out = []
-        for k, (tree, node) in enumerate(distinct.tolist()):
-            own = order[edges[k] : edges[k + 1]]
-            grid = np.zeros((len(names), count, widest))
-            for n, v in enumerate(values):
-                grid[n, feature[own], bin_[own]] = v[own]
-            found = choose(grid)
-            if found is not None:
-                out.append((tree, node, *found))
-        return out
 
+def _chosen(sums: DataFrame, most: int, names: Sequence[str], width: int, choose: Callable[[np.ndarray], tuple | None]) -> list[tuple]:
+    """_choices of all nodes, by the driver if they are few, else by tasks."""
     if most <= DRIVER_CELLS:
-        return of(sums.toArrow())
+        return _choices(sums.toArrow(), names, width, choose)
 
     def run(group: pa.Table) -> pa.Table:
-        found = of(group)
+        found = _choices(group, names, width, choose)
         return pa.table([pa.array([x[k] for x in found], pa.float64()) for k in range(len(found[0]))] if found else [pa.array([], pa.float64())] * fields, names=[f"_{k}" for k in range(fields)])
 
     fields = 2 + choose.fields
@@ -382,8 +391,9 @@ class Boosted:
 def boost(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], fold: str | None = None, rounds: int = 200, depth: int = 6, rate: float = 0.1, row_share: float = 0.8, column_share: float = 0.8, penalty: float = 1.0, least: float = 1.0, gain: float = 0.0, every: int = 10, seed: int = 7) -> Boosted | None:
     """Boosting with sampled rows and columns and regularised leaves, `rounds` trees of each model; None without rows.
 
-    With fold (a column of numbers from 0), model k is fitted without fold k, and one more on all rows; all grow side by side, in
-    the same passes. Predictions so far are written to the checkpoint folder after `every` rounds.
+    With fold (a column of numbers from 0), model k is fitted without fold k, and one more on all rows. Beyond TASK_ROWS rows all
+    grow side by side, in the same passes over the rows, one for each level; predictions so far are written to the checkpoint folder
+    after `every` rounds. Of fewer rows, each model is grown by a task of its own, so that they take one job instead of one a level.
     """
     columns = [f"_x{k}" for k in range(len(features))]
     rows = df.select(F.xxhash64(*keys).alias("_h"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("_fold"), F.col(label).cast("double").alias("_y"), *(F.col(c).cast("double").alias(n) for c, n in zip(features, columns, strict=True))).na.drop()
@@ -394,57 +404,88 @@ def boost(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str
     models = max(found) + 2
     total, n = (sum(x[k] for x in found.values()) for k in (0, 1))
     base = np.array([(total - found.get(m, (0, 0))[0]) / max(n - found.get(m, (0, 0))[1], 1) for m in range(models)])
-    rows = rows.withColumn("_p", F.array(*(F.lit(float(b)) for b in base)))
-    grown = Trees.empty(features, cut_points(base_rows, columns), rounds * models, depth)
-    grown.sums["value"] = np.zeros(grown.feature.shape)
-    width = len(features) << 16 | max((len(c) for c in grown.cuts), default=0) + 1
-    since = 0
+    cuts, names = cut_points(base_rows, columns), ["g", "h"]
+    width = len(features) << 16 | max((len(c) for c in cuts), default=0) + 1
 
-    def part(first: int, last: int) -> Trees:
-        own = slice(first * models, last * models)
-        return Trees(grown.features, grown.cuts, grown.feature[own], grown.bin[own], {"value": grown.sums["value"][own]})
+    def planted(trees: int) -> Trees:
+        grown = Trees.empty(features, cuts, trees, depth)
+        grown.sums["value"] = np.zeros(grown.feature.shape)
+        return grown
 
-    def predicted(batch: pa.RecordBatch, bins: np.ndarray, done: Trees) -> np.ndarray:
-        flat = batch["_p"].flatten().to_numpy().reshape(batch.num_rows, models)
+    def predicted(batch: pa.RecordBatch, bins: np.ndarray, done: Trees, count: int) -> np.ndarray:
+        flat = batch["_p"].flatten().to_numpy().reshape(batch.num_rows, count)
         if not len(done.feature):
             return flat
         nodes = done.nodes(bins)
-        return flat + done.sums["value"][np.arange(nodes.shape[1]), nodes].reshape(len(bins), -1, models).sum(axis=1)
-
-    draw = np.random.default_rng(seed)
-    for r in range(rounds):
-        drawn = np.sort(draw.permutation(len(features))[: max(1, round(column_share * len(features)))]).tolist()
-        for level in range(depth):
-            done, now = part(since, r), part(r, r + 1)
-
-            def measure(batch: pa.RecordBatch, done=done, now=now, r=r, level=level) -> tuple[np.ndarray, np.ndarray, Callable]:
-                bins = now.bins(_matrix(batch, columns))
-                slopes = predicted(batch, bins, done) - batch["_y"].to_numpy()[:, None]
-                inside = (_draws(batch["_h"].to_numpy(), seed * 1_000_003 + r) < row_share)[:, None] & (batch["_fold"].to_numpy()[:, None] != np.arange(models))
-                return bins, np.where(inside, now.nodes(bins, level), -1), lambda t: [slopes[:, t], np.ones(slopes[:, t].shape)]
-
-            sums, most = _level(rows, now, level, measure, ["g", "h"])
-            split = False
-            for tree, node, feature, cut, g, h, left_g, left_h in _chosen(sums, most, ["g", "h"], width, _BoostSplit(drawn, penalty, least, gain)):
-                at, node = r * models + int(tree), int(node)
-                grown.feature[at, node], grown.bin[at, node] = feature, cut
-                grown.sums["value"][at, node] = -rate * g / (h + penalty)
-                if feature >= 0:
-                    split = True
-                    grown.sums["value"][at, 2 * node + 1] = -rate * left_g / (left_h + penalty)
-                    grown.sums["value"][at, 2 * node + 2] = -rate * (g - left_g) / (h - left_h + penalty)
-            if not split:
-                break
-        if (r + 1) % every == 0 and r + 1 < rounds:
-            done = part(since, r + 1)
-
-            def kept(batches: Iterator[pa.RecordBatch], done=done) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    p = predicted(batch, done.bins(_matrix(batch, columns)), done)
-                    at = batch.schema.get_field_index("_p")
-                    yield batch.set_column(at, "_p", pa.array(list(p), pa.list_(pa.float64())))
-
-            rows, since = checkpoint(rows.mapInArrow(kept, rows.schema)), r + 1
+        return flat + done.sums["value"][np.arange(nodes.shape[1]), nodes].reshape(len(bins), -1, count).sum(axis=1)
+
+    def kept(batch: pa.RecordBatch, done: Trees, count: int) -> pa.RecordBatch:
+        p = predicted(batch, done.bins(_matrix(batch, columns)), done, count)
+        return batch.set_column(batch.schema.get_field_index("_p"), "_p", pa.array(list(p), pa.list_(pa.float64())))
+
+    def grow(own: np.ndarray, chosen: Callable[[Trees, int, Measure, _BoostSplit], list[tuple]], keep: Callable[[Trees], None]) -> Trees:
+        """Trees of own models, round by round: chosen gives the nodes of a level with their splits, keep adds trees to the rows' predictions."""
+        count, since = len(own), 0
+        grown = planted(rounds * count)
+
+        def part(first: int, last: int) -> Trees:
+            some = slice(first * count, last * count)
+            return Trees(grown.features, grown.cuts, grown.feature[some], grown.bin[some], {"value": grown.sums["value"][some]})
+
+        draw = np.random.default_rng(seed)
+        for r in range(rounds):
+            drawn = np.sort(draw.permutation(len(features))[: max(1, round(column_share * len(features)))]).tolist()
+            for level in range(depth):
+                done, now = part(since, r), part(r, r + 1)
+
+                def measure(batch: pa.RecordBatch, done=done, now=now, r=r, level=level) -> tuple[np.ndarray, np.ndarray, Callable]:
+                    bins = now.bins(_matrix(batch, columns))
+                    slopes = predicted(batch, bins, done, count) - batch["_y"].to_numpy()[:, None]
+                    inside = (_draws(batch["_h"].to_numpy(), seed * 1_000_003 + r) < row_share)[:, None] & (batch["_fold"].to_numpy()[:, None] != own)
+                    return bins, np.where(inside, now.nodes(bins, level), -1), lambda t: [slopes[:, t], np.ones(slopes[:, t].shape)]
+
+                split = False
+                for tree, node, feature, cut, g, h, left_g, left_h in chosen(now, level, measure, _BoostSplit(drawn, penalty, least, gain)):
+                    at, node = r * count + int(tree), int(node)
+                    grown.feature[at, node], grown.bin[at, node] = feature, cut
+                    grown.sums["value"][at, node] = -rate * g / (h + penalty)
+                    if feature >= 0:
+                        split = True
+                        grown.sums["value"][at, 2 * node + 1] = -rate * left_g / (left_h + penalty)
+                        grown.sums["value"][at, 2 * node + 2] = -rate * (g - left_g) / (h - left_h + penalty)
+                if not split:
+                    break
+            if (r + 1) % every == 0 and r + 1 < rounds:
+                keep(part(since, r + 1))
+                since = r + 1
+        return grown
+
+    def alone(key: tuple, group: pa.Table) -> pa.Table:
+        model = key[0].as_py()
+        group = group.sort_by([("_h", "ascending"), ("_y", "ascending")]).append_column("_p", pa.array([[float(base[model])]] * len(group), pa.list_(pa.float64())))
+        batches = group.combine_chunks().to_batches()
+
+        def keep(done: Trees) -> None:
+            batches[:] = [kept(b, done, 1) for b in batches]
+
+        own = grow(np.array([model]), lambda now, level, measure, choose: _choices(pa.Table.from_batches(_adder(now, level, measure, names)[0](iter(batches))), names, width, choose), keep)
+        at = np.flatnonzero((own.feature >= 0) | (own.sums["value"] != 0))
+        r, node = np.unravel_index(at, own.feature.shape)
+        return pa.table([pa.array((r * models + model).astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(own.feature.flat[at].astype(np.int32)), pa.array(own.bin.flat[at].astype(np.int32)), pa.array(own.sums["value"].flat[at])], names=["tree", "node", "feature", "bin", "value"])
+
+    if n <= TASK_ROWS:
+        by_model = rows.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).filter("_model <> _fold").repartition(models, "_model")
+        nodes = by_model.groupBy("_model").applyInArrow(alone, "tree int, node int, feature int, bin int, value double").toArrow()  # a row a node
+        grown, at = planted(rounds * models), (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+        grown.feature[at], grown.bin[at], grown.sums["value"][at] = (nodes[c].to_numpy() for c in ("feature", "bin", "value"))
+    else:
+        rows = rows.withColumn("_p", F.array(*(F.lit(float(b)) for b in base)))
+
+        def keep(done: Trees) -> None:
+            nonlocal rows
+            rows = checkpoint(rows.mapInArrow(lambda batches: (kept(b, done, models) for b in batches), rows.schema))
+
+        grown = grow(np.arange(models), lambda now, level, measure, choose: _chosen(*_level(rows, now, level, measure, names), names, width, choose), keep)
     base_rows.unpersist()
     return Boosted(grown, models, base)
 

@@ -147,6 +147,19 @@ def test_folds_grow_side_by_side_and_predict_what_they_have_not_seen(spark):
     assert whole.models == 1 and (whole.trees.feature == model.trees.feature[3::4]).all()
 
 
+def test_small_tables_are_boosted_in_few_jobs_with_the_same_trees(spark, monkeypatch):
+    df = rows_of(spark, 600, seed=9).withColumn("fold", (F.col("id") % 3).cast("int"))
+    args = dict(rounds=12, depth=3, every=4, keys=["id"], features=["a", "b", "t"], label="y", fold="fold")
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    small = trees.boost(df, **args)
+    assert jobs() - before < args["rounds"]
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    large = trees.boost(df, **args)
+    assert (small.trees.feature == large.trees.feature).all() and (small.trees.bin == large.trees.bin).all()
+    assert np.allclose(small.trees.sums["value"], large.trees.sums["value"]) and np.allclose(small.base, large.base)
+
+
 def brute_force(nodes, weights, row, features):
     """Shapley values from the expected prediction with each subset of features known."""
 
