@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -78,21 +78,22 @@ def _bracketed(df: DataFrame, columns: Sequence[str], points: Sequence[float], k
             return F.col("least" if points[i] == 0.0 else "most")
         return F.when(F.col("n") <= bracket_rows, F.col(("least", "most")[side])).otherwise(F.col("sketch")[i + side * len(points)])
 
-    base = base.select(*by, "n", *(edge(i, s).alias(f"_e{i}_{s}") for i in range(len(points)) for s in (0, 1)))
+    base = base.select(*by, *(edge(i, s).alias(f"_e{i}_{s}") for i in range(len(points)) for s in (0, 1)))
     joined = with_stats_of(long, F.broadcast(base), by)  # a row for each large group and column
-    inside = [F.col("value").between(F.col(f"_e{i}_0"), F.col(f"_e{i}_1")) for i in range(len(points))]
-    below = joined.groupBy(*by).agg(*(F.count_if(F.col("value") < F.col(f"_e{i}_0")).alias(f"b{i}") for i in range(len(points))))
-    kept = joined.filter(reduce(or_, inside)).withColumn("point", F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(inside))), lambda i: i.isNotNull()))
-    kept = kept.groupBy(*by, "value", "point", "n").agg(F.count(F.lit(1)).alias("times")).withColumn("point", F.explode("point"))
-    upto = F.sum("times").over(W.partitionBy(*by, "point").orderBy("value"))
-    ranked = with_stats_of(kept.withColumn("upto", upto), F.broadcast(below), by)
-    i = F.col("point")
-    before = F.array(*(F.col(f"b{k}") for k in range(len(points))))[i]
-    at = F.array(*map(F.lit, points))[i] * (F.col("n") - 1)
-    ranked = ranked.withColumns({"at": at, "upto": before + F.col("upto")})
-    picked = ranked.groupBy(*by, "point", "at").agg(F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("value"))).alias("high"))
-    picked = picked.withColumn("q", F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low")))
-    arrays = picked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "q"))), lambda x: x["q"]).alias("q"))
+    # One pass counts rows: by value within brackets, else by how many brackets begin at or below. In this order the sums are ranks.
+    inside = reduce(or_, (F.col("value").between(F.col(f"_e{i}_0"), F.col(f"_e{i}_1")) for i in range(len(points))))
+    begun = reduce(add, ((F.col("value") >= F.col(f"_e{i}_0")).cast("int") for i in range(len(points))))
+    counted = joined.groupBy(*by, begun.alias("begun"), F.when(inside, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    own = W.partitionBy(*by)
+    ranked = counted.withColumns({"upto": F.sum("times").over(own.orderBy("begun", F.asc_nulls_last("value"))), "last": F.sum("times").over(own) - 1})
+
+    def at(p: float) -> Column:
+        rank = F.lit(p) * F.col("last")
+        low, high = (F.min(F.when(F.col("upto") > f(rank), F.col("value"))) for f in (F.floor, F.ceil))
+        rank = F.lit(p) * F.first("last")
+        return low + (rank - F.floor(rank)) * (high - low)
+
+    arrays = ranked.groupBy(*by).agg(F.array(*map(at, points)).alias("q"))
     wide = arrays.groupBy(*by[:-1]).agg(*(F.first(F.when(F.col("variable") == c, F.col("q")), ignorenulls=True).alias(f"_q_{c}") for c in columns))
     return wide.withColumnsRenamed({f"_k{j}": k for j, k in enumerate(keys)})
 
@@ -136,7 +137,7 @@ def quantile_bins(df: DataFrame, column: str, bins: int, keys: Sequence[str] = (
     edges = percentiles(df, [column], [k / bins for k in range(bins + 1)], keys).withColumn("_edges", F.array_distinct(f"_q_{column}")).drop(f"_q_{column}")
     joined = with_stats_of(df, edges, keys)
     # Edges under x; the first bin takes its lower edge too.
-    below = F.size(F.filter("_edges", lambda e: e < F.col(column)))
+    below = reduce(add, (F.coalesce((F.get("_edges", F.lit(i)) < F.col(column)).cast("int"), F.lit(0)) for i in range(bins + 1)))
     return joined.withColumn(out, F.when(F.col(column).isNotNull() & (F.size("_edges") > 1), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
 

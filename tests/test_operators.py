@@ -351,6 +351,25 @@ def test_dose_response_of_a_large_table_moves_none_of_its_rows(spark, monkeypatc
     assert large == small and [r[1] for r in large] == np.bincount(bins).tolist() and most < n / 20
 
 
+def test_dose_response_of_a_large_table_reads_it_four_times(spark, tmp_path, monkeypatch):
+    """To count it, to sketch its brackets, to count within and between them, and for the bins; points may come in any order."""
+    n = 40_000
+    spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"), F.col("id").cast("double").alias("y")).write.parquet(f"{tmp_path}/t.parquet")
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(N, "BRACKET_SHARE", 0.002)
+    plain = N.percentiles
+    monkeypatch.setattr(N, "percentiles", partial(plain, group_rows=100, bracket_rows=0))
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    before = {s.stageId() for s in stages()}
+    got = rows(A.dose_response(df, "x", "y", 10).select("bin", "n"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(s.inputRecords() for s in stages() if s.stageId() not in before) <= 4 * n + 100
+    assert got == [(k, n // 10) for k in range(10)]
+    points = [0.75, 0.0, 0.7501, 1.0, 0.5]  # two of them within one bracket
+    assert plain(df, ["x"], points, group_rows=100, bracket_rows=0).first()["_q_x"] == pytest.approx(np.quantile(np.arange(n), points).tolist())
+
+
 def test_ranks_in_ranges_equal_plain_ranks(spark):
     values = [5, 1, 1, 3, None, 3, 3, 10, -4, 5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int")
