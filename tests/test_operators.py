@@ -181,6 +181,24 @@ def test_haversine_query_meets_a_bounded_number_of_coordinates(spark, tmp_path,
     assert got[361][1:] == got[1][1:] and got[15]["min_km"] == 0.0 and got[15]["has_access"] == 1
 
 
+def test_haversine_query_joins_fewer_pairs_than_places_and_facilities_make(spark, tmp_path):
+    """The largest join by its count of rows: of coordinates, not of the places and facilities that share them."""
+    from panelspark.plans import catalogue
+
+    spark.range(3_600).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(5_040).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    store, java = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    before = {e.executionId() for e in java(store.executionsList())}
+    assert len(catalogue.QUERIES["nearest_facility_haversine"](spark, str(tmp_path)).collect()) == 3_600
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    joined = [0]
+    for run in {e.executionId() for e in java(store.executionsList())} - before:
+        counts = java(store.executionMetrics(run))
+        ids = [m.accumulatorId() for node in java(store.planGraph(run).allNodes()) if "Join" in node.name() for m in java(node.metrics()) if m.name() == "number of output rows"]
+        joined += [int(counts[i].replace(",", "")) for i in ids if i in counts]
+    assert 3_600 <= max(joined) < 20_000  # 5,349 pairs of coordinates within 1,000 km; 106,979 of those that share them
+
+
 def regression_frame(spark, n=60, seed=3):
     rng = np.random.default_rng(seed)
     entity, period = np.repeat(np.arange(n // 6), 6), np.tile(np.arange(6), n // 6)
