@@ -15,6 +15,9 @@ from .normalize import minmax_within, winsor_minmax
 #: Coordinates of facilities that are sent to all tasks; more are matched by cells.
 BROADCAST_FACILITIES = 1_000
 
+#: Coordinates of places whose results are sent to all tasks; more are joined to places by a shuffle.
+BROADCAST_SITES = 100_000
+
 
 @dataclass(frozen=True)
 class DimensionSpec:
@@ -161,13 +164,19 @@ def _meet_by_cells(sites: DataFrame, points: DataFrame, radii: Sequence[float],
     return found
 
 
-def _of_places(places: DataFrame, facilities: DataFrame, found: DataFrame, radii: Sequence[float]) -> DataFrame:
-    """What was found for coordinates, by place; a place's own facilities count as at 0 km wherever they are."""
+def _of_places(places: DataFrame, facilities: DataFrame, sites: DataFrame, found: DataFrame, radii: Sequence[float], how: str) -> DataFrame:
+    """What was found for coordinates, by place; a place's own facilities count as at 0 km wherever they are.
+
+    Up to BROADCAST_SITES coordinates are sent to all tasks, so that no task gets all places that share some.
+    """
     names = [f"within_{r:g}" for r in radii]
-    shared = places.join(found, ["lat", "lon"]).select("place", "min_km", "nearest", *names)
+    if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+        found = F.broadcast(found)
+    shared = places.join(found, ["lat", "lon"], how).select("place", "min_km", "nearest", *names)
     more = (F.lit(int(r >= 0)) - (_km() <= r).cast("int") for r in radii)  # an own facility within the radius is counted already
-    own = places.join(facilities, F.col("place") == F.col("f_place")).select("place", F.lit(0.0).alias("min_km"), F.col("facility").alias("nearest"), *(m.cast("long").alias(n) for m, n in zip(more, names, strict=True)))
-    return shared.union(own).groupBy("place").agg(F.min("min_km").alias("min_km"), F.min_by("nearest", F.struct("min_km", "nearest")).alias("nearest"), *(F.sum(n).alias(n) for n in names))
+    own = _located(places, facilities)[0].join(facilities, F.col("place") == F.col("f_place")).groupBy("place").agg(F.min("facility").alias("nearest"), *(F.sum(m).alias(n) for m, n in zip(more, names, strict=True)))
+    both = shared.union(own.select("place", F.lit(0.0).alias("min_km"), "nearest", *names)).repartition("place")  # first, as grouping before it would hold a task's places and save nothing
+    return both.groupBy("place").agg(F.min("min_km").alias("min_km"), F.min_by("nearest", F.struct("min_km", "nearest")).alias("nearest"), *(F.sum(n).alias(n) for n in names))
 
 
 def nearest_facility(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), broadcast_rows: int = BROADCAST_FACILITIES) -> DataFrame:
@@ -183,7 +192,7 @@ def nearest_facility(places: DataFrame, facilities: DataFrame, radii: Sequence[f
         found = _meet_all(sites, points, radii)
     else:
         found = _meet_by_cells(sites, points, radii, None)
-    return places.select("place").join(_of_places(located, facilities, found, radii), "place", "left")
+    return _of_places(places, facilities, sites, found, radii, "left")
 
 
 def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] = (), first_km: float | None = None) -> DataFrame:
@@ -194,4 +203,5 @@ def by_cells(places: DataFrame, facilities: DataFrame, radii: Sequence[float] =
     radius, unless given, is what a share of the sphere's surface for each coordinates of facilities comes to.
     """
     located, facilities = _located(places, facilities)
-    return _of_places(located, facilities, _meet_by_cells(*_sites(located, facilities), radii, first_km), radii)
+    sites, points = _sites(located, facilities)
+    return _of_places(located, facilities, sites, _meet_by_cells(sites, points, radii, first_km), radii, "inner")

@@ -199,6 +199,44 @@ def test_haversine_query_joins_fewer_pairs_than_places_and_facilities_make(spark
     assert 3_600 <= max(joined) < 20_000  # 5,349 pairs of coordinates within 1,000 km; 106,979 of those that share them
 
 
+@pytest.mark.parametrize("name", ["nearest_facility_haversine", "nearest_facility_by_cells"])
+def test_places_that_share_coordinates_are_dealt_to_all_tasks(spark, tmp_path, name):
+    """8,000 places at one point: no task gets half of them, though AQE doesn't split and joins aren't broadcast by size."""
+    from panelspark.plans import catalogue
+
+    spark.range(1, 8_001).select((F.col("id") * 360).alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 51).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    places, facilities = catalogue.places(spark, str(tmp_path))
+    km = F.when(F.col("place") == F.col("f_place"), 0.0).otherwise(I.haversine_km(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
+    plain = rows(places.crossJoin(F.broadcast(facilities)).withColumn("km", km).groupBy("place").agg(F.round(F.min("km"), 6), F.count_if(F.col("km") <= 500)))
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(f"dealt {name}", "")
+        assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).select("place", "min_km", "within_500")) == plain
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store, java = sc.statusTracker(), sc._jsc.sc().statusStore(), sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    stages = {i for job in tracker.getJobIdsForGroup(f"dealt {name}") for i in tracker.getJobInfo(job).stageIds}
+    read = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for i in stages for t in java(store.taskList(i, 0, 1_000)) if t.taskMetrics().isDefined()]
+    assert 1_000 < max(read) < 5_000
+
+
+def test_a_place_listed_twice_is_one_row(spark):
+    """As by GROUP BY: its counts are those of both, whichever way facilities are met."""
+    places = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 1.0), (3, None, None)], "place int, lat double, lon double")
+    facilities = spark.createDataFrame([(7, 2, 0.0, 2.0), (8, 9, 0.0, 1.0)], "facility int, f_place int, f_lat double, f_lon double")
+    for n in (1_000, 0):
+        got = rows(I.nearest_facility(places, facilities, (150,), broadcast_rows=n).select("place", "nearest", "within_150"))
+        assert got == [(1, 8, 2), (2, 7, 2), (3, None, None)]
+
+
 def regression_frame(spark, n=60, seed=3):
     rng = np.random.default_rng(seed)
     entity, period = np.repeat(np.arange(n // 6), 6), np.tile(np.arange(6), n // 6)
