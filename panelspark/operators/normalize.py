@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_keep_null
+from ..functions.lineage import checkpoint
 
 #: Rows of a group up to which one task picks its percentiles.
 GROUP_ROWS = 5_000_000
@@ -133,7 +134,10 @@ def zscore(df: DataFrame, column: str, keys: Sequence[str] = (), out: str = "z")
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, keys: Sequence[str] = (), out: str = "bin") -> DataFrame:
-    """The number (from 0) of x's quantile bin: exact edges, repeated ones dropped, right-closed, the lowest value included."""
+    """The number (from 0) of x's quantile bin: exact edges, repeated ones dropped, right-closed, the lowest value included.
+
+    df is read again for its edges: a value that may differ when it is made again, as a sum of doubles, is to be checkpointed before.
+    """
     edges = percentiles(df, [column], [k / bins for k in range(bins + 1)], keys).withColumn("_edges", F.array_distinct(f"_q_{column}")).drop(f"_q_{column}")
     joined = with_stats_of(df, edges, keys)
     # Edges under x; the first bin takes its lower edge too.
@@ -180,9 +184,16 @@ def demean_two_way(df: DataFrame, columns: Sequence[str], entity: str, period: s
 
 
 def bivariate_classes(df: DataFrame, x: str, y: str, out: str = "bivariate") -> DataFrame:
-    """3 * y's tercile + x's tercile."""
-    both = quantile_bins(quantile_bins(df, x, 3, out="_x"), y, 3, out="_y")
-    return both.withColumn(out, 3 * F.col("_y") + F.col("_x")).drop("_x", "_y")
+    """3 * y's tercile + x's tercile: how many of its column's two exact tercile points a value exceeds, be they equal or not.
+
+    df is checkpointed: sums of doubles differ in their last digits when they are made again, and a value that is a point itself
+    must be compared with itself.
+    """
+    rows = checkpoint(df)
+    columns = sorted({x, y})
+    joined = with_stats_of(rows, percentiles(rows, columns, [1 / 3, 2 / 3]), [])
+    tercile = {c: reduce(add, ((F.col(c) > F.col(f"_q_{c}")[i]).cast("int") for i in (0, 1))) for c in columns}
+    return joined.withColumn(out, 3 * tercile[y] + tercile[x]).drop(*(f"_q_{c}" for c in columns))
 
 
 def coverage(beneficiaries: Column, population: Column) -> tuple[Column, Column]:

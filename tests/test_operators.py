@@ -1,4 +1,5 @@
 import math
+import random
 from functools import partial
 
 import numpy as np
@@ -46,6 +47,31 @@ def test_quantile_bins_drop_repeated_edges(spark):
     assert got == want
 
 
+def test_bivariate_classes_of_values_that_differ_when_made_again(spark):
+    """As sums of doubles do in their last digits: 31 values, two of which are tercile points themselves."""
+    drawn = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    df = spark.range(31).withColumns({"x": drawn("id"), "y": drawn("id")})
+    got = N.bivariate_classes(df, "x", "y").collect()
+    place = {c: {r["id"]: i for i, r in enumerate(sorted(got, key=lambda r: r[c]))} for c in ("x", "y")}
+    tercile = lambda i: (i > 10) + (i > 20)
+    assert [r["bivariate"] for r in got] == [3 * tercile(place["y"][r["id"]]) + tercile(place["x"][r["id"]]) for r in got]
+
+
+@pytest.mark.parametrize("counts", [[3], [1, 2], [1, 1, 1, 2], [1, 2, 2, 2], [1, 1, 2, 2, 2, 2, 3], [1, 1, 1, 1, 2, 3, 3]])
+def test_bivariate_query_counts_equal_points_as_its_sql_does(spark, tmp_path, counts):
+    """Orders of each nation in one year, at a price of 1."""
+    from panelspark.plans import catalogue
+
+    customers = [(k, k) for k in range(len(counts))]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, k, "F", 1.0, "1-URGENT") for k, n in enumerate(counts) for _ in range(n)]
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.lit("1996-05-01").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["bivariate_terciles"](spark, str(tmp_path)).orderBy("entity").collect()
+    a, b = np.quantile(counts, [1 / 3, 2 / 3])
+    assert [r["bivariate"] for r in got] == [4 * (int(n > a) + int(n > b)) for n in counts]
+
+
 def test_scaffold_and_sources(spark):
     entities = spark.createDataFrame([("a",), ("b",)], "entity string")
     periods = spark.createDataFrame([(1,), (2,)], "period int")
